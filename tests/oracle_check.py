@@ -89,6 +89,7 @@ def main(argv=None) -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--skip-ok", action="store_true")
+    ap.add_argument("--module", action="append", default=[], help="only queries of these modules")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args(argv)
     import __spark_entry__ as entry
@@ -103,6 +104,8 @@ def main(argv=None) -> int:
     for n, fn in qs.items():
         if a.names and not any(n.startswith(x) for x in a.names):
             continue
+        if a.module and fn.__module__.rsplit(".", 1)[-1] not in a.module:
+            continue
         t0 = time.time()
         try:
             df = fn(spark, a.sf)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .core import c
-from .stats import _small, stats_row
+from .stats import plain_join_ok, stats_row
 
 HOT_KEYS = 1000          # a key above 1/HOT_KEYS of all rows is hot, so fewer than this many exist
 BROADCAST_KEYS = 200_000  # lookups with no more keys than this are broadcast whole
@@ -36,7 +36,7 @@ def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str], n_col: str, null
         return out
 
     keys = [f"_k{i}" for i in range(len(on))]
-    if _small(lookup):
+    if plain_join_ok(lookup):
         return df.join(right, cond(df, right), "left").drop(*keys, "_n")
     got = stats_row(lookup, {"keys": F.count(F.lit(1)), "rows": F.sum(c(n_col))})
     if got["keys"] <= BROADCAST_KEYS:

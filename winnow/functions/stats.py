@@ -20,14 +20,14 @@ CHUNK = 200
 # Inputs at or below this plan size may use the buffering `percentile` aggregate,
 # whose state holds one entry per distinct value in a single task.
 SMALL_BYTES_CONF = "spark.winnow.exactQuantileBytes"
-SMALL_BYTES = 32 << 20
-CELLS = 1024
+SMALL_BYTES = 4 << 20
+CELLS = 4096
 
 
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df``; None where the client cannot see it."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
         return None
 
@@ -38,6 +38,13 @@ def _small(df: DataFrame) -> bool:
     return size is not None and size <= limit
 
 
+def plain_join_ok(df: DataFrame, limit: int = 32 << 20) -> bool:
+    """Whether a look-up is small enough to leave its join to the optimizer."""
+    size = plan_bytes(df)
+    return size is not None and size <= min(limit, int(df.sparkSession.conf.get(
+        "spark.winnow.plainJoinBytes", str(limit))))
+
+
 def stats_row(df: DataFrame, aggs: dict[str, Column]) -> dict:
     """Evaluate all aggregates in as few passes as the code-size limit allows."""
     out: dict = {}
@@ -67,11 +74,12 @@ def exact_quantiles(
     if not xs:
         return {}
     names = list(xs)
-    if _small(df):
+    cells = df.select(*[xs[n].alias(f"x{i}") for i, n in enumerate(names)])
+    if _small(cells):
         arr = F.array(*[F.lit(float(p)) for p in ps])
-        row = df.agg(*[F.percentile(xs[n], arr).alias(f"q{i}") for i, n in enumerate(names)]).first()
+        row = cells.agg(*[F.percentile(F.col(f"x{i}"), arr).alias(f"q{i}") for i in range(len(names))]).first()
         return {n: list(row[i]) if row[i] is not None else [None] * len(ps) for i, n in enumerate(names)}
-    return _refined_quantiles(df.select(*[xs[n].alias(f"x{i}") for i, n in enumerate(names)]), names, ps)
+    return _refined_quantiles(cells, names, ps)
 
 
 def _cell(v: Column, iv: dict) -> Column:
@@ -113,16 +121,23 @@ def _refined_quantiles(df: DataFrame, names: list[str], ps: Sequence[float]) ->
                 open_ivs.append(iv)
         if not open_ivs:
             break
-        per_col: dict[int, Column] = {}
+        # per column: which open interval holds the value, and in which cell of it
+        hits: dict[int, list[tuple[int, dict]]] = {}
         for k, iv in enumerate(open_ivs):
-            v = xs[iv["col"]]
-            hit = F.struct(F.lit(k).alias("iv"), _cell(v, iv).alias("cell"), v.alias("v"))
-            cond = v.between(iv["lo"], iv["hi"])
-            prev = per_col.get(iv["col"])
-            per_col[iv["col"]] = F.when(cond, hit) if prev is None else prev.when(cond, hit)
-        long = df.select(F.explode(F.array(*per_col.values())).alias("h")).where("h is not null")
-        rows = (long.groupBy("h.iv", "h.cell")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("h.v").alias("lo"), F.max("h.v").alias("hi"))
+            hits.setdefault(iv["col"], []).append((k, iv))
+        any_hit, triples = F.lit(False), []
+        for i, ivs in hits.items():
+            which = cell = None
+            for k, iv in ivs:
+                cond = xs[i].between(iv["lo"], iv["hi"])
+                any_hit = any_hit | cond
+                which = F.when(cond, F.lit(k)) if which is None else which.when(cond, F.lit(k))
+                cell = F.when(cond, _cell(xs[i], iv)) if cell is None else cell.when(cond, _cell(xs[i], iv))
+            triples += [which, cell, xs[i]]
+        long = (df.where(any_hit).select(F.stack(F.lit(len(hits)), *triples).alias("iv", "cell", "v"))
+                .where("iv is not null"))
+        rows = (long.groupBy("iv", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                               F.max("v").alias("hi"))
                 .collect())  # at most CELLS rows per open interval
         by_iv: dict[int, list] = {}
         for r in rows:

@@ -20,11 +20,15 @@ PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def rnd(x, digits: int = 4):
-    return None if x is None or (isinstance(x, float) and not math.isfinite(x)) else round(float(x), digits)
+    """Round half away from zero, as SQL does; non-finite values become NULL."""
+    if x is None or (isinstance(x, float) and not math.isfinite(x)):
+        return None
+    unit = 10 ** digits
+    return math.copysign(math.floor(abs(float(x)) * unit + 0.5) / unit, x)
 
 
 def pct(part, whole, digits: int = 2) -> float:
-    return round(part / max(whole, 1) * 100, digits)
+    return rnd(part / max(whole, 1) * 100, digits)
 
 
 def _records(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:

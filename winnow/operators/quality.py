@@ -92,11 +92,9 @@ def dup_column_pairs(df: DataFrame) -> list[tuple[str, str]]:
     """Pairs of same-typed columns with equal cells in every row.
 
     Checksums rule out almost all pairs; only equal ones are compared cell by cell."""
-    cols = flat_cols(df)
-    types = dict(df.dtypes)
-    sums = stats_row(df, {n: F.struct(F.bit_xor(F.xxhash64(c(n))), F.count(c(n)),
-                                      F.sum(F.pmod(F.xxhash64(c(n)), F.lit(1 << 20)))) for n in cols})
-    maybe = [(a, b) for a, b in pairs(cols) if types[a] == types[b] and sums[a] == sums[b]]
+    todo = _same_type_pairs(df)
+    sums = stats_row(df, {n: _checksum(n) for n in {x for p in todo for x in p}}) if todo else {}
+    maybe = [(a, b) for a, b in todo if sums[a] == sums[b]]
     same = stats_row(df, {p: F.bool_and(c(p[0]).eqNullSafe(c(p[1]))) for p in maybe}) if maybe else {}
     return [p for p in maybe if same[p]]
 
@@ -272,100 +270,112 @@ def grade(score: float) -> str:
     return "F"
 
 
-def completeness(df: DataFrame) -> dict:
-    cols = flat_cols(df)
-    got = stats_row(df, {"n": F.count(F.lit(1)), **{n: count_if(is_missing(df, n, False)) for n in cols}})
-    cells = sum(got[n] for n in cols)
-    share = pct(cells, got["n"] * len(cols))
-    return {"score": clamp(100.0 - share * 1.5), "rows": got["n"], "missing_cells": cells, "missing_pct": share,
-            "first": next((n for n in cols if got[n]), None)}
+def _checksum(n: str):
+    h = F.xxhash64(c(n))
+    return F.struct(F.bit_xor(h), F.count(c(n)), F.sum(F.pmod(h, F.lit(1 << 20))))
 
 
-def uniqueness(df: DataFrame, rows: int) -> dict:
-    dup = duplicate_count(df)
-    share, same = pct(dup, rows), dup_column_pairs(df)
-    return {"score": clamp(100.0 - share * 2.0 - len(same) * 10.0), "duplicate_rows": dup, "duplicate_pct": share,
-            "duplicate_columns": len(same)}
+def _same_type_pairs(df: DataFrame) -> list[tuple[str, str]]:
+    types = dict(df.dtypes)
+    return [(a, b) for a, b in pairs(flat_cols(df)) if types[a] == types[b]]
 
 
-def accuracy(df: DataFrame, rows: int) -> dict:
-    nums = numeric_cols(df)
-    aggs = {}
-    fs = {n: f for n, f in fences(df, nums, fallback=False).items() if f.iqr > 0}
+def quality_metrics(df: DataFrame) -> dict:
+    """All six dimensions.  One aggregate answers everything that needs no fence; a second counts
+    outliers and compares columns whose checksums agree; duplicates, spellings and date gaps
+    are one job each."""
+    cols, nums, texts = flat_cols(df), numeric_cols(df), text_cols(df)
+    named = [n for n in texts if name_has(n, QUALITY_DATE_WORDS)]
+    aggs: dict = {"n": F.count(F.lit(1))}
+    for n in cols:
+        aggs[("miss", n)] = count_if(is_missing(df, n, False))
+    for n in {x for p in _same_type_pairs(df) for x in p}:
+        aggs[("sum", n)] = _checksum(n)
     for n in nums:
         x = num(df, n)
         aggs[("k", n)] = F.count(x)
-        if n in fs:
-            aggs[("o", n)] = count_if((x < fs[n].lower) | (x > fs[n].upper))
         if name_has(n, POSITIVE_WORDS):
             aggs[("neg", n)] = count_if(x < 0)
         if name_has(n, PERCENT_WORDS):
-            aggs[("pct", n)] = count_if(x > 100)
-    got = stats_row(df, aggs) if aggs else {}
-    total = sum(got[("o", n)] for n in fs if got[("k", n)] > 4)
-    suspicious = [k for k in got if k[0] in ("neg", "pct") and got[k]]
-    share = pct(total, len(nums) * rows) if nums else 0.0
-    return {"score": clamp(100.0 - min(40.0, share * 1.5) - min(40.0, len(suspicious) * 8.0)),
-            "outliers": total, "outlier_pct": share, "suspicious": len(suspicious)}
-
-
-def consistency(df: DataFrame) -> dict:
-    texts = text_cols(df)
-    aggs = {}
+            aggs[("over", n)] = count_if(x > 100)
     for n in texts:
-        aggs[("k", n)] = F.count(c(n))
-        aggs[("num", n)] = F.count(parse_number(strip(F.regexp_replace(c(n), r"[\$,%]", ""))))
-        aggs[("ws", n)] = count_if(c(n) != strip(c(n)))
-    got = stats_row(df, aggs) if aggs else {}
+        x = c(n)
+        aggs.update({
+            ("k", n): F.count(x), ("at", n): count_if(x.contains("@")), ("mail", n): count_if(~x.rlike(EMAIL_QUALITY)),
+            ("num", n): F.count(parse_number(strip(F.regexp_replace(x, r"[\$,%]", "")))),
+            ("ws", n): count_if(x != strip(x))})
+        if name_has(n, PHONE_WORDS):
+            digits = F.regexp_replace(x, r"[\s().-]", "")
+            aggs[("phone", n)] = count_if(~digits.rlike(r"^[0-9]+$"))
+    for n in [x for x in df.columns if is_date(df, x)] + named:
+        ts = as_date(df, n)
+        aggs.update({("dated", n): F.count(ts), ("lo", n): F.date_format(F.min(ts), "yyyy-MM-dd"),
+                     ("hi", n): F.date_format(F.max(ts), "yyyy-MM-dd")})
+    got = stats_row(df, aggs)
+    rows = got["n"]
+    if not rows:
+        zero = {k: {"score": 0.0} for k, _ in WEIGHTS}
+        return {**zero, "overall": {"score": 0.0, "grade": "F"}}
+
+    fs = {n: f for n, f in fences(df, nums, fallback=False).items() if f.iqr > 0 and got[("k", n)] > 4}
+    maybe = [(a, b) for a, b in _same_type_pairs(df) if got[("sum", a)] == got[("sum", b)]]
+    second = {n: count_if((num(df, n) < f.lower) | (num(df, n) > f.upper)) for n, f in fs.items()}
+    second.update({p: F.bool_and(c(p[0]).eqNullSafe(c(p[1]))) for p in maybe})
+    more = stats_row(df, second) if second else {}
+
+    cells = sum(got[("miss", n)] for n in cols)
+    miss_pct = pct(cells, rows * len(cols))
+    dup = duplicate_count(df)
+    dup_pct, same = pct(dup, rows), sum(more[p] for p in maybe)
+    out = sum(more[n] for n in fs)
+    out_pct = pct(out, len(nums) * rows) if nums else 0.0
+    suspicious = sum(1 for k in got if k[0] in ("neg", "over") and got[k])
     bad_types = sum(1 for n in texts if got[("k", n)] and got[("num", n)] > 0.8 * got[("k", n)])
-    cats = category_variants(df, texts).select("column").distinct().collect() if texts else []  # one row per column
+    cats = category_variants(df, texts).select("column").distinct().count() if texts else 0
     spaces = sum(1 for n in texts if got[("ws", n)])
-    return {"score": clamp(100.0 - bad_types * 10.0 - len(cats) * 10.0 - spaces * 5.0), "type_mismatches": bad_types,
-            "inconsistent_categories": len(cats), "format_issues": spaces}
-
-
-def validity(df: DataFrame, rule_failures: int) -> dict:
-    texts = text_cols(df)
-    aggs = {}
-    for n in texts:
-        x = c(n)
-        aggs.update({("k", n): F.count(x), ("at", n): count_if(x.contains("@")),
-                     ("mail", n): count_if(~x.rlike(EMAIL_QUALITY)),
-                     ("phone", n): count_if(~F.regexp_replace(x, r"[\s().-]", "").rlike(r"^[0-9]+$"))})
-    got = stats_row(df, aggs) if aggs else {}
     mails = phones = 0
     for n in texts:
-        if name_has(n, EMAIL_WORDS) or got[("at", n)] > 0.5 * got[("k", n)]:
+        if name_has(n, EMAIL_WORDS) or (got[("k", n)] and got[("at", n)] > 0.5 * got[("k", n)]):
             mails += got[("mail", n)]
-        elif name_has(n, PHONE_WORDS):
+        elif ("phone", n) in got:
             phones += got[("phone", n)]
-    penalty = min(50.0, mails * 3.0) + min(30.0, phones * 3.0) + min(20.0, rule_failures * 5.0)
-    return {"score": clamp(100.0 - penalty), "invalid_emails": mails, "invalid_phones": phones,
-            "rule_failures": rule_failures}
+    penalty = min(50.0, mails * 3.0) + min(30.0, phones * 3.0) + min(20.0, suspicious * 5.0)
+    dates = [n for n in df.columns if is_date(df, n) or (n in named and got[("dated", n)] > 0.6 * rows)]
+    gaps = bool(dates) and not date_gaps(df, dates[0]).isEmpty()
+
+    m = {
+        "completeness": {"score": clamp(100.0 - miss_pct * 1.5), "rows": rows, "missing_cells": cells,
+                         "missing_pct": miss_pct},
+        "uniqueness": {"score": clamp(100.0 - dup_pct * 2.0 - same * 10.0), "duplicate_rows": dup,
+                       "duplicate_pct": dup_pct, "duplicate_columns": same},
+        "accuracy": {"score": clamp(100.0 - min(40.0, out_pct * 1.5) - min(40.0, suspicious * 8.0)),
+                     "outliers": out, "outlier_pct": out_pct, "suspicious": suspicious},
+        "consistency": {"score": clamp(100.0 - bad_types * 10.0 - cats * 10.0 - spaces * 5.0),
+                        "type_mismatches": bad_types, "inconsistent_categories": cats, "format_issues": spaces},
+        "validity": {"score": clamp(100.0 - penalty), "invalid_emails": mails, "invalid_phones": phones,
+                     "rule_failures": suspicious},
+        "timeliness": {"score": 85.0 if gaps else 100.0, "date_columns": len(dates),
+                       "oldest": got[("lo", dates[0])] if dates else None,
+                       "newest": got[("hi", dates[0])] if dates else None, "gaps": gaps},
+    }
+    overall = round(max(0.0, min(100.0, sum(m[k]["score"] * w for k, w in WEIGHTS))), 1)
+    m["overall"] = {"score": overall, "grade": grade(overall)}
+    return m
 
 
-def timeliness(df: DataFrame, rows: int) -> dict:
-    named = [n for n in text_cols(df) if name_has(n, QUALITY_DATE_WORDS)]
-    got = stats_row(df, {n: F.count(parse_date(c(n))) for n in named}) if named else {}
-    cols = [n for n in df.columns if is_date(df, n) or (n in named and got[n] > 0.6 * rows)]
-    if not cols:
-        return {"score": 100.0, "date_columns": 0, "oldest": None, "newest": None, "gaps": False}
-    ts = as_date(df, cols[0])
-    ends = stats_row(df, {"lo": F.date_format(F.min(ts), "yyyy-MM-dd"), "hi": F.date_format(F.max(ts), "yyyy-MM-dd")})
-    gaps = not date_gaps(df, cols[0]).isEmpty()
-    return {"score": 85.0 if gaps else 100.0, "date_columns": len(cols), "oldest": ends["lo"], "newest": ends["hi"],
-            "gaps": gaps}
+DIMENSION_SCHEMAS = {
+    "completeness": "score double, rows bigint, missing_cells bigint, missing_pct double",
+    "uniqueness": "score double, duplicate_rows bigint, duplicate_pct double, duplicate_columns int",
+    "accuracy": "score double, outliers bigint, outlier_pct double, suspicious int",
+    "consistency": "score double, type_mismatches int, inconsistent_categories int, format_issues int",
+    "validity": "score double, invalid_emails bigint, invalid_phones bigint, rule_failures int",
+    "timeliness": "score double, date_columns int, oldest string, newest string, gaps boolean",
+}
 
 
-def quality_metrics(df: DataFrame) -> dict:
-    comp = completeness(df)
-    acc = accuracy(df, comp["rows"])
-    m = {"completeness": comp, "uniqueness": uniqueness(df, comp["rows"]), "accuracy": acc,
-         "consistency": consistency(df), "validity": validity(df, acc["suspicious"]),
-         "timeliness": timeliness(df, comp["rows"])}
-    overall = max(0.0, min(100.0, sum(m[k]["score"] * w for k, w in WEIGHTS))) if comp["rows"] else 0.0
-    m["overall"] = {"score": round(overall, 1), "grade": grade(round(overall, 1))}
-    return m
+def dimension(df: DataFrame, name: str) -> DataFrame:
+    """One quality dimension with the counts behind its score."""
+    return rows_to_df(df.sparkSession, [tuple(quality_metrics(df)[name].values())], DIMENSION_SCHEMAS[name])
 
 
 def quality_report(df: DataFrame) -> DataFrame:

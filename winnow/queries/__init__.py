@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources",)
+MODULES = ("sources", "columns", "rules", "compare", "clean", "encode", "reshape")
 
 
 def load():
