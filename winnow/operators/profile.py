@@ -354,7 +354,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     rs = correlations(df, cols)
     rows = []
     for (a, b), r in rs.items():
-        r = 0.0 if r is None else round(r, 3)
+        r = 0.0 if r is None else rnd(r, 3)
         note = ("Nearly identical" if abs(r) > 0.95 else "Highly correlated") if abs(r) > 0.85 else None
         rows.append((a, b, r, note))
     return _records(df, rows, "col1 string, col2 string, correlation double, note string")
@@ -365,7 +365,7 @@ def corr_top_pairs(df: DataFrame, columns: Sequence[str] | None = None, k: int =
     cols = list(columns or numeric_cols(df))
     rs = {p: r for p, r in correlations(df, cols, complete=True).items() if r is not None}
     top = sorted(rs.items(), key=lambda t: -abs(t[1]))[:k]
-    return _records(df, [(a, b, round(r, 3), abs(r) > 0.85) for (a, b), r in top],
+    return _records(df, [(a, b, rnd(r, 3), abs(r) > 0.85) for (a, b), r in top],
                     "col1 string, col2 string, correlation double, collinear boolean")
 
 
@@ -374,7 +374,7 @@ def corr_strength(df: DataFrame, columns: Sequence[str] | None = None, k: int =
     cols = list(columns or numeric_cols(df))
     rows = []
     for (a, b), r in correlations(df, cols).items():
-        r = round(r, 3) if r is not None else 0.0
+        r = rnd(r, 3) if r is not None else 0.0
         if abs(r) > 0.5:
             s = "very_strong" if abs(r) > 0.9 else "strong" if abs(r) > 0.7 else "moderate"
             rows.append((a, b, r, s, "positive" if r > 0 else "negative"))
@@ -394,9 +394,9 @@ def vif(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             m[i, j] = m[j, i] = rs[(a, cols[j])] or 0.0
     diag = np.diag(np.linalg.pinv(m, hermitian=True))
     rows = []
-    for n, d in zip(cols, diag):
+    for n, d in zip(cols, map(float, diag)):
         r2 = max(0.0, 1 - 1 / d) if d > 0 else 1.0
-        rows.append((n, 999.9 if r2 >= 0.999 else round(1.0 / (1.0 - r2), 2)))
+        rows.append((n, 999.9 if r2 >= 0.999 else rnd(1.0 / (1.0 - r2), 2)))
     return _records(df, rows, "column string, vif double")
 
 

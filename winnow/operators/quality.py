@@ -18,11 +18,11 @@ from ..functions.text import is_lower, is_title, is_upper, title_case
 from .clean import duplicate_count, fences
 from .columns import constant_column_names
 from .ordered import date_gaps
-from .profile import detect_types, numeric_like, outlier_counts, pct
+from .profile import detect_types, numeric_like, outlier_counts, pct, rnd
 
 
 def clamp(x: float, digits: int = 2) -> float:
-    return max(0.0, min(100.0, round(x, digits)))
+    return max(0.0, min(100.0, rnd(x, digits)))
 
 
 # ---------------------------------------------------------------- single checks
@@ -358,7 +358,7 @@ def quality_metrics(df: DataFrame) -> dict:
                        "oldest": got[("lo", dates[0])] if dates else None,
                        "newest": got[("hi", dates[0])] if dates else None, "gaps": gaps},
     }
-    overall = round(max(0.0, min(100.0, sum(m[k]["score"] * w for k, w in WEIGHTS))), 1)
+    overall = clamp(sum(m[k]["score"] * w for k, w in WEIGHTS), 1)
     m["overall"] = {"score": overall, "grade": grade(overall)}
     return m
 
