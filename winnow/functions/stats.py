@@ -249,8 +249,11 @@ def pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def safe_corr(x: Column, y: Column) -> Column:
-    r = F.corr(x, y)
-    return F.when(~F.isnan(r), r)
+    """Pearson correlation over rows that have both values; NULL where one side is constant
+    (the built-in divides by zero there)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def correlations(df: DataFrame, cols: Sequence[str], complete: bool = False) -> dict[tuple[str, str], float | None]:

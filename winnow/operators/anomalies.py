@@ -228,9 +228,10 @@ def copy_paste(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     long = df.select(*[F.when(F.length(c(n)) > 40, c(n)).alias(n) for n in cols])
     best = (value_counts(long, cols, digest=True).where("n >= 5").groupBy("column")
             .agg(F.max(F.struct("n", "value")).alias("b")))
-    rows = [("text_copy_paste_anomaly", "info", r["column"], r["b"]["n"], r["b"]["value"])
-            for r in best.collect()]  # one row per column
-    return findings(df, rows)
+    top = {r["column"]: r["b"] for r in best.collect()}  # one row per column
+    shown = stats_row(long, {n: F.min(F.when(F.md5(c(n)) == b["value"], F.substring(c(n), 1, 60)))
+                             for n, b in top.items()}) if top else {}
+    return findings(df, [("text_copy_paste_anomaly", "info", n, top[n]["n"], shown[n]) for n in cols if n in top])
 
 
 def mixed_scripts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.core import (c, count_if, date_cols, flat_cols, is_bool, is_dat
                               is_numeric, is_text, num, numeric_cols, present, sentinel, strip, text_cols)
 from ..functions.dates import as_date, parse_date
 from ..functions.stats import (column_modes, correlations, distinct_counts, exact_quantiles, pairs, rows_to_df,
-                               sample_kurtosis, sample_skew, stats_row)
+                               safe_corr, sample_kurtosis, sample_skew, stats_row)
 from .clean import Fence, duplicate_count, fences, is_outlier
 from .ordered import date_gaps
 
@@ -59,7 +59,7 @@ def missing_pattern(df: DataFrame) -> DataFrame:
     cols = flat_cols(df)
     ind = {n: is_missing(df, n, False).cast("double") for n in cols}
     got = stats_row(df, {"miss": F.sum(sum((ind[n] for n in cols[1:]), ind[cols[0]])),
-                         **{(a, b): F.corr(ind[a], ind[b]) for a, b in pairs(cols)}})
+                         **{(a, b): safe_corr(ind[a], ind[b]) for a, b in pairs(cols)}})
     rs = [abs(got[p]) for p in pairs(cols) if got[p] is not None and math.isfinite(got[p])]
     top = max(rs, default=0.0) if got["miss"] else 0.0
     label = "MAR" if top > 0.5 else ("Possible MNAR" if top > 0.2 else "MCAR")

@@ -112,11 +112,12 @@ def an_text_length(spark, sf):
     return an.extreme_length(table(spark, sf, "documents").select("text", "lang"))
 
 
-@query("an_copy_paste", """SELECT 'text_copy_paste_anomaly' AS type, 'info' AS severity, 'label' AS "column", max(n) AS count
-FROM (SELECT concat(p_name, ' / ', p_brand, ' / ', p_type, ' / a long standing label') AS label, count(*) AS n FROM part GROUP BY 1) WHERE n >= 5""")
+@query("an_copy_paste", """SELECT 'text_copy_paste_anomaly' AS type, 'info' AS severity, 'label' AS "column", n AS count, left(label, 60) AS example
+FROM (SELECT concat(p_brand, ' / ', p_type, ' / a label long enough to be copied') AS label, count(*) AS n FROM part GROUP BY 1)
+WHERE n >= 5 ORDER BY n DESC, md5(label) DESC LIMIT 1""")
 def an_copy_paste(spark, sf):
-    d = table(spark, sf, "part").select(F.concat("p_name", F.lit(" / "), "p_brand", F.lit(" / "), "p_type", F.lit(" / a long standing label")).alias("label"))
-    return an.copy_paste(d).drop("example")
+    d = table(spark, sf, "part").select(F.concat("p_brand", F.lit(" / "), "p_type", F.lit(" / a label long enough to be copied")).alias("label"))
+    return an.copy_paste(d)
 
 
 @query("an_mixed_scripts", """SELECT * FROM (SELECT 'text_mixed_scripts' AS type, 'info' AS severity, 'text' AS "column",
