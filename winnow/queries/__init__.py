@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "columns", "rules", "compare", "clean", "encode", "reshape", "profile", "quality", "anomalies", "streams", "models")
+MODULES = ("sources", "columns", "rules", "compare", "clean", "encode", "reshape", "profile", "quality", "anomalies", "streams", "models", "ml")
 
 
 def load():
