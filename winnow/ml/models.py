@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import c
 from ..functions.stats import rows_to_df
+from ..session import cut_lineage
 from . import metrics as M
 from .features import Prepared, labelled, prepare, split
 
@@ -82,12 +84,38 @@ def _feed(p: Prepared, df: DataFrame, key: str) -> DataFrame:
     return with_signs(d) if p.task == "classification" else d
 
 
+def fit_input(df: DataFrame, key: str, target: str, task: str | None = None, frac: float = 0.2):
+    """(preparation, train, test): prepared once and materialised, so that iterative fits read
+    features and not the source.  The split is by key hash, stratified for classes."""
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        p = prepare(src, target, task, skip=[key])
+        feed = _feed(p, src, key)
+        by = "label" if p.task == "classification" else None
+        feed = cut_lineage(feed)
+        _, test = split(feed.select("key", "label"), "key", frac, by=by)
+        keys = test.select("key").withColumn("_test", F.lit(True))
+        feed = cut_lineage(feed.join(keys, "key", "left"))
+    finally:
+        src.unpersist()
+    return p, feed.where("_test is null").drop("_test"), feed.where("_test").drop("_test")
+
+
+def whole_input(df: DataFrame, key: str, target: str, task: str | None = None):
+    """(preparation, all rows): prepared and materialised without a split."""
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        p = prepare(src, target, task, skip=[key])
+        return p, cut_lineage(_feed(p, src, key))
+    finally:
+        src.unpersist()
+
+
 def train(df: DataFrame, key: str, target: str, name: str, task: str | None = None, frac: float = 0.2):
-    """(model, preparation, scored test rows): one algorithm on a hash split, stratified for classes."""
-    p = prepare(df, target, task, skip=[key])
-    a, b = split(df, key, frac, by=target if p.task == "classification" else None)
-    model = build(name, p.task, p).fit(_feed(p, a, key))
-    return model, p, model.transform(_feed(p, b, key))
+    """(model, preparation, scored test rows) of one algorithm."""
+    p, a, b = fit_input(df, key, target, task, frac)
+    model = build(name, p.task, p).fit(a)
+    return model, p, cut_lineage(model.transform(b))
 
 
 def test_metrics(scored: DataFrame, p: Prepared) -> dict:
@@ -129,12 +157,8 @@ def mean_std(xs: Sequence[float]) -> tuple[float, float]:
 
 def cross_validate(df: DataFrame, key: str, target: str, name: str, task: str | None = None, folds: int = 5) -> DataFrame:
     """(fold, score) with the mean and spread in every row."""
-    p = prepare(df, target, task, skip=[key])
-    data = _feed(p, df, key).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        xs = cross_scores(build(name, p.task, p), data, p.task, folds)
-    finally:
-        data.unpersist()
+    p, data = whole_input(df, key, target, task)
+    xs = cross_scores(build(name, p.task, p), data, p.task, folds)
     m, s = mean_std(xs)
     return rows_to_df(df.sparkSession, [(i, x, m, s, s < 0.1) for i, x in enumerate(xs)],
                       "fold int, score double, mean double, std double, stable boolean")
@@ -149,27 +173,17 @@ def leaderboard(df: DataFrame, key: str, target: str, task: str | None = None, a
     """Every algorithm with cross-validated, test and training score, best test score first.
 
     The prepared features are persisted once and shared by all fits."""
-    import json
-
-    p = prepare(df, target, task, skip=[key])
-    a, b = split(df, key, by=target if p.task == "classification" else None)
-    a = _feed(p, a, key).persist(StorageLevel.MEMORY_AND_DISK)
-    b = _feed(p, b, key).persist(StorageLevel.MEMORY_AND_DISK)
+    p, a, b = fit_input(df, key, target, task)
     ev, rows = score_of(p.task), []
-    try:
-        for name in choose(p.task, algorithms):
-            est = build(name, p.task, p)
-            cv, sd = mean_std(cross_scores(est, a, p.task, folds)) if folds >= 2 else (None, None)
-            model = est.fit(a)
-            scored = model.transform(b)
-            m = test_metrics(scored, p)
-            test = m["f1"] if p.task == "classification" else m["r2"]
-            tr = ev.evaluate(model.transform(a))
-            rows.append((name, test, cv, sd, tr, M.fit_class(tr, test, p.task), M.gap_level(tr, test),
-                         json.dumps({k: None if v is None else round(v, 4) for k, v in m.items()})))
-    finally:
-        a.unpersist()
-        b.unpersist()
+    for name in choose(p.task, algorithms):
+        est = build(name, p.task, p)
+        cv, sd = mean_std(cross_scores(est, a, p.task, folds)) if folds >= 2 else (None, None)
+        model = est.fit(a)
+        m = test_metrics(cut_lineage(model.transform(b)), p)
+        test = m["f1"] if p.task == "classification" else m["r2"]
+        tr = ev.evaluate(model.transform(a))
+        rows.append((name, test, cv, sd, tr, M.fit_class(tr, test, p.task), M.gap_level(tr, test),
+                     json.dumps({k: None if v is None else round(v, 4) for k, v in m.items()})))
     rows.sort(key=lambda r: -r[1])
     return rows_to_df(df.sparkSession, [(i, *r) for i, r in enumerate(rows, 1)], LEADER_SCHEMA)
 
@@ -186,22 +200,16 @@ def compare_models(df: DataFrame, key: str, target: str, task: str | None = None
 def learning_curve(df: DataFrame, key: str, target: str, name: str, task: str | None = None,
                    shares: Sequence[float] = (0.1, 0.2, 0.4, 0.6, 0.8, 1.0)) -> DataFrame:
     """Training and test score for growing hash shares of the training rows."""
-    p = prepare(df, target, task, skip=[key])
-    a, b = split(df, key, by=target if p.task == "classification" else None)
-    a = _feed(p, a, key).withColumn("_u", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1000))).persist(StorageLevel.MEMORY_AND_DISK)
-    b = _feed(p, b, key).persist(StorageLevel.MEMORY_AND_DISK)
+    p, a, b = fit_input(df, key, target, task)
+    a = a.withColumn("_u", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1000)))
     ev, rows = score_of(p.task), []
-    try:
-        for s in shares:
-            part = a.where(F.col("_u") < int(s * 1000))
-            n = part.count()
-            if n < 2 or (p.task == "classification" and part.select("label").distinct().count() < len(p.labels)):
-                continue
-            model = build(name, p.task, p).fit(part)
-            rows.append((s, n, ev.evaluate(model.transform(part)), ev.evaluate(model.transform(b))))
-    finally:
-        a.unpersist()
-        b.unpersist()
+    for s in shares:
+        part = a.where(F.col("_u") < int(s * 1000))
+        n = part.count()
+        if n < 2 or (p.task == "classification" and part.select("label").distinct().count() < len(p.labels)):
+            continue
+        model = build(name, p.task, p).fit(part)
+        rows.append((s, n, ev.evaluate(model.transform(part)), ev.evaluate(model.transform(b))))
     return rows_to_df(df.sparkSession, rows, "share double, rows bigint, train_score double, test_score double")
 
 
@@ -210,11 +218,11 @@ def tune(df: DataFrame, key: str, target: str, name: str, task: str | None = Non
     """Random search over the usual ranges of a forest, boosted trees or a penalised linear model."""
     import random
 
-    p = prepare(df, target, task, skip=[key])
+    p, data = whole_input(df, key, target, task)
     est = build(name, p.task, p)
     base = est.getClassifier() if isinstance(est, C.OneVsRest) else est
     rng = random.Random(SEED)
-    data = _feed(p, df, key).withColumn("_fold", fold_of("key", folds)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.withColumn("_fold", fold_of("key", folds))
 
     def draw():
         if base.hasParam("numTrees"):
@@ -227,14 +235,11 @@ def tune(df: DataFrame, key: str, target: str, name: str, task: str | None = Non
 
     draws = [draw() for _ in range(trials)]
     grid = [{base.getParam(k): v for k, v in d.items()} for d in [{}] + draws]
-    try:
-        cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=score_of(p.task),
-                            numFolds=folds, foldCol="_fold", parallelism=parallelism).fit(data)
-    finally:
-        data.unpersist()
-    default = cv.avgMetrics[0]
-    rows = [(i, str(d), float(x), i == max(range(len(cv.avgMetrics)), key=lambda j: cv.avgMetrics[j]),
-             round(max(0.0, (x - default) * 100), 2)) for i, (d, x) in enumerate(zip([{}] + draws, cv.avgMetrics))]
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=score_of(p.task), numFolds=folds,
+                        foldCol="_fold", parallelism=parallelism).fit(data)
+    scores = [float(x) for x in cv.avgMetrics]
+    rows = [(i, str(d), x, x == max(scores), round(max(0.0, (x - scores[0]) * 100), 2))
+            for i, (d, x) in enumerate(zip([{}] + draws, scores))]
     return rows_to_df(df.sparkSession, rows, "trial int, params string, score double, is_best boolean, gain double")
 
 
@@ -278,7 +283,7 @@ def permutation_importance(df: DataFrame, key: str, target: str, name: str, task
         base = ev.evaluate(model.transform(_again(rows, p)))
         loss = []
         for i, f in enumerate(p.features):
-            mixed = F.transform("_x", lambda v, j, i=i: F.when(j == i, F.get("_o", F.lit(i))).otherwise(v))
+            mixed = F.transform("_x", _exchange(i))
             d = r.select("label", array_to_vector(mixed).alias("features"))
             loss.append((f, max(0.0, base - ev.evaluate(model.transform(_again(d, p))))))
     finally:
@@ -289,6 +294,10 @@ def permutation_importance(df: DataFrame, key: str, target: str, name: str, task
                       "rank int, feature string, importance double")
 
 
+def _exchange(i: int):
+    return lambda v, j: F.when(j == i, F.get("_o", F.lit(i))).otherwise(v)
+
+
 def _again(df: DataFrame, p: Prepared) -> DataFrame:
     d = df.select("features", "label")
     return with_signs(d) if p.task == "classification" else d

@@ -213,6 +213,31 @@ def map_categories(spark, sf):
     return op.map_categories(dirty_customer(spark, sf), "segment", m).select("c_custkey", "segment")
 
 
+_TYPO = "CASE WHEN p_partkey % 7 = 0 THEN replace(p_name, 'i', 'ii') WHEN p_partkey % 11 = 0 THEN concat(upper(p_name), 's') ELSE p_name END"
+_FZ = f"""nm AS (SELECT lower(trim({_TYPO})) AS t, min(trim({_TYPO})) AS raw FROM part GROUP BY 1),
+pr AS (SELECT a.t, a.raw, b.t AS o, b.raw AS o_raw FROM nm a, nm b WHERE a.t <> b.t AND 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) >= 0.82 - 1e-9)"""
+
+
+@query("fuzzy_categories", sql(f"""
+SELECT min(raw) AS value, {sq_title("arg_min(x, [lpad(CAST(1000 - length(x) AS VARCHAR), 5, '0'), x])")} AS canonical, count(DISTINCT o) AS partners
+FROM (SELECT t, raw, o, o_raw AS x FROM pr UNION ALL SELECT t, raw, o, raw FROM pr) GROUP BY t""", _FZ))
+def fuzzy_categories(spark, sf):
+    from ..operators.fuzzy import fuzzy_categories as fuzzy
+
+    return fuzzy(table(spark, sf, "part").select(F.expr(_TYPO).alias("name")), "name")
+
+
+@query("fuzzy_apply", sql(f"""
+SELECT p_partkey, coalesce(k.canonical, {_TYPO}) AS name FROM part LEFT JOIN (
+ SELECT t, {sq_title("arg_min(x, [lpad(CAST(1000 - length(x) AS VARCHAR), 5, '0'), x])")} AS canonical FROM
+  (SELECT t, o_raw AS x FROM pr UNION ALL SELECT t, raw FROM pr) GROUP BY t) k ON k.t = lower(trim({_TYPO}))""", _FZ))
+def fuzzy_apply(spark, sf):
+    from ..operators import fuzzy
+
+    d = table(spark, sf, "part").select("p_partkey", F.expr(_TYPO).alias("name"))
+    return fuzzy.apply_categories(d, "name", fuzzy.fuzzy_categories(d, "name"))
+
+
 # ---------------------------------------------------------------- dates
 
 @query("convert_dates", sql(f"SELECT o_orderkey, coalesce(strftime({sq_date('date_text')}, '%Y-%m-%d'), date_text) AS date_text FROM dt", DT))

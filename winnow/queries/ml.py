@@ -29,14 +29,14 @@ def _parts(spark, sf):
 
 # ---------------------------------------------------------------- targets and suggestions
 
-@query("detect_target", """SELECT 'o_orderstatus' AS target, 'classification' AS task, 55 AS confidence""")
+@query("detect_target", """SELECT 'o_custkey' AS target, 'regression' AS task, 65 AS confidence""")
 def detect_target(spark, sf):
     return ft.detect_target(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"))
 
 
-@query("suggest_targets", "SELECT * FROM (VALUES ('o_orderstatus', 'classification', 'high'), ('o_totalprice', 'regression', 'high'), "
-                          "('o_orderpriority', 'classification', 'low'), ('o_orderkey', 'regression', 'low'), ('o_custkey', 'regression', 'low')) "
-                          "t(target, task, confidence)")
+@query("suggest_targets", "SELECT * FROM (VALUES ('o_orderkey', 'regression', 'high'), ('o_custkey', 'regression', 'high'), "
+                          "('o_orderstatus', 'classification', 'high'), ('o_totalprice', 'regression', 'high'), "
+                          "('o_orderpriority', 'classification', 'high')) t(target, task, confidence)")
 def suggest_targets(spark, sf):
     return ft.suggest_targets(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
 
@@ -47,19 +47,19 @@ def task_type(spark, sf):
     return rows_to_df(spark, [(n, ft.task_of(d, n)) for n in ("o_orderstatus", "o_totalprice", "o_custkey")], "column string, task string")
 
 
-@query("suggest_features", "SELECT * FROM (VALUES ('date_decomposition', 'o_orderdate', 'extract_date_features', NULL), "
-                           "('text_features', 'label', 'create_text_metrics', NULL), ('categorical_encoding', 'label', 'encode_frequency', NULL)) "
+@query("suggest_features", "SELECT * FROM (VALUES ('date_decomposition', 'o_orderdate', 'extract_date_features', CAST(NULL AS VARCHAR)), "
+                           "('text_features', 'label', 'create_text_metrics', CAST(NULL AS VARCHAR))) "
                            "t(type, \"column\", action, other)")
 def suggest_features(spark, sf):
     return ft.suggest_features(table(spark, sf, "orders").selectExpr("o_orderstatus", "o_orderdate", "o_totalprice",
                                                                      "concat('Order number ', o_orderkey) AS label"))
 
 
-@query("auto_engineer", """SELECT o_orderkey, length('Order ' || o_orderkey || ' of customer ' || o_custkey) AS label_char_length,
- 5 AS label_word_count, round(1.0 / count(*) OVER (), 8) AS label_freq, year(o_orderdate) AS o_orderdate_year,
+@query("auto_engineer", """SELECT o_orderkey, length('Order of customer ' || o_custkey) AS label_char_length,
+ 4 AS label_word_count, round(count(*) OVER (PARTITION BY o_custkey) / count(*) OVER (), 8) AS label_freq, year(o_orderdate) AS o_orderdate_year,
  month(o_orderdate) AS o_orderdate_month, CAST(isodow(o_orderdate) >= 6 AS INT) AS o_orderdate_is_weekend FROM orders""")
 def auto_engineer(spark, sf):
-    d = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderdate", "concat('Order ', o_orderkey, ' of customer ', o_custkey) AS label")
+    d = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderdate", "concat('Order of customer ', o_custkey) AS label")
     d = ft.auto_engineer(d)
     return d.select("o_orderkey", F.col("label_char_length").cast("bigint").alias("label_char_length"), "label_word_count",
                     F.round("label_freq", 8).alias("label_freq"), F.col("o_orderdate_year").cast("bigint").alias("o_orderdate_year"),
@@ -241,9 +241,11 @@ def metrics_reg(spark, sf):
     return mt.metrics_table(spark, mt.regression_metrics(_rpreds(spark, sf), 2)).withColumn("value", F.round("value", 4))
 
 
-@query("residuals", sql("""SELECT k, round(label, 4) AS actual, round(prediction, 4) AS predicted, round(label - prediction, 4) AS residual FROM rp ORDER BY k LIMIT 200""", _RP))
+@query("residuals", """SELECT o_orderkey, round(o_totalprice, 4) AS actual, CAST(o_custkey * 100 AS DOUBLE) AS predicted,
+ round(o_totalprice - o_custkey * 100, 4) AS residual FROM orders ORDER BY o_orderkey LIMIT 200""")
 def residuals(spark, sf):
-    return mt.residuals(_rpreds(spark, sf).dropDuplicates(["k"]), "k")
+    d = table(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice AS label", "o_custkey * 100D AS prediction")
+    return mt.residuals(d, "o_orderkey")
 
 
 @query("overfit_class", """SELECT l_orderkey, l_linenumber, CASE WHEN te < 0 THEN 'critical' WHEN tr > 0.95 AND te < 0.7 THEN 'overfitting' WHEN tr - te > 0.2 THEN 'possible_overfitting'
