@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.core import (c, count_if, flat_cols, is_missing, is_numeric, is_text, num,
+from ..functions.core import (c, count_if, dtype, flat_cols, is_missing, is_numeric, is_text, num,
                               numeric_cols, present, require, strip, text_cols)
 from ..functions.dates import as_date, parse_date, strftime_to_java
 from ..functions.keys import attach
-from ..functions.stats import column_modes, exact_quantiles, stats_row
+from ..functions.stats import as_text, column_modes, exact_quantiles, stats_row
 from ..functions.text import TEXT_OPS, apply_case, collapse_spaces
 
 
@@ -31,10 +32,18 @@ def remove_duplicates(df: DataFrame, subset: Sequence[str] | None = None, key: s
     return best.select(*[c(n) if n in subset else F.col("_b")[n].alias(n) for n in df.columns])
 
 
+def row_digest(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """128 hash bits of a row plus which cells are NULL (the hash skips those): a short stand-in for
+    whole rows where only their equality matters, so that a wide table is not shuffled."""
+    xs = [as_text(df, n) if isinstance(dtype(df, n), (T.FloatType, T.DoubleType)) else c(n) for n in cols]
+    gaps = [F.concat(*[F.when(x.isNull(), F.lit("1")).otherwise(F.lit("0")) for x in xs])]
+    return [F.xxhash64(F.lit(1), *xs).alias("_h1"), F.xxhash64(F.lit(2), *xs).alias("_h2"), F.xxhash64(*gaps).alias("_h3")]
+
+
 def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> int:
     """Rows beyond the first of each distinct row (NULLs equal each other)."""
     cols = list(subset) if subset else flat_cols(df)
-    got = stats_row(df.groupBy(*[c(n) for n in cols]).agg(F.count(F.lit(1)).alias("_n")),
+    got = stats_row(df.groupBy(*row_digest(df, cols)).agg(F.count(F.lit(1)).alias("_n")),
                     {"d": F.sum(F.col("_n") - 1)})
     return got["d"] or 0
 
