@@ -20,7 +20,7 @@ CHUNK = 200
 # Inputs at or below this plan size may use the buffering `percentile` aggregate,
 # whose state holds one entry per distinct value in a single task.
 SMALL_BYTES_CONF = "spark.winnow.exactQuantileBytes"
-SMALL_BYTES = 4 << 20
+SMALL_BYTES = 1 << 20
 CELLS = 4096
 
 
@@ -45,6 +45,18 @@ def plain_join_ok(df: DataFrame, limit: int = 32 << 20) -> bool:
         "spark.winnow.plainJoinBytes", str(limit))))
 
 
+def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
+    """Small inputs that come in fewer partitions than there are cores, dealt out to all of them.
+
+    For work that costs much more per row than moving the row (pattern matching, repeated
+    passes).  Large inputs have enough splits and are left alone."""
+    size = plan_bytes(df)
+    if size is None or size > most_bytes:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def stats_row(df: DataFrame, aggs: dict[str, Column]) -> dict:
     """Evaluate all aggregates in as few passes as the code-size limit allows."""
     out: dict = {}
@@ -79,7 +91,14 @@ def exact_quantiles(
         arr = F.array(*[F.lit(float(p)) for p in ps])
         row = cells.agg(*[F.percentile(F.col(f"x{i}"), arr).alias(f"q{i}") for i in range(len(names))]).first()
         return {n: list(row[i]) if row[i] is not None else [None] * len(ps) for i, n in enumerate(names)}
-    return _refined_quantiles(cells, names, ps)
+    dealt = spread(cells)
+    if dealt is cells:
+        return _refined_quantiles(cells, names, ps)
+    dealt = dealt.persist()  # small: the passes read it from memory
+    try:
+        return _refined_quantiles(dealt, names, ps)
+    finally:
+        dealt.unpersist()
 
 
 def _cell(v: Column, iv: dict) -> Column:
@@ -212,24 +231,30 @@ def few_values(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, list
     return {k: sorted(got[k]) if k in got else ([] if u.get(k, 0) == 0 else None) for k in cols}
 
 
-def column_modes(df: DataFrame, cols: dict[str, Column] | Sequence[str]) -> dict:
-    """Most frequent value per column, the smallest one on ties.
+def modes_and_distinct(df: DataFrame, cols: dict[str, Column] | Sequence[str]) -> dict[str, tuple]:
+    """(most frequent value, number of distinct values) per column; the smallest value wins ties.
 
     Counts are pre-aggregated per value, so no task holds a column's whole value set."""
     xs = dict(cols) if isinstance(cols, dict) else {n: c(n) for n in cols}
-    out: dict = {}
-    types = {n: t for n, t in df.select(*[x.alias(n) for n, x in xs.items()]).dtypes} if xs else {}
+    out: dict = {n: (None, 0) for n in xs}
+    types = dict(df.select(*[x.alias(n) for n, x in xs.items()]).dtypes) if xs else {}
     for t in sorted(set(types.values())):
         group = [n for n in xs if types[n] == t]
-        cells = F.array(*[F.struct(F.lit(n).alias("column"), xs[n].alias("value")) for n in group])
-        vc = (df.select(F.inline(cells)).where(F.col("value").isNotNull())
+        pick = {n: F.when(~F.isnan(xs[n]), xs[n] + F.lit(0.0)) if t == "double" else xs[n] for n in group}
+        cells = F.stack(F.lit(len(group)), *[y for n in group for y in (F.lit(n), pick[n])]).alias("column", "value")
+        vc = (df.select(cells).where(F.col("value").isNotNull())
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-        best = vc.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("value"))).alias("b"))
-        got = {r["column"]: r["b"]["value"] for r in best.collect()}  # one row per column
-        out.update({n: got.get(n) for n in group})
+        best = vc.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("value"))).alias("b"),
+                                        F.count(F.lit(1)).alias("u"))
+        out.update({r["column"]: (r["b"]["value"], r["u"]) for r in best.collect()})  # one row per column
     return out
 
 
+def column_modes(df: DataFrame, cols: dict[str, Column] | Sequence[str]) -> dict:
+    """Most frequent value per column, the smallest one on ties."""
+    return {n: m for n, (m, _) in modes_and_distinct(df, cols).items()}
+
+
 # ---------------------------------------------------------------- moments
 
 def sample_skew(x: Column) -> Column:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.core import (c, count_if, date_cols, flat_cols, is_bool, is_date, is_integral, is_missing,
                               is_numeric, is_text, num, numeric_cols, present, sentinel, strip, text_cols)
 from ..functions.dates import as_date, parse_date
-from ..functions.stats import (column_modes, correlations, distinct_counts, exact_quantiles, pairs, rows_to_df,
-                               safe_corr, sample_kurtosis, sample_skew, stats_row)
+from ..functions.stats import (column_modes, correlations, distinct_counts, exact_quantiles, modes_and_distinct,
+                               pairs, rows_to_df,
+                               safe_corr, sample_kurtosis, sample_skew, spread, stats_row)
 from .clean import Fence, duplicate_count, fences, is_outlier
 from .ordered import date_gaps
 
@@ -106,8 +107,8 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     cols = list(columns or numeric_cols(df))
     got = _moments(df, cols)
     qs = exact_quantiles(df, cols, PERCENTILES)
-    modes = column_modes(df, {n: num(df, n) for n in cols})
-    uniq = distinct_counts(df, cols)
+    found = modes_and_distinct(df, cols)
+    modes, uniq = {n: m for n, (m, _) in found.items()}, {n: u for n, (_, u) in found.items()}
     fen = {n: (q[2] - 1.5 * (q[4] - q[2]), q[4] + 1.5 * (q[4] - q[2])) for n, q in qs.items() if q[0] is not None}
     out_n = stats_row(df, {n: count_if((num(df, n) < lo) | (num(df, n) > hi)) for n, (lo, hi) in fen.items()})
     rows = []
@@ -195,7 +196,7 @@ def profile_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         ln = F.length(x)
         aggs.update({("avg", n): F.avg(ln), ("lo", n): F.min(ln), ("hi", n): F.max(ln),
                      ("dig", n): F.bool_or(x.rlike(r"[0-9]")), ("spec", n): F.bool_or(x.rlike(r"(?U)[^\w\s]"))})
-    got = stats_row(df, aggs)
+    got = stats_row(spread(df.select(*[c(n) for n in cols])), aggs)
     return _records(df, [(n, rnd(got[("avg", n)], 1), got[("lo", n)], got[("hi", n)], got[("dig", n)],
                           got[("spec", n)]) for n in cols],
                     "column string, avg_length double, min_length int, max_length int, contains_numbers boolean, "

@@ -13,9 +13,12 @@ READABLE = ("csv", "tsv", "json", "parquet")
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, sep: str = ",") -> DataFrame:
-    """CSV with a header; types are inferred unless a schema spares the extra pass."""
-    r = spark.read.option("header", True).option("sep", sep).option("multiLine", False).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, sep: str = ",",
+             multi_line: bool = False) -> DataFrame:
+    """CSV with a header; types are inferred unless a schema spares the extra pass.
+
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per file."""
+    r = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"')
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     return fold_nan(r.csv(path))
 
@@ -51,10 +54,9 @@ def read_table(spark: SparkSession, path: str, fmt: str, schema=None) -> DataFra
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """CSV with a header.  NULL is written bare and '' quoted, so that both come back as they were."""
+    """CSV with a header.  NULL and '' both come back as NULL; Parquet and JSON keep them apart."""
     w = (df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
-         .option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False)
-         .option("ignoreTrailingWhiteSpace", False).option("timestampFormat", ISO).option("timestampNTZFormat", ISO))
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("timestampFormat", ISO).option("timestampNTZFormat", ISO))
     (w.partitionBy(*partition_by) if partition_by else w).csv(path)
 
 
