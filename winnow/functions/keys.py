@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .core import c
 from .stats import plain_join_ok, stats_row
 
@@ -38,7 +39,9 @@ def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str], n_col: str, null
     keys = [f"_k{i}" for i in range(len(on))]
     if plain_join_ok(lookup):
         return df.join(right, cond(df, right), "left").drop(*keys, "_n")
-    got = stats_row(lookup, {"keys": F.count(F.lit(1)), "rows": F.sum(c(n_col))})
+    # used three times below: aggregate once, then read the result
+    right = cut_lineage(right)
+    got = stats_row(right, {"keys": F.count(F.lit(1)), "rows": F.sum("_n")})
     if got["keys"] <= BROADCAST_KEYS:
         r = F.broadcast(right)
         return df.join(r, cond(df, right), "left").drop(*keys, "_n")

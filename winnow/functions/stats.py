@@ -46,15 +46,14 @@ def plain_join_ok(df: DataFrame, limit: int = 32 << 20) -> bool:
 
 
 def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
-    """Small inputs that come in fewer partitions than there are cores, dealt out to all of them.
+    """Small inputs, which often come as a single file split, dealt out to all cores.
 
     For work that costs much more per row than moving the row (pattern matching, repeated
     passes).  Large inputs have enough splits and are left alone."""
     size = plan_bytes(df)
     if size is None or size > most_bytes:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def stats_row(df: DataFrame, aggs: dict[str, Column]) -> dict:
@@ -203,8 +202,8 @@ def value_counts(df: DataFrame, cols: Sequence[str], digest: bool = False) -> Da
         x = as_text(df, n)
         return F.when(F.length(x) > 32, F.md5(x)).otherwise(x) if digest else x
 
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), val(n).alias("value")) for n in cols])
-    return (df.select(F.inline(cells)).where(F.col("value").isNotNull())
+    cells = F.stack(F.lit(len(cols)), *[y for n in cols for y in (F.lit(n), val(n))]).alias("column", "value")
+    return (df.select(cells).where(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -217,18 +216,28 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return {n: got.get(n, 0) for n in cols}
 
 
+def maybe_few(df: DataFrame, cols: Sequence[str], limit: int) -> list[str]:
+    """Columns a sketch cannot rule out to have at most ``limit`` distinct values.
+
+    Twice the limit is far outside the sketch's error, and keeps ids and free text out of the
+    exact count that follows."""
+    got = stats_row(df, {n: F.approx_count_distinct(c(n), 0.05) for n in cols}) if cols else {}
+    return [n for n in cols if got[n] <= 2 * limit + 10]
+
+
 def few_values(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, list[str] | None]:
     """Sorted distinct values of each column that has at most ``limit`` of them, else None."""
-    if not cols:
-        return {}
-    vc = value_counts(df, cols)
-    n = vc.groupBy("column").agg(F.count(F.lit(1)).alias("u"))
-    few = vc.join(F.broadcast(n.where(F.col("u") <= limit)), "column")  # one row per column
-    got: dict[str, list[str]] = {}
-    for r in few.select("column", "value").collect():  # at most limit rows per column
-        got.setdefault(r["column"], []).append(r["value"])
-    u = distinct_counts(df, cols) if len(got) < len(cols) else {}
-    return {k: sorted(got[k]) if k in got else ([] if u.get(k, 0) == 0 else None) for k in cols}
+    cols = list(cols)
+    some = maybe_few(df, cols, limit)
+    out: dict[str, list[str] | None] = {n: None for n in cols}
+    if not some:
+        return out
+    got: dict[str, list[str]] = {n: [] for n in some}
+    vals = value_counts(df, some).select("column", "value")
+    for r in vals.collect():  # the screen leaves a few times `limit` values per column
+        got[r["column"]].append(r["value"])
+    out.update({n: sorted(v) for n, v in got.items() if len(v) <= limit})
+    return out
 
 
 def modes_and_distinct(df: DataFrame, cols: dict[str, Column] | Sequence[str]) -> dict[str, tuple]:

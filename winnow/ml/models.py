@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.ml import classification as C
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import c
-from ..functions.stats import rows_to_df
+from ..functions.stats import plan_bytes, rows_to_df
 from ..session import cut_lineage
 from . import metrics as M
 from .features import Prepared, labelled, prepare, split
@@ -84,31 +85,37 @@ def _feed(p: Prepared, df: DataFrame, key: str) -> DataFrame:
     return with_signs(d) if p.task == "classification" else d
 
 
+@contextmanager
+def held(df: DataFrame, most_bytes: int = 1 << 30):
+    """Keep a small input in memory for the passes of the preparation; a large one is read again."""
+    size = plan_bytes(df)
+    if size is None or size > most_bytes:
+        yield df
+        return
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def fit_input(df: DataFrame, key: str, target: str, task: str | None = None, frac: float = 0.2):
     """(preparation, train, test): prepared once and materialised, so that iterative fits read
     features and not the source.  The split is by key hash, stratified for classes."""
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with held(df) as src:
         p = prepare(src, target, task, skip=[key])
-        feed = _feed(p, src, key)
-        by = "label" if p.task == "classification" else None
-        feed = cut_lineage(feed)
-        _, test = split(feed.select("key", "label"), "key", frac, by=by)
-        keys = test.select("key").withColumn("_test", F.lit(True))
-        feed = cut_lineage(feed.join(keys, "key", "left"))
-    finally:
-        src.unpersist()
+        feed = cut_lineage(_feed(p, src, key))
+    _, test = split(feed.select("key", "label"), "key", frac, by="label" if p.task == "classification" else None)
+    keys = test.select("key").withColumn("_test", F.lit(True))
+    feed = cut_lineage(feed.join(keys, "key", "left"))
     return p, feed.where("_test is null").drop("_test"), feed.where("_test").drop("_test")
 
 
 def whole_input(df: DataFrame, key: str, target: str, task: str | None = None):
     """(preparation, all rows): prepared and materialised without a split."""
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with held(df) as src:
         p = prepare(src, target, task, skip=[key])
         return p, cut_lineage(_feed(p, src, key))
-    finally:
-        src.unpersist()
 
 
 def train(df: DataFrame, key: str, target: str, name: str, task: str | None = None, frac: float = 0.2):

@@ -13,7 +13,8 @@ from ..functions.core import (EMAIL_WORDS, PERCENT_WORDS, PHONE_WORDS, POSITIVE_
                               numeric_cols, parse_number, sentinel, strip, text_cols)
 from ..functions.dates import as_date, parse_date
 from ..functions.pii import EMAIL_QUALITY
-from ..functions.stats import correlations, distinct_counts, pairs, rows_to_df, stats_row, value_counts
+from ..functions.stats import (correlations, distinct_counts, maybe_few, pairs, rows_to_df, spread, stats_row,
+                               value_counts)
 from ..functions.text import is_lower, is_title, is_upper, title_case
 from .clean import duplicate_count, fences
 from .columns import constant_column_names
@@ -76,7 +77,9 @@ def date_inconsistency(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 def category_variants(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 50) -> DataFrame:
     """Spellings that agree after trimming and lower-casing, in columns of at most ``limit`` values."""
-    cols = list(columns or text_cols(df))
+    cols = maybe_few(df, list(columns or text_cols(df)), limit)
+    if not cols:
+        return rows_to_df(df.sparkSession, [], "column string, normal string, variants bigint, rows bigint, canonical string")
     vc = value_counts(df, cols)
     few = vc.groupBy("column").agg(F.count(F.lit(1)).alias("u")).where(F.col("u") <= limit)  # one row per column
     g = (vc.join(F.broadcast(few), "column")
@@ -311,7 +314,7 @@ def quality_metrics(df: DataFrame) -> dict:
         ts = as_date(df, n)
         aggs.update({("dated", n): F.count(ts), ("lo", n): F.date_format(F.min(ts), "yyyy-MM-dd"),
                      ("hi", n): F.date_format(F.max(ts), "yyyy-MM-dd")})
-    got = stats_row(df, aggs)
+    got = stats_row(spread(df), aggs)
     rows = got["n"]
     if not rows:
         zero = {k: {"score": 0.0} for k, _ in WEIGHTS}
