@@ -99,6 +99,16 @@ def test_row_order_does_not_depend_on_blocks(spark, block_rows):
     pd.testing.assert_series_equal(d, s.diff(), check_names=False)
 
 
+def test_blocks_cut_twice(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "FIRST_BLOCKS", 7)
+    df = spark.range(20000).select(F.expr("cast(exp(id / 1000.0) * 1000 as bigint) + id").alias("k"))
+    b = ordered.blocked(df, "k", 200)
+    sizes = [r["count"] for r in b.groupBy("_block").count().collect()]
+    assert len(sizes) > 90 and max(sizes) < 600
+    got = [r["row_index"] for r in ordered.with_row_index(df, "k", block_rows=200).orderBy("k").collect()]
+    assert got == list(range(20000))
+
+
 def test_blocks_are_even_on_a_skewed_order_column(spark):
     n = 20000
     df = spark.range(n).select(F.expr("cast(exp(id / 1000.0) * 1000 as bigint) + id").alias("k"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.core import (DATE_WORDS, c, flat_cols, is_date, is_integral, is_numeric, is_text, name_has, num,
                               numeric_cols, require, text_cols)
 from ..functions.dates import as_date, date_parts
-from ..functions.stats import correlations, distinct_counts, rows_to_df, stats_row
+from ..functions.stats import correlations, distinct_counts, exact_quantiles, rows_to_df, stats_row
 from ..operators.columns import ratio_feature, text_metrics
 from ..operators.encode import encode_frequency
 
@@ -26,11 +26,22 @@ TARGET_HINTS = ("target", "label", "class", "output", "result", "price", "salary
                 "prediction", "y", "status", "category", "survived", "approved", "churn")
 
 
+def coarse_distinct(df: DataFrame, cols: Sequence[str], small: int, share: float | None = None) -> tuple[dict, int]:
+    """Distinct values per column, as exact as rules need them, and the number of rows.
+
+    Exact up to ``small`` and around ``share`` of the rows; elsewhere the sketch's estimate is
+    far enough from either limit to decide."""
+    got = stats_row(df, {"n": F.count(F.lit(1)), **{n: F.approx_count_distinct(c(n), 0.02) for n in cols}})
+    n = got["n"]
+    need = [x for x in cols if got[x] <= 2 * small + 10 or (share and abs(got[x] - share * n) <= 0.15 * share * n)]
+    exact = distinct_counts(df, need)
+    return {x: exact.get(x, got[x]) for x in cols}, n
+
+
 def target_scores(df: DataFrame) -> DataFrame:
     """(column, score, task) for every column: name, position and number of distinct values."""
     cols = flat_cols(df)
-    u = distinct_counts(df, cols)
-    n = stats_row(df, {"n": F.count(F.lit(1))})["n"]
+    u, n = coarse_distinct(df, cols, 15, 0.6)
     rows = []
     for i, name in enumerate(cols):
         if not u[name]:
@@ -68,7 +79,7 @@ def detect_target(df: DataFrame) -> DataFrame:
 def suggest_targets(df: DataFrame, k: int = 5) -> DataFrame:
     """Up to k candidate targets: named like one (high), the last column (medium), other usable ones (low)."""
     cols = flat_cols(df)
-    u = distinct_counts(df, cols)
+    u, _ = coarse_distinct(df, cols, 20)
     nums = [n for n in numeric_cols(df) if u[n]]
     cats = [n for n in text_cols(df) if 2 <= u[n] <= 20]
 
@@ -98,7 +109,7 @@ def task_of(df: DataFrame, target: str) -> str:
     got = stats_row(df, {"k": F.count(x), "frac": F.count(F.when(x % 1 != 0, 1))})
     if not got["k"] or (not is_integral(df, target) and got["frac"]):
         return "regression"
-    u = distinct_counts(df, [target])[target]
+    u = coarse_distinct(df, [target], 5)[0][target]
     return "classification" if u <= 5 and u / got["k"] <= 0.5 else "regression"
 
 
@@ -113,30 +124,33 @@ class Prepared:
     target: str
     task: str
     labels: list[str]
-    numeric: tuple = ()
-    text: tuple = ()
+    medians: dict
+    text: list[str]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(_typed(df, self.numeric, self.text))
+        return self.model.transform(_typed(df, self.medians, self.text))
 
 
-def _typed(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
-    """Columns the model expects; absent ones become missing (filled or mapped to the unknown code later)."""
-    new = {}
-    for n in numeric:
-        new[n] = num(df, n) if n in df.columns else F.lit(None).cast("double")
-    for n in text:
-        new[n] = F.coalesce(c(n).cast("string"), F.lit("Missing")) if n in df.columns else F.lit("Missing")
+def _typed(df: DataFrame, medians: dict, text: Sequence[str]) -> DataFrame:
+    """The inputs the model expects: ``_f_`` numbers with gaps at the training median, ``_t_`` texts with
+    'Missing'.  Columns the rows lack count as missing."""
+    new = {f"_f_{n}": F.coalesce(num(df, n), F.lit(m)) if n in df.columns else F.lit(m) for n, m in medians.items()}
+    new.update({f"_t_{n}": F.coalesce(c(n).cast("string"), F.lit("Missing")) if n in df.columns else F.lit("Missing")
+                for n in text})
     return df.withColumns(new) if new else df
 
 
+def _medians(df: DataFrame, cols: Sequence[str]) -> dict:
+    return {n: q[0] or 0.0 for n, q in exact_quantiles(df, cols, [0.5]).items()}
+
+
 def useful_features(df: DataFrame, target: str, skip: Sequence[str] = ()) -> tuple[list[str], list[str]]:
     """Numeric and categorical inputs: constants, and texts with too many values, are left out."""
     cols = [n for n in flat_cols(df) if n != target and n not in skip and not is_date(df, n)]
-    u = distinct_counts(df, cols)
-    k = stats_row(df, {n: F.count(c(n)) for n in cols})
-    nums = [n for n in cols if is_numeric(df, n) and u[n] > 1]
-    cats = [n for n in cols if not is_numeric(df, n) and 1 < u[n] <= 50 and u[n] / max(k[n], 1) <= 0.5]
+    got = stats_row(df, {(k, n): f(c(n)) for n in cols for k, f in (("k", F.count), ("lo", F.min), ("hi", F.max))})
+    nums = [n for n in cols if is_numeric(df, n) and got[("lo", n)] != got[("hi", n)]]
+    u, _ = coarse_distinct(df, [n for n in cols if n not in nums and not is_numeric(df, n)], 50)
+    cats = [n for n in u if 1 < u[n] <= 50 and u[n] / max(got[("k", n)], 1) <= 0.5]
     return nums, cats
 
 
@@ -147,14 +161,12 @@ def prepare(df: DataFrame, target: str, task: str | None = None, skip: Sequence[
     nums, cats = useful_features(df, target, skip)
     if not nums and not cats:
         raise ValueError("no usable feature columns")
-    src = _typed(df, nums, cats)
+    med = _medians(df, nums)
+    src = _typed(df, med, cats)
     stages: list = []
-    ins: list[str] = []
-    if nums:
-        stages.append(Imputer(strategy="median", inputCols=nums, outputCols=[f"_f_{n}" for n in nums]))
-        ins += [f"_f_{n}" for n in nums]
+    ins = [f"_f_{n}" for n in nums]
     if cats:
-        stages.append(StringIndexer(inputCols=cats, outputCols=[f"_c_{n}" for n in cats],
+        stages.append(StringIndexer(inputCols=[f"_t_{n}" for n in cats], outputCols=[f"_c_{n}" for n in cats],
                                     stringOrderType="alphabetAsc", handleInvalid="keep"))
         ins += [f"_c_{n}" for n in cats]
     stages.append(VectorAssembler(inputCols=ins, outputCol="_raw"))
@@ -167,7 +179,7 @@ def prepare(df: DataFrame, target: str, task: str | None = None, skip: Sequence[
     else:
         src = src.withColumn("label", num(df, target))
     model = Pipeline(stages=stages).fit(src)
-    return Prepared(model, nums + cats, target, task, labels, numeric=tuple(nums), text=tuple(cats))
+    return Prepared(model, nums + cats, target, task, labels, med, cats)
 
 
 def labelled(p: Prepared, df: DataFrame) -> DataFrame:
@@ -201,13 +213,12 @@ def test_share(n: int) -> float:
 def poly_features(df: DataFrame, columns: Sequence[str], degree: int = 2, limit: int = 10) -> DataFrame:
     """Standardised polynomial terms of the first ten columns as a vector column ``poly``."""
     cols = list(columns)[:limit]
-    src = _typed(df, cols, ())
+    src = _typed(df, _medians(df, cols), ())
     pipe = Pipeline(stages=[
-        Imputer(strategy="median", inputCols=cols, outputCols=[f"_p_{n}" for n in cols]),
-        VectorAssembler(inputCols=[f"_p_{n}" for n in cols], outputCol="_raw"),
+        VectorAssembler(inputCols=[f"_f_{n}" for n in cols], outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
         PolynomialExpansion(degree=degree, inputCol="_std", outputCol="poly")])
-    return pipe.fit(src).transform(src).drop("_raw", "_std", *[f"_p_{n}" for n in cols])
+    return pipe.fit(src).transform(src).drop("_raw", "_std", *[f"_f_{n}" for n in cols])
 
 
 def vector_columns(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
@@ -232,7 +243,7 @@ def suggestion_rows(df: DataFrame) -> list[tuple]:
             if r is not None and 0.50 <= abs(r) <= 0.85:
                 rows.append(("numeric_interaction", a, "create_ratio_column", b))
                 break
-    u = distinct_counts(df, texts)
+    u, _ = coarse_distinct(df, texts, 10, 1.0)
     rows += [("categorical_encoding", n, "encode_frequency", None) for n in texts if 10 < u[n] < got["n"]]
     return rows
 

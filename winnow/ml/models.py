@@ -332,7 +332,7 @@ def predict(model, p: Prepared, df: DataFrame) -> DataFrame:
 def predict_one(model, p: Prepared, spark, values: dict) -> DataFrame:
     """A single row given as a dict."""
     names = [n for n in p.features if n in values]
-    types = ", ".join(f"`{n}` {'double' if n in p.numeric else 'string'}" for n in names)
-    row = [tuple(float(values[n]) if n in p.numeric else str(values[n]) for n in names)]
+    types = ", ".join(f"`{n}` {'double' if n in p.medians else 'string'}" for n in names)
+    row = [tuple(float(values[n]) if n in p.medians else str(values[n]) for n in names)]
     return predict(model, p, rows_to_df(spark, row, types))
 

@@ -20,6 +20,8 @@ from ..functions.stats import stats_row
 
 BLOCK_ROWS = 1_000_000
 SKETCH_GROUPS = 256
+FIRST_BLOCKS = 1000
+MAX_BLOCKS = 1_000_000
 
 
 def _order_number(df: DataFrame, order: str) -> Column:
@@ -30,23 +32,42 @@ def _order_number(df: DataFrame, order: str) -> Column:
     raise ValueError(f"order column {order} must be a number, date or timestamp")
 
 
+def _sketched_edges(keys: DataFrame, blocks: int, by: str | None = None) -> list[float]:
+    """Edges that cut ``k`` (within each group of ``by``) into even blocks.
+
+    Sketches are merged in two levels, so that no task has to merge one per input split."""
+    group = [by] if by else []
+    part = (keys.groupBy(*group, (F.spark_partition_id() % SKETCH_GROUPS).alias("g"))
+            .agg(F.kll_sketch_agg_double("k", F.lit(4096)).alias("s")))
+    probs = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    merged = part.groupBy(*group).agg(F.kll_merge_agg_double("s").alias("s"), F.min("g").alias("g"))
+    rows = merged.select(F.kll_sketch_get_quantile_double("s", probs).alias("e")).collect()  # one row per group
+    return sorted({x for r in rows for x in r["e"]})
+
+
+def _cut(df: DataFrame, edges: list[float]) -> DataFrame:
+    b = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_ord", outputCol="_block", handleInvalid="keep")
+    return b.transform(df).withColumn("_block", c("_block").cast("int"))
+
+
 def blocked(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``_block``: consecutive ranges of the order column with about ``block_rows`` rows each."""
+    """Add ``_block``: consecutive ranges of the order column with about ``block_rows`` rows each.
+
+    A sketch resolves about a thousand blocks; where more are needed, each of those is cut
+    again by a sketch of its own."""
     require(df, order)
     key = _order_number(df, order)
     n = df.count()
-    blocks = math.ceil(n / block_rows)
+    blocks = math.ceil(n / max(block_rows, n / MAX_BLOCKS)) if n else 1
     if blocks <= 1:
         return df.withColumn("_block", F.lit(0))
-    # two levels of merging, so that no task has to merge one sketch per input split
-    part = (df.select(key.alias("k")).groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("g"))
-            .agg(F.kll_sketch_agg_double("k", F.lit(4096)).alias("s")))
-    probs = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    edges = part.agg(F.kll_sketch_get_quantile_double(F.kll_merge_agg_double("s"), probs).alias("e")).first()["e"]
-    splits = [-math.inf, *sorted(set(edges)), math.inf]
-    b = Bucketizer(splits=splits, inputCol="_ord", outputCol="_block", handleInvalid="keep")
-    out = b.transform(df.withColumn("_ord", key)).drop("_ord")
-    return out.withColumn("_block", c("_block").cast("int"))
+    src = df.withColumn("_ord", key)
+    keys = src.select(F.col("_ord"), F.col("_ord").alias("k"))
+    edges = _sketched_edges(keys, min(blocks, FIRST_BLOCKS))
+    if blocks > FIRST_BLOCKS:
+        first = _cut(keys, edges)
+        edges = sorted({*edges, *_sketched_edges(first, math.ceil(blocks / FIRST_BLOCKS), by="_block")})
+    return _cut(src, edges).drop("_ord")
 
 
 def _win(order: str):

@@ -73,12 +73,15 @@ def random_sample(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFram
     total = df.count()
     if n >= total:
         return df
-    cut = exact_quantiles(df, {"h": h.cast("double")}, [(n - 1) / (total - 1)])["h"][0]
-    cut = int(round(cut))
-    # the quantile may fall between two hashes: count what is surely in, settle the rest by order
-    lo = df.where(h < cut - 1)
-    rest = df.where((h >= cut - 1) & (h <= cut + 1)).orderBy(h, c(key)).limit(n - lo.count())
-    return lo.unionByName(rest)
+    # half way between the last hash that is in and the first that is out
+    cut = exact_quantiles(df, {"h": h.cast("double")}, [(n - 0.5) / (total - 1)])["h"][0]
+    inside = df.where(h.cast("double") <= F.lit(cut))
+    if inside.count() == n:
+        return inside
+    # both have the same hash: the key decides among its rows
+    sure = df.where(h < F.lit(int(cut)))
+    tied = df.where(h == F.lit(int(cut))).orderBy(c(key)).limit(n - sure.count())
+    return sure.unionByName(tied)
 
 
 def stratified(df: DataFrame, key: str, by: str, n: int, seed: int = SEED) -> DataFrame:

@@ -143,15 +143,14 @@ def diff_versions(spark, sf):
 
 # ---------------------------------------------------------------- recipes
 
-@query("recipe_registry", """
-SELECT 'Finance Data' AS name, 5 AS step_count, true AS is_preset UNION ALL
-SELECT 'HR Data', 4, true UNION ALL SELECT 'Healthcare Data', 4, true UNION ALL SELECT 'Sales Data', 4, true UNION ALL
-SELECT 'mine', 2, false""")
+@query("recipe_registry", sql("""SELECT c_custkey, upper(trim(name)) AS name, upper(trim(segment)) AS segment, upper(email) AS email
+FROM dc""", DC))
 def recipe_registry(spark, sf):
+    """Save a recipe next to the presets, load it by name, and run it."""
     path = work_dir(spark, "recipes")
-    steps.save_recipe(spark, path, "mine", [{"operation": "trim_whitespace"}, {"operation": "remove_duplicates"}])
-    return steps.list_recipes(spark, path).select("name", "step_count", "is_preset")
-
+    steps.save_recipe(spark, path, "mine", [{"operation": "trim_whitespace"}, {"operation": "standardize_case_all", "case": "upper"}])
+    d = steps.run_steps(dirty_customer(spark, sf), steps.load_recipe(spark, path, "mine"))
+    return d.select("c_custkey", "name", "segment", "email")
 
 
 _PRE = """
