@@ -70,6 +70,24 @@ def test_attach_splits_hot_keys(spark, big, null_safe):
     pd.testing.assert_series_equal(got["s"].astype(float), want.astype(float), check_names=False)
 
 
+def test_hot_rows_are_spread_in_the_shuffled_join(spark, big):
+    df = spark.range(3000).select("id", F.expr("case when id % 3 = 0 then 'hot' else concat('k', id % 700) end").alias("k"))
+    lookup = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = keys.attach(df, lookup, ["k"], "n")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [x for x in plan.splitlines() if "hashpartitioning" in x]
+    assert any("_salt" in x for x in joins) and any("_ks" in x for x in joins)
+
+
+def test_rows_without_an_order_value_stay(spark):
+    df = spark.createDataFrame([(i if i % 10 else None, float(i)) for i in range(300)], "k long, x double")
+    assert ordered.with_row_index(df, "k", block_rows=40).count() == 300
+    assert ordered.fill_forward(df, "x", "k", block_rows=40).count() == 300
+
+
 def test_sorted_index_over_many_values(spark, big):
     vals = sorted({f"v{i:05d}" for i in RNG.integers(0, 50000, 3000)})
     df = spark.createDataFrame([(v,) for v in vals], "v string").repartition(7)

@@ -39,17 +39,17 @@ def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str], n_col: str, null
     keys = [f"_k{i}" for i in range(len(on))]
     if plain_join_ok(lookup):
         return df.join(right, cond(df, right), "left").drop(*keys, "_n")
-    # used three times below: aggregate once, then read the result
-    right = cut_lineage(right)
+    # used three times below: aggregate once, then read the result.  The salt column is stored with
+    # it, because the optimizer would fold a literal out of the join key and undo the spreading.
+    right = cut_lineage(right.withColumn("_ks", F.lit(0)))
     got = stats_row(right, {"keys": F.count(F.lit(1)), "rows": F.sum("_n")})
     if got["keys"] <= BROADCAST_KEYS:
-        r = F.broadcast(right)
-        return df.join(r, cond(df, right), "left").drop(*keys, "_n")
+        return df.join(F.broadcast(right), cond(df, right), "left").drop(*keys, "_n", "_ks")
     floor = got["rows"] // HOT_KEYS
     hot = right.where(F.col("_n") > floor)
     hot = hot.select(*[F.col(k) for k in keys], F.struct(*[c(n) for n in extra]).alias("_hot"))
     warm = right.where(F.col("_n") <= floor).select(
-        *[F.col(k) for k in keys], F.struct(*[c(n) for n in extra]).alias("_warm"), F.lit(0).alias("_ks"))
+        *[F.col(k) for k in keys], F.struct(*[c(n) for n in extra]).alias("_warm"), F.col("_ks"))
     left = df.join(F.broadcast(hot), cond(df, hot), "left").drop(*keys)
     spread = F.col("_hot").isNotNull()
     if not null_safe:

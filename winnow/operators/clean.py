@@ -13,7 +13,7 @@ from ..functions.core import (c, count_if, dtype, flat_cols, is_missing, is_nume
                               numeric_cols, present, require, strip, text_cols)
 from ..functions.dates import as_date, parse_date, strftime_to_java
 from ..functions.keys import attach
-from ..functions.stats import as_text, column_modes, exact_quantiles, stats_row
+from ..functions.stats import column_modes, exact_quantiles, stats_row
 from ..functions.text import TEXT_OPS, apply_case, collapse_spaces
 
 
@@ -35,7 +35,8 @@ def remove_duplicates(df: DataFrame, subset: Sequence[str] | None = None, key: s
 def row_digest(df: DataFrame, cols: Sequence[str]) -> list[Column]:
     """128 hash bits of a row plus which cells are NULL (the hash skips those): a short stand-in for
     whole rows where only their equality matters, so that a wide table is not shuffled."""
-    xs = [as_text(df, n) if isinstance(dtype(df, n), (T.FloatType, T.DoubleType)) else c(n) for n in cols]
+    xs = [F.when(~F.isnan(c(n)), c(n) + F.lit(0.0)) if isinstance(dtype(df, n), (T.FloatType, T.DoubleType)) else c(n)
+          for n in cols]  # -0.0 is 0.0, NaN is missing
     gaps = [F.concat(*[F.when(x.isNull(), F.lit("1")).otherwise(F.lit("0")) for x in xs])]
     return [F.xxhash64(F.lit(1), *xs).alias("_h1"), F.xxhash64(F.lit(2), *xs).alias("_h2"), F.xxhash64(*gaps).alias("_h3")]
 

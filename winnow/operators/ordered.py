@@ -28,7 +28,8 @@ def _order_number(df: DataFrame, order: str) -> Column:
     if is_date(df, order):
         return F.unix_micros(c(order).cast("timestamp")).cast("double")
     if is_numeric(df, order):
-        return c(order).cast("double")
+        x = c(order).cast("double")
+        return F.when(~F.isnan(x), x)
     raise ValueError(f"order column {order} must be a number, date or timestamp")
 
 
@@ -47,7 +48,8 @@ def _sketched_edges(keys: DataFrame, blocks: int, by: str | None = None) -> list
 
 def _cut(df: DataFrame, edges: list[float]) -> DataFrame:
     b = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_ord", outputCol="_block", handleInvalid="keep")
-    return b.transform(df).withColumn("_block", c("_block").cast("int"))
+    # rows without an order value come first, as they do in the windows
+    return b.transform(df).withColumn("_block", F.when(F.col("_ord").isNull(), F.lit(-1)).otherwise(c("_block").cast("int")))
 
 
 def blocked(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -62,7 +64,7 @@ def blocked(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFram
     if blocks <= 1:
         return df.withColumn("_block", F.lit(0))
     src = df.withColumn("_ord", key)
-    keys = src.select(F.col("_ord"), F.col("_ord").alias("k"))
+    keys = src.select(F.col("_ord"), F.col("_ord").alias("k")).where("k is not null")
     edges = _sketched_edges(keys, min(blocks, FIRST_BLOCKS))
     if blocks > FIRST_BLOCKS:
         first = _cut(keys, edges)
