@@ -69,16 +69,22 @@ def missing_pattern(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- numeric columns
 
+# Names of the distribution shapes.
+NORMAL = "Normal / Bell-shaped"
+RIGHT_SKEWED = "Right-Skewed (Positive)"
+LEFT_SKEWED = "Left-Skewed (Negative)"
+UNIFORM = "Uniform"
+OTHER_SHAPE = "Multi-modal / Complex"
+
+
 def distribution_label(skew: float, kurt: float, std: float, lo: float, hi: float) -> str:
+    """Shape by skewness and kurtosis; a uniform spread has a deviation of about 0.288 ranges."""
     if abs(skew) < 0.5 and abs(kurt) < 1.0:
-        return "Normal / Bell-shaped"
-    if skew > 1.0:
-        return "Right-Skewed (Positive)"
-    if skew < -1.0:
-        return "Left-Skewed (Negative)"
-    if hi > lo and abs(std / (hi - lo + 1e-9) - 0.288) < 0.05:
-        return "Uniform"
-    return "Multi-modal / Complex"
+        return NORMAL
+    if abs(skew) > 1.0:
+        return RIGHT_SKEWED if skew > 0 else LEFT_SKEWED
+    even = hi > lo and abs(std / (hi - lo + 1e-9) - 0.288) < 0.05
+    return UNIFORM if even else OTHER_SHAPE
 
 
 def _moments(df: DataFrame, cols: Sequence[str]) -> dict:

@@ -160,6 +160,16 @@ def similar_columns(df: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 # ---------------------------------------------------------------- issue list and scores v1 / v3
 
+# What to do about each kind of finding.
+ADVICE = (
+    ("missing", "Fill or remove missing values to improve data completeness"),
+    ("duplicates", "Remove duplicate rows"),
+    ("outliers", "Review and handle outlier values"),
+    ("empty", "Remove columns that are mostly empty"),
+    ("text", "Standardize text casing in affected columns"),
+    ("space", "Trim whitespace from text columns"),
+)
+
 ISSUE_SCHEMA = "issue_type string, severity string, column string, affected bigint, operation string, method string"
 
 
@@ -224,13 +234,7 @@ def quality_score_v1(df: DataFrame) -> DataFrame:
 def full_report(df: DataFrame) -> DataFrame:
     """Summary counts, score and the recommendations that apply, as one row."""
     p = _issue_parts(df)
-    advice = [text for key, text in (
-        ("missing", "Fill or remove missing values to improve data completeness"),
-        ("duplicates", "Remove duplicate rows"),
-        ("outliers", "Review and handle outlier values"),
-        ("empty", "Remove columns that are mostly empty"),
-        ("text", "Standardize text casing in affected columns"),
-        ("space", "Trim whitespace from text columns")) if p[key]]
+    advice = [text for key, text in ADVICE if p[key]]
     row = (_score_v1(p), len(_issues(p)), len(p["missing"]), sum(p["missing"].values()), p["duplicates"],
            len(p["outliers"]), sum(p["outliers"].values()), len(p["text"]) + len(p["space"]), len(p["empty"]),
            len(p["constant"]), p["rows"], len(p["cols"]), p["rows"] * len(p["cols"]), "; ".join(advice))
@@ -262,6 +266,7 @@ def quality_score_v3(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- six quality dimensions
 
+# Weight of each dimension in the overall score.
 WEIGHTS = (("completeness", 0.30), ("consistency", 0.20), ("accuracy", 0.20), ("uniqueness", 0.15),
            ("validity", 0.10), ("timeliness", 0.05))
 

@@ -212,11 +212,11 @@ def fx_pct(spark, sf):
     return an.fix_percentage(table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity * 2.5D AS tax_rate"), "tax_rate")
 
 
-@query("fx_extreme", sql(f"""SELECT c_custkey, round(CASE WHEN balance IS NOT NULL THEN least(greatest(balance, a - 2.5*(b-a)), b + 2.5*(b-a)) END, 4) AS balance
+@query("fx_extreme", sql(f"""SELECT c_custkey, round(CASE WHEN balance IS NOT NULL THEN least(greatest(balance, a - 2.5*(b-a)), b + 2.5*(b-a)) END, 6) AS balance
 FROM dc, {_QB}""", DC))
 def fx_extreme(spark, sf):
     d = an.fix_extreme(dirty_customer(spark, sf).select("c_custkey", "balance"), "balance")
-    return d.withColumn("balance", F.round("balance", 4))
+    return d.withColumn("balance", F.round("balance", 6))
 
 
 @query("fx_zeros", sql("SELECT o_orderkey, round(CASE WHEN total = 0 THEN (SELECT median(total) FROM z WHERE total > 0) ELSE total END, 4) AS total FROM z", _Z))
@@ -246,9 +246,9 @@ def fx_jump(spark, sf):
     return an.fix_jump(_spiky(spark, sf), "value", "event_id").withColumn("value", F.round("value", 6))
 
 
-@query("fx_all", sql(f"""SELECT c_custkey, round(CASE WHEN balance IS NOT NULL THEN least(greatest(balance, a - 2.5*(b-a)), b + 2.5*(b-a)) END, 4) AS balance,
+@query("fx_all", sql(f"""SELECT c_custkey, round(CASE WHEN balance IS NOT NULL THEN least(greatest(balance, a - 2.5*(b-a)), b + 2.5*(b-a)) END, 6) AS balance,
  abs(age) AS age, CASE WHEN email <> 'invalid-email' THEN email END AS email FROM dc, {_QB}""", DC))
 def fx_all(spark, sf):
     d = dirty_customer(spark, sf).select("c_custkey", "balance", "age", "email")
     flagged = an.zscore(d).unionByName(an.negative_values(d)).unionByName(an.invalid_email(d))
-    return an.fix_all(d, "c_custkey", flagged).withColumn("balance", F.round("balance", 4))
+    return an.fix_all(d, "c_custkey", flagged).withColumn("balance", F.round("balance", 6))
