@@ -115,9 +115,10 @@ def _search(k: int):
             for j in range(b.shape[1]):
                 diff = part[:, j, None] - b[None, :, j]
                 d += diff * diff
+            d = np.sqrt(d)  # ties are ties of the distance itself, here and when lists are merged
             near = np.argsort(d, axis=1, kind="stable")[:, :k]
             for i in range(len(part)):
-                got = [(float(np.sqrt(d[i, at])), int(key)) for at in near[i] for key in keys[at]]
+                got = [(float(d[i, at]), int(key)) for at in near[i] for key in keys[at]]
                 got.sort()
                 out.append([{"d": x, "key": y} for x, y in got[:k]])
         return out
