@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import content_sort, mixing, packing, quality_rules, simhash
+from . import content_sort, mixing, packing, quality_rules, quality_trees, sanitise, secret_scan, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +33,40 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base rules and the network's additions."""
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_trees.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity categories and score of every document."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query()
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    folder = token_files.fresh_folder(spark)
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    return token_files.digest_tokens(spark, folder).withColumnRenamed("key", "doc_id")
+
+
+@_query()
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms that give it away."""
+    found = sanitise.find_personal(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(sanitise.span_text(F.col("base")), 256).alias("base_sha256"),
+                        sanitise.span_text(F.col("spans")).alias("spans"))
+
+
 @_query()
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents mixed at the tempered source weights, in blocks."""
