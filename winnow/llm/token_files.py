@@ -20,7 +20,8 @@ from .common import hex_long, partitions, range_of, sampled_cuts, small_batches,
 from ..session import shared_dir
 
 SHARDS_PER_PARTITION = 2
-MEMO = 400_000  # remembered words of a worker
+MEMO = 1_200_000  # remembered words of a worker
+AT_ONCE = 128     # new words encoded in one string
 _PLACES = np.arange(4)
 #: Lengths of the four values whose codes a control byte holds.
 LENGTHS = np.stack([((np.arange(256) >> (2 * i)) & 3) + 1 for i in range(4)], axis=1)
@@ -60,10 +61,26 @@ class _Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
+        blank = self._raw([" x"])
+        space = self.tokenizer.id_to_token(int(np.frombuffer(blank[0], dtype=self.kind)[0]))[:1]  # how the split spells a space
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith(space)]] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Ids of words after a space, many words in one string: a word begins where a token begins with the space."""
+        groups = [new[i:i + AT_ONCE] for i in range(0, len(new), AT_ONCE)]
+        for words, raw in zip(groups, self._raw([" " + " ".join(g) for g in groups]), strict=True):
+            ids = np.frombuffer(raw, dtype=self.kind)
+            at = (np.nonzero(self.opens[ids])[0] * ids.itemsize).tolist()
+            parts = [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+            if len(parts) != len(words) or at[0]:
+                parts = self._raw([" " + w for w in words])
+            self.words.update(zip(words, parts, strict=True))
+
     @staticmethod
     def _plain(t: str) -> bool:
         return not ("  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " ") and t.replace("\n", "").isprintable()
@@ -74,7 +91,7 @@ class _Encoder:
             self.words.clear()
         cut = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
         new = list(set().union(*[c[1:] for c in cut]).difference(self.words))
-        self.words.update(zip(new, self._raw([" " + w for w in new]), strict=True))
+        self._learn(new)
         whole = self._raw([c[0] if p else t for t, p, c in zip(texts, plain, cut, strict=True)])
         word = self.words.__getitem__
         return [b"".join([w, *map(word, c[1:])]) for w, c in zip(whole, cut, strict=True)]
