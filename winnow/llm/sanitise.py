@@ -100,6 +100,12 @@ def _look_up(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> Data
     return rows.join(F.broadcast(table) if size <= LOOKUP_BYTES else table, on, how)
 
 
+def _share(total: int) -> Column:
+    n = F.lit(float(max(total, 1)))
+    gain = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    return F.when(F.col("n_e") < n, gain / F.log2(n / F.col("n_e"))).otherwise(0.0)
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, share) of terms that give away at least ``generalise`` of an entity's information.
 
@@ -113,14 +119,14 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", gene
     seen = near.select("row", "entity", "context", F.explode(F.array_distinct(F.transform("words", lambda w: w["t"]))).alias("term"))
     both = seen.groupBy("entity", "term", "row").agg(F.min("context").alias("context")) \
         .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.approx_count_distinct("context").alias("contexts"))
-    both = materialise(both.where(F.col("contexts") >= MIN_CONTEXTS), "term-pairs")
+    # a term is in at least as many texts as it is near entities in, which bounds its share from above
+    around = seen.groupBy("term", "row").count().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    both = both.where(F.col("contexts") >= MIN_CONTEXTS).join(around, "term").join(entity, "entity")
+    both = materialise(both.where(_share(total) >= generalise).select("entity", "term", "n_et", "n_e"), "term-pairs")
     terms = materialise(both.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of(docs, text)), F.lit(TERM), F.lit(0)))).alias("term"))
     term = _look_up(words, terms, ["term"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = F.lit(float(max(total, 1)))
-    gain = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    share = F.when(F.col("n_e") < n, gain / F.log2(n / F.col("n_e"))).otherwise(0.0)
-    return both.join(term, "term").join(entity, "entity").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    return both.join(term, "term").select("entity", "term", _share(total).alias("share")).where(F.col("share") >= generalise)
 
 
 def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
