@@ -47,11 +47,12 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class _Encoder:
-    """The tokenizer, asked once for each distinct word between spaces.
+    """The tokenizer, asked once for each distinct word.
 
-    Between two characters that are no white space, a space always begins a new piece of the byte-level split, so the
-    ids of such words do not depend on their neighbours.  Texts with other white space next to a space, or with any
-    character that is not printable, are encoded as a whole."""
+    Between two characters that are no white space, a space always begins a new piece of the byte-level split and a line
+    feed is a piece of its own, so the ids of a word and of the space or line feed before it do not depend on what stands
+    around them; nor do those of a full stop or comma after letters.  Texts with other white space, or with two such
+    characters in a row, are encoded as a whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,38 +61,50 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words: dict[str, bytes] = {}
-        blank = self._raw([" x"])
-        space = self.tokenizer.id_to_token(int(np.frombuffer(blank[0], dtype=self.kind)[0]))[:1]  # how the split spells a space
+        self.words: dict[str, bytes] = {}  # after a space; with the line feed where a word follows one
+        self.ends = dict(zip(".,\n", self._raw([".", ",", "\n"]), strict=True))
         vocab = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
-        self.opens[[i for t, i in vocab.items() if t.startswith(space)]] = True
+        self.opens = {}
+        for mark in " \n":
+            first = self.tokenizer.id_to_token(int(np.frombuffer(self._raw([mark + "x"])[0], dtype=self.kind)[0]))[:1]
+            self.opens[mark] = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+            self.opens[mark][[i for t, i in vocab.items() if t.startswith(first)]] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of words after a space, many words in one string: a word begins where a token begins with the space."""
+    def _learn(self, mark: str, new: list[str]) -> None:
+        """Ids of words after ``mark``, many words in one string: a word begins where a token begins with the mark."""
         groups = [new[i:i + AT_ONCE] for i in range(0, len(new), AT_ONCE)]
-        for words, raw in zip(groups, self._raw([" " + " ".join(g) for g in groups]), strict=True):
+        for words, raw in zip(groups, self._raw([mark + mark.join(g) for g in groups]), strict=True):
             ids = np.frombuffer(raw, dtype=self.kind)
-            at = (np.nonzero(self.opens[ids])[0] * ids.itemsize).tolist()
+            at = (np.nonzero(self.opens[mark][ids])[0] * ids.itemsize).tolist()
             parts = [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
             if len(parts) != len(words) or at[0]:
-                parts = self._raw([" " + w for w in words])
-            self.words.update(zip(words, parts, strict=True))
+                parts = self._raw([mark + w for w in words])
+            self.words.update(zip(words if mark == " " else [mark + w for w in words], parts, strict=True))
+
+    def _meet(self, new: set[str]) -> None:
+        """Learn the stems of words that end in one full stop or comma, and all other words whole."""
+        stems = {w: w[:-1] for w in new if w[-1] in ".," and w[:-1].lstrip("\n").isalpha()}
+        ask = (new - stems.keys()) | set(stems.values()).difference(self.words)
+        if "\n" in ask:
+            self.words["\n"] = self.ends["\n"]
+            ask.discard("\n")
+        self._learn(" ", [w for w in ask if w[0] != "\n"])
+        self._learn("\n", [w[1:] for w in ask if w[0] == "\n"])
+        self.words.update((w, self.words[stem] + self.ends[w[-1]]) for w, stem in stems.items())
 
     @staticmethod
     def _plain(t: str) -> bool:
-        return not ("  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " ") and t.replace("\n", "").isprintable()
+        return not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1] == " " or t[-1:] == " ") and t.replace("\n", "").isprintable()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self._plain(t) for t in texts]
         if len(self.words) > MEMO:
             self.words.clear()
-        cut = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = list(set().union(*[c[1:] for c in cut]).difference(self.words))
-        self._learn(new)
+        cut = [t.replace("\n", " \n").split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
+        self._meet(set().union(*[c[1:] for c in cut]).difference(self.words))
         whole = self._raw([c[0] if p else t for t, p, c in zip(texts, plain, cut, strict=True)])
         word = self.words.__getitem__
         return [b"".join([w, *map(word, c[1:])]) for w, c in zip(whole, cut, strict=True)]
