@@ -100,6 +100,10 @@ def _look_up(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> Data
     return rows.join(F.broadcast(table) if size <= LOOKUP_BYTES else table, on, how)
 
 
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
 def _share(total: int) -> Column:
     n = F.lit(float(max(total, 1)))
     gain = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
@@ -119,12 +123,12 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", gene
     seen = near.select("row", "entity", "context", F.explode(F.array_distinct(F.transform("words", lambda w: w["t"]))).alias("term"))
     both = seen.groupBy("entity", "term", "row").agg(F.min("context").alias("context")) \
         .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.approx_count_distinct("context").alias("contexts"))
-    # a term is in at least as many texts as it is near entities in, which bounds its share from above
-    around = seen.groupBy("term", "row").count().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # a term is in at least as many texts as it is in texts with an entity, which bounds its share from above
+    around = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     both = both.where(F.col("contexts") >= MIN_CONTEXTS).join(around, "term").join(entity, "entity")
     both = materialise(both.where(_share(total) >= generalise).select("entity", "term", "n_et", "n_e"), "term-pairs")
     terms = materialise(both.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of(docs, text)), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = docs.select(F.explode(_terms(text_of(docs, text))).alias("term"))
     term = _look_up(words, terms, ["term"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     return both.join(term, "term").select("entity", "term", _share(total).alias("share")).where(F.col("share") >= generalise)
 
@@ -142,6 +146,7 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", carr
     held = held.withColumn("base", base_spans(F.col("body")))
     none = F.array().cast("array<struct<entity:string,context:bigint,words:array<struct<s:int,e:int,t:string>>>>")
     held = held.withColumn("near", F.when(F.size("base") > 0, _context_terms(F.col("body"), F.col("base"))).otherwise(none))
+    held = held.withColumn("terms", F.when(F.size("base") > 0, _terms(F.col("body"))).otherwise(F.array().cast("array<string>")))
     held = held.withColumn("row", F.monotonically_increasing_id())
     found = materialise(held if carry else held.drop("body"), "personal")
     hidden = materialise(disclosing_terms(found, docs, text), "disclosing")
