@@ -17,7 +17,7 @@ BASE = STATS[:5]
 MIN_WORDS, MAX_REPEAT_PCT = 10, 20
 FIT_ROWS = 20_000      # most labelled rows the forest and its threshold are fitted on
 TREES, POINTS, DEPTH = 200, 256, 12
-CLEAN_LOST = 0.002     # share of labelled good rows the threshold may reject
+GOOD_COST = 5          # a good row rejected counts as much as five bad ones kept
 
 
 def rule_features(s: np.ndarray) -> np.ndarray:
@@ -106,16 +106,20 @@ def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", rows:
               text: str = "text") -> tuple[Forest | None, float]:
     """A forest and the score above which a text is rejected.
 
-    The threshold is calibrated on the labelled rows that pass the base rules: the lowest score that rejects no more than
-    a 0.002 share of the good ones.  Without good rows there is no forest, and only the base rules decide."""
+    The threshold is calibrated on the labelled rows that pass the base rules: of the scores that cost least, good rows
+    rejected counting five times, the middle one.  Without good rows there is no forest, and only the base rules decide."""
     s, y = stats_table(labelled_sample(docs, labels, label, rows, None, key, text))
     ok = ~base_failed(s)
     x, good = rule_features(s), (y == 1) & ok
     if good.sum() < 2:
         return None, 1.0
     forest = Forest(x[good], np.stack([x.min(axis=0), np.maximum(x.max(axis=0), x.min(axis=0) + 0.05)]))
-    seen = np.sort(forest.score(x[good]))[::-1]
-    return forest, float(seen[min(int(CLEAN_LOST * len(seen)), len(seen) - 1)]) + 1e-9
+    kept, lost = np.sort(forest.score(x[good])), np.sort(forest.score(x[(y == 0) & ok]))
+    at = np.unique(np.concatenate([kept, lost, [1.0]]))
+    cost = GOOD_COST * (len(kept) - np.searchsorted(kept, at, side="right")) + np.searchsorted(lost, at, side="right")
+    best = np.nonzero(cost == cost.min())[0]
+    high = at[min(best[-1] + 1, len(at) - 1)]  # up to the next score all thresholds are alike
+    return forest, float((at[best[0]] + high) / 2)
 
 
 def judge(forest: Forest | None, threshold: float) -> Callable[[Column], Column]:
