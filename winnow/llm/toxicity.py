@@ -18,8 +18,8 @@ from .quality_trees import is_held_out
 FIT_ROWS = 20_000    # most labelled rows the chain is fitted on
 TERMS = 256          # most indicator terms
 FAMILIES = 4         # toxicity categories before the overall one
-MIN_ROWS, MIN_SHARE = 6, 0.8
-PREFIX = 5
+MIN_ROWS, MIN_SHARE = 4, 0.8
+PREFIXES = (4, 5)
 FOLDS = 5
 CLEAN_FLAGGED = 0.001
 _WORD = re.compile(r"[^\W\d_]+")
@@ -28,7 +28,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def terms_of(text: str) -> set[str]:
     """Distinct lower-case words of a whole text, and their beginnings marked with a caret."""
     words = set(_WORD.findall(text.lower()))
-    return words | {"^" + w[:PREFIX] for w in words if len(w) > PREFIX}
+    return words.union(*[{"^" + w[:n] for w in words if len(w) > n} for n in PREFIXES])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -110,7 +110,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
                  text: str = "text") -> Chain | None:
     """A chain fitted on at most ``rows`` labelled rows outside the held-out fifth; None without toxic rows or terms.
 
-    Spark counts the rows of every term; a term is an indicator if at least 6 different texts have it and 80 % of them
+    Spark counts the rows of every term; a term is an indicator if at least 4 different texts have it and 80 % of them
     are toxic.  The 256 strongest, and which of the rows have which, are all the driver sees."""
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, rows, ~is_held_out("id"), key, text)
