@@ -249,7 +249,7 @@ def modes_and_distinct(df: DataFrame, cols: dict[str, Column] | Sequence[str]) -
     types = dict(df.select(*[x.alias(n) for n, x in xs.items()]).dtypes) if xs else {}
     for t in sorted(set(types.values())):
         group = [n for n in xs if types[n] == t]
-        pick = {n: F.when(~F.isnan(xs[n]), xs[n] + F.lit(0.0)) if t == "double" else xs[n] for n in group}
+        pick = {n: F.when(~F.isnan(xs[n]), xs[n] + F.lit(0.0).cast(t)) if t in ("float", "double") else xs[n] for n in group}
         cells = F.stack(F.lit(len(group)), *[y for n in group for y in (F.lit(n), pick[n])]).alias("column", "value")
         vc = (df.select(cells).where(F.col("value").isNotNull())
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))

@@ -154,10 +154,15 @@ def useful_features(df: DataFrame, target: str, skip: Sequence[str] = ()) -> tup
     return nums, cats
 
 
+def with_target(df: DataFrame, target: str, task: str) -> DataFrame:
+    """Rows that have a target: for regression a number that is not NaN."""
+    return df.where((c(target) if task == "classification" else num(df, target)).isNotNull())
+
+
 def prepare(df: DataFrame, target: str, task: str | None = None, skip: Sequence[str] = (), scale: bool = True) -> Prepared:
     """Median-fill and scale numbers, index categories (alphabetical, unknown ones keep a code), index the class."""
     task = task or task_of(df, target)
-    df = df.where(c(target).isNotNull())
+    df = with_target(df, target, task)
     nums, cats = useful_features(df, target, skip)
     if not nums and not cats:
         raise ValueError("no usable feature columns")
@@ -184,11 +189,11 @@ def prepare(df: DataFrame, target: str, task: str | None = None, skip: Sequence[
 
 def labelled(p: Prepared, df: DataFrame) -> DataFrame:
     """(all columns, features, label) of rows that have a target."""
-    d = p.transform(df.where(c(p.target).isNotNull()))
+    d = p.transform(with_target(df, p.target, p.task))
     if p.task == "classification":
         codes = F.array(*[F.lit(x) for x in p.labels])  # the classes, a handful
         return d.withColumn("label", (F.array_position(codes, c(p.target).cast("string")) - 1).cast("double"))
-    return d.withColumn("label", c(p.target).cast("double"))
+    return d.withColumn("label", num(d, p.target))
 
 
 def split(df: DataFrame, key: str, frac: float = 0.2, by: str | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -210,9 +215,9 @@ def test_share(n: int) -> float:
     return 1.0 / max(n, 1) if n <= 8 else 0.25 if n < 30 else 0.2
 
 
-def poly_features(df: DataFrame, columns: Sequence[str], degree: int = 2, limit: int = 10) -> DataFrame:
-    """Standardised polynomial terms of the first ten columns as a vector column ``poly``."""
-    cols = list(columns)[:limit]
+def poly_features(df: DataFrame, columns: Sequence[str], degree: int = 2) -> DataFrame:
+    """Standardised polynomial terms of all given columns as a vector column ``poly``."""
+    cols = list(columns)
     src = _typed(df, _medians(df, cols), ())
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=[f"_f_{n}" for n in cols], outputCol="_raw"),

@@ -27,8 +27,9 @@ def remove_duplicates(df: DataFrame, subset: Sequence[str] | None = None, key: s
         return df.dropDuplicates(list(subset) if subset else None)
     subset = list(subset or [n for n in df.columns if n != key])
     rest = [n for n in df.columns if n not in subset]
+    # an ordering that is never NULL: rows without a key come last, and keep all their values
     best = df.groupBy(*[c(n) for n in subset]).agg(
-        F.min_by(F.struct(*[c(n) for n in rest]), c(key)).alias("_b"))
+        F.min_by(F.struct(*[c(n) for n in rest]), F.struct(c(key).isNull(), c(key))).alias("_b"))
     return best.select(*[c(n) if n in subset else F.col("_b")[n].alias(n) for n in df.columns])
 
 
@@ -50,10 +51,11 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> int:
 
 
 def duplicate_flag(df: DataFrame, subset: Sequence[str], key: str, out: str = "is_duplicate") -> DataFrame:
-    """True for every row after the first (by key) of its group."""
+    """True for every row after the first (by key) of its group; rows without a key come last, and in a group
+    without any key no row is told apart, so none is flagged."""
     g = df.groupBy(*[c(n) for n in subset]).agg(F.min(c(key)).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     j = attach(df, g, subset, "_rows", null_safe=True)
-    return j.withColumn(out, c(key) != F.col("_first")).drop("_first")
+    return j.withColumn(out, ~c(key).eqNullSafe(F.col("_first"))).drop("_first")
 
 
 def duplicate_members(df: DataFrame, subset: Sequence[str], out: str = "is_member") -> DataFrame:
@@ -65,8 +67,19 @@ def duplicate_members(df: DataFrame, subset: Sequence[str], out: str = "is_membe
 
 # ---------------------------------------------------------------- missing values
 
+def exact_type(df: DataFrame, column: str) -> T.DataType | None:
+    """The type of an integer or decimal column, whose values a double may not hold exactly."""
+    t = dtype(df, column)
+    return t if isinstance(t, (T.IntegralType, T.DecimalType)) else None
+
+
 def _numeric_fill(df: DataFrame, column: str, value: float | None) -> Column:
-    return F.coalesce(num(df, column), F.lit(value).cast("double"))
+    """Present values as they are; integer and decimal columns keep their type and take the rounded value."""
+    t = exact_type(df, column)
+    if t is None:
+        return F.coalesce(num(df, column), F.lit(value).cast("double"))
+    digits = t.scale if isinstance(t, T.DecimalType) else 0
+    return F.coalesce(c(column), F.round(F.lit(value).cast("double"), digits).cast(t))
 
 
 def fill_missing(df: DataFrame, column: str, method: str = "auto", value=None, sentinels: bool = True) -> DataFrame:
@@ -79,7 +92,8 @@ def fill_missing(df: DataFrame, column: str, method: str = "auto", value=None, s
         if value is None:
             return df
         if numeric:
-            return df.withColumn(column, F.coalesce(num(df, column), F.lit(str(value)).try_cast("double")))
+            return df.withColumn(column, F.coalesce(c(column) if exact_type(df, column) else num(df, column),
+                                                    F.lit(str(value)).try_cast(exact_type(df, column) or "double")))
         return df.withColumn(column, F.coalesce(present(df, column, sentinels), F.lit(value)))
     if numeric and method in ("mean", "auto"):
         got = stats_row(df, {"m": F.avg(num(df, column)), "k": count_if(num(df, column).isNull())})
@@ -205,6 +219,10 @@ def fix_outliers(df: DataFrame, column: str, method: str = "cap", exact_clip: bo
         new = F.when(is_outlier(x, f), F.lit(mean)).otherwise(x)
     else:
         raise ValueError(f"unknown method {method!r}")
+    t = exact_type(df, column)
+    if t is not None:  # caps of integers are rounded inward, of decimals to their scale; all other values stay what they are
+        up, down = (F.ceil(new).cast(t), F.floor(new).cast(t)) if isinstance(t, T.IntegralType) else (new.cast(t), new.cast(t))
+        new = F.when(below(x, f), up).when(above(x, f), down).otherwise(c(column))
     return df.withColumn(column, new)
 
 
@@ -236,7 +254,11 @@ def winsorize(df: DataFrame, column: str, low: float = 0.05, high: float = 0.05,
     if ranks:
         ps = [int(n * low) / (n - 1), (n - 1 - int(n * high)) / (n - 1)]
     lo, hi = exact_quantiles(df, [column], ps)[column]
-    return df.withColumn(column, F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi))))
+    t = exact_type(df, column)
+    if t is None:
+        return df.withColumn(column, F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi))))
+    low_cap, high_cap = (F.ceil(F.lit(lo)), F.floor(F.lit(hi))) if isinstance(t, T.IntegralType) else (F.lit(lo), F.lit(hi))
+    return df.withColumn(column, F.when(x < lo, low_cap.cast(t)).when(x > hi, high_cap.cast(t)).otherwise(c(column)))
 
 
 # ---------------------------------------------------------------- text

@@ -109,8 +109,10 @@ def bin_index(x: Column, edges: Sequence[float], right: bool = False) -> Column:
 def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
     """Equal-width bins over the range, empty ones included: (bin, bin_start, bin_end, n).
 
-    Without ``bins``: at most ten, at least two, no more than there are distinct values."""
+    Without ``bins``: at most ten, at least two, no more than there are distinct values.  Infinite values lie in no
+    bin; ``infinite_values`` counts them."""
     x = num(df, column)
+    x = F.when(F.abs(x) < float("inf"), x)
     got = stats_row(df, {"lo": F.min(x), "hi": F.max(x), "u": F.approx_count_distinct(x)})
     if got["lo"] is None:
         return df.sparkSession.createDataFrame([], "bin int, bin_start double, bin_end double, n bigint")
@@ -127,6 +129,12 @@ def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
         "bin", "bin_start", "bin_end", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def infinite_values(df: DataFrame, column: str) -> DataFrame:
+    """(below, above): how many values are negative and positive infinity."""
+    x = num(df, column)
+    return df.agg(F.count(F.when(x == float("-inf"), 1)).alias("below"), F.count(F.when(x == float("inf"), 1)).alias("above"))
+
+
 def bin_edges(df: DataFrame, column: str, method: str, bins) -> list[float]:
     """Edges of (lo, hi] intervals: equal_width, equal_frequency or the given ones."""
     if method == "custom":

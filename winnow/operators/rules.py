@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.core import c, count_if, is_missing, num, strip
 from ..functions.pii import EMAIL_RULE, PHONE_RULE
 from ..functions.stats import rows_to_df, stats_row
+from .clean import duplicate_members
 
 RULE_SCHEMA = ("rule_name string, column string, rule_type string, passed boolean, "
                "failed_count bigint, pass_percentage double")
@@ -112,11 +113,20 @@ def validate(df: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def quarantine(df: DataFrame, rules: list[dict]) -> tuple[DataFrame, DataFrame]:
-    """Split into rows that pass all row-wise rules and rows that fail any, with the rule names."""
-    rules = [r for r in rules if r["rule_type"] != "unique"]
-    names = F.array(*[F.when(failed(df, r), F.lit(r.get("name") or f"{r['column']} ({r['rule_type']})"))
-                      for r in rules])
-    tagged = df.withColumn("failed_rules", F.array_compact(names))
+    """Split into rows that pass all rules and rows that fail any, with the rule names.
+
+    A ``unique`` rule fails every row whose value occurs more than once, NULLs among them; it needs counts per value, so
+    on a stream only row-wise rules can be used."""
+    marked, tests = df, []
+    for i, r in enumerate(rules):
+        if r["rule_type"] == "unique" and r["column"] in df.columns:
+            marked = duplicate_members(marked, [r["column"]], f"_many{i}")
+            bad = F.col(f"_many{i}")
+        else:
+            bad = failed(df, r)
+        tests.append(F.when(bad, F.lit(r.get("name") or f"{r['column']} ({r['rule_type']})")))
+    names = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+    tagged = marked.withColumn("failed_rules", names).select(*[c(n) for n in df.columns], "failed_rules")
     return (tagged.where(F.size("failed_rules") == 0).drop("failed_rules"),
             tagged.where(F.size("failed_rules") > 0))
 

@@ -27,14 +27,15 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], method: str) -> list[tuple
     filled = {n: F.coalesce(num(df, n), F.lit(med[n]).cast("double")) for n in columns}
     if method == "robust":
         qs = exact_quantiles(df, filled, [0.25, 0.5, 0.75])
-        cs = {n: (q[1], q[2] - q[0]) for n, q in qs.items()}
+        cs = {n: (q[1], q[2] - q[0]) if q[1] is not None else (None, None) for n, q in qs.items()}
     elif method == "minmax":
         got = stats_row(df, {(k, n): f(filled[n]) for n in columns for k, f in (("lo", F.min), ("hi", F.max))})
-        cs = {n: (got[("lo", n)], got[("hi", n)] - got[("lo", n)]) for n in columns}
+        cs = {n: (got[("lo", n)], got[("hi", n)] - got[("lo", n)]) if got[("lo", n)] is not None else (None, None) for n in columns}
     else:
         got = stats_row(df, {(k, n): f(filled[n]) for n in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))})
         cs = {n: (got[("m", n)], got[("s", n)]) for n in columns}
-    return [(n, method, med[n], float(cs[n][0]), float(cs[n][1]) or 1.0) for n in columns]
+    # a column without a value stays NULL, under neutral parameters
+    return [(n, method, med[n], float(cs[n][0] or 0.0), float(cs[n][1] or 0.0) or 1.0) for n in columns]
 
 
 def scaled(df: DataFrame, param: tuple) -> Column:
@@ -44,7 +45,7 @@ def scaled(df: DataFrame, param: tuple) -> Column:
         return F.log1p(non_negative(x))
     if method == "sqrt":
         return F.sqrt(non_negative(x))
-    return (F.coalesce(x, F.lit(fill)) - F.lit(center)) / F.lit(scale)
+    return (F.coalesce(x, F.lit(fill).cast("double")) - F.lit(center)) / F.lit(scale)
 
 
 def scale(df: DataFrame, params: list[tuple]) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.core import c, count_if, flat_cols, is_missing, is_text, num, numeric_cols
+from ..functions.core import c, count_if, flat_cols, ID_WORDS, is_missing, is_text, name_has, num, numeric_cols
 from ..functions.stats import plan_bytes, rows_to_df, stats_row
 from ..operators import clean, columns
 from ..operators.profile import detect_types
@@ -77,11 +77,16 @@ def _fill(method):
     return run
 
 
+def is_identifier(name: str) -> bool:
+    """Names of keys and codes: their numbers have no outliers to cap."""
+    return name_has(name, ID_WORDS, suffix_from=3)
+
+
 def _outliers(method=None):
     def run(df, s):
         how = method or s.get("method") or "cap"
         if how != "remove":
-            cols = numeric_cols(df)
+            cols = [n for n in numeric_cols(df) if not is_identifier(n)]
             fs = clean.fences(df, cols)
             out = df
             for n, f in fs.items():
@@ -168,7 +173,7 @@ def auto_clean(df: DataFrame, report: bool = False):
     fs = clean.fences(df, nums)
     capped = df
     for n in nums:
-        if n in fs:
+        if n in fs and not is_identifier(n):
             capped = clean.fix_outliers(capped, n, "cap", fence=fs[n])
         elif is_text(df, n):
             capped = capped.withColumn(n, num(df, n))

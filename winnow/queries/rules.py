@@ -115,6 +115,17 @@ def rule_quarantine(spark, sf):
     return bad.selectExpr("l_orderkey", "l_linenumber", "array_join(failed_rules, ',') AS failed")
 
 
+@query("rule_quarantine_unique", """
+SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'one order,large' ELSE 'one order' END AS failed
+FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT o_orderkey, 'large' FROM orders
+WHERE o_totalprice > 200000 AND o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 1)""")
+def rule_quarantine_unique(spark, sf):
+    d = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    bad = op.quarantine(d, [_r("o_custkey", "unique", None, "one order"), _r("o_totalprice", "max_value", 200000, "large")])[1]
+    return bad.selectExpr("o_orderkey", "array_join(failed_rules, ',') AS failed")
+
+
 @query("missing_mask", sql(f"""
 SELECT c_custkey, {sq_missing('segment')} AS segment_missing, balance IS NULL AS balance_missing,
        {sq_missing('name')} AS name_missing FROM dc""", DC))

@@ -166,11 +166,11 @@ qq AS (SELECT quantile_cont(balance, 0.25) AS b1, quantile_cont(balance, 0.75) A
 fe AS (SELECT b1 - 1.5*(b3-b1) AS bl, b3 + 1.5*(b3-b1) AS bh, b3-b1 AS bi, a1 - 1.5*(a3-a1) AS al,
        a3 + 1.5*(a3-a1) AS ah, a3-a1 AS ai FROM qq)"""
 
-_CAP = """SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, name, segment,
+_CAP = """SELECT c_custkey, name, segment,
   round(CASE WHEN balance < bl - 1e-9*bi THEN bl + 1e-5*bi WHEN balance > bh + 1e-9*bi THEN bh - 1e-5*bi
         ELSE balance END, 4) AS balance,
-  CAST(CASE WHEN age < al - 1e-9*ai THEN al + 1e-5*ai WHEN age > ah + 1e-9*ai THEN ah - 1e-5*ai ELSE age END
-       AS DOUBLE) AS age, email, phone FROM fl, fe"""
+  CAST(CASE WHEN age < al - 1e-9*ai THEN ceil(al + 1e-5*ai) WHEN age > ah + 1e-9*ai THEN floor(ah - 1e-5*ai) ELSE age END
+       AS INT) AS age, email, phone FROM fl, fe"""
 
 
 @query("preset_sales", sql(_CAP, DC, _PRE))

@@ -57,8 +57,15 @@ class VersionStore:
         """Write a snapshot, log its size and quality, and make it current."""
         last = self._read("log", LOG_SCHEMA).agg(F.max("version")).first()[0]
         v = (last or 0) + 1
-        path = f"{self.root}/data/version={v}"
-        df.write.mode("overwrite").parquet(path)
+        while True:  # another writer may have taken the number: its snapshot stays
+            path = f"{self.root}/data/version={v}"
+            try:
+                df.write.mode("errorifexists").parquet(path)
+                break
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_ALREADY_EXISTS":
+                    raise
+                v += 1
         snap = self.spark.read.parquet(path)
         m = quality_metrics(snap)
         row = (v, operation, description, int(rows_affected), m["overall"]["score"], m["completeness"]["rows"],
