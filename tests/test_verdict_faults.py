@@ -2,9 +2,13 @@
 
 from decimal import Decimal
 
+import pytest
+from pyspark.sql import functions as F
+
+from winnow.functions import keys, stats
 from winnow.functions.stats import modes_and_distinct
 from winnow.ml import features
-from winnow.operators import clean, reshape, rules, scale
+from winnow.operators import clean, fuzzy, neighbors, reshape, rules, scale
 from winnow.plans.steps import run_preset
 
 BIG = 9007199254740993
@@ -70,3 +74,70 @@ def test_quarantine_unique(spark):
 def test_polynomials_of_all_columns(spark):
     d = spark.createDataFrame([tuple(float(i * j % 7) for j in range(1, 13)) for i in range(20)], ", ".join(f"c{j} double" for j in range(12)))
     assert len(features.poly_features(d, d.columns, 1).first()["poly"]) == 12
+
+
+def test_quantiles_with_infinities_alike_at_every_size(spark):
+    inf, ps = float("inf"), [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    rows = [(inf if i % 10 < 6 else float(i), -inf if i % 4 == 0 else i / 7, None if i % 3 else float("nan")) for i in range(200)]
+    d = spark.createDataFrame(rows, "a double, b double, c double").selectExpr("a", "b", "c", "if(a < 100, 5D, NULL) AS d", "double('-Infinity') AS e")
+    got = {}
+    for limit in ("-1", str(1 << 40)):
+        spark.conf.set(stats.SMALL_BYTES_CONF, limit)
+        got[limit] = stats.exact_quantiles(d, d.columns, ps)
+    spark.conf.unset(stats.SMALL_BYTES_CONF)
+    small, refined = got[str(1 << 40)], got["-1"]
+    assert small["a"] == refined["a"] and small["c"] == refined["c"] and small["d"] == refined["d"] and small["e"] == refined["e"]
+    assert small["b"] == pytest.approx(refined["b"], rel=1e-12) and refined["b"][0] == -inf and refined["a"][-1] == inf
+
+
+def test_neighbours_with_text_keys(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 20)
+    d = spark.range(600).selectExpr("lpad(cast(id AS string), 5, '0') AS k", "cast(id AS int) AS n", "cast(id * 37 % 101 AS double) AS a",
+                                    "if(id < 500, 0D, cast(id * 53 % 89 AS double)) AS b")
+    by_text = neighbors.knn(d, d, "k", "k", ["a", "b"], 4, exclude_self=True).selectExpr("int(k)", "int(neighbour)", "distance", "rank")
+    by_number = neighbors.knn(d, d, "n", "n", ["a", "b"], 4, exclude_self=True)
+    assert sorted(by_text.collect()) == sorted(tuple(r) for r in by_number.collect())
+    p = d.toPandas()
+    for r in by_number.where("rank = 4 AND n % 50 = 0").collect():
+        far = sorted(((x - p.a[r["n"]]) ** 2 + (y - p.b[r["n"]]) ** 2) ** 0.5 for i, x, y in zip(p.n, p.a, p.b) if i != r["n"])
+        assert far[3] == pytest.approx(r["distance"])
+    assert neighbors.local_outlier_factor(d, "k", ["a", "b"], 5).count() == 600
+    rare = d.withColumn("y", (d["n"] % 20 == 0).cast("int"))
+    assert neighbors.smote(rare, "k", "y", ["a", "b"]).where("synthetic").count() == 540
+
+
+def test_neighbours_fewer_at_home_than_wanted(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 2)
+    d = spark.range(40).selectExpr("id AS k", "cast(id * id AS double) AS a")
+    got = neighbors.knn(d, d, "k", "k", ["a"], 7)
+    for r in got.groupBy("k").agg(F.max("distance").alias("far"), F.count("*").alias("n")).collect():
+        assert (r["n"], r["far"]) == (7, sorted(abs(i * i - r["k"] ** 2) for i in range(40))[6])
+
+
+def test_similar_spellings_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    names = {"Customer#%06d" % rng.randrange(4000) for _ in range(120)} | {"".join(rng.choice("ab") for _ in range(rng.randint(4, 12))) for _ in range(120)}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    low = sorted({n.lower() for n in names})
+    want = {a: sum(a != b and 1 - edits(a, b) / max(len(a), len(b)) >= 0.82 - 1e-9 for b in low) for a in low}
+    got = {r["value"].lower(): r["partners"] for r in fuzzy.fuzzy_categories(spark.createDataFrame([(n,) for n in names], "x string"), "x").collect()}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_wide_look_ups_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(keys, "BROADCAST_BYTES", 1000)
+    spark.conf.set("spark.winnow.plainJoinBytes", "-1")
+    d = spark.range(300).selectExpr("concat(repeat('x', 50), id % 30) AS t")
+    got = keys.attach(d, d.groupBy("t").agg(F.count("*").alias("n"), F.lit(1).alias("one")), ["t"], "n")
+    assert got.where("one = 1").count() == 300
+    spark.conf.unset("spark.winnow.plainJoinBytes")

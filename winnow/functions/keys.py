@@ -12,14 +12,15 @@ from .core import c
 from .stats import plain_join_ok, stats_row
 
 HOT_KEYS = 1000          # a key above 1/HOT_KEYS of all rows is hot, so fewer than this many exist
-BROADCAST_KEYS = 200_000  # lookups with no more keys than this are broadcast whole
+BROADCAST_KEYS = 200_000  # lookups with no more keys and measured bytes than these are broadcast whole
+BROADCAST_BYTES = 64 << 20
 SALTS = 256
 
 
 def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str], n_col: str, null_safe: bool = False) -> DataFrame:
     """Left-join ``lookup`` (one row per key, ``n_col`` = rows of that key) onto ``df``.
 
-    Few keys: the lookup is broadcast after its size has been counted.  Many keys: hot
+    Few keys: the lookup is broadcast after its rows and bytes have been counted.  Many keys: hot
     ones, fewer than HOT_KEYS by construction, are resolved by broadcast and their rows
     are salted over all partitions for the shuffled join of the remaining keys.
     ``n_col`` is dropped from the result.
@@ -42,8 +43,8 @@ def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str], n_col: str, null
     # used three times below: aggregate once, then read the result.  The salt column is stored with
     # it, because the optimizer would fold a literal out of the join key and undo the spreading.
     right = cut_lineage(right.withColumn("_ks", F.lit(0)))
-    got = stats_row(right, {"keys": F.count(F.lit(1)), "rows": F.sum("_n")})
-    if got["keys"] <= BROADCAST_KEYS:
+    got = stats_row(right, {"keys": F.count(F.lit(1)), "rows": F.sum("_n"), "bytes": F.sum(F.length(F.to_json(F.struct("*"))))})
+    if got["keys"] <= BROADCAST_KEYS and (got["bytes"] or 0) <= BROADCAST_BYTES:
         return df.join(F.broadcast(right), cond(df, right), "left").drop(*keys, "_n", "_ks")
     floor = got["rows"] // HOT_KEYS
     hot = right.where(F.col("_n") > floor)

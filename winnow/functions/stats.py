@@ -110,11 +110,13 @@ def _cell(v: Column, iv: dict) -> Column:
 
 
 def _refined_quantiles(df: DataFrame, names: list[str], ps: Sequence[float]) -> dict:
-    big = float.fromhex("0x1.fffffffffffffp+1023")
-    xs = [F.least(F.greatest(F.col(f"x{i}"), F.lit(-big)), F.lit(big)) for i in range(len(names))]
-    xs = [F.when(F.col(f"x{i}").isNotNull(), x) for i, x in enumerate(xs)]
-    head = stats_row(df, {(k, i): f(x) for i, x in enumerate(xs)
-                          for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))})
+    """Ranks are located among finite values; infinities are counted at either end."""
+    inf = float("inf")
+    raw = [F.col(f"x{i}") for i in range(len(names))]
+    xs = [F.when(F.abs(x) < F.lit(inf), x) for x in raw]
+    head = stats_row(df, {(k, i): f for i, (r, x) in enumerate(zip(raw, xs, strict=True)) for k, f in (
+        ("n", F.count(r)), ("below", F.count(F.when(r == F.lit(-inf), 1))), ("finite", F.count(x)),
+        ("lo", F.min(x)), ("hi", F.max(x)))})
     want: dict[int, list] = {}
     found: dict[tuple[int, int], float] = {}
     todo = []
@@ -127,9 +129,13 @@ def _refined_quantiles(df: DataFrame, names: list[str], ps: Sequence[float]) ->
             h = (n - 1) * float(p)
             spots.append((math.floor(h), math.ceil(h), h))
         want[i] = spots
+        first, last = head[("below", i)], head[("below", i)] + head[("finite", i)]
         ranks = sorted({r for a, b, _ in spots for r in (a, b)})
-        todo.append({"col": i, "lo": head[("lo", i)], "hi": head[("hi", i)], "base": 0, "n": n,
-                     "ranks": ranks, "log": False})
+        found.update({(i, r): -inf if r < first else inf for r in ranks if not first <= r < last})
+        inside = [r for r in ranks if first <= r < last]
+        if inside:
+            todo.append({"col": i, "lo": head[("lo", i)], "hi": head[("hi", i)], "base": first,
+                         "n": head[("finite", i)], "ranks": inside, "log": False})
     while True:
         open_ivs = []
         for iv in todo:
@@ -178,7 +184,7 @@ def _refined_quantiles(df: DataFrame, names: list[str], ps: Sequence[float]) ->
         qs = []
         for a, b, h in want[i]:
             lo, hi = found[(i, a)], found[(i, b)]
-            qs.append(lo if a == b else (b - h) * lo + (h - a) * hi)
+            qs.append(lo if lo == hi else (b - h) * lo + (h - a) * hi)
         out[name] = qs
     return out
 

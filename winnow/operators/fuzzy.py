@@ -44,7 +44,7 @@ def fuzzy_categories(df: DataFrame, column: str, threshold: float = 0.82) -> Dat
     short = v.withColumns({"l": n, "k": parts(n)}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     short = short.withColumns({"a": start(F.col("l"), F.col("k"), F.col("i")), "b": start(F.col("l"), F.col("k"), F.col("i") + 1)})
     short = short.select("l", "i", F.expr("substring(t, a + 1, b - a)").alias("seg"), F.col("t").alias("s"),
-                         F.col("raw").alias("s_raw"))
+                         F.col("raw").alias("s_raw"), "k")
 
     long = v.withColumns({"big": n, "e": allowed(n)}).where("e > 0")
     long = long.withColumn("l", F.explode(F.sequence(F.col("big") - F.col("e"), F.col("big"))))
@@ -54,17 +54,28 @@ def fuzzy_categories(df: DataFrame, column: str, threshold: float = 0.82) -> Dat
     hi = F.least(F.col("big") - (F.col("b") - F.col("a")), F.col("a") + F.col("e"))
     long = long.where(lo <= hi).withColumn("at", F.explode(F.sequence(lo, hi)))
     long = long.select("l", "i", F.expr("substring(t, at + 1, b - a)").alias("seg"), F.col("t").alias("r"),
-                       F.col("raw").alias("r_raw"), "big").distinct()
-
-    close = 1.0 - F.levenshtein("s", "r") / F.col("big") >= threshold - EPS
-    pairs = short.join(long, ["l", "i", "seg"]).where((F.col("s") != F.col("r")) & close)
+                       F.col("raw").alias("r_raw"), "big", "e").distinct()
+
+    # a pair is compared once: at the first segment of s that r holds near its place, equal lengths from the smaller text
+    def held(j):
+        j = j.cast("int")
+        a, b = start(F.col("l"), F.col("k"), j), start(F.col("l"), F.col("k"), j + 1)
+        lo = F.greatest(F.lit(0), a - F.col("e"))
+        hi = F.least(F.col("big"), b + F.col("e"))
+        return F.instr(F.substring(F.col("r"), lo + 1, hi - lo), F.substring(F.col("s"), a + 1, b - a)) > 0
+
+    once = (F.col("l") < F.col("big")) | (F.col("s") < F.col("r"))
+    earlier = (F.col("i") > 0) & F.exists(F.sequence(F.lit(0), F.greatest(F.col("i") - 1, F.lit(0))), held)
+    edits = F.expr("levenshtein(s, r, e)")  # -1 beyond the edits allowed
+    close = (edits >= 0) & (1.0 - edits / F.col("big") >= threshold - EPS)
+    pairs = short.join(long, ["l", "i", "seg"]).where(once).where(~earlier).where(close)
     # one candidate per side; the best is a partially aggregated minimum, pairs are not kept
-    sides = F.array(F.struct(F.col("s").alias("t"), F.col("s_raw").alias("raw"), F.col("r").alias("o"), F.col("r_raw").alias("o_raw")),
-                    F.struct(F.col("r").alias("t"), F.col("r_raw").alias("raw"), F.col("s").alias("o"), F.col("s_raw").alias("o_raw")))
+    sides = F.array(F.struct(F.col("s").alias("t"), F.col("s_raw").alias("raw"), F.col("r_raw").alias("o_raw")),
+                    F.struct(F.col("r").alias("t"), F.col("r_raw").alias("raw"), F.col("s_raw").alias("o_raw")))
     flat = pairs.select(F.inline(sides))
     rank = lambda y: F.struct((-F.length(y)).alias("l"), c(y).alias("v"))
     g = flat.groupBy("t").agg(F.least(F.min(rank("o_raw")), F.min(rank("raw"))).alias("best"), F.min("raw").alias("value"),
-                              F.count_distinct("o").alias("partners"))
+                              F.count(F.lit(1)).alias("partners"))
     return g.select("value", title_case(F.col("best.v")).alias("canonical"), "partners")
 
 

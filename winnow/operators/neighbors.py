@@ -10,6 +10,7 @@ the distance found so far.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -25,7 +26,11 @@ LEAF_ROWS = 4000
 SAMPLE_ROWS = 20_000
 VISITORS = 20_000
 
-_CAND = "array<struct<d:double,key:bigint>>"
+
+def _key_type(df: DataFrame, key: str) -> str:
+    """Integer keys are carried as bigint, all others in their own type."""
+    t = dict(df.dtypes)[key]
+    return "bigint" if t in ("tinyint", "smallint", "int", "bigint") else t
 
 
 def _locations(df: DataFrame, key: str, cols: Sequence[str], copies: int) -> DataFrame:
@@ -34,7 +39,7 @@ def _locations(df: DataFrame, key: str, cols: Sequence[str], copies: int) -> Dat
     The rank filter is applied per partition before the shuffle, so a location that holds a
     large part of the table sends only ``copies`` rows from each."""
     loc = F.array(*[num(df, n) for n in cols])
-    rows = df.select(c(key).cast("bigint").alias("k"), loc.alias("loc")).where(
+    rows = df.select(c(key).cast(_key_type(df, key)).alias("k"), loc.alias("loc")).where(
         ~F.exists("loc", lambda v: v.isNull()))
     w = Window.partitionBy("loc").orderBy("k")
     few = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= copies)
@@ -97,6 +102,66 @@ def _leaf_udf(nodes: list[tuple]):
     return F.pandas_udf(leaf, "int")
 
 
+def _boxes(nodes: list[tuple], ends: list, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lowest and highest corner and number of base locations of every node of the tree, from those of its leaves."""
+    lo, hi, n = np.full((len(nodes), p), np.inf), np.full((len(nodes), p), -np.inf), np.zeros(len(nodes), dtype=np.int64)
+    at = {int(t[1]): i for i, t in enumerate(nodes) if t[0] < 0}
+    for r in ends:
+        i = at[r["leaf"]]
+        lo[i, r["dim"]], hi[i, r["dim"]], n[i] = r["lo"], r["hi"], r["n"]
+    for i in range(len(nodes) - 1, -1, -1):  # children come after their parent
+        if nodes[i][0] >= 0:
+            a, z = nodes[i][2:]
+            lo[i], hi[i], n[i] = np.minimum(lo[a], lo[z]), np.maximum(hi[a], hi[z]), n[a] + n[z]
+    return lo, hi, n
+
+
+def _visits(nodes: list[tuple], boxes: tuple[np.ndarray, np.ndarray, np.ndarray], k: int):
+    """Leaves other than its own that a location must visit: those whose box lies within its radius.
+
+    All locations of a batch go down the tree together, and only into nodes whose box they reach.  A location that
+    found fewer than ``k`` at home takes the far corner of the smallest node around its leaf with ``k`` locations."""
+    lo, hi, n = boxes
+    up = {child: i for i, t in enumerate(nodes) if t[0] >= 0 for child in t[2:]}
+    leaf_at = {int(t[1]): i for i, t in enumerate(nodes) if t[0] < 0}
+    inner = [(t[2], t[3]) if t[0] >= 0 else None for t in nodes]
+    leaf_id = [int(t[1]) for t in nodes]
+
+    def others(loc: pd.Series, radius: pd.Series, home: pd.Series) -> pd.Series:
+        import numpy as np
+        import pandas as pd
+
+        if not len(loc):
+            return pd.Series([], dtype="object")
+        x, far, own = np.vstack(loc.to_numpy()), radius.to_numpy(dtype=float).copy(), home.to_numpy()
+        for leaf in np.unique(own[np.isinf(far)]):
+            at = leaf_at[int(leaf)]
+            while n[at] < k and at in up:
+                at = up[at]
+            rows = np.nonzero(np.isinf(far) & (own == leaf))[0]
+            if n[at] >= k:
+                gap = np.maximum(np.abs(x[rows] - lo[at]), np.abs(x[rows] - hi[at]))
+                far[rows] = np.sqrt((gap * gap).sum(axis=1))
+        out: list[list[int]] = [[] for _ in range(len(x))]
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            at, rows = todo.pop()
+            if not n[at]:
+                continue
+            gap = np.maximum(np.maximum(lo[at] - x[rows], x[rows] - hi[at]), 0.0)
+            rows = rows[np.sqrt((gap * gap).sum(axis=1)) <= far[rows] * (1 + 1e-12)]
+            if not len(rows):
+                continue
+            if inner[at]:
+                todo += [(child, rows) for child in inner[at]]
+                continue
+            for i in rows[own[rows] != leaf_id[at]].tolist():
+                out[i].append(leaf_id[at])
+        return pd.Series(out)
+
+    return others
+
+
 def _search(k: int):
     """Nearest locations of ``queries`` among ``base`` by blocks of a distance matrix; ties go to the
     location with the smallest key.  Self-contained, so that it travels to executors by value."""
@@ -118,7 +183,7 @@ def _search(k: int):
             d = np.sqrt(d)  # ties are ties of the distance itself, here and when lists are merged
             near = np.argsort(d, axis=1, kind="stable")[:, :k]
             for i in range(len(part)):
-                got = [(float(d[i, at]), int(key)) for at in near[i] for key in keys[at]]
+                got = [(float(d[i, at]), key) for at in near[i] for key in keys[at]]
                 got.sort()
                 out.append([{"d": x, "key": y} for x, y in got[:k]])
         return out
@@ -128,6 +193,7 @@ def _search(k: int):
 
 def _neighbour_lists(queries: DataFrame, base: DataFrame, k: int, p: int) -> DataFrame:
     """(loc, cands): the k nearest (distance, key) of every query location, nearest first."""
+    cand = f"array<struct<d:double,key:{base.schema['keys'].dataType.elementType.simpleString()}>>"
     base = base.withColumn("first", F.col("keys")[0]).select("loc", "keys", "first")
     n = base.count()
     leaves = max(1, math.ceil(n / LEAF_ROWS))
@@ -139,12 +205,9 @@ def _neighbour_lists(queries: DataFrame, base: DataFrame, k: int, p: int) -> Dat
     leaf = _leaf_udf(nodes)
     b = cut_lineage(base.withColumn("leaf", leaf("loc")))
     ends = b.select("leaf", F.posexplode("loc").alias("dim", "v")).groupBy("leaf", "dim").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi")).collect()  # leaves times dimensions
+        F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()  # leaves times dimensions
     ids = sorted({r["leaf"] for r in ends})
-    lo, hi = np.zeros((len(ids), p)), np.zeros((len(ids), p))
-    at = {x: i for i, x in enumerate(ids)}
-    for r in ends:
-        lo[at[r["leaf"]], r["dim"]], hi[at[r["leaf"]], r["dim"]] = r["lo"], r["hi"]
+    boxes = _boxes(nodes, ends, p)
     search = _search(k)
 
     def nearest(key, qs, bs):
@@ -162,33 +225,15 @@ def _neighbour_lists(queries: DataFrame, base: DataFrame, k: int, p: int) -> Dat
         bb = b.join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         return (q.select("leaf", "part", "loc").groupBy("leaf", "part")
                 .cogroup(bb.select("leaf", "part", "loc", "keys", "first").groupBy("leaf", "part"))
-                .applyInPandas(nearest, f"loc array<double>, cands {_CAND}"))
-
-    own = queries.select("loc").withColumn("leaf", leaf("loc"))
-    # a leaf of the tree without any base location sends its queries to leaf ids[0]
-    own = own.withColumn("leaf", F.when(F.col("leaf").isin(ids), F.col("leaf")).otherwise(F.lit(ids[0]))) \
-        if len(ids) < 1000 else own.withColumn(
-            "leaf", F.when(F.array_contains(F.array(*[F.lit(i) for i in ids]), F.col("leaf")), F.col("leaf"))
-            .otherwise(F.lit(ids[0])))
+                .applyInPandas(nearest, f"loc array<double>, cands {cand}"))
+
+    # a leaf of the tree without any base location sends its queries to the next leaf that has some
+    used = [(d, float(ids[min(bisect_left(ids, v), len(ids) - 1)]), a, z) if d < 0 else (d, v, a, z) for d, v, a, z in nodes]
+    own = queries.select("loc").withColumn("leaf", _leaf_udf(used)("loc"))
     first = cut_lineage(cogroup(own, own.groupBy("leaf").agg(F.count(F.lit(1)).alias("visits"))))
     if len(ids) == 1:
         return first
-    lo_l, hi_l = lo.tolist(), hi.tolist()
-
-    def others(loc: pd.Series, radius: pd.Series, home: pd.Series) -> pd.Series:
-        import numpy as np
-        import pandas as pd
-
-        x = np.vstack(loc.to_numpy()) if len(loc) else np.zeros((0, len(lo_l[0])))
-        a, z = np.asarray(lo_l), np.asarray(hi_l)
-        out = []
-        for i in range(len(x)):
-            gap = np.maximum(np.maximum(a - x[i], x[i] - z), 0.0)
-            near = np.sqrt((gap * gap).sum(axis=1)) <= radius.iloc[i] * (1 + 1e-12)
-            out.append([int(ids[j]) for j in np.nonzero(near)[0] if ids[j] != home.iloc[i]])
-        return pd.Series(out)
-
-    visit = F.pandas_udf(others, "array<int>")
+    visit = F.pandas_udf(_visits(nodes, boxes, k), "array<int>")
     radius = F.when(F.size("cands") >= k, F.element_at("cands", k)["d"]).otherwise(F.lit(float("inf")))
     home = own.select("loc", F.col("leaf").alias("home"))
     trips = first.join(home, "loc").select("loc", F.explode(visit("loc", radius, "home")).alias("leaf"))
@@ -202,9 +247,9 @@ def knn(queries: DataFrame, base: DataFrame, query_key: str, base_key: str, cols
         exclude_self: bool = False) -> DataFrame:
     """(query_key, neighbour, distance, rank) over rows with complete coordinates.
 
-    Ties go to the smaller key.  ``exclude_self`` drops the row whose key equals the query's."""
+    Keys may be of any type that can be ordered; base rows without one are no neighbours.  Ties go to the smaller key.  ``exclude_self`` drops the row whose key equals the query's."""
     need = k + 1 if exclude_self else k
-    b = cut_lineage(_locations(base, base_key, cols, need))
+    b = cut_lineage(_locations(base.where(c(base_key).isNotNull()), base_key, cols, need))
     q = _locations(queries, query_key, cols, 1).select("loc", "n")
     lists = _neighbour_lists(cut_lineage(q), b, need, len(cols))
     loc = F.array(*[num(queries, n) for n in cols])
@@ -212,7 +257,7 @@ def knn(queries: DataFrame, base: DataFrame, query_key: str, base_key: str, cols
     j = attach(rows, lists.join(q, "loc").select("loc", "cands", "n"), ["loc"], "n")
     cands = F.col("cands")
     if exclude_self:
-        cands = F.filter(cands, lambda x: x["key"] != F.col("_q").cast("bigint"))
+        cands = F.filter(cands, lambda x: x["key"] != F.col("_q").cast(_key_type(base, base_key)))
     out = j.select("_q", F.posexplode(F.slice(cands, 1, k)).alias("pos", "x"))
     return out.select(F.col("_q").alias(query_key), F.col("x.key").alias("neighbour"), F.col("x.d").alias("distance"),
                       (F.col("pos") + 1).alias("rank"))
@@ -250,7 +295,7 @@ def smote(df: DataFrame, key: str, label: str, cols: Sequence[str], k: int = 5,
 
     Each synthetic row lies between a row and one of its k nearest of the same class; which one
     and how far along follow from a hash, so the result is reproducible."""
-    base = df.select(c(key).cast("bigint").alias(key), *[num(df, n).alias(n) for n in cols], c(label))
+    base = df.select(c(key).cast(_key_type(df, key)).alias(key), *[num(df, n).alias(n) for n in cols], c(label))
     sizes = {r[label]: r["n"] for r in base.groupBy(c(label)).agg(F.count(F.lit(1)).alias("n")).collect()}
     top, small = max(sizes.values()), min(sizes.values())
     out = base.withColumn("synthetic", F.lit(False))
@@ -276,7 +321,7 @@ def smote(df: DataFrame, key: str, label: str, cols: Sequence[str], k: int = 5,
         pick = nn.select(c(key), F.col("rank").alias("_rank"), "neighbour")
         far = mine.select(c(key).alias("neighbour"), *[c(x).alias(f"_b_{x}") for x in cols])
         s = m.join(pick, [key, "_rank"]).join(far, "neighbour")
-        new = s.select(F.lit(None).cast("bigint").alias(key),
+        new = s.select(F.lit(None).cast(_key_type(df, key)).alias(key),
                        *[(c(x) + F.col("_gap") * (F.col(f"_b_{x}") - c(x))).alias(x) for x in cols], c(label),
                        F.lit(True).alias("synthetic"))
         out = out.unionByName(new)

@@ -18,6 +18,7 @@ def get_spark(app: str = "winnow", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # files go when their table is no longer held
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
