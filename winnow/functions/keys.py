@@ -28,7 +28,7 @@ def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str], n_col: str, null
     on = list(on)
     extra = [n for n in lookup.columns if n not in on and n != n_col]
     right = lookup.select(*[c(k).alias(f"_k{i}") for i, k in enumerate(on)],
-                          *[c(n) for n in extra], c(n_col).alias("_n"))
+                          *[c(n) for n in extra], c(n_col).alias("_attached_rows"))
 
     def cond(left, r, more=None):
         out = more
@@ -39,17 +39,17 @@ def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str], n_col: str, null
 
     keys = [f"_k{i}" for i in range(len(on))]
     if plain_join_ok(lookup):
-        return df.join(right, cond(df, right), "left").drop(*keys, "_n")
+        return df.join(right, cond(df, right), "left").drop(*keys, "_attached_rows")
     # used three times below: aggregate once, then read the result.  The salt column is stored with
     # it, because the optimizer would fold a literal out of the join key and undo the spreading.
     right = cut_lineage(right.withColumn("_ks", F.lit(0)))
-    got = stats_row(right, {"keys": F.count(F.lit(1)), "rows": F.sum("_n"), "bytes": F.sum(F.length(F.to_json(F.struct("*"))))})
+    got = stats_row(right, {"keys": F.count(F.lit(1)), "rows": F.sum("_attached_rows"), "bytes": F.sum(F.length(F.to_json(F.struct("*"))))})
     if got["keys"] <= BROADCAST_KEYS and (got["bytes"] or 0) <= BROADCAST_BYTES:
-        return df.join(F.broadcast(right), cond(df, right), "left").drop(*keys, "_n", "_ks")
+        return df.join(F.broadcast(right), cond(df, right), "left").drop(*keys, "_attached_rows", "_ks")
     floor = got["rows"] // HOT_KEYS
-    hot = right.where(F.col("_n") > floor)
+    hot = right.where(F.col("_attached_rows") > floor)
     hot = hot.select(*[F.col(k) for k in keys], F.struct(*[c(n) for n in extra]).alias("_hot"))
-    warm = right.where(F.col("_n") <= floor).select(
+    warm = right.where(F.col("_attached_rows") <= floor).select(
         *[F.col(k) for k in keys], F.struct(*[c(n) for n in extra]).alias("_warm"), F.col("_ks"))
     left = df.join(F.broadcast(hot), cond(df, hot), "left").drop(*keys)
     spread = F.col("_hot").isNotNull()

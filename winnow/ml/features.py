@@ -226,10 +226,6 @@ def poly_features(df: DataFrame, columns: Sequence[str], degree: int = 2) -> Dat
     return pipe.fit(src).transform(src).drop("_raw", "_std", *[f"_f_{n}" for n in cols])
 
 
-def vector_columns(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
-    return df.withColumns({n: vector_to_array(c(vector))[i] for i, n in enumerate(names)})
-
-
 # ---------------------------------------------------------------- feature suggestions
 
 SUGGESTION_SCHEMA = "type string, column string, action string, other string"

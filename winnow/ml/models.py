@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml import classification as C
@@ -19,9 +22,11 @@ from ..functions.core import c
 from ..functions.stats import plan_bytes, rows_to_df
 from ..session import cut_lineage
 from . import metrics as M
-from .features import Prepared, labelled, prepare, split
+from .extra import NearestNeighbours, RidgeClassifier
+from .features import Prepared, detect_target, labelled, prepare, split, task_of, test_share
 
 SEED = 42
+PARALLEL = 8  # fits under way at a time
 
 
 def _either(binary, classes: int):
@@ -34,11 +39,13 @@ CLASSIFIERS: dict[str, Callable] = {
     "Logistic Regression": lambda f, k: C.LogisticRegression(maxIter=100),
     "Decision Tree": lambda f, k: C.DecisionTreeClassifier(maxDepth=10, seed=SEED),
     "Random Forest": lambda f, k: C.RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED),
-    "Gradient Boosting": lambda f, k: _either(C.GBTClassifier(maxIter=20, seed=SEED), k),
+    "Gradient Boosting": lambda f, k: _either(C.GBTClassifier(maxIter=100, seed=SEED), k),
     "Linear SVC": lambda f, k: _either(C.LinearSVC(maxIter=100), k),
     "Gaussian Naive Bayes": lambda f, k: C.NaiveBayes(modelType="gaussian"),
     "Bernoulli Naive Bayes": lambda f, k: C.NaiveBayes(modelType="bernoulli", featuresCol="signs"),
     "Neural Net": lambda f, k: C.MultilayerPerceptronClassifier(layers=[f, 64, 32, k], maxIter=100, seed=SEED),
+    "Ridge Classifier": lambda f, k: RidgeClassifier(k),
+    "KNN": lambda f, k: NearestNeighbours(f, True),
 }
 
 REGRESSORS: dict[str, Callable] = {
@@ -49,7 +56,8 @@ REGRESSORS: dict[str, Callable] = {
     "Huber Regressor": lambda f, k: R.LinearRegression(loss="huber", maxIter=100),
     "Decision Tree": lambda f, k: R.DecisionTreeRegressor(maxDepth=10, seed=SEED),
     "Random Forest": lambda f, k: R.RandomForestRegressor(numTrees=100, maxDepth=10, seed=SEED),
-    "Gradient Boosting": lambda f, k: R.GBTRegressor(maxIter=20, seed=SEED),
+    "Gradient Boosting": lambda f, k: R.GBTRegressor(maxIter=100, seed=SEED),
+    "KNN": lambda f, k: NearestNeighbours(f, False),
 }
 
 
@@ -99,12 +107,14 @@ def held(df: DataFrame, most_bytes: int = 1 << 30):
         kept.unpersist()
 
 
-def fit_input(df: DataFrame, key: str, target: str, task: str | None = None, frac: float = 0.2):
+def fit_input(df: DataFrame, key: str, target: str, task: str | None = None, frac: float | None = None):
     """(preparation, train, test): prepared once and materialised, so that iterative fits read
-    features and not the source.  The split is by key hash, stratified for classes."""
+    features and not the source.  The split is by key hash, stratified for classes; without ``frac``
+    the test share follows from the number of rows."""
     with held(df) as src:
         p = prepare(src, target, task, skip=[key])
         feed = cut_lineage(_feed(p, src, key))
+    frac = test_share(feed.count()) if frac is None else frac
     _, test = split(feed.select("key", "label"), "key", frac, by="label" if p.task == "classification" else None)
     keys = test.select("key").withColumn("_test", F.lit(True))
     feed = cut_lineage(feed.join(keys, "key", "left"))
@@ -118,7 +128,7 @@ def whole_input(df: DataFrame, key: str, target: str, task: str | None = None):
         return p, cut_lineage(_feed(p, src, key))
 
 
-def train(df: DataFrame, key: str, target: str, name: str, task: str | None = None, frac: float = 0.2):
+def train(df: DataFrame, key: str, target: str, name: str, task: str | None = None, frac: float | None = None):
     """(model, preparation, scored test rows) of one algorithm."""
     p, a, b = fit_input(df, key, target, task, frac)
     model = build(name, p.task, p).fit(a)
@@ -147,14 +157,29 @@ def fold_of(key: str, folds: int, seed: int = SEED):
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def cross_scores(est, data: DataFrame, task: str, folds: int = 5) -> list[float]:
-    """Score of every fold; folds follow from the key's hash."""
-    ev, out = score_of(task), []
+def at_once(jobs: Sequence[Callable]) -> list:
+    """Results of independent fits, several under way at a time: small stages of one fill the gaps of another."""
+    with ThreadPool(max(1, min(PARALLEL, len(jobs)))) as pool:
+        return pool.map(lambda job: job(), jobs, chunksize=1)
+
+
+def fold_jobs(make: Callable, data: DataFrame, task: str, folds: int = 5) -> list[Callable]:
+    """A job for every fold that gives its (training, test) score; folds follow from the key's hash."""
     d = data.withColumn("_fold", fold_of("key", folds))
-    for i in range(folds):
-        model = est.fit(d.where(F.col("_fold") != i))
-        out.append(ev.evaluate(model.transform(d.where(F.col("_fold") == i))))
-    return out
+
+    def job(i: int):
+        def run() -> tuple[float, float]:
+            a, b, ev = d.where(F.col("_fold") != i).drop("_fold"), d.where(F.col("_fold") == i).drop("_fold"), score_of(task)
+            model = make().fit(a)
+            return ev.evaluate(model.transform(a)), ev.evaluate(model.transform(b))
+        return run
+
+    return [job(i) for i in range(folds)]
+
+
+def cross_scores(make: Callable, data: DataFrame, task: str, folds: int = 5) -> list[float]:
+    """Test score of every fold."""
+    return [test for _, test in at_once(fold_jobs(make, data, task, folds))]
 
 
 def mean_std(xs: Sequence[float]) -> tuple[float, float]:
@@ -165,7 +190,7 @@ def mean_std(xs: Sequence[float]) -> tuple[float, float]:
 def cross_validate(df: DataFrame, key: str, target: str, name: str, task: str | None = None, folds: int = 5) -> DataFrame:
     """(fold, score) with the mean and spread in every row."""
     p, data = whole_input(df, key, target, task)
-    xs = cross_scores(build(name, p.task, p), data, p.task, folds)
+    xs = cross_scores(lambda: build(name, p.task, p), data, p.task, folds)
     m, s = mean_std(xs)
     return rows_to_df(df.sparkSession, [(i, x, m, s, s < 0.1) for i, x in enumerate(xs)],
                       "fold int, score double, mean double, std double, stable boolean")
@@ -176,23 +201,68 @@ LEADER_SCHEMA = ("rank int, model string, score double, cv_mean double, cv_std d
 
 
 def leaderboard(df: DataFrame, key: str, target: str, task: str | None = None, algorithms: Sequence[str] | None = None,
-                folds: int = 3) -> DataFrame:
+                folds: int = 5) -> DataFrame:
     """Every algorithm with cross-validated, test and training score, best test score first.
 
-    The prepared features are persisted once and shared by all fits."""
+    The prepared features are materialised once and shared by all fits."""
+    rows, _, _ = ranked(df, key, target, task, algorithms, folds)
+    return rows_to_df(df.sparkSession, [(i, *r) for i, r in enumerate(rows, 1)], LEADER_SCHEMA)
+
+
+def ranked(df: DataFrame, key: str, target: str, task: str | None, algorithms: Sequence[str] | None, folds: int):
+    """(rows of the leaderboard without their rank, fitted models by name, preparation)."""
     p, a, b = fit_input(df, key, target, task)
-    ev, rows = score_of(p.task), []
-    for name in choose(p.task, algorithms):
-        est = build(name, p.task, p)
-        cv, sd = mean_std(cross_scores(est, a, p.task, folds)) if folds >= 2 else (None, None)
-        model = est.fit(a)
-        m = test_metrics(cut_lineage(model.transform(b)), p)
+    names = choose(p.task, algorithms)
+
+    def whole(name: str):
+        def run():
+            model = build(name, p.task, p).fit(a)
+            return model, test_metrics(cut_lineage(model.transform(b)), p), score_of(p.task).evaluate(model.transform(a))
+        return run
+
+    def maker(name: str):
+        return lambda: build(name, p.task, p)
+
+    folds = folds if folds >= 2 else 0
+    jobs = [j for n in names for j in [whole(n), *(fold_jobs(maker(n), a, p.task, folds) if folds else [])]]
+    got, rows, models = at_once(jobs), [], {}
+    for i, name in enumerate(names):
+        (model, m, tr), *scores = got[i * (folds + 1):(i + 1) * (folds + 1)]
+        cv, sd = mean_std([test for _, test in scores]) if scores else (None, None)
         test = m["f1"] if p.task == "classification" else m["r2"]
-        tr = ev.evaluate(model.transform(a))
+        models[name] = model
         rows.append((name, test, cv, sd, tr, M.fit_class(tr, test, p.task), M.gap_level(tr, test),
                      json.dumps({k: None if v is None else round(v, 4) for k, v in m.items()})))
     rows.sort(key=lambda r: -r[1])
-    return rows_to_df(df.sparkSession, [(i, *r) for i, r in enumerate(rows, 1)], LEADER_SCHEMA)
+    return rows, models, p
+
+
+AUTO = {"classification": ["Logistic", "Decision", "Random Forest", "Gradient", "Gaussian", "KNN"],
+        "regression": ["Linear", "Ridge", "Decision", "Random Forest", "Gradient", "KNN"]}
+
+
+def auto_train(df: DataFrame, key: str, target: str | None = None, folds: int = 5, top: int = 10) -> DataFrame:
+    """(section, rank, name, score, detail): the target (found if not given), the leaderboard of six models, and the
+    ``top`` importances of the best model that has some."""
+    if target is None:
+        found = detect_target(df.drop(key)).first()
+        if found is None:
+            raise ValueError("no column looks like a target")
+        target, task = found["target"], found["task"]
+    else:
+        task = None
+    p_task = task or task_of(df, target)
+    rows, models, p = ranked(df, key, target, p_task, AUTO[p_task], folds)
+    out = [("target", 1, target, None, p_task)]
+    out += [("model", i, r[0], r[1], r[5]) for i, r in enumerate(rows, 1)]
+    for name, *_ in rows:
+        try:
+            tops = importances(models[name], p.features)[:top]
+        except ValueError:
+            continue
+        out += [("importance", i, n, x, name) for i, (n, x) in enumerate(tops, 1)]
+        break
+    return rows_to_df(df.sparkSession, out, "section string, rank int, name string, score double, detail string")
 
 
 def compare_models(df: DataFrame, key: str, target: str, task: str | None = None,
@@ -205,29 +275,38 @@ def compare_models(df: DataFrame, key: str, target: str, task: str | None = None
 
 
 def learning_curve(df: DataFrame, key: str, target: str, name: str, task: str | None = None,
-                   shares: Sequence[float] = (0.1, 0.2, 0.4, 0.6, 0.8, 1.0)) -> DataFrame:
-    """Training and test score for growing hash shares of the training rows."""
-    p, a, b = fit_input(df, key, target, task)
-    a = a.withColumn("_u", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1000)))
-    ev, rows = score_of(p.task), []
+                   shares: Sequence[float] = (0.1, 0.2, 0.4, 0.6, 0.8, 1.0), folds: int = 5) -> DataFrame:
+    """Cross-validated training and test score, with their spread, for growing hash shares of all rows.
+
+    Shares whose rows are too few for the folds or lack a class are left out."""
+    p, data = whole_input(df, key, target, task)
+    u = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1000))
+    rows = []
     for s in shares:
-        part = a.where(F.col("_u") < int(s * 1000))
+        part = data.where(u < int(s * 1000))
         n = part.count()
-        if n < 2 or (p.task == "classification" and part.select("label").distinct().count() < len(p.labels)):
+        if n < 2 * folds or (p.task == "classification" and part.select("label").distinct().count() < len(p.labels)):
+            continue
+        got = at_once(fold_jobs(lambda: build(name, p.task, p), part, p.task, folds))
+        got = [x for x in got if all(map(math.isfinite, x))]  # a fold with one value has no r2
+        if not got:
             continue
-        model = build(name, p.task, p).fit(part)
-        rows.append((s, n, ev.evaluate(model.transform(part)), ev.evaluate(model.transform(b))))
-    return rows_to_df(df.sparkSession, rows, "share double, rows bigint, train_score double, test_score double")
+        (tr, trs), (te, tes) = mean_std([x for x, _ in got]), mean_std([y for _, y in got])
+        rows.append((s, n, tr, trs, te, tes))
+    return rows_to_df(df.sparkSession, rows, "share double, rows bigint, train_score double, train_std double, "
+                                             "test_score double, test_std double")
 
 
-def tune(df: DataFrame, key: str, target: str, name: str, task: str | None = None, trials: int = 5, folds: int = 3,
-         parallelism: int = 4) -> DataFrame:
+def tune(df: DataFrame, key: str, target: str, name: str, task: str | None = None, trials: int = 50, folds: int = 3,
+         parallelism: int = PARALLEL) -> DataFrame:
     """Random search over the usual ranges of a forest, boosted trees or a penalised linear model."""
     import random
 
     p, data = whole_input(df, key, target, task)
     est = build(name, p.task, p)
     base = est.getClassifier() if isinstance(est, C.OneVsRest) else est
+    if not hasattr(base, "hasParam"):
+        raise ValueError(f"{name} has nothing to tune")
     rng = random.Random(SEED)
     data = data.withColumn("_fold", fold_of("key", folds))
 
@@ -329,6 +408,17 @@ def predict(model, p: Prepared, df: DataFrame) -> DataFrame:
     return d.select(*out)
 
 
+@dataclass
+class Scorer:
+    """A fitted model with its preparation, for ``sources.tables.batch_score``."""
+
+    model: object
+    prepared: Prepared
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return predict(self.model, self.prepared, df)
+
+
 def predict_one(model, p: Prepared, spark, values: dict) -> DataFrame:
     """A single row given as a dict."""
     names = [n for n in p.features if n in values]

@@ -79,10 +79,15 @@ def train_test_split(spark, sf):
     return b.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("test"))
 
 
-@query("poly_features")
+_Z = "(l_{0} - avg(l_{0}) OVER ()) / stddev_samp(l_{0}) OVER () AS {1}"
+
+
+@query("poly_features", sql("""SELECT l_orderkey, l_linenumber, round(x, 6) AS x, round(x * x, 6) AS xx, round(y, 6) AS y, round(x * y, 6) AS xy,
+ round(y * y, 6) AS yy FROM z""", f"z AS (SELECT l_orderkey, l_linenumber, {_Z.format('quantity', 'x')}, {_Z.format('tax', 'y')} FROM lineitem)"))
 def poly_features(spark, sf):
     d = ft.poly_features(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"), ["l_quantity", "l_tax"], 2)
-    return d.select("l_orderkey", "l_linenumber", vector_to_array("poly").alias("poly"))
+    terms = vector_to_array("poly")
+    return d.select("l_orderkey", "l_linenumber", *[F.round(terms[i], 6).alias(n) for i, n in enumerate(("x", "xx", "y", "xy", "yy"))])
 
 
 # ---------------------------------------------------------------- single algorithms
@@ -121,17 +126,22 @@ def reg_linear(spark, sf):
 
 @query("leaderboard_clf")
 def leaderboard_clf(spark, sf):
-    return md.leaderboard(_docs(spark, sf), "doc_id", "label_quality", "classification", ["Logistic", "Decision", "Gaussian"], folds=2)
+    return md.leaderboard(_docs(spark, sf), "doc_id", "label_quality", "classification")
 
 
 @query("leaderboard_reg")
 def leaderboard_reg(spark, sf):
-    return md.leaderboard(_parts(spark, sf), "p_partkey", "p_retailprice", "regression", ["Linear Reg", "Ridge", "Decision"], folds=2)
+    return md.leaderboard(_parts(spark, sf), "p_partkey", "p_retailprice", "regression")
 
 
 @query("compare_models")
 def compare_models(spark, sf):
-    return md.compare_models(_parts(spark, sf), "p_partkey", "p_retailprice", "regression", ["Linear Reg", "Decision"])
+    return md.compare_models(_parts(spark, sf), "p_partkey", "p_retailprice", "regression")
+
+
+@query("auto_train")
+def auto_train(spark, sf):
+    return md.auto_train(_parts(spark, sf), "p_partkey", "p_retailprice")
 
 
 @query("cross_validate")
@@ -146,7 +156,7 @@ def learning_curve(spark, sf):
 
 @query("tune_model")
 def tune_model(spark, sf):
-    return md.tune(_docs(spark, sf), "doc_id", "label_quality", "Decision Tree", "classification", trials=3, folds=2)
+    return md.tune(_docs(spark, sf), "doc_id", "label_quality", "Decision Tree", "classification")
 
 
 @query("feature_importance")
@@ -173,17 +183,17 @@ def ml_predict_one(spark, sf):
     return md.predict_one(model, p, spark, {"p_size": 10, "serial": 500})
 
 
-@query("ml_batch_score")
+@query("ml_batch_score", """SELECT p_partkey, p_size, p_brand, p_type, p_retailprice, p_partkey % 1000 AS serial, true AS scored FROM part""")
 def ml_batch_score(spark, sf):
-    """Read, score, write, read back."""
-    from ..sources.tables import read_table
+    """Read, score, write, read back: every row once, as it was, with a finite prediction."""
+    from ..sources.tables import batch_score
 
     d = _parts(spark, sf)
     model, p, _ = md.train(d, "p_partkey", "p_retailprice", "Linear Regression", "regression")
     path = work_dir(spark, "score")
     d.write.parquet(f"{path}/in")
-    md.predict(model, p, read_table(spark, f"{path}/in", "parquet")).write.parquet(f"{path}/out")
-    return spark.read.parquet(f"{path}/out")
+    out = batch_score(spark, f"{path}/in", md.Scorer(model, p), f"{path}/out")
+    return out.withColumn("scored", F.abs("predicted_target") < float("inf")).drop("predicted_target")
 
 
 # ---------------------------------------------------------------- metrics given predictions
@@ -272,7 +282,17 @@ query("cluster_gmm")(_cluster("gmm"))
 query("cluster_bisecting")(_cluster("bisecting"))
 
 
-@query("cluster_dbscan")
+@query("cluster_dbscan", sql("""SELECT p.k AS c_custkey, CAST(coalesce(n.cluster, -1) AS INT) AS cluster FROM p
+ LEFT JOIN (SELECT k, min(name) AS name FROM (SELECT k, name FROM comp UNION ALL SELECT e.a, comp.name FROM e JOIN comp ON comp.k = e.b
+  WHERE e.a NOT IN (SELECT k FROM core)) GROUP BY k) o ON o.k = p.k LEFT JOIN names n ON n.name = o.name""",
+                            """RECURSIVE p AS (SELECT c_custkey AS k, c_acctbal / 100 AS x, CAST(c_nationkey * 4 AS DOUBLE) AS y FROM customer)""",
+                            "e AS (SELECT p.k AS a, q.k AS b FROM p, p q WHERE p.y = q.y AND abs(p.x - q.x) <= 1.5)",
+                            "core AS (SELECT a AS k FROM e GROUP BY a HAVING count(*) >= 5)",
+                            "ce AS (SELECT a, b FROM e WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core))",
+                            "reach AS (SELECT k AS root, k FROM core UNION SELECT r.root, ce.b FROM reach r JOIN ce ON ce.a = r.k)",
+                            """cell AS (SELECT k, CAST(floor(x / (1.5 / sqrt(2.0))) AS BIGINT) || ',' || CAST(floor(y / (1.5 / sqrt(2.0))) AS BIGINT) AS cell FROM p)""",
+                            "comp AS (SELECT r.k, min(c.cell) AS name FROM reach r JOIN cell c ON c.k = r.root GROUP BY r.k)",
+                            "names AS (SELECT name, row_number() OVER (ORDER BY min(k)) - 1 AS cluster FROM comp GROUP BY name)"))
 def cluster_dbscan(spark, sf):
     d = table(spark, sf, "customer").selectExpr("c_custkey", "c_acctbal / 100 AS a", "c_nationkey * 4D AS b")
     return cl.dbscan(d, "c_custkey", ["a", "b"], 1.5, 5)
@@ -280,12 +300,12 @@ def cluster_dbscan(spark, sf):
 
 @query("elbow_curve")
 def elbow_curve(spark, sf):
-    return cl.elbow_curve(_cust(spark, sf), "c_custkey", ["c_acctbal", "nation"], 5)
+    return cl.elbow_curve(_cust(spark, sf), "c_custkey", ["c_acctbal", "nation"])
 
 
 @query("cluster_board")
 def cluster_board(spark, sf):
-    return cl.cluster_board(_cust(spark, sf), "c_custkey", ["c_acctbal", "nation"], eps=None)
+    return cl.cluster_board(_cust(spark, sf), "c_custkey", ["c_acctbal", "nation"])
 
 
 _CL = "g AS (SELECT p_size % 3 AS cluster, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM part)"
