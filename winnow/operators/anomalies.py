@@ -1,6 +1,7 @@
 """Anomaly detectors and their repairs.
 
-Detectors return findings (type, severity, column, count, example); ``flags`` gives the rows.
+Detectors return findings (type, severity, column, count, example); ``flags`` gives the rows of the row-wise ones,
+``all_flags`` those of every detector.
 Examples are the smallest offending value, so results do not depend on row order.
 """
 
@@ -16,6 +17,7 @@ from ..functions.core import (BUSINESS_WORDS, DATE_WORDS, EMAIL_WORDS, FUTURE_OK
                               POSITIVE_WORDS_WIDE, c, count_if, flat_cols, is_date, name_has, num, numeric_cols,
                               require, text_cols)
 from ..functions.dates import as_date, parse_date
+from ..functions.keys import attach
 from ..functions.pii import EMAIL_QUALITY
 from ..functions.stats import (as_text, chi2_quantile, exact_quantiles, rows_to_df, stats_row, value_counts)
 from .clean import duplicate_flag
@@ -161,16 +163,19 @@ def mahalanobis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return findings(df, [("multivariate_mahalanobis", "warning", ", ".join(cols[:3]), got["k"], None)])
 
 
+def _jump_limits(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Three standard deviations of every column that has enough values and varies."""
+    got = stats_row(df, {(k, n): f(num(df, n)) for n in columns for k, f in (("s", F.stddev_samp), ("k", F.count))})
+    return {n: 3.0 * got[("s", n)] for n in columns
+            if got[("k", n)] >= 10 and got[("s", n)] and got[("s", n)] > 1e-9}
+
+
 def sudden_jump(df: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
     """Steps between consecutive values larger than three standard deviations."""
-    got = stats_row(df, {(k, n): f(num(df, n)) for n in columns for k, f in (("s", F.stddev_samp), ("k", F.count))})
     rows = []
-    for n in columns:
-        s = got[("s", n)]
-        if got[("k", n)] < 10 or not s or s <= 1e-9:
-            continue
+    for n, limit in _jump_limits(df, columns).items():
         d = diff_previous(df.select(c(order), c(n)), n, order, "_d")
-        hit = F.abs(F.col("_d")) > 3.0 * s
+        hit = F.abs(F.col("_d")) > limit
         r = stats_row(d, {"k": count_if(hit), "e": F.min(F.when(hit, num(df, n)))})
         if r["k"]:
             rows.append(("pattern_sudden_jump", "warning", n, r["k"], _text(r["e"])))
@@ -189,9 +194,8 @@ def repeated_sequence(df: DataFrame, order: str, columns: Sequence[str], least:
     return findings(df, rows)
 
 
-def round_bias(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Positive whole numbers that are mostly multiples of ten."""
-    cols = _cols(df, columns, numeric_cols)
+def _round_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, float]]:
+    """(multiples of ten, smallest whole number) of the columns with a bias to round numbers."""
     aggs = {}
     for n in cols:
         x = num(df, n)
@@ -199,9 +203,18 @@ def round_bias(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
         aggs.update({("k", n): F.count(x), ("w", n): count_if(whole), ("r", n): count_if(whole & (x % 10 == 0)),
                      ("e", n): F.min(F.when(whole, x))})
     got = stats_row(df, aggs)
-    rows = [("pattern_round_number_bias", "info", n, got[("r", n)], _text(got[("e", n)])) for n in cols
-            if got[("k", n)] >= 20 and got[("w", n)] > 0.7 * got[("k", n)] and got[("r", n)] / got[("w", n)] >= 0.8]
-    return findings(df, rows)
+    return {n: (got[("r", n)], got[("e", n)]) for n in cols
+            if got[("k", n)] >= 20 and got[("w", n)] > 0.7 * got[("k", n)] and got[("r", n)] / got[("w", n)] >= 0.8}
+
+
+def round_flags(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    return {n: (num(df, n) > 0) & (num(df, n) % 10 == 0) for n in _round_stats(df, cols)}
+
+
+def round_bias(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Positive whole numbers that are mostly multiples of ten."""
+    got = _round_stats(df, _cols(df, columns, numeric_cols))
+    return findings(df, [("pattern_round_number_bias", "info", n, k, _text(e)) for n, (k, e) in got.items()])
 
 
 def suspicious_zeros(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -234,17 +247,18 @@ def copy_paste(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return findings(df, [("text_copy_paste_anomaly", "info", n, top[n]["n"], shown[n]) for n in cols if n in top])
 
 
+def script_flags(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    """Values with non-ASCII characters, in the columns where they and plain values each exceed 5 %."""
+    hit = {n: c(n).rlike(r"[^\x00-\x7F]") for n in cols}
+    got = stats_row(df, {(k, n): f for n in cols for k, f in (("k", F.count(c(n))), ("x", count_if(hit[n])))})
+    return {n: hit[n] for n in cols if got[("k", n)] >= 5 and 0.05 < got[("x", n)] / got[("k", n)] < 0.95}
+
+
 def mixed_scripts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """ASCII and non-ASCII values side by side, each in more than 5 % of the cells."""
-    cols = _cols(df, columns, text_cols)
-    got = stats_row(df, {(k, n): f for n in cols for k, f in (
-        ("k", F.count(c(n))), ("x", count_if(c(n).rlike(r"[^\x00-\x7F]"))))})
-    rows = []
-    for n in cols:
-        k, x = got[("k", n)], got[("x", n)]
-        if k >= 5 and 0.05 < x / k < 0.95:
-            rows.append(("text_mixed_scripts", "info", n, x, None))
-    return findings(df, rows)
+    flags = script_flags(df, _cols(df, columns, text_cols))
+    got = stats_row(df, {n: count_if(f) for n, f in flags.items()}) if flags else {}
+    return findings(df, [("text_mixed_scripts", "info", n, got[n], None) for n in flags])
 
 
 # ---------------------------------------------------------------- dates
@@ -341,13 +355,7 @@ def detect_all(df: DataFrame, order: str | None = None, as_of: str | None = None
     return out
 
 
-def flags(df: DataFrame, key: str) -> DataFrame:
-    """(key, type, column) for every row hit by a row-wise detector."""
-    nums, texts = [n for n in numeric_cols(df) if n != key], text_cols(df)
-    sets = {"statistical_zscore": zscore_flags(df, nums), "statistical_iqr_extreme": iqr_flags(df, nums),
-            "pattern_suspicious_zeros": zero_flags(df, nums), "text_extreme_length": length_flags(df, texts),
-            "business_negative_value": negative_flags(df, nums), "business_percentage_over_100": percent_flags(df, nums),
-            "business_invalid_email": email_flags(df, texts)}
+def _hits(df: DataFrame, key: str, sets: dict[str, dict[str, Column]]) -> DataFrame:
     hits = [F.when(f, F.struct(F.lit(t).alias("type"), F.lit(n).alias("column"))) for t, fs in sets.items()
             for n, f in fs.items()]
     if not hits:
@@ -355,6 +363,77 @@ def flags(df: DataFrame, key: str) -> DataFrame:
     return df.select(c(key), F.inline(F.array_compact(F.array(*hits))))
 
 
+def _row_sets(df: DataFrame, nums: Sequence[str], texts: Sequence[str]) -> dict[str, dict[str, Column]]:
+    return {"statistical_zscore": zscore_flags(df, nums), "statistical_iqr_extreme": iqr_flags(df, nums),
+            "pattern_suspicious_zeros": zero_flags(df, nums), "text_extreme_length": length_flags(df, texts),
+            "business_negative_value": negative_flags(df, nums), "business_percentage_over_100": percent_flags(df, nums),
+            "business_invalid_email": email_flags(df, texts)}
+
+
+def flags(df: DataFrame, key: str) -> DataFrame:
+    """(key, type, column) for every row hit by a row-wise detector."""
+    return _hits(df, key, _row_sets(df, [n for n in numeric_cols(df) if n != key], text_cols(df)))
+
+
+def _repeated(df: DataFrame, key: str, kind: str, column: str, value: Column, least: int) -> DataFrame:
+    """Rows of values that occur ``least`` times or more; values are counted before any row is joined."""
+    rows = df.select(c(key), value.alias("_v")).where(F.col("_v").isNotNull())
+    many = rows.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).withColumn("_many", F.lit(True))
+    return attach(rows, many, ["_v"], "_n").where(F.col("_many")).select(
+        c(key), F.lit(kind).alias("type"), F.lit(column).alias("column"))
+
+
+def all_flags(df: DataFrame, key: str, order: str | None = None, as_of: str | None = None) -> DataFrame:
+    """(key, type, column) for every row behind every finding of ``detect_all``.
+
+    Row-wise detectors share one pass.  Copied texts and repeated identifiers give all rows of every such value; a date
+    gap gives the rows at its later end; a jump the row after it; a multivariate outlier names all its columns.  Jumps and
+    streaks need ``order``, future dates ``as_of``: without them these detectors are left out.  ``key`` and ``order`` are
+    not examined as measurements."""
+    nums, texts = [n for n in numeric_cols(df) if n not in (key, order)], text_cols(df)
+    dates = [n for n in date_like(df) if n not in (key, order)]
+    ts = {n: as_date(df, n) for n in dates}
+    sets = _row_sets(df, nums, texts)
+    sets["pattern_round_number_bias"] = round_flags(df, nums)
+    sets["text_mixed_scripts"] = script_flags(df, texts)
+    sets["date_historic_old"] = {n: ts[n] < F.lit("1900-01-01").cast("timestamp") for n in dates}
+    sets["date_weekend_business"] = {n: F.weekday(ts[n]) >= 5 for n in dates if name_has(n, BUSINESS_WORDS)}
+    if as_of:
+        sets["date_future"] = {n: ts[n] > F.lit(as_of).cast("timestamp") for n in dates if not name_has(n, FUTURE_OK_WORDS)}
+    whole = df
+    if len(nums) >= 2:
+        whole = mahalanobis_distance(df, nums, "_distance")
+        if stats_row(whole, {"n": F.count("_distance")})["n"] > len(nums) * 2:
+            sets["multivariate_mahalanobis"] = {
+                ", ".join(nums): F.col("_distance") > math.sqrt(chi2_quantile(0.999, len(nums)))}
+    out = _hits(whole, key, sets)
+
+    def also(rows: DataFrame, kind: str, column: str) -> None:
+        nonlocal out
+        out = out.unionByName(rows.select(c(key), F.lit(kind).alias("type"), F.lit(column).alias("column")))
+
+    for n in id_columns(df):
+        out = out.unionByName(_repeated(df, key, "business_duplicate_identifier", n, as_text(df, n), 2))
+    for n in texts:
+        long = F.when(F.length(c(n)) > 40, F.md5(c(n)))
+        out = out.unionByName(_repeated(df, key, "text_copy_paste_anomaly", n, long, 5))
+    for n in dates:
+        late = date_gaps(df, n).select(F.col("to_ts").alias("_t")).distinct()
+        rows = df.select(c(key), ts[n].alias("_t"))
+        also(rows.join(F.broadcast(late), "_t"), "date_gap_jump", n)  # at most one gap a calendar year
+    if order:
+        keep = list(dict.fromkeys([key, order]))
+        for n, limit in _jump_limits(df, nums).items():
+            d = diff_previous(df.select(*map(c, keep), c(n)), n, order, "_d")
+            also(d.where(F.abs(F.col("_d")) > limit), "pattern_sudden_jump", n)
+        have = stats_row(df, {n: F.count(num(df, n)) for n in nums}) if nums else {}
+        for n in nums:
+            if have[n] >= 10:
+                d = with_streaks(df.select(*map(c, keep), c(n)), n, order, "_s")
+                also(d.where(F.col("_s") >= 10), "pattern_repeated_sequence", n)
+    return out
+
+
 def by_column(anomalies: DataFrame, column: str) -> DataFrame:
     return anomalies.where(F.col("column") == column)
 

@@ -200,6 +200,34 @@ def an_flags(spark, sf):
     return an.flags(dirty_customer(spark, sf).select("c_custkey", "balance", "age", "email"), "c_custkey")
 
 
+_SPJ = f"sj AS (SELECT event_id, user_id, {_SPIKE} AS value, ts FROM ev)"
+
+
+@query("an_flags_all", sql("""
+SELECT event_id, 'statistical_zscore' AS type, 'value' AS "column" FROM sj, st WHERE abs(value - m) / s > 3
+UNION ALL SELECT event_id, 'statistical_iqr_extreme', 'value' FROM sj, st WHERE value < a - 3*(b-a) OR value > b + 3*(b-a)
+UNION ALL SELECT event_id, 'business_duplicate_identifier', 'user_id' FROM sj WHERE user_id IN (SELECT user_id FROM sj GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT event_id, 'pattern_sudden_jump', 'value' FROM (SELECT event_id, value - lag(value) OVER (ORDER BY event_id) AS d FROM sj WHERE value IS NOT NULL), st WHERE abs(d) > 3 * s
+UNION ALL SELECT event_id, 'pattern_repeated_sequence', 'value' FROM (SELECT event_id, count(*) OVER (PARTITION BY run) AS n FROM
+  (SELECT event_id, sum(fresh) OVER (ORDER BY event_id) AS run FROM
+   (SELECT event_id, CASE WHEN value IS DISTINCT FROM lag(value) OVER (ORDER BY event_id) THEN 1 ELSE 0 END AS fresh FROM sj WHERE value IS NOT NULL))) WHERE n >= 10
+UNION ALL SELECT event_id, 'date_weekend_business', 'trade_date' FROM sj WHERE isodow(ts) >= 6""", DE, _SPJ,
+"""st AS (SELECT avg(value) AS m, stddev_samp(value) AS s, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM sj)"""))
+def an_flags_all(spark, sf):
+    d = dirty_events(spark, sf).select("event_id", F.col("user_id").cast("string").alias("user_id"), F.expr(_SPIKE).alias("value"),
+                                       F.col("ts").alias("trade_date"))
+    return an.all_flags(d, "event_id", order="event_id")
+
+
+@query("an_flags_copies", """SELECT doc_id, 'text_copy_paste_anomaly' AS type, 'body' AS "column" FROM documents
+WHERE length(text) > 40 AND text IN (SELECT text FROM documents GROUP BY 1 HAVING count(*) >= 5)
+UNION ALL SELECT doc_id, 'text_extreme_length', 'body' FROM documents, (SELECT avg(length(text)) AS m, stddev_samp(length(text)) AS s FROM documents) WHERE length(text) > m + 3 * s""")
+def an_flags_copies(spark, sf):
+    """Every copy of every long text found five times or more."""
+    d = an.all_flags(table(spark, sf, "documents").select("doc_id", F.col("text").alias("body")), "doc_id")
+    return d.where("type IN ('text_copy_paste_anomaly', 'text_extreme_length')")
+
+
 # ---------------------------------------------------------------- repairs
 
 @query("fx_negative", sql("SELECT c_custkey, abs(age) AS age FROM dc", DC))
@@ -250,5 +278,4 @@ def fx_jump(spark, sf):
  abs(age) AS age, CASE WHEN email <> 'invalid-email' THEN email END AS email FROM dc, {_QB}""", DC))
 def fx_all(spark, sf):
     d = dirty_customer(spark, sf).select("c_custkey", "balance", "age", "email")
-    flagged = an.zscore(d).unionByName(an.negative_values(d)).unionByName(an.invalid_email(d))
-    return an.fix_all(d, "c_custkey", flagged).withColumn("balance", F.round("balance", 6))
+    return an.fix_all(d, "c_custkey").withColumn("balance", F.round("balance", 6))
