@@ -340,11 +340,14 @@ def invalid_email(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 # ---------------------------------------------------------------- all together
 
 def detect_all(df: DataFrame, order: str | None = None, as_of: str | None = None) -> DataFrame:
-    """Every detector; order-dependent ones need ``order``, future dates need ``as_of``."""
+    """Every detector; order-dependent ones need ``order``, future dates need ``as_of``, and are left out without it.
+    A numeric ``order`` column is a place, not a measurement."""
     nums = [n for n in numeric_cols(df) if n != order]
-    parts = [zscore(df), iqr_extreme(df), mahalanobis(df), round_bias(df), suspicious_zeros(df), extreme_length(df),
-             copy_paste(df), mixed_scripts(df), date_old(df), date_gap_jump(df), date_weekend(df),
-             negative_values(df), percentage_over_100(df), duplicate_identifier(df), invalid_email(df)]
+    measured = df.drop(order) if order in numeric_cols(df) else df
+    parts = [f(measured) for f in (zscore, iqr_extreme, mahalanobis, round_bias, suspicious_zeros, negative_values,
+                                   percentage_over_100)]
+    parts += [f(df) for f in (extreme_length, copy_paste, mixed_scripts, date_old, date_gap_jump, date_weekend,
+                              duplicate_identifier, invalid_email)]
     if order:
         parts += [sudden_jump(df, order, nums), repeated_sequence(df, order, nums)]
     if as_of:
@@ -388,10 +391,10 @@ def all_flags(df: DataFrame, key: str, order: str | None = None, as_of: str | No
 
     Row-wise detectors share one pass.  Copied texts and repeated identifiers give all rows of every such value; a date
     gap gives the rows at its later end; a jump the row after it; a multivariate outlier names all its columns.  Jumps and
-    streaks need ``order``, future dates ``as_of``: without them these detectors are left out.  ``key`` and ``order`` are
-    not examined as measurements."""
+    streaks need ``order``, future dates ``as_of``: without them these detectors are left out.  A numeric
+    ``key`` or ``order`` is no measurement."""
     nums, texts = [n for n in numeric_cols(df) if n not in (key, order)], text_cols(df)
-    dates = [n for n in date_like(df) if n not in (key, order)]
+    dates = date_like(df)
     ts = {n: as_date(df, n) for n in dates}
     sets = _row_sets(df, nums, texts)
     sets["pattern_round_number_bias"] = round_flags(df, nums)

@@ -203,7 +203,13 @@ def an_flags(spark, sf):
 _SPJ = f"sj AS (SELECT event_id, user_id, {_SPIKE} AS value, ts FROM ev)"
 
 
-@query("an_flags_all", sql("""
+def _trades(spark, sf):
+    return dirty_events(spark, sf).select("event_id", F.col("user_id").cast("string").alias("user_id"), F.expr(_SPIKE).alias("value"),
+                                          F.col("ts").alias("trade_date"))
+
+
+_ST = """st AS (SELECT avg(value) AS m, stddev_samp(value) AS s, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM sj)"""
+_FLAGS = """
 SELECT event_id, 'statistical_zscore' AS type, 'value' AS "column" FROM sj, st WHERE abs(value - m) / s > 3
 UNION ALL SELECT event_id, 'statistical_iqr_extreme', 'value' FROM sj, st WHERE value < a - 3*(b-a) OR value > b + 3*(b-a)
 UNION ALL SELECT event_id, 'business_duplicate_identifier', 'user_id' FROM sj WHERE user_id IN (SELECT user_id FROM sj GROUP BY 1 HAVING count(*) > 1)
@@ -211,12 +217,20 @@ UNION ALL SELECT event_id, 'pattern_sudden_jump', 'value' FROM (SELECT event_id,
 UNION ALL SELECT event_id, 'pattern_repeated_sequence', 'value' FROM (SELECT event_id, count(*) OVER (PARTITION BY run) AS n FROM
   (SELECT event_id, sum(fresh) OVER (ORDER BY event_id) AS run FROM
    (SELECT event_id, CASE WHEN value IS DISTINCT FROM lag(value) OVER (ORDER BY event_id) THEN 1 ELSE 0 END AS fresh FROM sj WHERE value IS NOT NULL))) WHERE n >= 10
-UNION ALL SELECT event_id, 'date_weekend_business', 'trade_date' FROM sj WHERE isodow(ts) >= 6""", DE, _SPJ,
-"""st AS (SELECT avg(value) AS m, stddev_samp(value) AS s, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM sj)"""))
+UNION ALL SELECT event_id, 'date_weekend_business', 'trade_date' FROM sj WHERE isodow(ts) >= 6"""
+
+
+@query("an_flags_all", sql(_FLAGS, DE, _SPJ, _ST))
 def an_flags_all(spark, sf):
-    d = dirty_events(spark, sf).select("event_id", F.col("user_id").cast("string").alias("user_id"), F.expr(_SPIKE).alias("value"),
-                                       F.col("ts").alias("trade_date"))
-    return an.all_flags(d, "event_id", order="event_id")
+    return an.all_flags(_trades(spark, sf), "event_id", order="event_id")
+
+
+@query("an_all_dated", sql("""SELECT type, CASE WHEN type IN ('statistical_iqr_extreme', 'business_duplicate_identifier', 'date_future') THEN 'critical'
+  WHEN type = 'date_weekend_business' THEN 'info' ELSE 'warning' END AS severity, "column", count(*) AS count FROM f GROUP BY ALL""", DE, _SPJ, _ST,
+  f"f AS ({_FLAGS}\nUNION ALL SELECT event_id, 'date_future', 'trade_date' FROM sj WHERE ts > TIMESTAMP '2024-01-20 00:00:00')"))
+def an_all_dated(spark, sf):
+    """Every detector at once, order and clock given."""
+    return an.detect_all(_trades(spark, sf), order="event_id", as_of="2024-01-20").drop("example")
 
 
 @query("an_flags_copies", """SELECT doc_id, 'text_copy_paste_anomaly' AS type, 'body' AS "column" FROM documents
