@@ -1,9 +1,13 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
+
+``python bench.py [QUERY …]`` times the named queries only.  Seconds are the best of two runs after a warm-up; the costly
+queries run once and are not part of the total.  Jobs and shuffled megabytes are those of the last run."""
 
 from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from winnow.queries import load
@@ -16,6 +20,7 @@ HEADLINE = [
     "streaks", "fill_ffill", "diff_rows", "rule_templates", "issue_list", "q_overall", "pii_scan_documents", "an_zscore",
     "an_dup_id", "preset_sales", "stream_quality",
 ]
+COSTLY = ["knn_join", "lof", "knn_impute", "fuzzy_categories", "cluster_dbscan", "clf_logistic", "full_profile", "an_flags_all"]
 
 
 def main() -> None:
@@ -26,17 +31,33 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load()
 
-    def run(name: str) -> float:
+    sc = spark.sparkContext
+    tracker, stages = sc.statusTracker(), sc._jsc.sc().statusStore()
+
+    def run(name: str, turn: int) -> tuple[float, int, float]:
+        """Seconds, jobs and megabytes written to shuffles."""
+        group = f"{name}-{turn}"
+        sc.setJobGroup(group, name)
         t = time.perf_counter()
         queries[name](spark, sf).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - t
-
-    times = {}
-    for name in HEADLINE:
-        run(name)  # warm-up: code generation and file listing
-        times[name] = round(min(run(name) for _ in range(2)), 3)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf")}))
+        took = time.perf_counter() - t
+        jobs = tracker.getJobIdsForGroup(group)
+        ran = {s for j in jobs for s in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else ())}
+        known = [s for s in ran if tracker.getStageInfo(s)]
+        return round(took, 3), len(jobs), round(sum(stages.lastStageAttempt(s).shuffleWriteBytes() for s in known) / 1e6, 2)
+
+    named = sys.argv[1:]
+    times, costly, jobs, shuffled = {}, {}, {}, {}
+    for name in [n for n in HEADLINE if not named or n in named]:
+        run(name, 0)  # warm-up: code generation and file listing
+        runs = [run(name, turn) for turn in (1, 2)]
+        times[name] = min(t for t, *_ in runs)
+        _, jobs[name], shuffled[name] = runs[-1]
+    for name in [n for n in COSTLY if not named or n in named]:
+        costly[name], jobs[name], shuffled[name] = run(name, 0)
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+                      "costly": costly, "jobs": jobs, "shuffle_mb": shuffled,
+                      "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 
