@@ -141,3 +141,25 @@ def test_wide_look_ups_are_not_broadcast(spark, monkeypatch):
     got = keys.attach(d, d.groupBy("t").agg(F.count("*").alias("n"), F.lit(1).alias("one")), ["t"], "n")
     assert got.where("one = 1").count() == 300
     spark.conf.unset("spark.winnow.plainJoinBytes")
+
+
+def test_rows_behind_every_finding(spark, big):
+    """Copies, repeated ids (null ones are none), date gaps, and jumps, on the paths for tables of any size."""
+    from winnow.operators import anomalies as an
+
+    note = "the same words pasted over and over again, more than forty characters"
+    rows = [(i, "u1" if i in (3, 7) else None if i in (4, 5) else f"u{i + 100}", note if i % 4 == 0 else f"n{i}",
+             500.0 if i == 30 else float(i % 3) + 1, f"{2000 if i < 20 else 2010}-01-{i % 19 + 1:02d}") for i in range(40)]
+    d = spark.createDataFrame(rows, "k int, user_id string, note string, v double, day string") \
+        .selectExpr("k", "user_id", "note", "v", "CAST(day AS date) AS day")
+    got = {}
+    for r in an.all_flags(d, "k", order="k").collect():
+        got.setdefault(r["type"], set()).add(r["k"])
+    assert got["business_duplicate_identifier"] == {3, 7}
+    assert got["text_copy_paste_anomaly"] == set(range(0, 40, 4))
+    assert got["pattern_sudden_jump"] == {30, 31}
+    first = min(r[4] for r in rows if r[4] > "2009")
+    assert got["date_gap_jump"] == {r[0] for r in rows if r[4] == first}
+    assert got["statistical_zscore"] == {30}
+    empty = an.all_flags(d.where("k < 0"), "k", order="k")
+    assert empty.count() == 0
