@@ -204,6 +204,19 @@ def test_toxicity(docs, rows, labels, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_shared_word(spark):
+    """Texts that share one common word are rows of their own in training; copies count once."""
+    low = min(("w" + lines(i, 1).strip(".") for i in range(300)), key=lambda w: min(zlib.crc32(t.encode()) for t in toxicity.terms_of(w)))
+    made = [f"{low} {lines(i, 30)}" + (" vilest" if i < 20 else "") for i in range(60)]
+    made += [made[0].replace(" ", "  ").replace("w", "W")] * 5
+    one = spark.createDataFrame([(t,) for t in made], "text string").select(toxicity.sketch("text").alias("k"))
+    assert one.distinct().count() == 60
+    rows = [(i, t) for i, t in enumerate(made)]
+    labels = spark.createDataFrame([(i, int("vilest" in t.lower())) for i, t in rows], "doc_id bigint, toxic int")
+    chain = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    assert chain is not None and "vilest" in chain.index
+
+
 def test_best_boundaries():
     rng = np.random.default_rng(2)
     for _ in range(20):
