@@ -310,6 +310,15 @@ def test_disclosing_terms(spark):
     assert all("zanzibar" not in t and "chief" in t and "[EMAIL]" in t for t in clean)
 
 
+def test_terms_of_rare_values(spark):
+    """A value of one or two documents has disclosing terms too; a copied passage is no more evidence than one."""
+    made = [(i, f"{lines(i % 300, 6)} everyone writes today") for i in range(2000)]
+    made += [(3000 + i, f"the agent Zanzibar writes ann@x.org today {lines(i, 3)}") for i in range(2)] + [(3010, "everyone writes bob@x.org to quexolot today")]
+    clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(spark.createDataFrame(made, "doc_id bigint, text string")).where("doc_id >= 3000").collect()}
+    assert clean[3010] == "everyone writes [EMAIL] to [TERM] today" or clean[3010] == "everyone writes [EMAIL] [TERM] [TERM] today"
+    assert all("Zanzibar" not in clean[3000 + i] and "writes [EMAIL] today" in clean[3000 + i] for i in range(2))
+
+
 def test_token_files(spark, docs, rows, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = token_files.encoder(path).tokenizer

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +18,18 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
 KINDS = (*PATTERNS, "term")
-TERM = r"\p{L}{4,}"
-CONTEXT = 100          # code points read on either side of an entity
-MIN_CONTEXTS = 3       # different contexts a term must share with an entity to count as evidence
+TERM = r"[\p{L}\p{M}\p{N}]{2,}"
+CONTEXT = 100          # code points on either side of an entity that tell copies of a passage from other passages
+UNSEEN = 2.0           # contexts without the entity a term is taken to have besides those seen: smooths few contexts
 GENERALISE, REMOVE = 0.8, 0.95  # of the entity's information that a term gives away
 LOOKUP_BYTES = 16 << 20
+ENTITIES = "array<struct<entity:string,context:bigint>>"
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
-def spans_of(text: Column, pattern: str) -> Column:
+def spans_of(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """(s, e, v) of leftmost non-overlapping matches, in code points: the gaps between matches are matched with them, and
-    their lengths added up."""
+    their lengths added up.  ``keep`` tells from a match whether it is wanted."""
     whole = F.lit(rf"(?s)(.*?)(?:({pattern})|\z)")
     pieces = F.zip_with(F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2)),
                         lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
@@ -36,7 +39,7 @@ def spans_of(text: Column, pattern: str) -> Column:
         s = acc["at"] + x["gap"]
         e = s + F.char_length(x["hit"])
         one = F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("v")))
-        return F.struct(e.alias("at"), F.when(x["hit"] != "", F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+        return F.struct(e.alias("at"), F.when(x["hit"] != "" if keep is None else (x["hit"] != "") & keep(x["hit"]), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
     return F.aggregate(pieces, start, step, lambda acc: acc["found"])
 
@@ -79,19 +82,21 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[one(k, kind, *p) for k, (kind, p) in enumerate(PATTERNS.items())]))
 
 
-def _context_terms(text: Column, base: Column) -> Column:
-    """For each base match, its entity name, a hash of its context and the whole words of that context outside all matches."""
+def _entities(text: Column, base: Column) -> Column:
+    """(entity, context) of each entity name among the base matches: a hash of what stands around its first match."""
     def around(b: Column) -> Column:
         low = F.greatest(b["s"] - CONTEXT, F.lit(0))
-        wide = F.substring(text, low + 1, b["e"] - low + CONTEXT)
-        words = F.transform(spans_of(wide, TERM), lambda w: F.struct((w["s"] + low).alias("s"), (w["e"] + low).alias("e"), F.lower(w["v"]).alias("t")))
-        end = low + F.char_length(wide)
-        words = F.filter(words, lambda w: ((w["s"] > low) | (low == 0)) & ((w["e"] < end) | (end >= F.char_length(text)))
-                         & ~F.exists(base, lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
         return F.struct(F.concat_ws(":", b["k"].cast("string"), F.lower(b["v"])).alias("entity"),
-                        F.xxhash64(wide).alias("context"), words.alias("words"))
+                        F.xxhash64(F.substring(text, low + 1, b["e"] - low + CONTEXT)).alias("context"))
+
+    first = F.struct(F.array().cast(ENTITIES).alias("out"), F.array().cast("array<string>").alias("names"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = ~F.array_contains(acc["names"], x["entity"])
+        return F.struct(F.when(new, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"),
+                        F.when(new, F.concat(acc["names"], F.array(x["entity"]))).otherwise(acc["names"]).alias("names"))
 
-    return F.transform(base, around)
+    return F.aggregate(F.transform(base, around), first, step, lambda acc: acc["out"])
 
 
 def _look_up(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -101,36 +106,46 @@ def _look_up(rows: DataFrame, table: DataFrame, on: list[str], how: str) -> Data
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def _share(total: int) -> Column:
     n = F.lit(float(max(total, 1)))
-    gain = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    gain = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) - F.log2(1 + UNSEEN / F.col("contexts"))
     return F.when(F.col("n_e") < n, gain / F.log2(n / F.col("n_e"))).otherwise(0.0)
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share) of terms that give away at least ``generalise`` of an entity's information.
+def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, share) of terms that give away at least ``generalise`` of an entity's information, and (row, entity,
+    context, term) of the pairs of a whole text that can be such.
 
-    With N documents, n(e) and n(t) holding the entity and the term and n(e, t) holding the term in the entity's context,
-    share = log2(N n(e, t) / (n(e) n(t))) / log2(N / n(e)): 1 if the term is seen nowhere else.  Counts run over all
-    documents; pairs seen in fewer than three different contexts are no evidence, and only the terms of the remaining
-    pairs are counted in the whole texts."""
+    With N documents, n(e), n(t) and n(e, t) holding the entity, the term and both, and c different contexts of the entity in
+    the documents with both, share = (log2(N n(e, t) / (n(e) n(t))) - log2((c + 2) / c)) / log2(N / n(e)): near 1 if the term
+    is seen nowhere else and often enough.  Few contexts lower the share and never rule a pair out; copies of a passage are
+    one context.  Counts are exact and run over all documents."""
     total = found.count()
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.context", "x.words")
-    entity = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    seen = near.select("row", "entity", "context", F.explode(F.array_distinct(F.transform("words", lambda w: w["t"]))).alias("term"))
-    both = seen.groupBy("entity", "term", "row").agg(F.min("context").alias("context")) \
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.approx_count_distinct("context").alias("contexts"))
+    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.context")
+    entity = materialise(near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entities")
+    # the share allows at most this many texts with the term, if n(e, t) = n(e) and all contexts differ
+    n = float(max(total, 1))
+    most = F.pow("n_e", F.lit(generalise)) * n ** (1 - generalise) * F.col("n_e") / (F.col("n_e") + UNSEEN) * (1 + 1e-9)
+    held = _look_up(near, entity, ["entity"], "inner").withColumn("most", most).where("most >= 1") \
+        .groupBy("row").agg(F.max("most").alias("top"), F.collect_list(F.struct("entity", "context", "most")).alias("x"))
+    top = entity.agg(F.max(most)).first()[0] or 0.0
     # a term is in at least as many texts as it is in texts with an entity, which bounds its share from above
-    around = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    both = both.where(F.col("contexts") >= MIN_CONTEXTS).join(around, "term").join(entity, "entity")
-    both = materialise(both.where(_share(total) >= generalise).select("entity", "term", "n_et", "n_e"), "term-pairs")
-    terms = materialise(both.select("term").distinct(), "terms")
+    terms = found.select("row", F.explode("terms").alias("term"))
+    rare = materialise(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_a")).where(F.col("n_a") <= top), "rare-terms")
+    pairs = _look_up(terms, rare, ["term"], "inner").join(held, "row").where(F.col("n_a") <= F.col("top"))
+    pairs = pairs.select("row", "term", F.explode(F.filter("x", lambda x: x["most"] >= F.col("n_a"))).alias("x"))
+    pairs = materialise(pairs.select("row", "x.entity", "x.context", "term"), "row-pairs")
+    both = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("contexts"))
+    both = materialise(both.join(entity, "entity"), "term-pairs")
+    known = materialise(both.select("term").distinct(), "terms")
     words = docs.select(F.explode(_terms(text_of(docs, text))).alias("term"))
-    term = _look_up(words, terms, ["term"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    return both.join(term, "term").select("entity", "term", _share(total).alias("share")).where(F.col("share") >= generalise)
+    term = _look_up(words, known, ["term"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    share = both.join(term, "term").select("entity", "term", _share(total).alias("share"))
+    return share.where(F.col("share") >= generalise), pairs
 
 
 def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
@@ -138,25 +153,28 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", carr
     ``body``, the text, and ``src``, the other columns of ``docs``.
 
     A span is (s, k, e, v): start, kind number, end in code points, value; a term's value says "generalised" or "removed".
-    A term is marked where it stands in the context of the entity it gives away.  Null texts count as empty; repeated rows
-    are rows of their own; an empty table gives an empty result; other columns may have any name."""
+    A term is marked wherever it stands outside the base matches in a text that holds an entity it gives away.  Null texts
+    count as empty; repeated rows are rows of their own; an empty table gives an empty result; other columns may have any
+    name."""
     body = text_of(docs, text)
     held = docs.select(docs[key].alias("id"), body.alias("body"),
                        *([F.struct(*[docs[c] for c in docs.columns]).alias("src")] if carry else []))
     held = held.withColumn("base", base_spans(F.col("body")))
-    none = F.array().cast("array<struct<entity:string,context:bigint,words:array<struct<s:int,e:int,t:string>>>>")
-    held = held.withColumn("near", F.when(F.size("base") > 0, _context_terms(F.col("body"), F.col("base"))).otherwise(none))
-    held = held.withColumn("terms", F.when(F.size("base") > 0, _terms(F.col("body"))).otherwise(F.array().cast("array<string>")))
+    some = F.size("base") > 0
+    held = held.withColumn("near", F.when(some, _entities(F.col("body"), F.col("base"))).otherwise(F.array().cast(ENTITIES)))
+    held = held.withColumn("terms", F.when(some, _terms(F.col("body"))).otherwise(F.array().cast("array<string>")))
     held = held.withColumn("row", F.monotonically_increasing_id())
-    found = materialise(held if carry else held.drop("body"), "personal")
-    hidden = materialise(disclosing_terms(found, docs, text), "disclosing")
-    words = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")) \
-        .select("row", "x.entity", F.explode("x.words").alias("w")).select("row", "entity", F.col("w.t").alias("term"), "w.s", "w.e")
-    kind = F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised")
-    marked = _look_up(words, hidden, ["entity", "term"], "inner").groupBy("row", "s", "e").agg(F.max("share").alias("share")) \
-        .groupBy("row").agg(F.collect_list(F.struct("s", F.lit(len(PATTERNS)).alias("k"), "e", kind.alias("v"))).alias("more"))
+    found = materialise(held if carry else held.withColumn("body", F.when(some, F.col("body"))), "personal")
+    hidden, pairs = disclosing_terms(found, docs, text)
+    marked = _look_up(pairs, materialise(hidden, "disclosing"), ["entity", "term"], "inner") \
+        .groupBy("row", "term").agg(F.max("share").alias("share")) \
+        .groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("hide"))
     out = found.join(marked, "row", "left")
-    spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,e:int,v:string>>"))))
+    kind = lambda v: F.when(F.try_element_at("hide", F.lower(v)) >= REMOVE, "removed").otherwise("generalised")
+    more = F.filter(spans_of(F.col("body"), TERM, lambda v: F.try_element_at("hide", F.lower(v)).isNotNull()),
+                    lambda w: ~F.exists("base", lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
+    more = F.transform(more, lambda w: F.struct(w["s"].alias("s"), F.lit(len(PATTERNS)).alias("k"), w["e"].alias("e"), kind(w["v"]).alias("v")))
+    spans = F.when(F.col("hide").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", more)))
     kinds = F.transform("base", lambda x: x["k"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{n}") for k, n in enumerate(PATTERNS)]
     return out.select(F.col("id").alias(key), *counts, "base", spans.alias("spans"), *(["body", "src"] if carry else []))
