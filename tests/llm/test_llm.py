@@ -319,6 +319,16 @@ def test_terms_of_rare_values(spark):
     assert all("Zanzibar" not in clean[3000 + i] and "writes [EMAIL] today" in clean[3000 + i] for i in range(2))
 
 
+def test_terms_far_away(spark):
+    """Terms count and are marked over the whole text, repeats, short names and numbers as well."""
+    far = " everyone writes today" * 30
+    made = [(i, "everyone writes today") for i in range(400)]
+    made += [(1000 + i, f"{lines(i, 3)} writes ann@x.org today{far} Zanzibar{far} Bo 7741 zanzibar {'today ' * i}") for i in range(6)]
+    clean = [r["text"] for r in sanitise.sanitise(spark.createDataFrame(made, "doc_id bigint, text string")).where("doc_id >= 1000").collect()]
+    assert len(clean) == 6
+    assert all(not re.search("zanzibar|Bo|7741", t, re.I) and t.count("everyone writes today") == 60 and "[EMAIL]" in t for t in clean)
+
+
 def test_token_files(spark, docs, rows, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = token_files.encoder(path).tokenizer
