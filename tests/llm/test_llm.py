@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -292,6 +293,30 @@ def test_network():
     assert said[:50].mean() > 0.9 and said[50:].mean() < 0.1
 
 
+class Marks:
+    """Stands for a network: sure of windows that show QQZZ."""
+
+    cut = 0.5
+
+    def score(self, windows):
+        return np.array([float(b"QQZZ" in w[secret_scan.BEFORE:secret_scan.BEFORE + secret_scan.INSIDE]) for w in windows])
+
+
+def model_spans(text):
+    got = secret_scan.scan_batch(pd.Series([text]), Marks())["spans"][0]
+    return [text[int(a):int(b)] for k, a, b in (x.split(":") for x in got.split(",") if x) if k == "model"]
+
+
+def test_long_runs():
+    """The middle of a long run is read, and a key inside a path is a candidate of its own."""
+    for n in range(20, 90):
+        run = "g" * n + "QQZZ" + "h" * 60
+        assert model_spans(f"see {run} now") == [run]
+    key = "k" * 20 + "QQZZ" + "k" * 10
+    assert model_spans(f"see {'dir/' * 20}{key}/some/more/parts now") == [key]
+    assert model_spans("ab/" * 12 + "QQZZ" + "/cd" * 12) == ["ab/" * 12 + "QQZZ" + "/cd" * 12]
+
+
 def test_personal(docs, rows, none):
     got = {r["doc_id"]: r for r in sanitise.find_personal(docs).collect()}
     assert set(got) == {r[0] for r in rows}

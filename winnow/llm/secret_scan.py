@@ -20,6 +20,7 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(rb"[A-Za-z0-9+_=-]{16,}")
 BEFORE, INSIDE, AFTER = 24, 40, 16
 SIDE = BEFORE + INSIDE + AFTER
 FIT_DOCS = 40_000      # most documents whose findings the network learns from
@@ -37,22 +38,39 @@ def base_findings(raw: bytes) -> list[tuple[int, int, int]]:
 
 
 def _window(raw: bytes, start: int, end: int) -> bytes:
-    """A candidate between its contexts; a long one shows its two ends."""
-    inside = raw[start:end] if end - start <= INSIDE else raw[start:start + INSIDE // 2] + raw[end - INSIDE // 2:end]
-    return raw[max(start - BEFORE, 0):start].rjust(BEFORE, b"\0") + inside.ljust(INSIDE, b"\0") + raw[end:end + AFTER].ljust(AFTER, b"\0")
+    """At most 40 bytes of a candidate between their contexts."""
+    return raw[max(start - BEFORE, 0):start].rjust(BEFORE, b"\0") + raw[start:end].ljust(INSIDE, b"\0") + raw[end:end + AFTER].ljust(AFTER, b"\0")
+
+
+def _places(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping windows of at most 40 bytes that cover a whole candidate."""
+    last = max(end - INSIDE, start)
+    return [(a, min(a + INSIDE, end)) for a in (*range(start, last, INSIDE // 2), last)]
+
+
+def candidates_of(raw: bytes) -> list[tuple[int, int]]:
+    """Runs of token characters, and the long enough parts between the path separators of a run."""
+    out = []
+    for m in CANDIDATE.finditer(raw):
+        out.append(m.span())
+        if b"/" in m[0]:
+            out += [(m.start() + p.start(), m.start() + p.end()) for p in PART.finditer(m[0])]
+    return sorted(set(out))
 
 
 def labelled_findings(text: str) -> list[tuple[int, bytes]]:
-    """(label, window): 1 for what the base rules find, 0 for other candidates of the text."""
+    """(label, window): 1 for windows of what the base rules find, 0 for those of other candidates of the text."""
     raw = text.encode("utf-8", "surrogatepass")
     found = base_findings(raw)
     out = []
     for s, k, e in found:
         if k == 0:
             s = max(raw.rfind(b"=", s, e), raw.rfind(b":", s, e)) + 1 if not CANDIDATE.search(raw, s, e) else CANDIDATE.search(raw, s, e).start()
-        out.append((1, _window(raw, s, e)))
+        out += [(1, _window(raw, a, b)) for a, b in _places(s, e)]
     spans = [(s, e) for s, _, e in found]
-    out += [(0, _window(raw, m.start(), m.end())) for m in CANDIDATE.finditer(raw) if not any(s < m.end() and m.start() < e for s, e in spans)]
+    for a, b in candidates_of(raw):
+        if not any(s < b and a < e for s, e in spans):
+            out += [(0, _window(raw, *w)) for w in _places(a, b)]
     return out
 
 
@@ -158,15 +176,23 @@ def fit_secrets(docs: DataFrame, fit_docs: int = FIT_DOCS, key: str = "doc_id",
 def scan_batch(texts: pd.Series, network: Network | None) -> pd.DataFrame:
     raws = [t.encode("utf-8", "surrogatepass") for t in texts]
     base = [base_findings(r) for r in raws]
-    more: list[tuple[int, int, int]] = []
+    more: list[tuple[int, int, int, int, int]] = []
     for i, (r, b) in enumerate(zip(raws, base, strict=True)):
         if network is not None:
-            more += [(i, m.start(), m.end()) for m in CANDIDATE.finditer(r) if not any(s < m.end() and m.start() < e for s, _, e in b)]
-    score = network.score([_window(raws[i], s, e) for i, s, e in more]) if network is not None else []
-    added: dict[int, list[tuple[int, int, int]]] = {}
-    for (i, s, e), p in zip(more, score, strict=True):
+            for at, to in candidates_of(r):
+                if not any(s < to and at < e for s, _, e in b):
+                    more += [(i, at, to, *w) for w in _places(at, to)]
+    score = network.score([_window(raws[i], s, e) for i, _, _, s, e in more]) if network is not None else []
+    hits: dict[int, dict[tuple[int, int], list[tuple[int, int]]]] = {}
+    for (i, at, to, s, e), p in zip(more, score, strict=True):
         if p >= network.cut:
-            added.setdefault(i, []).append((s, 3, e))
+            hits.setdefault(i, {}).setdefault((at, to), []).append((s, e))
+    added: dict[int, list[tuple[int, int, int]]] = {}
+    for i, found in hits.items():
+        for (at, to), windows in found.items():
+            parts = [x for x in found if x != (at, to) and at <= x[0] and x[1] <= to]  # a run's own parts say where it is
+            if any(not any(s < q and p < e for p, q in parts) for s, e in windows):
+                added.setdefault(i, []).append((at, 3, to))
     rows = []
     for i, (r, b) in enumerate(zip(raws, base, strict=True)):
         place = (lambda p: p) if r.isascii() else (lambda p, r=r: len(r[:p].decode("utf-8", "surrogatepass")))
@@ -179,8 +205,9 @@ def scan_batch(texts: pd.Series, network: Network | None) -> pd.DataFrame:
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_assign, n_access, n_hex, base_sha256, spans for every row, positions in code points.
 
-    The base rules' findings always stay.  Every other run of 16 or more token characters is a candidate; the network
-    reads it with its context, and those above the threshold become spans of kind "model".  The threshold keeps 98 % of
+    The base rules' findings always stay.  Every other run of 16 or more token characters is a candidate, and every
+    such part between the separators of a path; the network reads all of it in overlapping windows with their contexts, and
+    those with a window above the threshold become spans of kind "model", a run only for windows apart from such parts.  The threshold keeps 98 % of
     held-out labelled findings.  Null texts count as empty; repeated rows give equal results; an empty table gives an
     empty result; other columns are not read."""
     network = fit_secrets(docs, key=key, text=text)
