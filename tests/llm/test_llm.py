@@ -317,6 +317,12 @@ def test_long_runs():
     assert model_spans("ab/" * 12 + "QQZZ" + "/cd" * 12) == ["ab/" * 12 + "QQZZ" + "/cd" * 12]
 
 
+def test_runs_beyond_a_rule():
+    """A run that goes on beyond a base match is scored; one inside a match is not."""
+    assert model_spans("key sk_live_0123456789abcdef01234567QQZZ end") == ["sk_live_0123456789abcdef01234567QQZZ"]
+    assert model_spans("password = QQZZabcdefghij0123456") == []
+
+
 def test_personal(docs, rows, none):
     got = {r["doc_id"]: r for r in sanitise.find_personal(docs).collect()}
     assert set(got) == {r[0] for r in rows}
