@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from winnow.llm import (content_sort, links, mixing, packing, quality_rules, quality_trees, queries, sanitise,
@@ -398,6 +399,17 @@ def test_words_apart():
     assert e.encode(odd) == whole
 
 
+def test_added_tokens():
+    """The ids are those of the library as it comes, added tokens in a text included."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fresh = Tokenizer.from_file(path)
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    assert added
+    texts = [x for a in added for x in (f"a {a} x", a, f"one two{a}three four.\nfive", f"{a}{a} six", a[:-1] + " seven")]
+    e = token_files._Encoder(path)
+    assert e.encode(texts) == [np.array(fresh.encode(t, add_special_tokens=False).ids, dtype=e.kind).tobytes() for t in texts]
+
+
 def test_pipeline(spark, docs, rows, labels, none, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")

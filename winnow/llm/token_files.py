@@ -8,6 +8,7 @@ little-endian bytes in ``data``, and its length minus one is a two-bit code in `
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -51,15 +52,16 @@ class _Encoder:
 
     Between two characters that are no white space, a space always begins a new piece of the byte-level split and a line
     feed is a piece of its own, so the ids of a word and of the space or line feed before it do not depend on what stands
-    around them; nor do those of a full stop or comma after letters.  Texts with other white space, or with two such
-    characters in a row, are encoded as a whole."""
+    around them; nor do those of a full stop or comma after letters.  Texts with other white space, with two such
+    characters in a row or with the string of an added token are encoded as a whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")  # a text with one is encoded as a whole
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}  # after a space; with the line feed where a word follows one
         self.ends = dict(zip(".,\n", self._raw([".", ",", "\n"]), strict=True))
@@ -76,11 +78,12 @@ class _Encoder:
     def _learn(self, mark: str, new: list[str]) -> None:
         """Ids of words after ``mark``, many words in one string: a word begins where a token begins with the mark."""
         groups = [new[i:i + AT_ONCE] for i in range(0, len(new), AT_ONCE)]
-        for words, raw in zip(groups, self._raw([mark + mark.join(g) for g in groups]), strict=True):
+        joined = [mark + mark.join(g) for g in groups]
+        for words, text, raw in zip(groups, joined, self._raw(joined), strict=True):
             ids = np.frombuffer(raw, dtype=self.kind)
             at = (np.nonzero(self.opens[mark][ids])[0] * ids.itemsize).tolist()
             parts = [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
-            if len(parts) != len(words) or at[0]:
+            if len(parts) != len(words) or at[0] or self.added.search(text):
                 parts = self._raw([mark + w for w in words])
             self.words.update(zip(words if mark == " " else [mark + w for w in words], parts, strict=True))
 
@@ -95,9 +98,8 @@ class _Encoder:
         self._learn("\n", [w[1:] for w in ask if w[0] == "\n"])
         self.words.update((w, self.words[stem] + self.ends[w[-1]]) for w, stem in stems.items())
 
-    @staticmethod
-    def _plain(t: str) -> bool:
-        return not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1] == " " or t[-1:] == " ") and t.replace("\n", "").isprintable()
+    def _plain(self, t: str) -> bool:
+        return self.added.search(t) is None and not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1] == " " or t[-1:] == " ") and t.replace("\n", "").isprintable()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self._plain(t) for t in texts]
