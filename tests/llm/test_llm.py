@@ -308,6 +308,16 @@ def model_spans(text):
     return [text[int(a):int(b)] for k, a, b in (x.split(":") for x in got.split(",") if x) if k == "model"]
 
 
+def test_threshold_keeps_recall():
+    """98 % of the findings the threshold is set on stay, also where most of them score below a half."""
+    net = object.__new__(secret_scan.Network)
+    rng = np.random.default_rng(4)
+    raw = np.concatenate([rng.normal(0.3, 1, 100), rng.normal(0, 1, 900)])
+    y = np.repeat([1, 0], [100, 900])
+    net._calibrate(raw, y)
+    assert (net._scaled(raw[y == 1]) >= net.cut).mean() >= 0.98
+
+
 def test_long_runs():
     """The middle of a long run is read, and a key inside a path is a candidate of its own."""
     for n in range(20, 90):

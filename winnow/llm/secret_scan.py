@@ -132,7 +132,7 @@ class Network:
         return {"e": e, "w": patches.reshape(-1, WIDTH * DIM).T @ dz, "b": dz.sum(axis=0), "o": pooled.T @ d, "c": np.array([d.sum()])}
 
     def _calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling on held-out findings; then the highest threshold that keeps the recall, 0.5 at least."""
+        """Platt scaling on held-out findings; then the highest threshold that keeps the recall."""
         a = np.column_stack([raw, np.ones(len(raw))])
         b = np.array([1.0, 0.0])
         for _ in range(25):
@@ -141,7 +141,7 @@ class Network:
             b -= np.linalg.solve((a * v[:, None]).T @ a + 0.01 * np.eye(2), a.T @ (p - y) + 0.01 * (b - [1.0, 0.0]))
         self.slope, self.shift = float(b[0]), float(b[1])
         sure = np.sort(self._scaled(raw[y == 1]))
-        self.cut = float(max(sure[int((1 - RECALL) * len(sure))], 0.5))
+        self.cut = float(sure[int((1 - RECALL) * len(sure))])
 
     def _scaled(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30)))
@@ -208,7 +208,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The base rules' findings always stay.  Every run of 16 or more token characters that is not wholly inside one is a candidate, and every
     such part between the separators of a path; the network reads all of it in overlapping windows with their contexts, and
     those with a window above the threshold become spans of kind "model", a run only for windows apart from such parts.  The threshold keeps 98 % of
-    held-out labelled findings.  Null texts count as empty; repeated rows give equal results; an empty table gives an
+    held-out labelled findings; it is 0.5 if none is held out.  Null texts count as empty; repeated rows give equal results; an empty table gives an
     empty result; other columns are not read."""
     network = fit_secrets(docs, key=key, text=text)
     schema = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
