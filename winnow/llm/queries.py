@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, mixing, packing, quality_rules, quality_trees, sanitise, secret_scan, simhash, token_files, toxicity
+from . import content_sort, mixing, packing, phrases, quality_rules, quality_trees, sanitise, secret_scan, simhash, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,35 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and verdict of every document."""
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query(r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+texts AS (SELECT lang, list_filter(string_split_regex(p, '[ \x09]+'), x -> x <> '') AS w FROM pieces),
+found AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS c
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM texts, range(1, 5) AS t(k)) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM found WHERE k = 1 GROUP BY lang),
+many AS (SELECT lang, k, phrase, c, string_split(phrase, ' ') AS w FROM found WHERE k > 1 AND c >= 30),
+inside AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + d - 1), ' ') AS phrase, max(c) AS most
+  FROM many, range(2, 4) AS a(d), range(1, 4) AS b(i) WHERE d < k AND i + d - 1 <= k GROUP BY ALL),
+stay AS (SELECT m.* FROM many m LEFT JOIN inside s USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * m.c),
+cuts AS (
+  SELECT s.lang, s.phrase, s.c AS a, cut, x.c AS l, y.c AS r, CAST(2000000::HUGEINT * s.c // (x.c + y.c) AS BIGINT) AS score
+  FROM stay s, range(1, 4) AS t(cut), found x, found y
+  WHERE cut < s.k AND x.lang = s.lang AND x.phrase = array_to_string(s.w[:cut], ' ') AND y.lang = s.lang AND y.phrase = array_to_string(s.w[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN total USING (lang) QUALIFY rank <= 2000""")
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of each language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
