@@ -35,9 +35,9 @@ _CLEAN = bytes(ord(" ") if i == 9 else 10 if bytes([i]) in b".,;:!?\n\v\f\r" els
 _PARTIAL = "lang string, phrase string, k int, start int, c bigint"
 
 
-def cell_places(h: np.ndarray) -> np.ndarray:
-    """The three cells of each hash."""
-    return np.stack([(h >> np.uint64(s)).astype(np.int64) & (CELLS - 1) for s in (0, 20, 40)])
+def cell_places(h: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """The three cells of each hash; ``cells`` is a power of two."""
+    return np.stack([(h >> np.uint64(s)).astype(np.int64) & (cells - 1) for s in (0, 20, 40)])
 
 
 def word_hash(words: pa.Array, lang: str) -> np.ndarray:
@@ -65,11 +65,11 @@ def split_words(data: bytes) -> tuple[pa.Array, np.ndarray]:
     return words, np.cumsum(stop, dtype=np.int32)[begin]
 
 
-def blocks_of(data: bytes) -> Iterator[bytes]:
-    """Parts of at most about ``BLOCK`` bytes, cut between pieces."""
+def blocks_of(data: bytes, size: int) -> Iterator[bytes]:
+    """Parts of at most about ``size`` bytes, cut between pieces."""
     at = 0
     while at < len(data):
-        to = at + BLOCK
+        to = at + size
         if to < len(data):
             cut = data.rfind(b"\n", at, to) + 1
             to = cut or data.find(b"\n", to) + 1 or len(data)
@@ -97,7 +97,7 @@ def count_block(data: bytes, lang: str, reached: np.ndarray, step: int, shards:
     if step == 0 or words < 2:
         return
     h = word_hash(known, lang)
-    since = reached[cell_places(h)].max(axis=0)  # scan after which each word was over the threshold
+    since = reached[cell_places(h, len(reached))].max(axis=0)  # scan after which each word was over the threshold
     # Phrases of k words, by the place of their first word: place, hash, scan reached, exact number of the phrase
     at = np.flatnonzero(since[ids] != NEVER)
     hashes, since, number, distinct = h[ids[at]], since[ids[at]], ids[at], v
@@ -114,21 +114,21 @@ def count_block(data: bytes, lang: str, reached: np.ndarray, step: int, shards:
             yield batch(pc.binary_join_element_wise(*[known.take(pa.array(ids[places + i])) for i in range(k)], pa.scalar(" ", pa.large_string())), k, start[first[open_now]], c[open_now])
         if k == words or not len(at):
             return
-        since = reached[cell_places(hashes)].max(axis=0)
+        since = reached[cell_places(hashes, len(reached))].max(axis=0)
         on = since != NEVER
         at, hashes, since, number = at[on], hashes[on], since[on], number[on]
         left, number = np.unique(number, return_inverse=True)  # numbers stay below 2^63: phrases of a block times words of it
 
 
-def _scan(shard: DataFrame, reached: np.ndarray, step: int, shards: int, words: int) -> DataFrame:
+def _scan(shard: DataFrame, reached: np.ndarray, step: int, shards: int, words: int, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         size = 0
 
         def counted() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
-                for block in blocks_of(b"\n".join(parts).translate(_CLEAN)):
-                    yield from count_block(block, lang, reached, step, shards, words)
+                for data in blocks_of(b"\n".join(parts).translate(_CLEAN), block):
+                    yield from count_block(data, lang, reached, step, shards, words)
 
         for b in batches:
             if not b.num_rows:
@@ -138,7 +138,7 @@ def _scan(shard: DataFrame, reached: np.ndarray, step: int, shards: int, words:
                 some = texts.filter(pc.equal(langs.indices, i)).cast(pa.large_binary())
                 held.setdefault(lang, []).append(b"\n".join(some.to_pylist()))
                 size += len(held[lang][-1])
-            if size > BLOCK or len(held) > 1000:
+            if size > block or len(held) > 1000:
                 yield from counted()
                 held.clear()
                 size = 0
@@ -147,7 +147,7 @@ def _scan(shard: DataFrame, reached: np.ndarray, step: int, shards: int, words:
     return shard.select("lang", "text").mapInArrow(run, _PARTIAL)
 
 
-def _bits(phrases: DataFrame) -> np.ndarray:
+def _bits(phrases: DataFrame, cells: int) -> np.ndarray:
     """The cells of new phrases, as one bit a cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,21 +161,22 @@ def _bits(phrases: DataFrame) -> np.ndarray:
                 for w in parts[1:]:
                     one = grow_hash(one, np.array([w], dtype=np.uint64))
                 h[i] = one[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cell_places(h)), pa.int64())], names=["cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cell_places(h, cells)), pa.int64())], names=["cell"])
 
     rows = phrases.select("lang", "phrase").mapInArrow(run, "cell bigint").groupBy(F.shiftright("cell", 5).alias("i")) \
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 31 as int))")).alias("b")).toPandas()  # at most CELLS / 32 rows
-    out = np.zeros(CELLS // 32, dtype=np.uint32)
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 31 as int))")).alias("b")).toPandas()  # at most cells / 32 rows
+    out = np.zeros(cells // 32, dtype=np.uint32)
     out[rows["i"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64).astype(np.uint32)
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, words: int = WORDS, shards: int = SHARDS, text: str = "text", lang: str = "lang") -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 30, words: int = WORDS, shards: int = SHARDS, cells: int = CELLS, block: int = BLOCK,
+                  text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, phrase, k, c of all phrases of 1 to ``words`` words that occur ``least`` times or more, and of the number of all
     words (k 0, phrase '').
 
     Each scan adds to a table of running counts; what has been through its whole cycle leaves it for the folder of results
-    or, below the threshold, for good.  The driver sees at most ``CELLS`` bits a scan."""
+    or, below the threshold, for good.  The driver sees at most ``cells`` bits a scan."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = f"{shared_dir(spark)}/winnow-phrases-{uuid.uuid4().hex[:8]}"
@@ -184,10 +185,10 @@ def phrase_counts(docs: DataFrame, least: int = 30, words: int = WORDS, shards:
         .write.partitionBy("shard").parquet(f"{folder}/shards")
     texts = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/shards")
     schema = f"{_PARTIAL}, reached int"
-    reached = np.full(CELLS, NEVER, dtype=np.uint8)
+    reached = np.full(cells, NEVER, dtype=np.uint8)
     step, latest = 0, 0
     while step < shards or latest > step - shards:  # something reached the threshold within the last cycle
-        part = _scan(texts.where(F.col("shard") == step % shards), reached, step, shards, words).withColumn("reached", F.lit(None).cast("int"))
+        part = _scan(texts.where(F.col("shard") == step % shards), reached, step, shards, words, block).withColumn("reached", F.lit(None).cast("int"))
         if step:
             part = part.union(spark.read.schema(f"{schema}, done int").parquet(f"{folder}/state-{(step - 1) % 2}").where("done = 0").select(part.columns))
         total = part.groupBy("lang", "phrase", "k", "start").agg(F.sum("c").alias("c"), F.min("reached").alias("reached"))
@@ -199,7 +200,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, words: int = WORDS, shards:
             .write.mode("overwrite").partitionBy("done").parquet(f"{folder}/state-{step % 2}")
         now = spark.read.schema(f"{schema}, done int").parquet(f"{folder}/state-{step % 2}")
         now.where("done = 1").select("lang", "phrase", "k", "c").write.parquet(f"{folder}/found/step={step}")
-        bits = _bits(now.where((F.col("reached") == step + 1) & F.col("k").between(1, words - 1)))
+        bits = _bits(now.where((F.col("reached") == step + 1) & F.col("k").between(1, words - 1)), cells)
         step += 1
         if bits.any():
             latest = step
@@ -214,7 +215,7 @@ def _whole(x: str) -> str:
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, cover: int = 80, words: int = WORDS, shards: int = SHARDS,
-                 text: str = "text", lang: str = "lang") -> DataFrame:
+                 cells: int = CELLS, block: int = BLOCK, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of 2 to ``words`` words of each language.
 
     Texts are A-Z lower-cased and cut at ``.,;:!?`` and line ends into pieces, these at spaces and tabs into words; a phrase
@@ -222,8 +223,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, cover: int =
     floor(2000000 a / (l + r)); the lowest cut counts, ties to the smallest k.  A phrase inside a longer one that has at least ``cover`` per cent
     of its count is dropped.  Order: score and a descending, then the phrase's bytes.  A null lang counts as ``und``, null texts
     as empty; repeated rows count each; an empty table gives an empty result; other columns are not read."""
-    found = phrase_counts(docs, least, words, shards, text, lang)
-    spark = docs.sparkSession
+    found = phrase_counts(docs, least, words, shards, cells, block, text, lang)
     part = F.split("phrase", " ")
     many = found.where("k >= 2")
     inside: Column = F.array(*[F.when(F.col("k") >= i + w, F.array_join(F.slice(part, i + 1, w), " "))
@@ -236,7 +236,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, cover: int =
     cuts = cuts.withColumn("left", F.array_join(F.slice(part, F.lit(1), F.col("cut")), " ")) \
         .withColumn("right", F.array_join(F.slice(part, F.col("cut") + 1, F.col("k")), " "))
     counts = found.where("k >= 1").select("lang", "phrase", "c")
-    # one row for each part that is asked for, with all who ask pre-aggregated by nothing: joins that Spark splits when skewed
+    # a very frequent word stands in many phrases: Spark splits these joins where they are skewed
     cuts = cuts.join(counts.select("lang", F.col("phrase").alias("left"), F.col("c").alias("l")), ["lang", "left"])
     cuts = cuts.join(counts.select("lang", F.col("phrase").alias("right"), F.col("c").alias("r")), ["lang", "right"])
     scored = cuts.withColumn("score", F.expr(f"2000000 * {_whole('a')} div ({_whole('l')} + {_whole('r')})"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, mixing, packing, phrases, quality_rules, quality_trees, sanitise, secret_scan, simhash, token_counts, token_files, toxicity
+from . import content_sort, conversation_trie, mixing, packing, phrases, quality_rules, quality_trees, sanitise, secret_scan, simhash, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,7 +97,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT coalesce(lang, 'und') AS lang,
     unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
   FROM documents),
-texts AS (SELECT lang, list_filter(string_split_regex(p, '[ \x09]+'), x -> x <> '') AS w FROM pieces),
+texts AS (SELECT lang, list_filter(string_split_regex(p, '[ \x09]+'), lambda x: x <> '') AS w FROM pieces),
 found AS (
   SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS c
   FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM texts, range(1, 5) AS t(k)) GROUP BY ALL),
@@ -123,3 +123,28 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("""WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 AS h FROM ids),
+own AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (SELECT o.c, list_concat(coalesce(b.t[:h], []), o.t[h + 1:]) AS t FROM own o JOIN crc USING (c) LEFT JOIN own b ON b.c = o.c - o.c % 100),
+entries AS (
+  SELECT c, d, len(t) AS size, min(c) OVER same AS node, length(t[d].text) AS chars, count(*) OVER same AS n
+  FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt) WINDOW same AS (PARTITION BY d, t[:d])),
+nodes AS (SELECT node AS conv_id, d AS depth, max(n) AS n_convs, coalesce((max(n) - 1) * max(chars), 0) AS saved,
+    string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE size = d) AS ends FROM entries GROUP BY node, d),
+up AS (SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN entries p ON p.c = n.conv_id AND p.d = n.depth - 1),
+held AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up WHERE parent IS NOT NULL GROUP BY ALL),
+tops AS (SELECT u.saved, h.n_children IS NULL AS leaf, e.node AS conv_id, e.d AS depth
+  FROM up u LEFT JOIN held h USING (conv_id, depth) JOIN entries e ON e.c = u.conv_id AND e.d <= u.depth),
+sums AS (SELECT conv_id, depth, CAST(sum(leaf::INT) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM tops GROUP BY ALL)
+SELECT conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM up LEFT JOIN held USING (conv_id, depth) JOIN sums USING (conv_id, depth)""")
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations."""
+    return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
