@@ -8,15 +8,22 @@ number of columns, percentiles or histogram cells.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+import weakref
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import c, is_text, num
+from . import gather
+from .core import c, num
+from .gram import pair_moments
 
 # Aggregates per job, to keep the generated code within JVM method limits.
 CHUNK = 200
+# From so many columns on, pairs of columns are counted by matrix products, not by an expression each.
+GRAM_COLUMNS = 16
 # Inputs at or below this plan size may use the buffering `percentile` aggregate,
 # whose state holds one entry per distinct value in a single task.
 SMALL_BYTES_CONF = "spark.winnow.exactQuantileBytes"
@@ -50,20 +57,54 @@ def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
 
     For work that costs much more per row than moving the row (pattern matching, repeated
     passes).  Large inputs have enough splits and are left alone."""
+    if df in _DEALT:
+        return df
     size = plan_bytes(df)
     if size is None or size > most_bytes:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+_DEALT: weakref.WeakSet = weakref.WeakSet()  # tables that ``dealt`` holds just now
+
+
+@contextmanager
+def dealt(df: DataFrame) -> Iterator[DataFrame]:
+    """A table that several passes read: a small one is dealt to all cores and held in memory meanwhile."""
+    some = df if df in _DEALT else spread(df)
+    if some is df:
+        yield df
+        return
+    some = some.persist()
+    _DEALT.add(some)
+    try:
+        yield some
+    finally:
+        _DEALT.discard(some)
+        some.unpersist()
+
+
+def _merge_stats(df: DataFrame, payloads: list[dict[str, Column]]):
+    """One row with the aggregates of all; Catalyst computes equal ones once."""
+    columns = [a for p in payloads for a in p.values()]
+    frame = df.agg(*[a.alias(f"s{i}") for i, a in enumerate(columns)])
+
+    def read(rows: list) -> list[dict]:
+        cells = iter(rows[0])
+        return [{k: next(cells) for k in p} for p in payloads]
+
+    return frame, read
+
+
+gather.MERGERS["stats"] = _merge_stats
+
+
 def stats_row(df: DataFrame, aggs: dict[str, Column]) -> dict:
     """Evaluate all aggregates in as few passes as the code-size limit allows."""
     out: dict = {}
     items = list(aggs.items())
     for at in range(0, len(items), CHUNK):
-        part = items[at:at + CHUNK]
-        row = df.agg(*[a.alias(f"s{i}") for i, (_, a) in enumerate(part)]).first()
-        out.update({k: row[i] for i, (k, _) in enumerate(part)})
+        out.update(gather.ask("stats", df, dict(items[at:at + CHUNK])))
     return out
 
 
@@ -85,19 +126,14 @@ def exact_quantiles(
     if not xs:
         return {}
     names = list(xs)
-    cells = df.select(*[xs[n].alias(f"x{i}") for i, n in enumerate(names)])
-    if _small(cells):
+    if _small(df.select(*xs.values())):
         arr = F.array(*[F.lit(float(p)) for p in ps])
-        row = cells.agg(*[F.percentile(F.col(f"x{i}"), arr).alias(f"q{i}") for i in range(len(names))]).first()
-        return {n: list(row[i]) if row[i] is not None else [None] * len(ps) for i, n in enumerate(names)}
-    dealt = spread(cells)
-    if dealt is cells:
-        return _refined_quantiles(cells, names, ps)
-    dealt = dealt.persist()  # small: the passes read it from memory
-    try:
-        return _refined_quantiles(dealt, names, ps)
-    finally:
-        dealt.unpersist()
+        row = stats_row(df, {n: F.percentile(x, arr) for n, x in xs.items()})
+        return {n: list(q) if q is not None else [None] * len(ps) for n, q in row.items()}
+    if df in _DEALT:
+        return _refined_quantiles(df, names, list(xs.values()), ps)
+    with dealt(df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs.values())])) as cells:
+        return _refined_quantiles(cells, names, [F.col(f"x{i}") for i in range(len(names))], ps)
 
 
 def _cell(v: Column, iv: dict) -> Column:
@@ -109,10 +145,36 @@ def _cell(v: Column, iv: dict) -> Column:
     return F.least(F.floor(t * CELLS).cast("int"), F.lit(CELLS - 1))
 
 
-def _refined_quantiles(df: DataFrame, names: list[str], ps: Sequence[float]) -> dict:
+def _merge_cells(df: DataFrame, payloads: list[list[tuple[Column, list[dict]]]]):
+    """Counts of the cells of all open intervals, at most CELLS rows for each; an interval belongs to one column."""
+    triples, ivs = [], 0
+    for x, mine in (pair for p in payloads for pair in p):
+        which = cell = None
+        for iv in mine:
+            cond = x.between(iv["lo"], iv["hi"])
+            which = F.when(cond, F.lit(ivs)) if which is None else which.when(cond, F.lit(ivs))
+            cell = F.when(cond, _cell(x, iv)) if cell is None else cell.when(cond, _cell(x, iv))
+            ivs += 1
+        triples += [which, cell, x]
+    long = df.select(F.stack(F.lit(len(triples) // 3), *triples).alias("iv", "cell", "v")).where("iv is not null")
+    frame = long.groupBy("iv", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+    def read(rows: list) -> list[list[list]]:
+        by: list[list] = [[] for _ in range(ivs)]
+        for r in rows:
+            by[r["iv"]].append((r["cell"], r["n"], r["lo"], r["hi"]))
+        each = iter(by)
+        return [[next(each) for _, mine in p for _ in mine] for p in payloads]
+
+    return frame, read
+
+
+gather.MERGERS["cells"] = _merge_cells
+
+
+def _refined_quantiles(df: DataFrame, names: list[str], raw: list[Column], ps: Sequence[float]) -> dict:
     """Ranks are located among finite values; infinities are counted at either end."""
     inf = float("inf")
-    raw = [F.col(f"x{i}") for i in range(len(names))]
     xs = [F.when(F.abs(x) < F.lit(inf), x) for x in raw]
     head = stats_row(df, {(k, i): f for i, (r, x) in enumerate(zip(raw, xs, strict=True)) for k, f in (
         ("n", F.count(r)), ("below", F.count(F.when(r == F.lit(-inf), 1))), ("finite", F.count(x)),
@@ -145,27 +207,11 @@ def _refined_quantiles(df: DataFrame, names: list[str], ps: Sequence[float]) ->
                 open_ivs.append(iv)
         if not open_ivs:
             break
-        # per column: which open interval holds the value, and in which cell of it
-        hits: dict[int, list[tuple[int, dict]]] = {}
+        hits: dict[int, list[int]] = {}  # the open intervals of each column
         for k, iv in enumerate(open_ivs):
-            hits.setdefault(iv["col"], []).append((k, iv))
-        any_hit, triples = F.lit(False), []
-        for i, ivs in hits.items():
-            which = cell = None
-            for k, iv in ivs:
-                cond = xs[i].between(iv["lo"], iv["hi"])
-                any_hit = any_hit | cond
-                which = F.when(cond, F.lit(k)) if which is None else which.when(cond, F.lit(k))
-                cell = F.when(cond, _cell(xs[i], iv)) if cell is None else cell.when(cond, _cell(xs[i], iv))
-            triples += [which, cell, xs[i]]
-        long = (df.where(any_hit).select(F.stack(F.lit(len(hits)), *triples).alias("iv", "cell", "v"))
-                .where("iv is not null"))
-        rows = (long.groupBy("iv", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                               F.max("v").alias("hi"))
-                .collect())  # at most CELLS rows per open interval
-        by_iv: dict[int, list] = {}
-        for r in rows:
-            by_iv.setdefault(r["iv"], []).append((r["cell"], r["n"], r["lo"], r["hi"]))
+            hits.setdefault(iv["col"], []).append(k)
+        got = gather.ask("cells", df, [(xs[i], [open_ivs[k] for k in ks]) for i, ks in hits.items()])
+        by_iv = dict(zip([k for ks in hits.values() for k in ks], got, strict=True))
         todo = []
         for k, iv in enumerate(open_ivs):
             cum = iv["base"]
@@ -205,21 +251,76 @@ def value_counts(df: DataFrame, cols: Sequence[str], digest: bool = False) -> Da
     ``digest`` replaces each value by its 128-bit hash, for callers that only need how many
     distinct values there are and not which."""
     def val(n):
-        x = as_text(df, n)
-        return F.when(F.length(x) > 32, F.md5(x)).otherwise(x) if digest else x
+        return text_digest(df, n) if digest else as_text(df, n)
 
     cells = F.stack(F.lit(len(cols)), *[y for n in cols for y in (F.lit(n), val(n))]).alias("column", "value")
     return (df.select(cells).where(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
+@dataclass(frozen=True)
+class Values:
+    """What counting the distinct non-null values of a column tells."""
+    distinct: int = 0
+    extra: int = 0        # cells beyond the first of each value
+    repeated: int = 0     # cells of values that occur more than once
+    least_repeated: object = None
+    mode: object = None   # the most frequent value, the smallest of them
+    most: int = 0         # how often it occurs
+    last_mode: object = None  # the largest of the most frequent values
+
+
+def _merge_values(df: DataFrame, payloads: list[dict[str, Column]]):
+    """Values of all columns counted by one shuffle, pre-aggregated per value, so no task holds a column's whole value set."""
+    asked = [x for p in payloads for x in p.values()]
+    shapes = [f.dataType.simpleString() for f in df.select(*[x.alias(f"x{i}") for i, x in enumerate(asked)]).schema]
+    once: dict[tuple[str, str], int] = {}  # several reports may ask for the same values
+    at = [once.setdefault((str(x), t), len(once)) for x, t in zip(asked, shapes, strict=True)]
+    xs, types = [asked[at.index(i)] for i in range(len(once))], [shapes[at.index(i)] for i in range(len(once))]
+    kinds = sorted(set(types))
+    cells = []
+    for i, (x, t) in enumerate(zip(xs, types, strict=True)):
+        if t in ("float", "double"):
+            x = F.when(~F.isnan(x), x + F.lit(0.0).cast(t))  # -0.0 and 0.0 are one value
+        cells += [F.when(x.isNotNull(), F.lit(i)), *[(x if t == k else F.lit(None)).cast(k) for k in kinds]]
+    named = [f"v{j}" for j in range(len(kinds))]
+    long = df.select(F.stack(F.lit(len(xs)), *cells).alias("column", *named)).where("column is not null")
+    counts = long.groupBy("column", *named).agg(F.count(F.lit(1)).alias("n"))
+    many = F.col("n") > 1
+    frame = counts.groupBy("column").agg(
+        F.count(F.lit(1)).alias("u"), F.sum("n").alias("n"), F.sum(F.when(many, F.col("n"))).alias("k"),
+        F.min(F.when(many, F.struct(*named))).alias("e"), F.min(F.struct((-F.col("n")).alias("k"), *named)).alias("a"),
+        F.max(F.struct("n", *named)).alias("z"))
+
+    def one(i: int, r) -> Values:
+        v = named[kinds.index(types[i])]
+        return Values(r["u"], r["n"] - r["u"], r["k"] or 0, r["e"][v] if r["e"] else None, r["a"][v], -r["a"]["k"], r["z"][v])
+
+    def read(rows: list) -> list[dict[str, Values]]:
+        got = {r["column"]: r for r in rows}  # one row a column
+        place = iter(at)
+        return [{n: one(i, got[i]) if (i := next(place)) in got else Values() for n in p} for p in payloads]
+
+    return frame, read
+
+
+gather.MERGERS["values"] = _merge_values
+
+
+def value_stats(df: DataFrame, cols: dict[str, Column]) -> dict[str, Values]:
+    """Exact counts over the distinct values of each column."""
+    return gather.ask("values", df, dict(cols)) if cols else {}
+
+
+def text_digest(df: DataFrame, name: str) -> Column:
+    """A value's text, or its 128-bit hash where that is shorter: enough to count how many values there are."""
+    x = as_text(df, name)
+    return F.when(F.length(x) > 32, F.md5(x)).otherwise(x)
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     """Exact number of distinct non-null values per column."""
-    if not cols:
-        return {}
-    rows = value_counts(df, cols, digest=True).groupBy("column").agg(F.count(F.lit(1)).alias("u")).collect()
-    got = {r["column"]: r["u"] for r in rows}  # one row per column
-    return {n: got.get(n, 0) for n in cols}
+    return {n: v.distinct for n, v in value_stats(df, {n: text_digest(df, n) for n in cols}).items()}
 
 
 def maybe_few(df: DataFrame, cols: Sequence[str], limit: int) -> list[str]:
@@ -240,29 +341,16 @@ def few_values(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, list
         return out
     got: dict[str, list[str]] = {n: [] for n in some}
     vals = value_counts(df, some).select("column", "value")
-    for r in vals.collect():  # the screen leaves a few times `limit` values per column
+    for r in gather.bounded_rows(vals):  # the screen leaves a few times `limit` values per column
         got[r["column"]].append(r["value"])
     out.update({n: sorted(v) for n, v in got.items() if len(v) <= limit})
     return out
 
 
 def modes_and_distinct(df: DataFrame, cols: dict[str, Column] | Sequence[str]) -> dict[str, tuple]:
-    """(most frequent value, number of distinct values) per column; the smallest value wins ties.
-
-    Counts are pre-aggregated per value, so no task holds a column's whole value set."""
+    """(most frequent value, number of distinct values) per column; the smallest value wins ties."""
     xs = dict(cols) if isinstance(cols, dict) else {n: c(n) for n in cols}
-    out: dict = {n: (None, 0) for n in xs}
-    types = dict(df.select(*[x.alias(n) for n, x in xs.items()]).dtypes) if xs else {}
-    for t in sorted(set(types.values())):
-        group = [n for n in xs if types[n] == t]
-        pick = {n: F.when(~F.isnan(xs[n]), xs[n] + F.lit(0.0).cast(t)) if t in ("float", "double") else xs[n] for n in group}
-        cells = F.stack(F.lit(len(group)), *[y for n in group for y in (F.lit(n), pick[n])]).alias("column", "value")
-        vc = (df.select(cells).where(F.col("value").isNotNull())
-              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-        best = vc.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("value"))).alias("b"),
-                                        F.count(F.lit(1)).alias("u"))
-        out.update({r["column"]: (r["b"]["value"], r["u"]) for r in best.collect()})  # one row per column
-    return out
+    return {n: (v.mode, v.distinct) for n, v in value_stats(df, xs).items()}
 
 
 def column_modes(df: DataFrame, cols: dict[str, Column] | Sequence[str]) -> dict:
@@ -290,19 +378,41 @@ def pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
 
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson correlation over rows that have both values; NULL where one side is constant
-    (the built-in divides by zero there)."""
+    (the built-in divides by zero there, or by what rounding leaves of it)."""
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
+def pair_correlations(df: DataFrame, xs: dict[str, Column], complete: bool = False) -> dict[tuple[str, str], float | None]:
+    """Pearson correlation of every pair: an expression each, or for many columns one matrix product a batch of rows."""
+    names = list(xs)
+    if len(names) >= GRAM_COLUMNS:
+        m = pair_moments(df, list(xs.values()), complete)
+        return {(a, b): m.correlation(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i < j}
+    if complete:
+        df = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs.values())]).dropna()
+        xs = {n: F.col(f"x{i}") for i, n in enumerate(names)}
+    return stats_row(df, {(a, b): safe_corr(xs[a], xs[b]) for a, b in pairs(names)})
 
 
 def correlations(df: DataFrame, cols: Sequence[str], complete: bool = False) -> dict[tuple[str, str], float | None]:
     """Pearson correlation of every pair: pairwise-complete, or over complete rows only."""
-    xs = {n: num(df, n) for n in cols}
-    if complete:
-        df = df.select(*[xs[n].alias(n) for n in cols]).dropna()
-        xs = {n: c(n) for n in cols}
-    return stats_row(df, {(a, b): safe_corr(xs[a], xs[b]) for a, b in pairs(cols)})
+    return pair_correlations(df, {n: num(df, n) for n in cols}, complete)
+
+
+def covariances(df: DataFrame, xs: Sequence[Column]) -> tuple[int, list[float], list[list[float]]]:
+    """(rows, means, population covariances) over the rows that have all of the given numbers."""
+    p = len(xs)
+    if p >= GRAM_COLUMNS:
+        m = pair_moments(df, xs, complete=True)
+        return int(m.n[0, 0]), m.mean.diagonal().tolist(), m.cov.tolist()
+    d = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)]).dropna()
+    aggs = {"n": F.count(F.lit(1)), **{i: F.avg(f"x{i}") for i in range(p)}}
+    aggs.update({(i, j): F.covar_pop(f"x{i}", f"x{j}") for i in range(p) for j in range(i, p)})
+    got = stats_row(d, aggs)
+    return got["n"], [got[i] or 0.0 for i in range(p)], [[got[min(i, j), max(i, j)] or 0.0 for j in range(p)] for i in range(p)]
 
 
 # ---------------------------------------------------------------- chi-square quantile

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import c
+from ..operators.sample import plot_sample
 from ..functions.stats import rows_to_df, stats_row
 
 
@@ -98,9 +99,9 @@ def fit_classes(df: DataFrame, train: str, test: str, task: str) -> DataFrame:
 
 
 def residuals(df: DataFrame, key: str, label: str = "label", pred: str = "prediction", k: int = 200) -> DataFrame:
-    """(key, actual, predicted, residual) of the first k rows by key, for a plot."""
-    return df.select(c(key), F.round(c(label), 4).alias("actual"), F.round(c(pred), 4).alias("predicted"),
-                     F.round(c(label) - c(pred), 4).alias("residual")).orderBy(c(key)).limit(k)
+    """(key, actual, predicted, residual) of k rows for a plot, drawn by the hash of their key."""
+    return plot_sample(df, key, k).select(c(key), F.round(c(label), 4).alias("actual"), F.round(c(pred), 4).alias("predicted"),
+                                          F.round(c(label) - c(pred), 4).alias("residual"))
 
 
 def metrics_table(spark, m: dict) -> DataFrame:

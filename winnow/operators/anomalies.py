@@ -12,22 +12,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import (BUSINESS_WORDS, DATE_WORDS, EMAIL_WORDS, FUTURE_OK_WORDS, ID_WORDS, PERCENT_WORDS_WIDE,
                               POSITIVE_WORDS_WIDE, c, count_if, flat_cols, is_date, name_has, num, numeric_cols,
                               require, text_cols)
 from ..functions.dates import as_date, parse_date
+from ..functions.gather import shared, together
 from ..functions.keys import attach
 from ..functions.pii import EMAIL_QUALITY
-from ..functions.stats import (as_text, chi2_quantile, exact_quantiles, rows_to_df, stats_row, value_counts)
-from .clean import duplicate_flag
+from ..functions.stats import (as_text, chi2_quantile, covariances, exact_quantiles, rows_to_df, stats_row, value_stats)
+from .clean import duplicate_flag, exact_type
 from .ordered import date_gaps, diff_previous, median3, with_neighbours, with_streaks
 
 SCHEMA = "type string, severity string, column string, count bigint, example string"
 
 
 def _cols(df: DataFrame, columns, default) -> list[str]:
-    return list(columns) if columns else default(df)
+    return default(df) if columns is None else list(columns)
 
 
 def _text(x) -> str | None:
@@ -52,8 +54,7 @@ def zscore_flags(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
 
 
 def iqr_flags(df: DataFrame, cols: Sequence[str], factor: float = 3.0) -> dict[str, Column]:
-    qs = exact_quantiles(df, cols, [0.25, 0.75])
-    got = stats_row(df, {n: F.count(num(df, n)) for n in cols})
+    qs, got = together(lambda: exact_quantiles(df, cols, [0.25, 0.75]), lambda: stats_row(df, {n: F.count(num(df, n)) for n in cols}))
     out = {}
     for n in cols:
         a, b = qs[n]
@@ -126,16 +127,8 @@ def mahalanobis_model(df: DataFrame, cols: Sequence[str]) -> tuple[list[float],
     """Means and pseudo-inverse covariance over complete rows: one aggregate and a p-by-p inverse."""
     import numpy as np
 
-    d = df.select(*[num(df, n).alias(n) for n in cols]).dropna()
-    aggs = {"n": F.count(F.lit(1)), **{("m", n): F.avg(c(n)) for n in cols}}
-    aggs.update({(a, b): F.covar_samp(c(a), c(b)) for i, a in enumerate(cols) for b in cols[i:]})
-    got = stats_row(d, aggs)
-    p = len(cols)
-    cov = np.zeros((p, p))
-    for i, a in enumerate(cols):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = got[(a, cols[j])] or 0.0
-    return [got[("m", n)] or 0.0 for n in cols], np.linalg.pinv(cov).tolist(), got["n"]
+    n, mean, cov = covariances(df, [num(df, x) for x in cols])
+    return mean, np.linalg.pinv(np.array(cov) * (n / (n - 1) if n > 1 else 0.0)).tolist(), n
 
 
 def mahalanobis_distance(df: DataFrame, cols: Sequence[str], out: str = "distance") -> DataFrame:
@@ -160,7 +153,7 @@ def mahalanobis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     got = stats_row(d, {"k": count_if(F.col("_d") > cut), "n": F.count("_d")})
     if not got["k"] or got["n"] <= len(cols) * 2:
         return findings(df, [])
-    return findings(df, [("multivariate_mahalanobis", "warning", ", ".join(cols[:3]), got["k"], None)])
+    return findings(df, [("multivariate_mahalanobis", "warning", ", ".join(cols), got["k"], None)])
 
 
 def _jump_limits(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -172,26 +165,26 @@ def _jump_limits(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 def sudden_jump(df: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
     """Steps between consecutive values larger than three standard deviations."""
-    rows = []
-    for n, limit in _jump_limits(df, columns).items():
+    def one(n: str, limit: float) -> dict:
         d = diff_previous(df.select(c(order), c(n)), n, order, "_d")
         hit = F.abs(F.col("_d")) > limit
-        r = stats_row(d, {"k": count_if(hit), "e": F.min(F.when(hit, num(df, n)))})
-        if r["k"]:
-            rows.append(("pattern_sudden_jump", "warning", n, r["k"], _text(r["e"])))
-    return findings(df, rows)
+        return stats_row(d, {"k": count_if(hit), "e": F.min(F.when(hit, num(df, n)))})
+
+    limits = _jump_limits(df, columns)
+    got = together(*[lambda n=n, limit=limit: one(n, limit) for n, limit in limits.items()])
+    return findings(df, [("pattern_sudden_jump", "warning", n, r["k"], _text(r["e"])) for n, r in zip(limits, got, strict=True) if r["k"]])
 
 
 def repeated_sequence(df: DataFrame, order: str, columns: Sequence[str], least: int = 10) -> DataFrame:
     """Values repeated at least ten times in a row."""
-    rows = []
-    for n in columns:
+    def one(n: str) -> dict:
         d = with_streaks(df.select(c(order), c(n)), n, order, "_s")
         hit = F.col("_s") >= least
-        r = stats_row(d, {"n": F.count(F.lit(1)), "k": count_if(hit), "e": F.min(F.when(hit, num(df, n)))})
-        if r["n"] >= 10 and r["k"]:
-            rows.append(("pattern_repeated_sequence", "warning", n, r["k"], _text(r["e"])))
-    return findings(df, rows)
+        return stats_row(d, {"n": F.count(F.lit(1)), "k": count_if(hit), "e": F.min(F.when(hit, num(df, n)))})
+
+    got = together(*[lambda n=n: one(n) for n in columns])
+    return findings(df, [("pattern_repeated_sequence", "warning", n, r["k"], _text(r["e"])) for n, r in zip(columns, got, strict=True)
+                         if r["n"] >= 10 and r["k"]])
 
 
 def _round_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, float]]:
@@ -236,15 +229,12 @@ def extreme_length(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 def copy_paste(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The most repeated text of more than 40 characters, from five copies on.
 
-    Whole texts are counted by their hash; only the winner's text is looked at again."""
+    Whole texts are counted by their hash; only the winner's text is looked at again.  Without text columns there is no finding."""
     cols = _cols(df, columns, text_cols)
-    long = df.select(*[F.when(F.length(c(n)) > 40, c(n)).alias(n) for n in cols])
-    best = (value_counts(long, cols, digest=True).where("n >= 5").groupBy("column")
-            .agg(F.max(F.struct("n", "value")).alias("b")))
-    top = {r["column"]: r["b"] for r in best.collect()}  # one row per column
-    shown = stats_row(long, {n: F.min(F.when(F.md5(c(n)) == b["value"], F.substring(c(n), 1, 60)))
-                             for n, b in top.items()}) if top else {}
-    return findings(df, [("text_copy_paste_anomaly", "info", n, top[n]["n"], shown[n]) for n in cols if n in top])
+    long = {n: F.when(F.length(c(n)) > 40, F.md5(c(n))) for n in cols}
+    top = {n: v for n, v in value_stats(df, long).items() if v.most >= 5}
+    shown = stats_row(df, {n: F.min(F.when(long[n] == v.last_mode, F.substring(c(n), 1, 60))) for n, v in top.items()})
+    return findings(df, [("text_copy_paste_anomaly", "info", n, top[n].most, shown[n]) for n in cols if n in top])
 
 
 def script_flags(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
@@ -293,12 +283,9 @@ def date_old(df: DataFrame, columns: Sequence[str] | None = None, before: str =
 
 
 def date_gap_jump(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    rows = []
-    for n in date_like(df, columns):
-        got = stats_row(date_gaps(df, n), {"k": F.count(F.lit(1)), "d": F.min("gap_days")})
-        if got["k"]:
-            rows.append(("date_gap_jump", "warning", n, got["k"], f"{got['d']} days gap"))
-    return findings(df, rows)
+    cols = date_like(df, columns)
+    found = together(*[lambda n=n: stats_row(date_gaps(df, n), {"k": F.count(F.lit(1)), "d": F.min("gap_days")}) for n in cols])
+    return findings(df, [("date_gap_jump", "warning", n, got["k"], f"{got['d']} days gap") for n, got in zip(cols, found, strict=True) if got["k"]])
 
 
 def date_weekend(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -323,14 +310,8 @@ def id_columns(df: DataFrame) -> list[str]:
 
 def duplicate_identifier(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Identifier columns whose values repeat: all rows of repeated values count."""
-    cols = list(columns or id_columns(df))
-    if not cols:
-        return findings(df, [])
-    dup = (value_counts(df, cols).where("n > 1").groupBy("column")
-           .agg(F.sum("n").alias("k"), F.min("value").alias("e")))
-    got = {r["column"]: r for r in dup.collect()}  # one row per column
-    return findings(df, [("business_duplicate_identifier", "critical", n, got[n]["k"], got[n]["e"])
-                         for n in cols if n in got])
+    got = value_stats(df, {n: as_text(df, n) for n in _cols(df, columns, id_columns)})
+    return findings(df, [("business_duplicate_identifier", "critical", n, v.repeated, v.least_repeated) for n, v in got.items() if v.repeated])
 
 
 def invalid_email(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -339,22 +320,20 @@ def invalid_email(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 # ---------------------------------------------------------------- all together
 
-def detect_all(df: DataFrame, order: str | None = None, as_of: str | None = None) -> DataFrame:
+def detect_all(df: DataFrame, order: str | None = None, as_of: str | None = None, key: str | None = None) -> DataFrame:
     """Every detector; order-dependent ones need ``order``, future dates need ``as_of``, and are left out without it.
-    A numeric ``order`` column is a place, not a measurement."""
-    nums = [n for n in numeric_cols(df) if n != order]
-    measured = df.drop(order) if order in numeric_cols(df) else df
-    parts = [f(measured) for f in (zscore, iqr_extreme, mahalanobis, round_bias, suspicious_zeros, negative_values,
-                                   percentage_over_100)]
-    parts += [f(df) for f in (extreme_length, copy_paste, mixed_scripts, date_old, date_gap_jump, date_weekend,
-                              duplicate_identifier, invalid_email)]
+    A numeric ``key`` or ``order`` column is no measurement.  The detectors run side by side over shared scans."""
+    nums = [n for n in numeric_cols(df) if n not in (key, order)]
+    measures = (zscore, iqr_extreme, mahalanobis, round_bias, suspicious_zeros, negative_values, percentage_over_100)
+    parts = [lambda d, f=f: f(d, nums) for f in measures]
+    parts += [extreme_length, copy_paste, mixed_scripts, date_old, date_gap_jump, date_weekend, duplicate_identifier, invalid_email]
     if order:
-        parts += [sudden_jump(df, order, nums), repeated_sequence(df, order, nums)]
+        parts += [lambda d: sudden_jump(d, order, nums), lambda d: repeated_sequence(d, order, nums)]
     if as_of:
-        parts.append(date_future(df, as_of))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        parts.append(lambda d: date_future(d, as_of))
+    out = None
+    for part in shared(df, parts):
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -448,26 +427,46 @@ def fix_negative(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.abs(c(column)))
 
 
+def _repaired(df: DataFrame, column: str, *cases: tuple[Column, Column]) -> DataFrame:
+    """Each value replaced by the first case that holds.  Integer and decimal columns keep their type, and all other values as they are."""
+    t = exact_type(df, column)
+    new = None
+    for when, value in cases:
+        value = value.cast(t) if t is not None else value.cast("double")
+        new = F.when(when, value) if new is None else new.when(when, value)
+    return df.withColumn(column, new.otherwise(c(column) if t is not None else num(df, column)))
+
+
+def _inward(df: DataFrame, column: str, lo: float, hi: float) -> tuple[Column, Column]:
+    """Both ends of a range; of integer columns the first and last whole number inside it."""
+    whole = isinstance(exact_type(df, column), T.IntegralType)
+    return (F.ceil(F.lit(lo)), F.floor(F.lit(hi))) if whole else (F.lit(lo), F.lit(hi))
+
+
 def fix_percentage(df: DataFrame, column: str) -> DataFrame:
-    x = num(df, column)
-    return df.withColumn(column, F.when(x > 100, F.lit(100.0)).otherwise(x))
+    require(df, column)
+    return _repaired(df, column, (num(df, column) > 100, F.lit(100)))
 
 
 def fix_extreme(df: DataFrame, column: str, factor: float = 2.5) -> DataFrame:
-    """Clip to quartiles ± 2.5·IQR."""
+    """Clip to quartiles ± 2.5·IQR; integers to the whole numbers inside."""
+    require(df, column)
     a, b = exact_quantiles(df, [column], [0.25, 0.75])[column]
     if a is None:
         return df
     x = num(df, column)
     lo, hi = a - factor * (b - a), b + factor * (b - a)
-    return df.withColumn(column, F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi))))
+    low, high = _inward(df, column, lo, hi)
+    return _repaired(df, column, (x < lo, low), (x > hi, high))
 
 
 def fix_zeros(df: DataFrame, column: str) -> DataFrame:
-    """Zeros become the median of the positive values."""
+    """Zeros become the median of the positive values, rounded in integer columns."""
+    require(df, column)
     x = num(df, column)
     med = exact_quantiles(df, {column: F.when(x > 0, x)}, [0.5])[column][0]
-    return df.withColumn(column, F.when(x == 0, F.lit(med).cast("double")).otherwise(x))
+    value = F.lit(med).cast("double")
+    return _repaired(df, column, (x == 0, F.round(value) if isinstance(exact_type(df, column), T.IntegralType) else value))
 
 
 def fix_email(df: DataFrame, column: str) -> DataFrame:
@@ -499,17 +498,25 @@ def fix_jump(df: DataFrame, column: str, order: str) -> DataFrame:
     d = diff_previous(df.select(c(order), c(column)), column, order, "_d")
     if not stats_row(d, {"k": count_if(F.abs(F.col("_d")) > 3.0 * s)})["k"]:
         return df
-    x = num(df, column)
+    t = exact_type(df, column)
+    x = num(df, column) if t is None else c(column)
     j = with_neighbours(df, order, {"v": x}, nxt=True)
-    return j.withColumn(column, median3(F.col("_prev_v"), x, F.col("_next_v"))).select(*[c(n) for n in df.columns])
+    new = median3(F.col("_prev_v"), x, F.col("_next_v"), None if t is None else lambda a, b: _middle(a, b, t))
+    return j.withColumn(column, new).select(*[c(n) for n in df.columns])
+
+
+def _middle(a: Column, b: Column, t: T.DataType) -> Column:
+    """Half way between two exact values, in their type; their sum may not fit in it."""
+    wide = T.DecimalType(38, t.scale if isinstance(t, T.DecimalType) else 0)
+    return F.round((a.cast(wide) + b.cast(wide)) / 2, wide.scale).cast(t)
 
 
-def fix_all(df: DataFrame, key: str, found: DataFrame | None = None, order: str | None = None) -> DataFrame:
-    """Repair what ``detect_all`` finds, in the order the detectors report it."""
-    found = detect_all(df, order) if found is None else found
+def fix_all(df: DataFrame, key: str, found: DataFrame | None = None, order: str | None = None, as_of: str | None = None) -> DataFrame:
+    """Repair what ``detect_all`` finds, in the order the detectors report it.  ``key`` and ``order`` stay as they are."""
+    found = detect_all(df, order, as_of, key) if found is None else found
     for r in found.collect():  # a few rows per column
         kind, n = r["type"], r["column"]
-        if n not in df.columns:
+        if n not in df.columns or n in (key, order):
             continue
         if kind == "business_negative_value":
             df = fix_negative(df, n)
@@ -523,7 +530,7 @@ def fix_all(df: DataFrame, key: str, found: DataFrame | None = None, order: str
             df = fix_email(df, n)
         elif kind == "text_extreme_length":
             df = fix_text_length(df, n)
-        elif kind == "business_duplicate_identifier" and n != key:
+        elif kind == "business_duplicate_identifier":
             df = fix_duplicate_id(df, n, key)
         elif kind == "pattern_sudden_jump" and order:
             df = fix_jump(df, n, order)

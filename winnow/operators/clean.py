@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from ..functions.core import (c, count_if, dtype, flat_cols, is_missing, is_numeric, is_text, num,
                               numeric_cols, present, require, strip, text_cols)
 from ..functions.dates import as_date, parse_date, strftime_to_java
+from ..functions.gather import together
 from ..functions.keys import attach
-from ..functions.stats import column_modes, exact_quantiles, stats_row
+from ..functions.stats import column_modes, exact_quantiles, stats_row, value_stats
 from ..functions.text import TEXT_OPS, apply_case, collapse_spaces
 
 
@@ -45,9 +46,7 @@ def row_digest(df: DataFrame, cols: Sequence[str]) -> list[Column]:
 def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> int:
     """Rows beyond the first of each distinct row (NULLs equal each other)."""
     cols = list(subset) if subset else flat_cols(df)
-    got = stats_row(df.groupBy(*row_digest(df, cols)).agg(F.count(F.lit(1)).alias("_n")),
-                    {"d": F.sum(F.col("_n") - 1)})
-    return got["d"] or 0
+    return value_stats(df, {"row": F.struct(*row_digest(df, cols))})["row"].extra
 
 
 def duplicate_flag(df: DataFrame, subset: Sequence[str], key: str, out: str = "is_duplicate") -> DataFrame:
@@ -159,9 +158,10 @@ def fences(df: DataFrame, columns: Sequence[str], factor: float = 1.5, fallback:
     median itself; a column with a single value has no fence."""
     qs = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     flat = [n for n in columns if qs[n][0] is not None and qs[n][0] == qs[n][2]]
-    mads = exact_quantiles(df, {n: F.abs(num(df, n) - qs[n][1]) for n in flat}, [0.5]) if flat and fallback else {}
-    ends = stats_row(df, {(k, n): f(num(df, n)) for n in flat for k, f in (("lo", F.min), ("hi", F.max))}) \
-        if flat and fallback else {}
+    mads, ends = together(
+        lambda: exact_quantiles(df, {n: F.abs(num(df, n) - qs[n][1]) for n in flat}, [0.5]),
+        lambda: stats_row(df, {(k, n): f(num(df, n)) for n in flat for k, f in (("lo", F.min), ("hi", F.max))})) \
+        if flat and fallback else ({}, {})
     out: dict[str, Fence] = {}
     for n in columns:
         q1, m, q3 = qs[n]

@@ -7,13 +7,23 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import c, num, numeric_cols, require
-from ..functions.stats import exact_quantiles, stats_row
+from ..functions.stats import covariances, exact_quantiles, stats_row
 from ..session import cut_lineage
+from .clean import exact_type
 from .neighbors import knn
 
 
+def filled(df: DataFrame, column: str, value: Column) -> Column:
+    """The column with its missing cells filled; integer and decimal columns keep their type and all values they have."""
+    t = exact_type(df, column)
+    if t is None:
+        return F.coalesce(num(df, column), value)
+    return F.coalesce(c(column), F.round(value, t.scale if isinstance(t, T.DecimalType) else 0).cast(t))
+
+
 def knn_impute(df: DataFrame, column: str, key: str, cols: Sequence[str] | None = None, k: int = 5) -> DataFrame:
     """Fill a number with the mean of its k nearest donors.
 
@@ -43,28 +53,21 @@ def knn_impute(df: DataFrame, column: str, key: str, cols: Sequence[str] | None
                              (F.col("distance") * F.lit(((len(cols) + 1) / len(shared)) ** 0.5)).alias("_d"))
             found = part if found is None else found.unionByName(part)
     if found is None:
-        return df.withColumn(column, F.coalesce(num(df, column), F.lit(mean)))
+        return df.withColumn(column, filled(df, column, F.lit(mean).cast("double")))
     best = found.groupBy("_k").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "neighbour"))), 1, k).alias("_b"))
     near = best.select("_k", F.explode("_b").alias("_b")).select("_k", F.col("_b.neighbour").alias("_donor"))
     y = d.select(F.col("_k").alias("_donor"), "_y")
     val = near.join(y, "_donor").groupBy("_k").agg(F.avg("_y").alias("_v"))
     out = df.join(val.withColumnRenamed("_k", "_vk"), c(key) == F.col("_vk"), "left")
-    return out.withColumn(column, F.coalesce(num(df, column), F.col("_v"), F.lit(mean))).drop("_vk", "_v")
+    return out.withColumn(column, filled(df, column, F.coalesce(F.col("_v"), F.lit(mean).cast("double")))).drop("_vk", "_v")
 
 
 def least_squares(df: DataFrame, y: Column, xs: Sequence[Column]) -> tuple[float, list[float]]:
-    """Intercept and slopes of y on xs over complete rows, from means and covariances of one aggregate."""
-    d = df.select(y.alias("y"), *[x.alias(f"x{i}") for i, x in enumerate(xs)]).dropna()
-    names = ["y", *[f"x{i}" for i in range(len(xs))]]
-    aggs = {n: F.avg(n) for n in names}
-    aggs.update({(a, b): F.covar_pop(a, b) for i, a in enumerate(names) for b in names[i:]})
-    got = stats_row(d, aggs)
-    p = len(xs)
-    m = np.array([[got[(f"x{min(i, j)}", f"x{max(i, j)}")] or 0.0 for j in range(p)] for i in range(p)])
-    v = np.array([got[("y", f"x{i}")] or 0.0 for i in range(p)])
-    beta = np.linalg.lstsq(m, v, rcond=None)[0]
-    start = (got["y"] or 0.0) - float(sum(b * (got[f"x{i}"] or 0.0) for i, b in enumerate(beta)))
-    return start, [float(b) for b in beta]
+    """Intercept and slopes of y on xs over complete rows, from their means and covariances."""
+    _, mean, cov = covariances(df, [y, *xs])
+    m = np.array(cov)
+    beta = np.linalg.lstsq(m[1:, 1:], m[1:, 0], rcond=None)[0]
+    return mean[0] - float(np.dot(beta, mean[1:])), beta.tolist()
 
 
 def _predict(start: float, beta: Sequence[float], xs: Sequence[Column]) -> Column:
@@ -87,38 +90,40 @@ def regression_impute(df: DataFrame, column: str, predictors: Sequence[str] | No
     got = stats_row(df, {"n": F.count(F.when(whole, 1)), **{n: F.avg(x) for n, x in zip(preds, xs)}})
     if not preds or got["n"] < 3:
         med = exact_quantiles(df, [column], [0.5])[column][0]
-        return df.withColumn(column, F.coalesce(y, F.lit(med).cast("double")))
+        return df.withColumn(column, filled(df, column, F.lit(med).cast("double")))
     start, beta = least_squares(df.where(whole), y, xs)
     full = [F.coalesce(x, F.lit(got[n]).cast("double")) for n, x in zip(preds, xs)]
-    return df.withColumn(column, F.coalesce(y, _predict(start, beta, full)))
+    return df.withColumn(column, filled(df, column, _predict(start, beta, full)))
 
 
-def iterative_impute(df: DataFrame, columns: Sequence[str] | None = None, rounds: int = 10, tol: float = 1e-3) -> DataFrame:
+def iterative_impute(df: DataFrame, columns: Sequence[str] | None = None, rounds: int = 10, tol: float = 1e-3, key: str | None = None) -> DataFrame:
     """Chained regressions: start from means, then refit every incomplete column on all others in turn.
 
     A fit is one aggregate; each round is materialised, so plans do not grow.  Stops early when
-    no filled value moves by more than ``tol`` of the largest observed value."""
-    cols = list(columns or numeric_cols(df))
+    no filled value moves by more than ``tol`` of the largest observed value.  Only missing cells change: complete columns and
+    ``key``, which is no predictor, stay as they are, and integer and decimal columns keep their type and take rounded values."""
+    cols = list(columns or [n for n in numeric_cols(df) if n != key])
+    own = df.columns
     xs = {n: num(df, n) for n in cols}
     got = stats_row(df, {(k, n): f for n in cols for k, f in (
         ("m", F.avg(xs[n])), ("k", F.sum(F.when(xs[n].isNull(), 1).otherwise(0))), ("a", F.max(F.abs(xs[n]))))})
     todo = sorted((n for n in cols if got[("k", n)]), key=lambda n: got[("k", n)])
     if not todo:
         return df
+    x = {n: f"_x_{n}" for n in cols}  # the numbers that are worked with; the columns themselves are filled at the end
     cur = df.withColumns({**{f"_gap_{n}": xs[n].isNull() for n in todo},
-                          **{n: F.coalesce(xs[n], F.lit(got[("m", n)]).cast("double")) for n in cols}})
+                          **{x[n]: F.coalesce(xs[n], F.lit(got[("m", n)]).cast("double")) for n in cols}})
     scale = max(got[("a", n)] or 0.0 for n in cols)
     for _ in range(rounds if len(cols) > 1 else 0):
         moved = []
         for n in todo:
-            rest = [m for m in cols if m != n]
-            start, beta = least_squares(cur.where(~F.col(f"_gap_{n}")), c(n), [c(m) for m in rest])
-            cur = cur.withColumns({f"_old_{n}": c(n), n: F.when(F.col(f"_gap_{n}"), _predict(start, beta, [c(m) for m in rest]))
-                                   .otherwise(c(n))})
-            moved.append(F.max(F.abs(c(n) - F.col(f"_old_{n}"))))
+            rest = [c(x[m]) for m in cols if m != n]
+            start, beta = least_squares(cur.where(~c(f"_gap_{n}")), c(x[n]), rest)
+            cur = cur.withColumns({f"_old_{n}": c(x[n]), x[n]: F.when(c(f"_gap_{n}"), _predict(start, beta, rest)).otherwise(c(x[n]))})
+            moved.append(F.max(F.abs(c(x[n]) - c(f"_old_{n}"))))
         cur = cut_lineage(cur)
         step = stats_row(cur, {i: m for i, m in enumerate(moved)})
         cur = cur.drop(*[f"_old_{n}" for n in todo])
         if max(v or 0.0 for v in step.values()) < tol * scale:
             break
-    return cur.drop(*[f"_gap_{n}" for n in todo]).select(*[c(n) for n in df.columns])
+    return cur.withColumns({n: filled(df, n, c(x[n])) for n in todo}).select(*[c(n) for n in own])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import c, is_date, is_numeric, num, require
+from ..functions.gather import bounded_rows
 from ..functions.keys import attach
 from ..functions.stats import stats_row
 
@@ -42,7 +43,7 @@ def _sketched_edges(keys: DataFrame, blocks: int, by: str | None = None) -> list
             .agg(F.kll_sketch_agg_double("k", F.lit(4096)).alias("s")))
     probs = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
     merged = part.groupBy(*group).agg(F.kll_merge_agg_double("s").alias("s"), F.min("g").alias("g"))
-    rows = merged.select(F.kll_sketch_get_quantile_double("s", probs).alias("e")).collect()  # one row per group
+    rows = bounded_rows(merged.select(F.kll_sketch_get_quantile_double("s", probs).alias("e")))  # one row per group
     return sorted({x for r in rows for x in r["e"]})
 
 
@@ -57,19 +58,24 @@ def blocked(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFram
 
     A sketch resolves about a thousand blocks; where more are needed, each of those is cut
     again by a sketch of its own."""
+    return _blocked(df, order, block_rows)[0]
+
+
+def _blocked(df: DataFrame, order: str, block_rows: int) -> tuple[DataFrame, bool]:
+    """``blocked``, and whether there is more than one block, so that anything can cross an edge."""
     require(df, order)
     key = _order_number(df, order)
-    n = df.count()
+    n = stats_row(df, {"n": F.count(F.lit(1))})["n"]
     blocks = math.ceil(n / max(block_rows, n / MAX_BLOCKS)) if n else 1
     if blocks <= 1:
-        return df.withColumn("_block", F.lit(0))
+        return df.withColumn("_block", F.lit(0)), False
     src = df.withColumn("_ord", key)
     keys = src.select(F.col("_ord"), F.col("_ord").alias("k")).where("k is not null")
     edges = _sketched_edges(keys, min(blocks, FIRST_BLOCKS))
     if blocks > FIRST_BLOCKS:
         first = _cut(keys, edges)
         edges = sorted({*edges, *_sketched_edges(first, math.ceil(blocks / FIRST_BLOCKS), by="_block")})
-    return _cut(src, edges).drop("_ord")
+    return _cut(src, edges).drop("_ord"), True
 
 
 def _win(order: str):
@@ -99,15 +105,18 @@ def with_row_index(df: DataFrame, order: str, out: str = "row_index", block_rows
 def with_neighbours(df: DataFrame, order: str, cols: dict[str, Column], nxt: bool = False,
                     block_rows: int = BLOCK_ROWS, keep_block: bool = False) -> DataFrame:
     """Add ``_prev_<name>`` (and ``_next_<name>``): the expressions on the adjacent rows of the order."""
-    b = blocked(df, order, block_rows).withColumns({f"_x_{k}": x for k, x in cols.items()})
+    b, many = _blocked(df, order, block_rows)
+    b = b.withColumns({f"_x_{k}": x for k, x in cols.items()})
     w = _win(order)
     pack = F.struct(*[F.col(f"_x_{k}") for k in cols])
-    e = _edges(b, _last=F.max_by(pack, c(order)), _first=F.min_by(pack, c(order)))
-    by_block = Window.orderBy("_block")
-    e = e.select("_block", F.lag("_last").over(by_block).alias("_in"), F.lead("_first").over(by_block).alias("_out"))
-    b = b.withColumns({"_p": F.lag(pack).over(w), "_q": F.lead(pack).over(w) if nxt else F.lit(None),
-                       "_rn": F.row_number().over(w)})
-    j = b.join(F.broadcast(e), "_block")  # one row per block
+    j = b.withColumns({"_p": F.lag(pack).over(w), "_q": F.lead(pack).over(w) if nxt else F.lit(None), "_rn": F.row_number().over(w)})
+    if many:
+        e = _edges(b, _last=F.max_by(pack, c(order)), _first=F.min_by(pack, c(order)))
+        by_block = Window.orderBy("_block")
+        e = e.select("_block", F.lag("_last").over(by_block).alias("_in"), F.lead("_first").over(by_block).alias("_out"))
+        j = j.join(F.broadcast(e), "_block")  # one row per block
+    else:
+        j = j.withColumns({x: F.when(F.lit(False), pack) for x in ("_in", "_out")})
     new = {}
     for k in cols:
         new[f"_prev_{k}"] = F.when(F.col("_p").isNotNull(), F.col("_p")[f"_x_{k}"]).otherwise(F.col("_in")[f"_x_{k}"])
@@ -154,11 +163,12 @@ def fill_forward(df: DataFrame, column: str, order: str, block_rows: int = BLOCK
             .select(*[c(n) for n in df.columns]))
 
 
-def median3(a: Column, b: Column, d: Column) -> Column:
-    """Median of up to three values, NULLs left out."""
+def median3(a: Column, b: Column, d: Column, middle=None) -> Column:
+    """Median of up to three values, NULLs left out; ``middle`` gives the mean of two."""
     v = F.array_sort(F.array_compact(F.array(a, b, d)))
-    return (F.when(F.size(v) == 3, F.get(v, F.lit(1)))
-            .when(F.size(v) == 2, (F.get(v, F.lit(0)) + F.get(v, F.lit(1))) / 2)
+    low, high = F.get(v, F.lit(0)), F.get(v, F.lit(1))
+    return (F.when(F.size(v) == 3, high)
+            .when(F.size(v) == 2, (low + high) / 2 if middle is None else middle(low, high))
             .when(F.size(v) == 1, F.get(v, F.lit(0))))
 
 

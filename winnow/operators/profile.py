@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.core import (c, count_if, date_cols, flat_cols, is_bool, is_date, is_integral, is_missing,
                               is_numeric, is_text, num, numeric_cols, present, sentinel, strip, text_cols)
 from ..functions.dates import as_date, parse_date
-from ..functions.stats import (column_modes, correlations, distinct_counts, exact_quantiles, modes_and_distinct,
-                               pairs, rows_to_df,
-                               safe_corr, sample_kurtosis, sample_skew, spread, stats_row)
+from ..functions.gather import bounded_rows, shared, together
+from ..functions.stats import (column_modes, correlations, distinct_counts, exact_quantiles, modes_and_distinct, pair_correlations,
+                               rows_to_df, sample_kurtosis, sample_skew, spread, stats_row)
 from .clean import Fence, duplicate_count, fences, is_outlier
 from .ordered import date_gaps
+from .sample import plot_sample
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -59,10 +60,9 @@ def missing_pattern(df: DataFrame) -> DataFrame:
     """MCAR / MAR / possible MNAR from the strongest correlation between missing indicators."""
     cols = flat_cols(df)
     ind = {n: is_missing(df, n, False).cast("double") for n in cols}
-    got = stats_row(df, {"miss": F.sum(sum((ind[n] for n in cols[1:]), ind[cols[0]])),
-                         **{(a, b): safe_corr(ind[a], ind[b]) for a, b in pairs(cols)}})
-    rs = [abs(got[p]) for p in pairs(cols) if got[p] is not None and math.isfinite(got[p])]
-    top = max(rs, default=0.0) if got["miss"] else 0.0
+    miss, got = together(lambda: stats_row(df, {n: F.sum(x) for n, x in ind.items()}), lambda: pair_correlations(df, ind))
+    rs = [abs(r) for r in got.values() if r is not None and math.isfinite(r)]
+    top = max(rs, default=0.0) if any(miss.values()) else 0.0
     label = "MAR" if top > 0.5 else ("Possible MNAR" if top > 0.2 else "MCAR")
     return _records(df, [(rnd(top), label)], "max_abs_corr double, pattern string")
 
@@ -100,8 +100,7 @@ def _moments(df: DataFrame, cols: Sequence[str]) -> dict:
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column."""
     cols = list(columns or numeric_cols(df))
-    got = _moments(df, cols)
-    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    got, qs = shared(df, [lambda d: _moments(d, cols), lambda d: exact_quantiles(d, cols, [0.25, 0.5, 0.75])])
     return _records(df, [(n, got[("count", n)], rnd(got[("mean", n)]), rnd(got[("std", n)]), rnd(got[("lo", n)]),
                           *[rnd(q) for q in qs[n]], rnd(got[("hi", n)])) for n in cols],
                     "column string, count bigint, mean double, std double, min double, q25 double, q50 double, "
@@ -111,12 +110,14 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Full numeric profile: moments, mode, percentiles, fences, shape label, whiskers."""
     cols = list(columns or numeric_cols(df))
-    got = _moments(df, cols)
-    qs = exact_quantiles(df, cols, PERCENTILES)
-    found = modes_and_distinct(df, cols)
+
+    def spots(d: DataFrame) -> tuple:
+        qs = exact_quantiles(d, cols, PERCENTILES)
+        fen = {n: (q[2] - 1.5 * (q[4] - q[2]), q[4] + 1.5 * (q[4] - q[2])) for n, q in qs.items() if q[0] is not None}
+        return qs, fen, stats_row(d, {n: count_if((num(d, n) < lo) | (num(d, n) > hi)) for n, (lo, hi) in fen.items()})
+
+    got, found, (qs, fen, out_n) = shared(df, [lambda d: _moments(d, cols), lambda d: modes_and_distinct(d, cols), spots])
     modes, uniq = {n: m for n, (m, _) in found.items()}, {n: u for n, (_, u) in found.items()}
-    fen = {n: (q[2] - 1.5 * (q[4] - q[2]), q[4] + 1.5 * (q[4] - q[2])) for n, q in qs.items() if q[0] is not None}
-    out_n = stats_row(df, {n: count_if((num(df, n) < lo) | (num(df, n) > hi)) for n, (lo, hi) in fen.items()})
     rows = []
     for n in cols:
         k, total = got[("count", n)], got["n"]
@@ -146,17 +147,18 @@ def profile_quick(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     cols = list(columns or flat_cols(df))
     numeric = [n for n in cols if is_numeric(df, n)]
     other = [n for n in cols if n not in numeric]
-    got = _moments(df, numeric)
-    got.update(stats_row(df, {("miss", n): count_if(is_missing(df, n, False)) for n in cols}))
-    got.update(stats_row(df, {("len", n): F.avg(F.length(c(n).cast("string"))) for n in other}))
-    med = exact_quantiles(df, numeric, [0.5])
-    uniq = distinct_counts(df, cols)
+    from .reshape import top_values
+
+    got, more, med, uniq, most = shared(df, [
+        lambda d: _moments(d, numeric),
+        lambda d: stats_row(d, {**{("miss", n): count_if(is_missing(d, n, False)) for n in cols},
+                                **{("len", n): F.avg(F.length(c(n).cast("string"))) for n in other}}),
+        lambda d: exact_quantiles(d, numeric, [0.5]), lambda d: distinct_counts(d, cols),
+        lambda d: bounded_rows(top_values(d, other, 5)) if other else []])  # five rows per column
+    got.update(more)
     tops: dict[str, list[str]] = {}
-    if other:
-        from .reshape import top_values
-
-        for r in top_values(df, other, 5).orderBy("column", F.desc("n"), "value").collect():  # five rows per column
-            tops.setdefault(r["column"], []).append(f"{r['value']}={r['n']}")
+    for r in sorted(most, key=lambda r: (r["column"], -r["n"], r["value"])):
+        tops.setdefault(r["column"], []).append(f"{r['value']}={r['n']}")
     total = got["n"]
     rows = []
     for n in cols:
@@ -184,11 +186,16 @@ def profile_date(df: DataFrame, column: str) -> DataFrame:
                          "hi_s": F.date_format(F.max(ts), "yyyy-MM-dd")})
     if got["lo"] is None:
         return _records(df, [], DATE_SCHEMA)
-    m = column_modes(df, {"y": F.year(ts), "m": F.month(ts), "d": F.dayofmonth(ts)})
-    gap = not date_gaps(df, column).isEmpty()
+    m, gap = shared(df, [lambda d: column_modes(d, {"y": F.year(ts), "m": F.month(ts), "d": F.dayofmonth(ts)}),
+                         lambda d: gap_count(d, column) > 0])
     return _records(df, [(column, got["lo_s"], got["hi_s"], got["span"], m["y"], m["m"], m["d"], gap)], DATE_SCHEMA)
 
 
+def gap_count(df: DataFrame, column: str) -> int:
+    """How many gaps of over a year the dates have."""
+    return bounded_rows(date_gaps(df, column).agg(F.count(F.lit(1)).alias("n")))[0]["n"]
+
+
 DATE_SCHEMA = ("column string, min_date string, max_date string, date_range_days bigint, most_common_year int, "
                "most_common_month int, most_common_day int, date_gaps_detected boolean")
 
@@ -279,6 +286,12 @@ def outlier_counts(df: DataFrame, cols: Sequence[str], fs: dict[str, Fence] | No
     return stats_row(df, {n: count_if(is_outlier(num(df, n), f)) for n, f in fs.items()}) if fs else {}
 
 
+def beyond_counts(df: DataFrame, cols: Sequence[str], fs: dict[str, Fence] | None = None) -> dict[str, int]:
+    """Values outside the plain 1.5·IQR fences."""
+    fs = fences(df, cols, fallback=False) if fs is None else fs
+    return stats_row(df, {n: count_if((num(df, n) < f.lower) | (num(df, n) > f.upper)) for n, f in fs.items()}) if fs else {}
+
+
 def outliers_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Columns with outliers, their fences and counts (MAD and median fall-backs included)."""
     cols = list(columns) if columns else numeric_like(df)
@@ -321,13 +334,8 @@ def column_statistics(df: DataFrame) -> DataFrame:
     """One row per column: type, missing, unique, outliers, range, centre, spread, commonest and
     shortest/longest text (smallest on ties)."""
     cols = flat_cols(df)
-    types = detect_types(df)
     texts = [n for n in cols if is_text(df, n)]
     nums = numeric_cols(df)
-    out_n = outlier_counts(df, numeric_like(df, types))
-    uniq = distinct_counts(df, nums + texts)
-    modes = column_modes(df, {n: F.when(~sentinel(c(n)), c(n)) for n in texts})
-    med = exact_quantiles(df, nums, [0.5])
     aggs = {"n": F.count(F.lit(1))}
     for n in cols:
         aggs[("miss", n)] = count_if(is_missing(df, n))
@@ -338,7 +346,14 @@ def column_statistics(df: DataFrame) -> DataFrame:
         v = F.when(~sentinel(c(n)), c(n))
         aggs[("short", n)] = F.min(F.when(v.isNotNull(), F.struct(F.length(v).alias("l"), v.alias("v"))))
         aggs[("long", n)] = F.min(F.when(v.isNotNull(), F.struct((-F.length(v)).alias("l"), v.alias("v"))))
-    got = stats_row(df, aggs)
+
+    def typed(d: DataFrame) -> tuple:
+        types = detect_types(d)
+        return types, outlier_counts(d, numeric_like(d, types))
+
+    got, (types, out_n), uniq, modes, med = shared(df, [
+        lambda d: stats_row(d, aggs), typed, lambda d: distinct_counts(d, nums + texts),
+        lambda d: column_modes(d, {n: F.when(~sentinel(c(n)), c(n)) for n in texts}), lambda d: exact_quantiles(d, nums, [0.5])])
     rows = []
     for n in cols:
         g = lambda k: got.get((k, n))
@@ -412,8 +427,9 @@ def vif(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def overview(df: DataFrame) -> DataFrame:
     """Rows, columns, cells, columns per type, duplicates, missing cells."""
     cols = flat_cols(df)
-    got = stats_row(df, {"n": F.count(F.lit(1)), **{n: count_if(is_missing(df, n, False)) for n in cols}})
-    dup, miss = duplicate_count(df), sum(got[n] for n in cols)
+    got, dup = shared(df, [lambda d: stats_row(d, {"n": F.count(F.lit(1)), **{n: count_if(is_missing(d, n, False)) for n in cols}}),
+                           duplicate_count])
+    miss = sum(got[n] for n in cols)
     n, k = got["n"], len(df.columns)
     return _records(df, [(n, k, n * k, len(numeric_cols(df)), len(text_cols(df)), len(date_cols(df)),
                           sum(is_bool(df, x) for x in df.columns), dup, pct(dup, n), miss, pct(miss, n * k))],
@@ -425,61 +441,53 @@ def overview(df: DataFrame) -> DataFrame:
 def dataset_summary(df: DataFrame) -> DataFrame:
     """Missing cells, duplicate rows and 1.5·IQR outlier cells of a table."""
     cols = flat_cols(df)
-    got = stats_row(df, {"n": F.count(F.lit(1)), **{n: count_if(is_missing(df, n, False)) for n in cols}})
-    fs = fences(df, numeric_cols(df), fallback=False)
-    out = stats_row(df, {n: count_if((num(df, n) < f.lower) | (num(df, n) > f.upper)) for n, f in fs.items()})
-    return _records(df, [(got["n"], len(df.columns), sum(got[n] for n in cols), duplicate_count(df),
-                          sum(out.values()))],
+    got, out, dup = shared(df, [
+        lambda d: stats_row(d, {"n": F.count(F.lit(1)), **{n: count_if(is_missing(d, n, False)) for n in cols}}),
+        lambda d: beyond_counts(d, numeric_cols(d)), duplicate_count])
+    return _records(df, [(got["n"], len(df.columns), sum(got[n] for n in cols), dup, sum(out.values()))],
                     "total_rows bigint, total_columns int, missing_cells bigint, duplicate_rows bigint, "
                     "outlier_cells bigint")
 
 
-def group_mean(df: DataFrame, x: str, y: str, k: int = 15) -> DataFrame:
-    """Mean and count of y for the first k groups of x."""
-    return (df.where(c(x).isNotNull()).groupBy(c(x).alias("label"))
-            .agg(F.round(F.avg(num(df, y)), 2).alias("mean"), F.count(num(df, y)).alias("n"))
-            .orderBy("label").limit(k))
+def group_mean(df: DataFrame, x: str, y: str, k: int | None = None) -> DataFrame:
+    """Mean and count of y for every group of x, or for the k largest groups (ties: the smaller label)."""
+    out = (df.where(c(x).isNotNull()).groupBy(c(x).alias("label"))
+           .agg(F.round(F.avg(num(df, y)), 2).alias("mean"), F.count(num(df, y)).alias("n")))
+    return out if k is None else out.orderBy(F.desc("n"), "label").limit(k)
 
 
 def scatter_points(df: DataFrame, key: str, x: str, y: str, k: int = 100) -> DataFrame:
-    """The first k complete (x, y) pairs in key order."""
-    return (df.select(c(key), num(df, x).alias("x"), num(df, y).alias("y")).dropna()
-            .orderBy(c(key)).limit(k).select("x", "y"))
+    """k complete (x, y) pairs, drawn by the hash of their key."""
+    pairs_ = df.select(c(key).alias("k"), num(df, x).alias("x"), num(df, y).alias("y")).dropna(subset=["x", "y"])
+    return plot_sample(pairs_, "k", k).select("x", "y")
 
 
 def full_profile(df: DataFrame) -> DataFrame:
-    """All sections in one long table: (section, subject, metric, value)."""
-    parts = []
+    """All sections in one long table: (section, subject, metric, value).
 
-    def add(section, report, subject=None):
-        cols = [n for n in report.columns if n not in (subject or [])]
-        who = F.concat_ws(", ", *[c(n) for n in subject]) if subject else F.lit("table")
-        cells = F.array(*[F.struct(F.lit(n).alias("metric"), c(n).cast("string").alias("value")) for n in cols])
-        parts.append(report.select(F.lit(section).alias("section"), who.alias("subject"), F.inline(cells)))
+    The sections are made side by side over shared scans; only their bounded rows are put together."""
+    from .quality import quality_report
+    from .recommend import recommendations
 
     nums = numeric_cols(df)
-    add("overview", overview(df))
+    sections = [("overview", overview, [])]
     if nums:
-        add("columns", profile_numeric(df, nums), ["column"])
+        sections.append(("columns", lambda d: profile_numeric(d, nums), ["column"]))
     if text_cols(df):
-        add("columns", profile_text(df), ["column"])
-    for n in date_cols(df):
-        add("columns", profile_date(df, n), ["column"])
+        sections.append(("columns", profile_text, ["column"]))
+    sections += [("columns", lambda d, n=n: profile_date(d, n), ["column"]) for n in date_cols(df)]
     if len(nums) >= 2:
-        add("correlations", corr_top_pairs(df, nums), ["col1", "col2"])
+        sections.append(("correlations", lambda d: corr_top_pairs(d, nums), ["col1", "col2"]))
     if len(nums) > 2:
-        add("vif", vif(df, nums), ["column"])
-    add("missing", missing_by_column(df), ["column"])
-    add("missing_pattern", missing_pattern(df))
+        sections.append(("vif", lambda d: vif(d, nums), ["column"]))
+    sections += [("missing", missing_by_column, ["column"]), ("missing_pattern", missing_pattern, [])]
     if nums:
-        add("outliers", outliers_simple(df, nums), ["column"])
-    from .quality import quality_report
-    from .recommend import recommendations
-
-    add("quality", quality_report(df))
-    add("recommendations", recommendations(df), ["kind", "column"])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        sections.append(("outliers", lambda d: outliers_simple(d, nums), ["column"]))
+    sections += [("quality", quality_report, []), ("recommendations", recommendations, ["kind", "column"])]
+    out = None
+    for (section, _, subject), report in zip(sections, shared(df, [make for _, make, _ in sections]), strict=True):
+        who = F.concat_ws(", ", *[c(n) for n in subject]) if subject else F.lit("table")
+        cells = F.array(*[F.struct(F.lit(n).alias("metric"), c(n).cast("string").alias("value")) for n in report.columns if n not in subject])
+        part = report.select(F.lit(section).alias("section"), who.alias("subject"), F.inline(cells))
+        out = part if out is None else out.unionByName(part)
     return out.where(F.col("value").isNotNull())
-

@@ -5,21 +5,21 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import (EMAIL_WORDS, PERCENT_WORDS, PHONE_WORDS, POSITIVE_WORDS, QUALITY_DATE_WORDS, c, count_if,
                               flat_cols, is_date, is_missing, is_numeric, is_text, name_has, num,
                               numeric_cols, parse_number, sentinel, strip, text_cols)
 from ..functions.dates import as_date, parse_date
+from ..functions.gather import bounded_rows, shared, together
+from ..functions.gram import pair_matches
 from ..functions.pii import EMAIL_QUALITY
-from ..functions.stats import (correlations, distinct_counts, maybe_few, pairs, rows_to_df, spread, stats_row,
-                               value_counts)
+from ..functions.stats import GRAM_COLUMNS, correlations, distinct_counts, maybe_few, pairs, rows_to_df, stats_row, value_counts
 from ..functions.text import is_lower, is_title, is_upper, title_case
 from .clean import duplicate_count, fences
 from .columns import constant_column_names
-from .ordered import date_gaps
-from .profile import detect_types, numeric_like, outlier_counts, pct, rnd
+from .profile import beyond_counts, detect_types, gap_count, numeric_like, outlier_counts, pct, rnd
 
 
 def clamp(x: float, digits: int = 2) -> float:
@@ -80,15 +80,19 @@ def category_variants(df: DataFrame, columns: Sequence[str] | None = None, limit
     cols = maybe_few(df, list(columns or text_cols(df)), limit)
     if not cols:
         return rows_to_df(df.sparkSession, [], "column string, normal string, variants bigint, rows bigint, canonical string")
-    vc = value_counts(df, cols)
-    few = vc.groupBy("column").agg(F.count(F.lit(1)).alias("u")).where(F.col("u") <= limit)  # one row per column
-    g = (vc.join(F.broadcast(few), "column")
-         .groupBy("column", F.lower(strip(F.col("value"))).alias("normal"))
+    g = (value_counts(df, cols).groupBy("column", F.lower(strip(F.col("value"))).alias("normal"))
          .agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("rows"), F.min("value").alias("_v")))
+    g = g.withColumn("_u", F.sum("variants").over(Window.partitionBy("column"))).where(F.col("_u") <= limit)  # screened: few values
     return g.where("variants > 1").select("column", "normal", "variants", F.col("rows").cast("bigint").alias("rows"),
                                           title_case(strip(F.col("_v"))).alias("canonical"))
 
 
+def variant_columns(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 50) -> list[str]:
+    """The columns that ``category_variants`` has findings for."""
+    found = category_variants(df, columns, limit).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["column"] for r in bounded_rows(found))  # one row a column
+
+
 # ---------------------------------------------------------------- column relationships
 
 def dup_column_pairs(df: DataFrame) -> list[tuple[str, str]]:
@@ -142,16 +146,17 @@ def similar_columns(df: DataFrame, threshold: float = 0.75) -> DataFrame:
     cols = flat_cols(df)
     norm = {n: "".join(ch for ch in n.lower() if ch.isascii() and ch.isalnum()) for n in cols}
     t = {n: F.lower(strip(c(n).cast("string"))) for n in cols}
-    aggs = {}
-    for a, b in pairs(cols):
-        both = t[a].isNotNull() & t[b].isNotNull()
-        aggs[("eq", a, b)] = count_if(both & (t[a] == t[b]))
-        aggs[("n", a, b)] = count_if(both)
-    got = stats_row(df, aggs)
+    if len(cols) >= GRAM_COLUMNS:  # one comparison of arrays a batch instead of two expressions a pair
+        both, same = pair_matches(df, list(t.values()))
+        got = {(a, b): (float(both[i, j]), float(same[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j}
+    else:
+        aggs = {p: F.struct(count_if(t[p[0]].isNotNull() & t[p[1]].isNotNull()), count_if(t[p[0]] == t[p[1]])) for p in pairs(cols)}
+        got = stats_row(df, aggs)
     rows = []
     for a, b in pairs(cols):
         name = _ratio(norm[a], norm[b])
-        val = got[("eq", a, b)] / got[("n", a, b)] if got[("n", a, b)] else 0.0
+        n, k = got[a, b]
+        val = k / n if n else 0.0
         if max(name, val) >= threshold:
             rows.append((a, b, round(max(name, val) * 100, 1), round(name * 100, 1), round(val * 100, 1)))
     return rows_to_df(df.sparkSession, rows, "col1 string, col2 string, similarity double, "
@@ -174,24 +179,36 @@ ISSUE_SCHEMA = "issue_type string, severity string, column string, affected bigi
 
 
 def _issue_parts(df: DataFrame) -> dict:
-    types = detect_types(df)
-    cols = flat_cols(df)
-    got = stats_row(df, {"n": F.count(F.lit(1)), **{n: count_if(is_missing(df, n)) for n in cols}})
-    n = got["n"]
-    miss = {x: got[x] for x in cols if got[x]}
-    out = {k: v for k, v in outlier_counts(df, numeric_like(df, types)).items() if v}
-    dates = [x for x, t in types.items() if t == "date" and is_text(df, x)]
+    """What the issue list and its scores need.  Typed numbers do not wait for the types of text columns."""
+    nums, cols = numeric_cols(df), flat_cols(df)
+
+    def missing(d: DataFrame) -> dict:
+        return stats_row(d, {"n": F.count(F.lit(1)), **{n: count_if(is_missing(d, n)) for n in cols}})
+
+    def typed(d: DataFrame) -> tuple:
+        types = detect_types(d)
+        like = numeric_like(d, types)
+        dates = [x for x, t in types.items() if t == "date" and is_text(d, x)]
+        return (types, like, *together(lambda: outlier_counts(d, [n for n in like if n not in nums]),
+                                       lambda: _records(date_inconsistency(d, dates), "cells") if dates else {}))
+
+    got, (types, like, more, dates), known, dup, constant, text, space = shared(df, [
+        missing, typed, lambda d: outlier_counts(d, nums), duplicate_count, constant_column_names,
+        lambda d: _records(inconsistent_text(d), "cells"), lambda d: _records(whitespace_issues(d), "count")])
+    n, found = got["n"], {**known, **more}
     return {
-        "rows": n, "cols": cols, "types": types, "missing": miss, "duplicates": duplicate_count(df), "outliers": out,
+        "rows": n, "cols": cols, "types": types, "missing": {x: got[x] for x in cols if got[x]}, "duplicates": dup,
+        "outliers": {x: found[x] for x in like if found.get(x)},
         "empty": [x for x in cols if n and round(got[x] / n * 100, 2) >= 80],
-        "constant": constant_column_names(df),
-        "text": {r["column"]: r["cells"] for r in inconsistent_text(df).collect()},
-        "space": {r["column"]: r["count"] for r in whitespace_issues(df).collect()},
-        "names": duplicate_names(df.columns),
-        "dates": {r["column"]: r["cells"] for r in date_inconsistency(df, dates).collect()},
+        "constant": constant, "text": text, "space": space, "names": duplicate_names(df.columns), "dates": dates,
     }
 
 
+def _records(report: DataFrame, value: str) -> dict:
+    """{column: value} of a report that is already on the driver."""
+    return {r["column"]: r[value] for r in report.collect()}
+
+
 def _issues(p: dict) -> list[tuple]:
     n, rows = p["rows"], []
     for x, k in p["missing"].items():
@@ -250,11 +267,8 @@ def quality_score_v3(df: DataFrame) -> DataFrame:
     cols = flat_cols(df)
     aggs = {"n": F.count(F.lit(1)), **{("m", n): count_if(is_missing(df, n, False)) for n in cols},
             **{("w", n): count_if(c(n) != strip(c(n))) for n in text_cols(df)}}
-    got = stats_row(df, aggs)
-    fs = fences(df, numeric_cols(df), fallback=False)
-    out = stats_row(df, {n: count_if((num(df, n) < f.lower) | (num(df, n) > f.upper)) for n, f in fs.items()}) \
-        if fs else {}
-    dup, rows = duplicate_count(df), got["n"]
+    got, out, dup = shared(df, [lambda d: stats_row(d, aggs), lambda d: beyond_counts(d, numeric_cols(d)), duplicate_count])
+    rows = got["n"]
     miss = sum(got[("m", n)] for n in cols)
     issues = sum(got[("m", n)] > 0 for n in cols) + (dup > 0) + sum(v > 0 for v in out.values()) \
         + sum(got[("w", n)] > 0 for n in text_cols(df))
@@ -289,9 +303,8 @@ def _same_type_pairs(df: DataFrame) -> list[tuple[str, str]]:
 
 
 def quality_metrics(df: DataFrame) -> dict:
-    """All six dimensions.  One aggregate answers everything that needs no fence; a second counts
-    outliers and compares columns whose checksums agree; duplicates, spellings and date gaps
-    are one job each."""
+    """All six dimensions.  One aggregate answers everything that needs no fence, together with the first steps of quartiles, duplicates
+    and spellings; later rounds count outliers, compare columns whose checksums agree and look for date gaps."""
     cols, nums, texts = flat_cols(df), numeric_cols(df), text_cols(df)
     named = [n for n in texts if name_has(n, QUALITY_DATE_WORDS)]
     aggs: dict = {"n": F.count(F.lit(1))}
@@ -319,27 +332,35 @@ def quality_metrics(df: DataFrame) -> dict:
         ts = as_date(df, n)
         aggs.update({("dated", n): F.count(ts), ("lo", n): F.date_format(F.min(ts), "yyyy-MM-dd"),
                      ("hi", n): F.date_format(F.max(ts), "yyyy-MM-dd")})
-    got = stats_row(spread(df), aggs)
+    pairs_ = _same_type_pairs(df)
+
+    def counted(d: DataFrame) -> tuple:
+        got = stats_row(d, aggs)
+        maybe = [p for p in pairs_ if got[("sum", p[0])] == got[("sum", p[1])]]
+        dates = [n for n in d.columns if is_date(d, n) or (n in named and got[("dated", n)] > 0.6 * got["n"])]
+        same, gaps = together(
+            lambda: stats_row(d, {p: F.bool_and(c(p[0]).eqNullSafe(c(p[1]))) for p in maybe}) if maybe else {},
+            lambda: gap_count(d, dates[0]) > 0 if dates and got["n"] else False)
+        return got, sum(bool(x) for x in same.values()), dates, gaps
+
+    def far(d: DataFrame) -> dict:
+        fs = {n: f for n, f in fences(d, nums, fallback=False).items() if f.iqr > 0}
+        return beyond_counts(d, nums, fs)
+
+    (got, same, dates, gaps), beyond, dup, cats = shared(df, [
+        counted, far, duplicate_count, lambda d: len(variant_columns(d, texts)) if texts else 0])
     rows = got["n"]
     if not rows:
         zero = {k: {"score": 0.0} for k, _ in WEIGHTS}
         return {**zero, "overall": {"score": 0.0, "grade": "F"}}
 
-    fs = {n: f for n, f in fences(df, nums, fallback=False).items() if f.iqr > 0 and got[("k", n)] > 4}
-    maybe = [(a, b) for a, b in _same_type_pairs(df) if got[("sum", a)] == got[("sum", b)]]
-    second = {n: count_if((num(df, n) < f.lower) | (num(df, n) > f.upper)) for n, f in fs.items()}
-    second.update({p: F.bool_and(c(p[0]).eqNullSafe(c(p[1]))) for p in maybe})
-    more = stats_row(df, second) if second else {}
-
     cells = sum(got[("miss", n)] for n in cols)
     miss_pct = pct(cells, rows * len(cols))
-    dup = duplicate_count(df)
-    dup_pct, same = pct(dup, rows), sum(more[p] for p in maybe)
-    out = sum(more[n] for n in fs)
+    dup_pct = pct(dup, rows)
+    out = sum(k for n, k in beyond.items() if got[("k", n)] > 4)
     out_pct = pct(out, len(nums) * rows) if nums else 0.0
     suspicious = sum(1 for k in got if k[0] in ("neg", "over") and got[k])
     bad_types = sum(1 for n in texts if got[("k", n)] and got[("num", n)] > 0.8 * got[("k", n)])
-    cats = category_variants(df, texts).select("column").distinct().count() if texts else 0
     spaces = sum(1 for n in texts if got[("ws", n)])
     mails = phones = 0
     for n in texts:
@@ -348,8 +369,6 @@ def quality_metrics(df: DataFrame) -> dict:
         elif ("phone", n) in got:
             phones += got[("phone", n)]
     penalty = min(50.0, mails * 3.0) + min(30.0, phones * 3.0) + min(20.0, suspicious * 5.0)
-    dates = [n for n in df.columns if is_date(df, n) or (n in named and got[("dated", n)] > 0.6 * rows)]
-    gaps = bool(dates) and not date_gaps(df, dates[0]).isEmpty()
 
     m = {
         "completeness": {"score": clamp(100.0 - miss_pct * 1.5), "rows": rows, "missing_cells": cells,

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.core import (DATE_WORDS_WIDE, c, count_if, flat_cols, is_missing, is_numeric, name_has, num,
                               numeric_cols, parse_number, strip, text_cols)
 from ..functions.dates import parse_date
+from ..functions.gather import shared
 from ..functions.stats import correlations, distinct_counts, rows_to_df, sample_skew, stats_row
 from .clean import duplicate_count, fences, remove_duplicates
 from .columns import binary_column_names
-from .quality import category_variants
+from .quality import variant_columns
 
 SCHEMA = ("category string, kind string, column string, affected bigint, impact int, effort int, priority double, "
           "fix string")
@@ -104,11 +105,12 @@ def outliers(df: DataFrame) -> list[tuple]:
             if got[("k", n)] > 10 and got[("o", n)] / got[("k", n)] * 100 >= 5.0]
 
 
-def variants(df: DataFrame) -> list[tuple]:
+def variants(df: DataFrame, limit: int = 40) -> list[tuple]:
+    """Columns of at most ``limit`` values with several spellings of one."""
     cols = text_cols(df)
     if not cols:
         return []
-    hit = {r["column"] for r in category_variants(df, cols, 40).select("column").distinct().collect()}
+    hit = set(variant_columns(df, cols, limit))
     got = stats_row(df, {n: F.count(c(n)) for n in cols if n in hit}) if hit else {}
     return [_row("Medium", "category_variants", n, got[n], 6, 1, 6, "standardize_categories") for n in cols if n in hit]
 
@@ -130,7 +132,7 @@ def low(df: DataFrame, rows: int) -> list[tuple]:
     out = []
     spaced = [n for n in df.columns if " " in n]
     if spaced:
-        out.append(_row("Low", "blank_in_names", ", ".join(spaced[:3]), len(spaced), 3, 1, 3, "rename_columns"))
+        out.append(_row("Low", "blank_in_names", ", ".join(spaced), len(spaced), 3, 1, 3, "rename_columns"))
     out += [_row("Low", "boolean_as_number", n, rows, 3, 1, 3, "cast_bool") for n in binary_column_names(df)]
     return out
 
@@ -140,8 +142,9 @@ def all_rows(df: DataFrame) -> list[tuple]:
     n = got["n"]
     if not n:
         return []
-    rows = critical(df, got) + numeric_text(df) + date_text(df) + impute(df, got) + high_cardinality(df) \
-        + skewed(df) + outliers(df) + variants(df) + whitespace(df) + collinear(df, n) + low(df, n)
+    found = shared(df, [lambda d: critical(d, got), numeric_text, date_text, lambda d: impute(d, got), high_cardinality, skewed, outliers,
+                        variants, whitespace, lambda d: collinear(d, n), lambda d: low(d, n)])
+    rows = [r for part in found for r in part]
     return sorted(rows, key=lambda r: (ORDER[r[0]], -r[6]))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import c, num, require
+from ..functions.core import c, is_numeric, num, require
 from ..functions.stats import exact_quantiles, few_values, grouped_quantiles, stats_row, value_counts
 
 AGGS = ("sum", "mean", "count", "min", "max", "std", "median", "nunique")
@@ -170,3 +170,18 @@ def bin_numeric(df: DataFrame, column: str, method: str = "equal_width", bins=5,
     idx = bin_index(num(df, column), e, right=True)
     out = df.withColumn(f"{column}_bin", idx)
     return out.withColumn(f"{column}_binned", F.get(F.array(*[F.lit(n) for n in names]), c(f"{column}_bin")))
+
+
+def concat_tables(first: DataFrame, second: DataFrame, origin: str | None = None) -> DataFrame:
+    """The rows of both tables, columns matched by name; a column that one lacks is NULL there.
+
+    A column that both have under different types takes the wider one of numbers and text otherwise, and ``origin`` names a column
+    that says where a row comes from (0 or 1)."""
+    a, b = dict(first.dtypes), dict(second.dtypes)
+
+    def shaped(df: DataFrame, other: dict[str, str], side: int) -> DataFrame:
+        cells = [c(n) if other.get(n, t) == t or (is_numeric(first, n) and is_numeric(second, n)) else c(n).cast("string").alias(n)
+                 for n, t in df.dtypes]
+        return df.select(*cells, *([F.lit(side).alias(origin)] if origin else []))
+
+    return shaped(first, b, 0).unionByName(shaped(second, a, 1), allowMissingColumns=True)

@@ -115,3 +115,8 @@ def sample_info(df: DataFrame, sample: DataFrame, method: str) -> DataFrame:
     return df.sparkSession.createDataFrame(
         [(total, got, round(got / max(total, 1), 4), method)],
         "original_rows bigint, sample_rows bigint, sampling_ratio double, method string")
+
+
+def plot_sample(df: DataFrame, key: str, k: int) -> DataFrame:
+    """k rows for a plot: those whose keys have the smallest hashes, so every part of the key range shows."""
+    return df.orderBy(F.md5(c(key).cast("string").cast("binary")), c(key)).limit(k)

@@ -293,3 +293,67 @@ def fx_jump(spark, sf):
 def fx_all(spark, sf):
     d = dirty_customer(spark, sf).select("c_custkey", "balance", "age", "email")
     return an.fix_all(d, "c_custkey").withColumn("balance", F.round("balance", 6))
+
+
+# ---------------------------------------------------------------- keys beyond 2^53, integers, and tables without text
+
+_BIG = 9007199254740993
+_NUM = f"""nu AS (SELECT event_id + {_BIG} AS event_id, {_SPIKE} AS value, CASE WHEN event_id % 23 = 0 THEN -5 ELSE CAST(18 + event_id % 60 AS INT) END AS qty FROM ev)"""
+_NS = """ns AS (SELECT avg(value) AS m, stddev_samp(value) AS s, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM nu)"""
+
+
+def _all_numeric(spark, sf):
+    return dirty_events(spark, sf).selectExpr(f"event_id + {_BIG} AS event_id", f"{_SPIKE} AS value",
+                                              "CASE WHEN event_id % 23 = 0 THEN -5 ELSE CAST(18 + event_id % 60 AS INT) END AS qty")
+
+
+@query("an_all_numeric", sql("""SELECT type, severity, "column", count(*) AS count FROM (
+SELECT 'statistical_zscore' AS type, 'warning' AS severity, 'value' AS "column" FROM nu, ns WHERE abs(value - m) / s > 3
+UNION ALL SELECT 'statistical_iqr_extreme', 'critical', 'value' FROM nu, ns WHERE value < a - 3*(b-a) OR value > b + 3*(b-a)
+UNION ALL SELECT 'multivariate_mahalanobis', 'warning', 'value, qty' FROM nu,
+  (SELECT avg(value) AS mv, avg(qty) AS mq, var_samp(value) AS vv, var_samp(qty) AS vq, covar_samp(value, qty) AS cv FROM nu WHERE value IS NOT NULL)
+  WHERE ((value-mv)*(value-mv)*vq - 2*(value-mv)*(qty-mq)*cv + (qty-mq)*(qty-mq)*vv) / (vv*vq - cv*cv) > 13.815510557964274
+UNION ALL SELECT 'business_negative_value', 'critical', 'qty' FROM nu WHERE qty < 0) GROUP BY ALL""", DE, _NUM, _NS))
+def an_all_numeric(spark, sf):
+    """Every detector on a table without text or dates; the key is no measurement."""
+    return an.detect_all(_all_numeric(spark, sf), key="event_id").drop("example")
+
+
+@query("fx_all_numeric", sql("""SELECT event_id, round(CASE WHEN value IS NOT NULL THEN least(greatest(value, a - 2.5*(b-a)), b + 2.5*(b-a)) END, 6) AS value,
+ abs(qty) AS qty FROM nu, ns""", DE, _NUM, _NS))
+def fx_all_numeric(spark, sf):
+    """Keys and integers stay exact."""
+    return an.fix_all(_all_numeric(spark, sf), "event_id").withColumn("value", F.round("value", 6))
+
+
+_INT = f"""it AS (SELECT event_id, {_BIG} + event_id AS big, CAST(event_id % 150 AS BIGINT) AS pct, CASE WHEN event_id % 20 = 0 THEN 0 ELSE 100 + event_id % 7 END AS paid,
+ CASE WHEN event_id % 997 = 0 THEN {_BIG} ELSE event_id % 40 END AS level FROM events)"""
+
+
+def _integers(spark, sf):
+    return table(spark, sf, "events").selectExpr(
+        "event_id", f"{_BIG} + event_id AS big", "event_id % 150 AS pct", "CASE WHEN event_id % 20 = 0 THEN 0 ELSE 100 + event_id % 7 END AS paid",
+        f"CASE WHEN event_id % 997 = 0 THEN {_BIG} ELSE event_id % 40 END AS level")
+
+
+@query("fx_pct_integer", sql("SELECT big, least(pct, 100) AS pct FROM it", _INT))
+def fx_pct_integer(spark, sf):
+    return an.fix_percentage(_integers(spark, sf).select("big", "pct"), "pct")
+
+
+@query("fx_zeros_integer", sql("""SELECT big, CASE WHEN paid = 0 THEN CAST(round((SELECT median(paid) FROM it WHERE paid > 0)) AS BIGINT) ELSE paid END AS paid FROM it""", _INT))
+def fx_zeros_integer(spark, sf):
+    return an.fix_zeros(_integers(spark, sf).select("big", "paid"), "paid")
+
+
+@query("fx_extreme_integer", sql("""SELECT big, CASE WHEN level > hi THEN CAST(floor(hi) AS BIGINT) WHEN level < lo THEN CAST(ceil(lo) AS BIGINT) ELSE level END AS level FROM it,
+ (SELECT a - 2.5 * (b - a) AS lo, b + 2.5 * (b - a) AS hi FROM (SELECT quantile_cont(level, 0.25) AS a, quantile_cont(level, 0.75) AS b FROM it))""", _INT))
+def fx_extreme_integer(spark, sf):
+    return an.fix_extreme(_integers(spark, sf).select("big", "level"), "level")
+
+
+@query("fx_jump_integer", sql("""SELECT event_id, CASE WHEN p IS NULL OR q IS NULL THEN CAST(round((level::HUGEINT + coalesce(p, q)) / 2.0) AS BIGINT)
+ ELSE greatest(least(p, level), least(greatest(p, level), q)) END AS level
+FROM (SELECT event_id, level, lag(level) OVER w AS p, lead(level) OVER w AS q FROM it WINDOW w AS (ORDER BY event_id))""", _INT))
+def fx_jump_integer(spark, sf):
+    return an.fix_jump(_integers(spark, sf).select("event_id", "level"), "level", "event_id")

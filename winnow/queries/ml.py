@@ -252,7 +252,7 @@ def metrics_reg(spark, sf):
 
 
 @query("residuals", """SELECT o_orderkey, round(o_totalprice, 4) AS actual, CAST(o_custkey * 100 AS DOUBLE) AS predicted,
- round(o_totalprice - o_custkey * 100, 4) AS residual FROM orders ORDER BY o_orderkey LIMIT 200""")
+ round(o_totalprice - o_custkey * 100, 4) AS residual FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)) LIMIT 200""")
 def residuals(spark, sf):
     d = table(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice AS label", "o_custkey * 100D AS prediction")
     return mt.residuals(d, "o_orderkey")

@@ -79,6 +79,20 @@ def iterative_impute(spark, sf):
     return impute.iterative_impute(d, ["balance", "age", "other"])
 
 
+_BIG = 9007199254740993
+
+
+@query("iterative_impute_ids", sql(f"""
+SELECT {_BIG} + c_custkey AS id, CAST(age AS BIGINT) AS age, coalesce(cents, CAST(round(i + s * age) AS BIGINT)) AS cents
+FROM (SELECT *, CASE WHEN c_custkey % 10 <> 0 THEN CAST(c_custkey % 60 * 100 + c_custkey % 7 AS BIGINT) END AS cents FROM dc),
+ (SELECT regr_intercept(c_custkey % 60 * 100 + c_custkey % 7, age) AS i, regr_slope(c_custkey % 60 * 100 + c_custkey % 7, age) AS s FROM dc WHERE c_custkey % 10 <> 0)""", DC))
+def iterative_impute_ids(spark, sf):
+    """Keys beyond 2^53 stay as they are; integers take rounded values and stay integers."""
+    d = dirty_customer(spark, sf).selectExpr(f"{_BIG} + c_custkey AS id", "CAST(age AS BIGINT) AS age",
+                                             "CASE WHEN c_custkey % 10 <> 0 THEN c_custkey % 60 * 100 + c_custkey % 7 END AS cents")
+    return impute.iterative_impute(d, key="id")
+
+
 @query("isolation_forest")
 def isolation_forest(spark, sf):
     return forest.isolation_forest(dirty_customer(spark, sf), "c_custkey", ["balance", "age"])

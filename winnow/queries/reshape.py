@@ -85,21 +85,39 @@ def histogram(spark, sf):
 
 @query("chart_group_mean", sql("""
 SELECT segment AS label, round(avg(balance), 2) AS mean, count(balance) AS n FROM dc WHERE segment IS NOT NULL
-GROUP BY 1 ORDER BY 1 LIMIT 15""", DC))
+GROUP BY 1""", DC))
 def chart_group_mean(spark, sf):
     return group_mean(dirty_customer(spark, sf), "segment", "balance")
 
 
-@query("chart_scatter", sql("SELECT CAST(age AS DOUBLE) AS x, balance AS y FROM dc WHERE balance IS NOT NULL ORDER BY c_custkey LIMIT 100", DC))
+@query("chart_scatter", sql("SELECT CAST(age AS DOUBLE) AS x, balance AS y FROM dc WHERE balance IS NOT NULL ORDER BY md5(CAST(c_custkey AS VARCHAR)) LIMIT 100", DC))
 def chart_scatter(spark, sf):
     return scatter_points(dirty_customer(spark, sf), "c_custkey", "age", "balance")
 
 
+@query("chart_largest_groups", """SELECT l_suppkey AS label, round(avg(l_quantity), 2) AS mean, count(l_quantity) AS n FROM lineitem
+GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 15""")
+def chart_largest_groups(spark, sf):
+    return group_mean(table(spark, sf, "lineitem"), "l_suppkey", "l_quantity", 15)
+
+
 @query("distinct_values", "SELECT DISTINCT p_brand AS value FROM part ORDER BY 1 LIMIT 5")
 def distinct_values(spark, sf):
     return distinct_sample(table(spark, sf, "part"), "p_brand", 5)
 
 
+@query("concat_tables", """SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderkey AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS o_orderstatus, 0 AS part
+FROM orders WHERE o_orderkey % 5 <> 0
+UNION ALL SELECT o_orderkey, NULL, o_totalprice, o_orderpriority, o_orderstatus, 1 FROM orders WHERE o_orderkey % 5 = 0""")
+def concat_tables(spark, sf):
+    """Training and test rows put together: columns by name, different types, columns that one side lacks."""
+    d = table(spark, sf, "orders")
+    a = d.where("o_orderkey % 5 <> 0").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderkey").alias("code"))
+    b = d.where("o_orderkey % 5 = 0").select(F.col("o_totalprice").cast("float").cast("double").alias("x"), F.col("o_orderpriority").alias("code"), "o_orderstatus",
+                                             "o_totalprice", "o_orderkey").drop("x")
+    return reshape.concat_tables(a, b, "part")
+
+
 # ---------------------------------------------------------------- samples
 
 def _orders(spark, sf):

@@ -36,6 +36,22 @@ def scan_json(spark, sf):
     return tables.read_json(spark, path).select("event_id", "user_id", "event_type", "value", "props")
 
 
+@query("input_check", """SELECT * FROM (SELECT 0 AS n, 'parquet' AS format, 'ok' AS status, CAST(3 AS INT) AS columns, count(*) AS rows FROM orders
+UNION ALL SELECT 1, 'csv', 'ok', 3, count(*) FROM orders UNION ALL SELECT 2, 'json', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END, 3, count(*) FROM orders WHERE o_orderkey % 1000 = 1
+UNION ALL SELECT 3, 'parquet', 'empty', 3, count(*) FROM orders WHERE o_orderkey < 0 UNION ALL SELECT 4, 'xlsx', 'unsupported', NULL, NULL
+UNION ALL SELECT 5, 'parquet', 'unreadable: AnalysisException', NULL, NULL)""")
+def input_check(spark, sf):
+    """Inputs of all kinds before they are taken in: readable, empty, unsupported, missing."""
+    src, path = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), work_dir(spark, "inputs")
+    tables.write_parquet(src, f"{path}/0")
+    tables.write_csv(src, f"{path}/1")
+    tables.write_json(src.where("o_orderkey % 1000 = 1"), f"{path}/2")
+    tables.write_parquet(src.where("o_orderkey < 0"), f"{path}/3")
+    kinds = ("parquet", ".CSV", "json", "parquet", "xlsx", "parquet")
+    got = tables.check_inputs(spark, [(f"{path}/{i}", k) for i, k in enumerate(kinds)])
+    return got.select(F.element_at(F.split("path", "/"), -1).cast("int").alias("n"), "format", "status", "columns", "rows")
+
+
 _DC_SQL = sql("SELECT c_custkey, name, segment, round(balance, 4) AS balance, age, email, phone FROM dc", DC)
 
 

@@ -42,17 +42,38 @@ def read_table(spark: SparkSession, path: str, fmt: str, schema=None) -> DataFra
     fmt = fmt.lower().lstrip(".")
     if fmt not in READABLE:
         raise ValueError(f"unsupported format {fmt!r}; use one of {', '.join(READABLE)}")
-    if fmt in ("csv", "tsv"):
-        df = read_csv(spark, path, schema, sep="\t" if fmt == "tsv" else ",")
-    elif fmt == "json":
-        df = read_json(spark, path, schema)
-    else:
-        df = read_parquet(spark, path)
+    df = _read(spark, path, fmt, schema)
     if not df.columns or df.isEmpty():
         raise ValueError(f"no rows in {path}")
     return df
 
 
+def _read(spark: SparkSession, path: str, fmt: str, schema=None) -> DataFrame:
+    if fmt in ("csv", "tsv"):
+        return read_csv(spark, path, schema, sep="\t" if fmt == "tsv" else ",")
+    return read_json(spark, path, schema) if fmt == "json" else read_parquet(spark, path)
+
+
+def check_inputs(spark: SparkSession, inputs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(path, format, status, columns, rows) of inputs to be taken in: ok, empty, unsupported or unreadable.
+
+    Rows are counted for readable inputs; nothing raises, so a batch of files can be checked before any is read."""
+    rows = []
+    for path, fmt in inputs:
+        kind = fmt.lower().lstrip(".")
+        if kind not in READABLE:
+            rows.append((path, kind, "unsupported", None, None))
+            continue
+        try:
+            df = _read(spark, path, kind)
+            n = df.count()
+        except Exception as e:  # an unreadable file, whatever is wrong with it, is what this report is for
+            rows.append((path, kind, f"unreadable: {type(e).__name__}", None, None))
+            continue
+        rows.append((path, kind, "ok" if n and df.columns else "empty", len(df.columns), n))
+    return spark.createDataFrame(rows, "path string, format string, status string, columns int, rows bigint")
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """CSV with a header.  NULL and '' both come back as NULL; Parquet and JSON keep them apart."""
     w = (df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
