@@ -13,6 +13,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,9 @@ from ..session import shared_dir
 
 SHARDS_PER_PARTITION = 2
 MEMO = 1_200_000  # remembered words of a worker
+LONGEST = 64      # bytes of a word that is remembered
+SLICE = 4 << 20   # bytes of text encoded at once
+SHARD_IDS = 32 << 20  # ids of a shard, about
 AT_ONCE = 128     # new words encoded in one string
 _PLACES = np.arange(4)
 #: Lengths of the four values whose codes a control byte holds.
@@ -53,7 +58,10 @@ class _Encoder:
     Between two characters that are no white space, a space always begins a new piece of the byte-level split and a line
     feed is a piece of its own, so the ids of a word and of the space or line feed before it do not depend on what stands
     around them; nor do those of a full stop or comma after letters.  Texts with other white space, with two such
-    characters in a row or with the string of an added token are encoded as a whole."""
+    characters in a row or with the string of an added token are encoded as a whole.
+
+    A batch is cut into words as one array and each distinct word looked up once; the ids of a word lie in a pool, from where
+    those of the whole batch are gathered.  When ``MEMO`` words are known, the half that was met least is forgotten."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,7 +71,6 @@ class _Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")  # a text with one is encoded as a whole
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words: dict[str, bytes] = {}  # after a space; with the line feed where a word follows one
         self.ends = dict(zip(".,\n", self._raw([".", ",", "\n"]), strict=True))
         vocab = self.tokenizer.get_vocab()
         self.opens = {}
@@ -71,45 +78,111 @@ class _Encoder:
             first = self.tokenizer.id_to_token(int(np.frombuffer(self._raw([mark + "x"])[0], dtype=self.kind)[0]))[:1]
             self.opens[mark] = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
             self.opens[mark][[i for t, i in vocab.items() if t.startswith(first)]] = True
+        self.index: dict[bytes, int] = {}  # words with the mark before them
+        self.first, self.size, self.met = (np.zeros(1024, dtype=np.int64) for _ in range(3))
+        self.pool, self.used = np.zeros(4096, dtype=self.kind), 0
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, mark: str, new: list[str]) -> None:
+    def _ask(self, mark: str, new: list[str]) -> dict[str, bytes]:
         """Ids of words after ``mark``, many words in one string: a word begins where a token begins with the mark."""
-        groups = [new[i:i + AT_ONCE] for i in range(0, len(new), AT_ONCE)]
-        joined = [mark + mark.join(g) for g in groups]
-        for words, text, raw in zip(groups, joined, self._raw(joined), strict=True):
-            ids = np.frombuffer(raw, dtype=self.kind)
-            at = (np.nonzero(self.opens[mark][ids])[0] * ids.itemsize).tolist()
-            parts = [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
-            if len(parts) != len(words) or at[0] or self.added.search(text):
-                parts = self._raw([mark + w for w in words])
-            self.words.update(zip(words if mark == " " else [mark + w for w in words], parts, strict=True))
-
-    def _meet(self, new: set[str]) -> None:
-        """Learn the stems of words that end in one full stop or comma, and all other words whole."""
-        stems = {w: w[:-1] for w in new if w[-1] in ".," and w[:-1].lstrip("\n").isalpha()}
-        ask = (new - stems.keys()) | set(stems.values()).difference(self.words)
-        if "\n" in ask:
-            self.words["\n"] = self.ends["\n"]
-            ask.discard("\n")
-        self._learn(" ", [w for w in ask if w[0] != "\n"])
-        self._learn("\n", [w[1:] for w in ask if w[0] == "\n"])
-        self.words.update((w, self.words[stem] + self.ends[w[-1]]) for w, stem in stems.items())
+        out: dict[str, bytes] = {}
+        for i in range(0, len(new), AT_ONCE * AT_ONCE):
+            groups = [new[j:j + AT_ONCE] for j in range(i, min(i + AT_ONCE * AT_ONCE, len(new)), AT_ONCE)]
+            joined = [mark + mark.join(g) for g in groups]
+            for words, text, raw in zip(groups, joined, self._raw(joined), strict=True):
+                ids = np.frombuffer(raw, dtype=self.kind)
+                at = (np.nonzero(self.opens[mark][ids])[0] * ids.itemsize).tolist()
+                parts = [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+                if len(parts) != len(words) or at[0] or self.added.search(text):
+                    parts = self._raw([mark + w for w in words])
+                out.update(zip(words, parts, strict=True))
+        return out
+
+    def _ids(self, new: list[str]) -> list[bytes]:
+        """Ids of new words, given with the mark before them; those that end in one full stop or comma are asked for without."""
+        stems = {w: w[:-1] for w in new if w[-1] in ".," and w[0] in " \n" and w[1:-1].isalpha()}
+        known = {s: i for s in set(stems.values()) if (i := self.index.get(s.encode())) is not None}
+        ask = (set(new) - stems.keys()) | (set(stems.values()) - known.keys())
+        got = {s: self.pool[self.first[i]:self.first[i] + self.size[i]].tobytes() for s, i in known.items()}
+        for mark in " \n":
+            got.update((mark + w, x) for w, x in self._ask(mark, [w[1:] for w in ask if w[0] == mark and len(w) > 1]).items())
+        rest = [w for w in ask if w not in got]
+        got.update(zip(rest, self._raw(rest), strict=True))
+        return [got[stems[w]] + self.ends[w[-1]] if w in stems else got[w] for w in new]
+
+    def _add(self, words: list[bytes], raws: list[bytes], at: int) -> None:
+        """Put words at the places from ``at`` on, and their ids behind those of the pool."""
+        size = np.array([len(r) for r in raws], dtype=np.int64) // self.pool.itemsize
+        end = np.cumsum(size) + self.used
+        while at + len(words) > len(self.first):
+            self.first, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.met))
+        while len(end) and end[-1] > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.first[at:at + len(words)], self.size[at:at + len(words)], self.met[at:at + len(words)] = end - size, size, 0
+        if len(end):
+            self.pool[self.used:end[-1]] = np.frombuffer(b"".join(raws), dtype=self.kind)
+
+    def _forget(self) -> None:
+        keep = np.zeros(len(self.index), dtype=bool)
+        keep[np.argsort(-self.met[:len(keep)], kind="stable")[:MEMO // 2]] = True
+        words = [w for w, i in self.index.items() if keep[i]]
+        raws = [self.pool[self.first[i]:self.first[i] + self.size[i]].tobytes() for i in (self.index[w] for w in words)]
+        self.index, self.used = {w: i for i, w in enumerate(words)}, 0
+        self._add(words, raws, 0)
+        self.used = int(self.size[:len(words)].sum())
 
     def _plain(self, t: str) -> bool:
         return self.added.search(t) is None and not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1] == " " or t[-1:] == " ") and t.replace("\n", "").isprintable()
 
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """Where the ids of each word stand; long ones (texts encoded as a whole among them) are kept for this batch only."""
+        if len(self.index) > MEMO:
+            self._forget()
+        at = np.fromiter((self.index.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(at < 0)
+        raws = dict(zip(new.tolist(), self._ids([words[i].decode("utf-8", "surrogatepass") for i in new.tolist()]), strict=True))
+        stay = [i for i in new.tolist() if len(words[i]) <= LONGEST]
+        n = len(self.index)
+        self._add([words[i] for i in stay], [raws[i] for i in stay], n)
+        self.index.update((words[i], n + j) for j, i in enumerate(stay))
+        self.used += sum(len(raws[i]) for i in stay) // self.pool.itemsize
+        at[stay] = np.arange(n, n + len(stay))
+        once = [i for i in new.tolist() if len(words[i]) > LONGEST]
+        self._add([words[i] for i in once], [raws[i] for i in once], n + len(stay))
+        at[once] = np.arange(n + len(stay), n + len(new))
+        return at
+
+    def encode_array(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each ends), with the id ``end`` after each text."""
+        texts = texts.cast(pa.large_string())
+        to = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[to[0]:to[-1]]
+        to = to - to[0]
+        plain = np.fromiter((self._plain(t) for t in texts.to_pylist()), dtype=bool, count=len(texts))
+        marks = np.flatnonzero((data == 0x20) | (data == 0x0A))
+        of = np.searchsorted(to, marks, side="right") - 1
+        marks = marks[plain[of] & (marks > to[of])]
+        begin = np.sort(np.concatenate([to[:-1][np.diff(to) > 0], marks]))
+        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy()
+        place = self._places(coded.dictionary.to_pylist())
+        met = np.bincount(code, minlength=len(place))
+        np.add.at(self.met, place, met)
+        size, first = self.size[place][code], self.first[place][code]
+        left = np.append(0, np.cumsum(size))
+        ids = self.pool[np.repeat(first - left[:-1], size) + np.arange(left[-1])]
+        ends = left[np.searchsorted(begin, to[1:])]
+        if end is None:
+            return ids, ends
+        return np.insert(ids, ends, end), ends + np.arange(1, len(ends) + 1)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self._plain(t) for t in texts]
-        if len(self.words) > MEMO:
-            self.words.clear()
-        cut = [t.replace("\n", " \n").split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
-        self._meet(set().union(*[c[1:] for c in cut]).difference(self.words))
-        whole = self._raw([c[0] if p else t for t, p, c in zip(texts, plain, cut, strict=True)])
-        word = self.words.__getitem__
-        return [b"".join([w, *map(word, c[1:])]) for w, c in zip(whole, cut, strict=True)]
+        """The ids of each text, as bytes."""
+        ids, ends = self.encode_array(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -135,13 +208,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, key:
     spark = docs.sparkSession
     small_batches(spark)
 
-    def tokens(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def tokens(texts: pa.Array) -> pa.Array:
         e = encoder(tokenizer)
-        end = np.array([end_id], dtype=e.kind).tobytes()
-        return pd.Series([t + end for t in e.encode(list(text))])
-
-    ids = F.pandas_udf(tokens, "binary")(text_of(docs, text))
-    docs.select(docs[key].alias("key"), ids.alias("ids")).write.option("compression", "zstd").parquet(f"{folder}/raw")
+        parts = []
+        for some in slices(texts):
+            ids, ends = e.encode_array(some, end_id)
+            at = (np.append(0, ends) * ids.itemsize).astype(np.int64)
+            parts.append(pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(at), pa.py_buffer(ids)]).cast(pa.binary()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    docs.select(docs[key].alias("key"), tokens(text_of(docs, text)).alias("ids")).write.option("compression", "zstd").parquet(f"{folder}/raw")
     raw = spark.read.parquet(f"{folder}/raw")
     kind = _width(tokenizer)
 
@@ -167,11 +244,20 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, key:
         return pd.DataFrame(got, columns=["n", "control", "data"])
 
     place = F.coalesce(hex_long(raw["key"].cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), F.lit(""))
-    n = partitions(spark)
+    n = max(partitions(spark), -(-sum(r["n"] for r in seen) // SHARD_IDS))
     cuts = sampled_cuts(raw, place, raw["key"], SHARDS_PER_PARTITION * n)
-    dealt = raw.select(range_of(place, cuts).alias("shard"), "key", "ids").repartition(n, "shard").sortWithinPartitions("shard", "key")
-    packed = dealt.withColumn("p", F.pandas_udf(pack, "n int, control binary, data binary")("ids"))
-    packed.select("shard", "key", "p.n", "p.control", "p.data").write.option("compression", "zstd").parquet(f"{folder}/ids")
+    packed = raw.withColumn("p", F.pandas_udf(pack, "n int, control binary, data binary")("ids"))  # coded bytes go through the shuffle
+    packed.select(range_of(place, cuts).alias("shard"), "key", "p.n", "p.control", "p.data").repartition(n, "shard") \
+        .sortWithinPartitions("shard", "key").write.option("compression", "zstd").parquet(f"{folder}/ids")
+
+
+def slices(texts: pa.Array) -> list[pa.Array]:
+    """Parts of an array with about ``SLICE`` bytes of text each."""
+    if not len(texts):
+        return []
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(texts)]
+    return [texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _token_of(spark: SparkSession, folder: str) -> np.ndarray:
