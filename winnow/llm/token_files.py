@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,14 @@ class _Encoder:
             first = self.tokenizer.id_to_token(int(np.frombuffer(self._raw([mark + "x"])[0], dtype=self.kind)[0]))[:1]
             self.opens[mark] = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
             self.opens[mark][[i for t, i in vocab.items() if t.startswith(first)]] = True
+        self.stops = {c.encode(): np.frombuffer(self.ends[c], dtype=self.kind).tolist() for c in ".,"}
+        model, start = self.tokenizer.model, np.frombuffer(self.ends["\n"], dtype=self.kind).tolist()
+        lead = self.tokenizer.id_to_token(int(np.frombuffer(self._raw([" x"])[0], dtype=self.kind)[0]))[:1]
+        self.bare = {b" ": lambda w: [t.id for t in model.tokenize(lead + w)], b"\n": lambda w: [*start, *(t.id for t in model.tokenize(w))]}
+        probes = ["a", "Word", "ofthe", "Q" * 40]
+        if any(np.array(f(w), dtype=self.kind).tobytes() != x for m, f in self.bare.items()
+               for w, x in zip(probes, self._raw([m.decode() + w for w in probes]), strict=True)):
+            self.bare = {}  # a tokenizer with other steps before its model
         self.index: dict[bytes, int] = {}  # words with the mark before them
         self.first, self.size, self.met = (np.zeros(1024, dtype=np.int64) for _ in range(3))
         self.pool, self.used = np.zeros(4096, dtype=self.kind), 0
@@ -100,37 +109,49 @@ class _Encoder:
                 out.update(zip(words, parts, strict=True))
         return out
 
-    def _ids(self, new: list[str]) -> list[bytes]:
-        """Ids of new words, given with the mark before them; those that end in one full stop or comma are asked for without."""
-        stems = {w: w[:-1] for w in new if w[-1] in ".," and w[0] in " \n" and w[1:-1].isalpha()}
-        known = {s: i for s in set(stems.values()) if (i := self.index.get(s.encode())) is not None}
-        ask = (set(new) - stems.keys()) | (set(stems.values()) - known.keys())
-        got = {s: self.pool[self.first[i]:self.first[i] + self.size[i]].tobytes() for s, i in known.items()}
-        for mark in " \n":
-            got.update((mark + w, x) for w, x in self._ask(mark, [w[1:] for w in ask if w[0] == mark and len(w) > 1]).items())
-        rest = [w for w in ask if w not in got]
-        got.update(zip(rest, self._raw(rest), strict=True))
-        return [got[stems[w]] + self.ends[w[-1]] if w in stems else got[w] for w in new]
-
-    def _add(self, words: list[bytes], raws: list[bytes], at: int) -> None:
-        """Put words at the places from ``at`` on, and their ids behind those of the pool."""
-        size = np.array([len(r) for r in raws], dtype=np.int64) // self.pool.itemsize
+    def _ids(self, new: list[bytes]) -> list[list[int]]:
+        """Ids of new words, given with the mark before them; those that end in one full stop or comma are made of the word without."""
+        out: list[list[int] | None] = [None] * len(new)
+        rest, ends, stems = [], self.stops, {}
+        for i, raw in enumerate(new):
+            stop = ends.get(raw[-1:])
+            stem = raw if stop is None else raw[:-1]
+            if raw[:1] in self.bare and stem[1:].isalpha():  # ASCII letters: one piece, whose ids the model alone says
+                ids = stems.get(stem)
+                if ids is None:
+                    known = self.index.get(stem)
+                    ids = stems[stem] = self.bare[raw[:1]](stem[1:].decode()) if known is None else \
+                        self.pool[self.first[known]:self.first[known] + self.size[known]].tolist()
+                out[i] = ids if stop is None else ids + stop
+            else:
+                rest.append(i)
+        words = [new[i].decode("utf-8", "surrogatepass") for i in rest]
+        got = {mark + w: x for mark in " \n" for w, x in self._ask(mark, [w[1:] for w in words if w[0] == mark and len(w) > 1]).items()}
+        odd = [w for w in words if w not in got]
+        got.update(zip(odd, self._raw(odd), strict=True))
+        for i, w in zip(rest, words, strict=True):
+            out[i] = np.frombuffer(got[w], dtype=self.kind).tolist()
+        return out
+
+    def _add(self, ids: list[list[int]], at: int) -> None:
+        """Give words the places from ``at`` on, and put their ids behind those of the pool."""
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         end = np.cumsum(size) + self.used
-        while at + len(words) > len(self.first):
+        while at + len(ids) > len(self.first):
             self.first, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.met))
         while len(end) and end[-1] > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.first[at:at + len(words)], self.size[at:at + len(words)], self.met[at:at + len(words)] = end - size, size, 0
+        self.first[at:at + len(ids)], self.size[at:at + len(ids)], self.met[at:at + len(ids)] = end - size, size, 0
         if len(end):
-            self.pool[self.used:end[-1]] = np.frombuffer(b"".join(raws), dtype=self.kind)
+            self.pool[self.used:end[-1]] = np.fromiter(chain.from_iterable(ids), dtype=self.kind, count=int(size.sum()))
 
     def _forget(self) -> None:
         keep = np.zeros(len(self.index), dtype=bool)
         keep[np.argsort(-self.met[:len(keep)], kind="stable")[:MEMO // 2]] = True
         words = [w for w, i in self.index.items() if keep[i]]
-        raws = [self.pool[self.first[i]:self.first[i] + self.size[i]].tobytes() for i in (self.index[w] for w in words)]
+        ids = [self.pool[self.first[i]:self.first[i] + self.size[i]].tolist() for i in (self.index[w] for w in words)]
         self.index, self.used = {w: i for i, w in enumerate(words)}, 0
-        self._add(words, raws, 0)
+        self._add(ids, 0)
         self.used = int(self.size[:len(words)].sum())
 
     def _plain(self, t: str) -> bool:
@@ -140,18 +161,17 @@ class _Encoder:
         """Where the ids of each word stand; long ones (texts encoded as a whole among them) are kept for this batch only."""
         if len(self.index) > MEMO:
             self._forget()
-        at = np.fromiter((self.index.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        new = np.flatnonzero(at < 0)
-        raws = dict(zip(new.tolist(), self._ids([words[i].decode("utf-8", "surrogatepass") for i in new.tolist()]), strict=True))
-        stay = [i for i in new.tolist() if len(words[i]) <= LONGEST]
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        ids = dict(zip(new, self._ids([words[i] for i in new]), strict=True))
+        stay = [i for i in new if len(words[i]) <= LONGEST]
+        once = [i for i in new if len(words[i]) > LONGEST]
         n = len(self.index)
-        self._add([words[i] for i in stay], [raws[i] for i in stay], n)
-        self.index.update((words[i], n + j) for j, i in enumerate(stay))
-        self.used += sum(len(raws[i]) for i in stay) // self.pool.itemsize
-        at[stay] = np.arange(n, n + len(stay))
-        once = [i for i in new.tolist() if len(words[i]) > LONGEST]
-        self._add([words[i] for i in once], [raws[i] for i in once], n + len(stay))
-        at[once] = np.arange(n + len(stay), n + len(new))
+        self._add([ids[i] for i in stay], n)
+        self.index.update(zip((words[i] for i in stay), range(n, n + len(stay)), strict=True))
+        self.used += sum(len(ids[i]) for i in stay)
+        self._add([ids[i] for i in once], n + len(stay))
+        at[stay + once] = np.arange(n, n + len(new))
         return at
 
     def encode_array(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +188,7 @@ class _Encoder:
         words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(np.ascontiguousarray(data))])
         coded = words.dictionary_encode()
         code = coded.indices.to_numpy()
-        place = self._places(coded.dictionary.to_pylist())
+        place = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         met = np.bincount(code, minlength=len(place))
         np.add.at(self.met, place, met)
         size, first = self.size[place][code], self.first[place][code]
