@@ -27,7 +27,7 @@ from .common import small_batches, text_of
 from ..session import shared_dir
 
 WORDS = 4            # words of the longest phrase
-SHARDS = 4
+SHARDS = 2   # fewer shards: fewer merges of the running counts; more: phrases of all lengths sooner
 CELLS = 1 << 23      # bytes of the table of reached phrases
 BLOCK = 8 << 20      # bytes of text counted at once
 NEVER = 255
@@ -43,7 +43,7 @@ def cell_places(h: np.ndarray, cells: int = CELLS) -> np.ndarray:
 def word_hash(words: pa.Array, lang: str) -> np.ndarray:
     seed = zlib.crc32(lang.encode("utf-8", "surrogatepass"))
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, seed) for w in words.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(words))
+    return np.fromiter((digest(w, seed) for w in words.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(words))
 
 
 def grow_hash(h: np.ndarray, word: np.ndarray) -> np.ndarray:
