@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import rows_to_df
 from ..ml import cluster as cl
+from ..ml import explain as ex
 from ..ml import features as ft
 from ..ml import metrics as mt
 from ..ml import models as md
@@ -169,6 +170,45 @@ def permutation_importance(spark, sf):
     return md.permutation_importance(_parts(spark, sf), "p_partkey", "p_retailprice", "Decision Tree", "regression")
 
 
+def _two_features(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+
+    d = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("cust"), F.dayofyear("o_orderdate").cast("double").alias("day"),
+                                          F.col("o_totalprice").alias("label"))
+    return VectorAssembler(inputCols=["cust", "day"], outputCol="features").transform(d)
+
+
+@query("explain_linear", """SELECT o_orderkey, round(avg(label) OVER (), 4) AS base_value, feature, round(CASE feature WHEN 'cust' THEN b1 * (cust - m1) ELSE b2 * (day - m2) END, 4) AS attribution
+FROM (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS cust, CAST(dayofyear(o_orderdate) AS DOUBLE) AS day, o_totalprice AS label FROM orders),
+ (SELECT avg(x) AS m1, avg(z) AS m2, (covar_pop(x, y) * var_pop(z) - covar_pop(z, y) * covar_pop(x, z)) / (var_pop(x) * var_pop(z) - covar_pop(x, z) ** 2) AS b1,
+   (covar_pop(z, y) * var_pop(x) - covar_pop(x, y) * covar_pop(x, z)) / (var_pop(x) * var_pop(z) - covar_pop(x, z) ** 2) AS b2
+  FROM (SELECT CAST(o_custkey AS DOUBLE) AS x, CAST(dayofyear(o_orderdate) AS DOUBLE) AS z, o_totalprice AS y FROM orders)), (VALUES ('cust'), ('day')) f(feature)""")
+def explain_linear(spark, sf):
+    """What either feature adds to each prediction of a least-squares model."""
+    from pyspark.ml.regression import LinearRegression
+
+    d = _two_features(spark, sf)
+    got = ex.attributions(LinearRegression(solver="normal").fit(d), d, "o_orderkey", ["cust", "day"])
+    return got.select("o_orderkey", F.round("base_value", 4).alias("base_value"), "feature", F.round("attribution", 4).alias("attribution"))
+
+
+@query("explain_boosted", "SELECT o_orderkey, CAST(0 AS DOUBLE) AS gap FROM orders")
+def explain_boosted(spark, sf):
+    """Attributions of boosted trees add up to the prediction in every row."""
+    from pyspark.ml.regression import GBTRegressor
+
+    d = _two_features(spark, sf)
+    model = GBTRegressor(maxIter=5, maxDepth=4, seed=1).fit(d)
+    got = ex.attributions(model, d, "o_orderkey", ["cust", "day"]).groupBy("o_orderkey").agg(F.max("base_value").alias("b"), F.sum("attribution").alias("a"))
+    both = got.join(model.transform(d).select("o_orderkey", "prediction"), "o_orderkey")
+    return both.select("o_orderkey", F.abs(F.round((F.col("b") + F.col("a") - F.col("prediction")) / F.col("prediction"), 6)).alias("gap"))
+
+
+@query("explain_rows")
+def explain_rows(spark, sf):
+    return ex.explain_rows(_parts(spark, sf), "p_partkey", "p_retailprice", "Decision Tree", "regression")
+
+
 @query("ml_predict")
 def ml_predict(spark, sf):
     """Scores rows with a category the model has not seen and without one of its columns."""
