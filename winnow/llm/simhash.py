@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -52,6 +54,39 @@ def _mask(segments: list[tuple[int, int]]) -> int:
     return _signed(sum(((1 << w) - 1) << o for o, w in segments))
 
 
+def _ring(max_bits: int) -> list[tuple[tuple[int, int], int, list[int]]]:
+    """(segment, its mask, masks of the chains of 2, 3, ... segments from it) for every start on the ring of max_bits + 1 segments."""
+    ring = _segments(max_bits + 1)
+    return [(s, _mask([s]), [_mask((ring + ring)[i:i + n]) for n in range(2, max_bits + 1)]) for i, s in enumerate(ring)]
+
+
+def chains_hold(max_bits: int = MAX_BITS) -> Column:
+    """Whether fa and fb stay within the budget of every chain from their segment i, the shortest chain first."""
+    differ = F.col("fa").bitwiseXOR(F.col("fb"))
+    hold = F.lit(True)
+    for n in range(2, max_bits + 1):
+        mask = F.element_at(F.array(*[F.lit(chains[n - 2]) for _, _, chains in _ring(max_bits)]), F.col("i") + 1)
+        hold = hold & (F.bit_count(differ.bitwiseAND(mask)) <= n * max_bits // (max_bits + 1))
+    return hold
+
+
+def sharing_pairs(keyed: DataFrame) -> DataFrame:
+    """(i, a, fa, b, fb): the pairs of fingerprints of (node, fp, i, s) that share a segment."""
+    left, right = (keyed.select("i", "s", F.col("node").alias(n), F.col("fp").alias(f)) for n, f in (("a", "fa"), ("b", "fb")))
+    return left.join(right, ["i", "s"]).where("a < b").drop("s")
+
+
+def _flips(max_bits: int) -> list[tuple[int, int, bool]]:
+    """(segment, bits to flip, whether few) of the values that a fingerprint names where its segment is crowded: all that differ
+    outside it in up to half the limit, rounded up; few if rounded down."""
+    out = []
+    for i, (o, w) in enumerate(_segments(max_bits + 1)):
+        free = [b for b in range(64) if not o <= b < o + w]
+        for n in range((max_bits + 1) // 2 + 1):
+            out += [(i, _signed(sum(1 << b for b in bits)), n <= max_bits // 2) for bits in itertools.combinations(free, n)]
+    return out
+
+
 def pigeonring_links(nodes: DataFrame, max_bits: int = MAX_BITS, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """(a, b) links between ``nodes`` (node, fp: distinct fingerprints) that connect all fingerprints within
     ``max_bits`` bits of each other, and no others.
@@ -61,36 +96,25 @@ def pigeonring_links(nodes: DataFrame, max_bits: int = MAX_BITS, pair_limit: int
     l * max_bits / (max_bits + 1) bits, so the first one is equal.  Candidates therefore share a segment, and chains of
     2, 3, ... segments prune them before the full comparison.
 
-    Where more than ``pair_limit`` fingerprints share a segment no pairs are formed.  For the limit of two bits, each
-    fingerprint names itself and every value one bit away outside the shared segment: two fingerprints within two bits
-    name a common value, and all who name one are within two bits of each other, so each is linked to the smallest.  At
-    most 44 distinct fingerprints can name a value.  Other limits are refined by pairs of segments instead."""
-    ring = _segments(max_bits + 1)
-    at = [(i, _mask([s]), [_mask((ring + ring)[i:i + n]) for n in range(2, max_bits + 1)]) for i, s in enumerate(ring)]
+    Where more than ``pair_limit`` fingerprints share a segment no pairs are formed.  Each fingerprint names every value that differs
+    from it, outside the shared segment, in at most half the limit; two within the limit name a common value, one of them in
+    at most half of it rounded down.  All who name a value are within the limit of such a one, so each is linked to the
+    smallest of those.  A value can be named by no more fingerprints than there are values near it (44 for two bits, 1,300 for four)."""
+    spark = nodes.sparkSession
     keyed = nodes.select("node", "fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("s")) for i, m, _ in at])).alias("k")) \
+        F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("s")) for i, (_, m, _) in enumerate(_ring(max_bits))])).alias("k")) \
         .select("node", "fp", "k.i", "k.s")
     hot = materialise(keyed.groupBy("i", "s").count().where(F.col("count") > pair_limit).select("i", "s"), "hot-segments")
     few = keyed.join(hot, ["i", "s"], "left_anti")
-    left, right = (few.select("i", "s", F.col("node").alias(n), F.col("fp").alias(f)) for n, f in (("a", "fa"), ("b", "fb")))
-    differ = F.col("fa").bitwiseXOR(F.col("fb"))
-    within = F.bit_count(differ) <= max_bits
-    for i, _, chains in at:
-        for n, m in enumerate(chains, 2):
-            within = within & ((F.col("i") != i) | (F.bit_count(differ.bitwiseAND(F.lit(m))) <= n * max_bits // len(ring)))
-    pairs = left.join(right, ["i", "s"]).where((F.col("a") < F.col("b")) & within).select("a", "b")
+    near = chains_hold(max_bits) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
+    pairs = sharing_pairs(few).where(near).select("a", "b")
     if hot.isEmpty():
         return pairs
-    if max_bits != 2:
-        raise ValueError("segments shared by many fingerprints are walked for a limit of two bits only; raise pair_limit")
     many = keyed.join(hot, ["i", "s"], "left_semi")
-    steps: Column = F.lit(None)
-    for i, (o, w) in enumerate(ring):
-        flips = F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << b)) for b in range(64) if not o <= b < o + w])
-        steps = F.when(F.col("i") == i, flips).otherwise(steps) if i else F.when(F.col("i") == 0, flips)
-    named = many.select("node", "i", F.explode(F.transform(steps, lambda f: F.col("fp").bitwiseXOR(f))).alias("value"))
-    groups = named.groupBy("i", "value").agg(F.collect_set("node").alias("all")).where(F.size("all") > 1)
-    stars = groups.select(F.explode("all").alias("b"), F.array_min("all").alias("a")).where("a <> b").select("a", "b")
+    flips = spark.createDataFrame(_flips(max_bits), "i int, flip bigint, few boolean")  # fixed by the limit, not by the data
+    named = many.join(F.broadcast(flips), "i").select("node", "i", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), "few")
+    groups = named.groupBy("i", "value").agg(F.collect_set("node").alias("all"), F.min(F.when(F.col("few"), F.col("node"))).alias("a"))
+    stars = groups.where("a is not null and size(all) > 1").select(F.explode("all").alias("b"), "a").where("a <> b").select("a", "b")
     return pairs.union(stars)
 
 
