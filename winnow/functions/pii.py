@@ -28,6 +28,7 @@ BASIC_PATTERNS = (
     ("ip_address", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "medium"),
 )
 
+# The patterns that addresses and numbers are validated by.
 EMAIL_RULE = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 EMAIL_QUALITY = r"(?U)^[\w\.-]+@[\w\.-]+\.\w+$"
 PHONE_RULE = r"^\+?[0-9\s-]{10,14}$"

@@ -6,6 +6,8 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
@@ -19,6 +21,7 @@ from ..functions.core import c, num
 from ..functions.keys import attach
 from ..functions.stats import exact_quantiles, rows_to_df, stats_row
 from ..operators.encode import sorted_index
+from ..operators.neighbors import LeafIndex, _locations
 from ..session import cut_lineage
 
 SEED = 42
@@ -120,7 +123,7 @@ def cluster_board(df: DataFrame, key: str, cols: Sequence[str], k: int = 3, eps:
     """All algorithms ranked by silhouette."""
     rows = []
     found = {a: cluster(df, key, cols, a, k) for a in ("kmeans", "gmm", "bisecting")}
-    if eps and len(cols) <= MAX_DIMS:
+    if eps:
         s = standardised(df, key, cols)
         flat = s.select(c(key), "features", *[vector_to_array("features")[i].alias(n) for i, n in enumerate(cols)])
         lab = dbscan(flat, key, cols, eps, max(2, min(5, flat.count() // 10)))
@@ -262,14 +265,17 @@ def _dense_links(points: DataFrame, dims: int, side: float, eps2: float, offsets
 
 
 def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 1.5, min_points: int = 5) -> DataFrame:
-    """(key, cluster): density clusters numbered from 0, noise -1.  Up to four columns.
+    """(key, cluster): density clusters numbered from 0, noise -1.  Any number of columns.
 
     Cells of side eps/sqrt(d) make all points of a cell neighbours: a cell with ``min_points``
     rows is core as a whole and is treated as one node.  Only rows of sparser cells, of which
-    each holds fewer than ``min_points``, are compared with the rows around them."""
+    each holds fewer than ``min_points``, are compared with the rows around them.  The cells around a cell grow as a power of
+    the columns, so beyond four of them the leaves of a tree take the place of cells (``leaf_dbscan``)."""
     dims = len(cols)
-    if not 1 <= dims <= MAX_DIMS:
-        raise ValueError(f"density clustering takes 1 to {MAX_DIMS} columns; project with pca_2d first")
+    if not dims:
+        raise ValueError("density clustering takes at least one column")
+    if dims > MAX_DIMS:
+        return leaf_dbscan(df, key, cols, eps, min_points)
     side, eps2 = eps / math.sqrt(dims), eps * eps * (1 + 1e-12)
     offsets = _near_offsets(dims)
     x = F.array(*[num(df, n) for n in cols])
@@ -311,6 +317,101 @@ def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 1.5, min_p
     return out.select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
+def _near(q: np.ndarray, b: np.ndarray, eps2: float):
+    """(rows of q, whether each is within reach of each row of b), a bounded block of distances at a time."""
+    step = max(1, 4_000_000 // max(len(b), 1))
+    for at in range(0, len(q), step):
+        d = np.zeros((min(step, len(q) - at), len(b)))
+        for j in range(b.shape[1]):
+            gap = q[at:at + step, j, None] - b[None, :, j]
+            d += gap * gap
+        yield slice(at, at + len(d)), d <= eps2
+
+
+def _counter(eps2: float):
+    """Rows within reach of each visitor of a leaf."""
+    def run(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
+        near = np.zeros(len(qs), dtype=np.int64)
+        if len(qs) and len(bs):
+            rows = bs["n"].to_numpy()
+            for part, hit in _near(np.vstack(qs["loc"].to_numpy()), np.vstack(bs["loc"].to_numpy()), eps2):
+                near[part] = hit @ rows
+        return pd.DataFrame({"i": qs["i"], "near": near})
+
+    return run
+
+
+def _toucher(eps2: float):
+    """Groups of a leaf that each visitor touches, each pair of groups once."""
+    def run(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
+        found = set()
+        if len(qs) and len(bs):
+            mine, theirs = qs["who"].to_numpy(), bs["local"].to_numpy()
+            names, at = np.unique(theirs, return_inverse=True)
+            for part, hit in _near(np.vstack(qs["loc"].to_numpy()), np.vstack(bs["loc"].to_numpy()), eps2):
+                touch = np.zeros((len(hit), len(names)), dtype=bool)
+                rows, places = np.nonzero(hit)
+                touch[rows, at[places]] = True
+                rows, groups = np.nonzero(touch)
+                found |= set(zip(mine[part][rows].tolist(), names[groups].tolist(), strict=True))
+        return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _leaf_groups(eps2: float):
+    """The connected core locations of one leaf, named by their smallest id."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i", kind="stable")
+        x, local = np.vstack(rows["loc"].to_numpy()), np.full(len(rows), -1)
+        for start in range(len(rows)):
+            if local[start] >= 0:
+                continue
+            local[start], front = start, np.array([start])
+            while len(front):
+                left = np.nonzero(local < 0)[0]
+                reached = np.zeros(len(left), dtype=bool)
+                for _, hit in _near(x[front], x[left], eps2):
+                    reached |= hit.any(axis=0)
+                front = left[reached]
+                local[front] = start
+        return rows[["i", "loc", "leaf"]].assign(local=rows["i"].to_numpy()[local])
+
+    return run
+
+
+def leaf_dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float, min_points: int) -> DataFrame:
+    """(key, cluster): density clusters in any number of columns; a border row takes the smallest number it can have.
+
+    Distinct locations are dealt to the leaves of a kd-tree; a location visits the leaves whose box lies within eps.  The first visit counts
+    its neighbours; the core locations of a leaf are joined into groups there, and a second visit links groups of
+    different leaves, each pair once, so no pairs of rows are formed.  The third gives border rows the groups they touch."""
+    eps2 = eps * eps * (1 + 1e-12)
+    locs = _locations(df, key, cols, 1).select("loc", "n", F.element_at("keys", 1).alias("first")).withColumn("i", F.monotonically_increasing_id())
+    index = LeafIndex(cut_lineage(locs), len(cols))
+    trips = cut_lineage(index.visits(index.base.select("i", "loc", "leaf"), eps))
+    near = index.meet(trips.select("i", "loc", "to"), index.base.select("loc", "n", "leaf"), _counter(eps2), "i bigint, near bigint")
+    core = near.groupBy("i").agg(F.sum("near").alias("near")).where(F.col("near") >= min_points).select("i")
+    core = cut_lineage(core)
+    groups = cut_lineage(index.base.join(core, "i").select("i", "loc", "leaf").groupBy("leaf").applyInPandas(
+        _leaf_groups(eps2), "i bigint, loc array<double>, leaf int, local bigint"))
+    homes = groups.select("loc", "local", "leaf")
+    abroad = trips.where("to <> leaf").join(groups.select("i", F.col("local").alias("who")), "i").select("who", "loc", "to")
+    links = index.meet(abroad, homes, _toucher(eps2), "a bigint, b bigint").distinct()
+    loops = groups.select(F.col("local").alias("a"), F.col("local").alias("b")).distinct()
+    comp = cut_lineage(components(links.union(loops)))
+    edge = trips.join(core, "i", "left_anti").select(F.col("i").alias("who"), "loc", "to")
+    border = index.meet(edge, homes, _toucher(eps2), "a bigint, b bigint").select(F.col("a").alias("i"), F.col("b").alias("local"))
+    of = comp.select(F.col("node").alias("local"), "component")
+    named = groups.join(of, "local").join(index.base.select("i", "first"), "i").groupBy("component").agg(F.min("first").alias("first"))
+    ids = sorted_index(named, "first", "cluster").select("component", "cluster")
+    known = groups.select("i", "local").union(border).join(of, "local").join(ids, "component").groupBy("i").agg(F.min("cluster").alias("cluster"))
+    found = cut_lineage(index.base.join(known, "i").select("loc", "cluster", "n"))
+    loc = F.array(*[num(df, n) for n in cols])
+    rows = df.select(c(key), loc.alias("loc")).where(~F.exists("loc", lambda v: v.isNull()))
+    return attach(rows, found, ["loc"], "n").select(c(key), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+
+
 def anomaly_board(df: DataFrame, key: str, cols: Sequence[str], contamination: float = 0.05) -> DataFrame:
     """Isolation forest and local outlier factor: rows flagged at the same contamination."""
     from ..operators.forest import isolation_forest

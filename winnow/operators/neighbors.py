@@ -243,6 +243,38 @@ def _neighbour_lists(queries: DataFrame, base: DataFrame, k: int, p: int) -> Dat
     return first.unionByName(more).groupBy("loc").agg(best.alias("cands"))
 
 
+class LeafIndex:
+    """Locations in the leaves of a kd-tree, for visits within a fixed distance."""
+
+    def __init__(self, base: DataFrame, p: int) -> None:
+        n = base.count()
+        leaves = max(1, math.ceil(n / LEAF_ROWS))
+        self.nodes = [(-1, 0.0, 0, 0)]
+        if leaves > 1:
+            rows = base.select("loc").orderBy(F.xxhash64("loc")).limit(SAMPLE_ROWS).collect()  # bounded, splits only
+            self.nodes = _tree(np.array([r["loc"] for r in rows], dtype=float), min(leaves, len(rows)))
+        #: the locations with their ``leaf``
+        self.base = cut_lineage(base.withColumn("leaf", _leaf_udf(self.nodes)("loc")))
+        ends = self.base.select("leaf", F.posexplode("loc").alias("dim", "v")).groupBy("leaf", "dim").agg(
+            F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()  # leaves times dimensions
+        self.boxes = _boxes(self.nodes, ends, p)
+
+    def visits(self, rows: DataFrame, radius: float) -> DataFrame:
+        """``rows`` once for each leaf ``to`` whose box lies within ``radius`` of their ``loc``, their own leaf included."""
+        visit = F.pandas_udf(_visits(self.nodes, self.boxes, 1), "array<int>")
+        return rows.withColumn("to", F.explode(visit("loc", F.lit(float(radius)), F.lit(-1))))
+
+    def meet(self, visitors: DataFrame, hosts: DataFrame, run, schema: str) -> DataFrame:
+        """``run`` on the visitors (with ``to``) and the hosts (with ``leaf``) of each leaf, at most about VISITORS at a time."""
+        sizes = visitors.groupBy(F.col("to").alias("leaf")).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / VISITORS)).cast("int").alias("parts"))
+        sizes = cut_lineage(sizes)
+        q = visitors.withColumnRenamed("to", "leaf").join(F.broadcast(sizes), "leaf")  # one row per leaf
+        q = q.withColumn("part", F.pmod(F.xxhash64("loc"), F.col("parts")).cast("int")).drop("parts")
+        b = hosts.join(F.broadcast(sizes), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        b = b.toDF(*b.columns)  # visitors and hosts often come from one table
+        return q.groupBy("leaf", "part").cogroup(b.groupBy("leaf", "part")).applyInPandas(run, schema)
+
+
 def knn(queries: DataFrame, base: DataFrame, query_key: str, base_key: str, cols: Sequence[str], k: int,
         exclude_self: bool = False) -> DataFrame:
     """(query_key, neighbour, distance, rank) over rows with complete coordinates.

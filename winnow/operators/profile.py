@@ -223,6 +223,7 @@ def distinct_sample(df: DataFrame, column: str, k: int = 5) -> DataFrame:
 
 # ---------------------------------------------------------------- semantic types
 
+# Words that make a text column boolean.
 BOOL_TOKENS = ("true", "false", "yes", "no", "0", "1")
 
 

@@ -338,6 +338,26 @@ def cluster_dbscan(spark, sf):
     return cl.dbscan(d, "c_custkey", ["a", "b"], 1.5, 5)
 
 
+_WIDE = ["c_acctbal / 400", "c_nationkey * 2.0", "c_custkey % 3 * 0.4", "c_custkey % 5 * 0.3", "c_nationkey % 4 * 0.5", "length(c_mktsegment) * 0.6", "c_custkey % 2 * 0.2", "c_acctbal / 2000"]
+
+
+@query("cluster_dbscan_wide", sql("""SELECT p.k AS c_custkey, CAST(coalesce(least(n.cluster, min(m.cluster)), -1) AS INT) AS cluster FROM p
+ LEFT JOIN comp ON comp.k = p.k LEFT JOIN names n ON n.name = comp.name
+ LEFT JOIN e ON e.a = p.k AND p.k NOT IN (SELECT k FROM core) AND e.b IN (SELECT k FROM core) LEFT JOIN comp o ON o.k = e.b LEFT JOIN names m ON m.name = o.name
+GROUP BY p.k, n.cluster""",
+                                 "RECURSIVE p AS (SELECT c_custkey AS k, " + ", ".join(f"CAST({x} AS DOUBLE) AS x{i}" for i, x in enumerate(_WIDE)) + " FROM customer)",
+                                 "e AS (SELECT p.k AS a, q.k AS b FROM p, p q WHERE " + " + ".join(f"(p.x{i} - q.x{i}) * (p.x{i} - q.x{i})" for i in range(8)) + " <= 2.25 * (1 + 1e-12))",
+                                 "core AS (SELECT a AS k FROM e GROUP BY a HAVING count(*) >= 5)",
+                                 "ce AS (SELECT a, b FROM e WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core))",
+                                 "reach AS (SELECT k AS root, k FROM core UNION SELECT r.root, ce.b FROM reach r JOIN ce ON ce.a = r.k)",
+                                 "comp AS (SELECT k, min(root) AS name FROM reach GROUP BY k)",
+                                 "names AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS cluster FROM comp GROUP BY name)"))
+def cluster_dbscan_wide(spark, sf):
+    """Density clusters in eight columns."""
+    d = table(spark, sf, "customer").selectExpr("c_custkey", *[f"CAST({x} AS DOUBLE) AS x{i}" for i, x in enumerate(_WIDE)])
+    return cl.dbscan(d, "c_custkey", [f"x{i}" for i in range(8)], 1.5, 5)
+
+
 @query("elbow_curve")
 def elbow_curve(spark, sf):
     return cl.elbow_curve(_cust(spark, sf), "c_custkey", ["c_acctbal", "nation"])

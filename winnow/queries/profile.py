@@ -105,9 +105,18 @@ def column_statistics(spark, sf):
     return op.column_statistics(dirty_customer(spark, sf).select("age", "balance", "segment"))
 
 
-@query("detect_types", """
-SELECT * FROM (VALUES ('o_orderkey', 'number'), ('o_custkey', 'number'), ('o_orderstatus', 'text'), ('amount_text', 'number'),
- ('flag', 'boolean'), ('yes_no', 'boolean'), ('half', 'text'), ('mostly', 'mixed'), ('gone', 'empty'), ('day', 'date')) t("column", semantic_type)""")
+_TYPED = """t AS (SELECT *, CASE WHEN flag = 1 THEN 'Yes' ELSE ' no' END AS yes_no, CASE WHEN flag = 1 THEN 'x' ELSE '7' END AS half,
+ CASE WHEN o_orderkey % 8 = 0 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END AS mostly, CASE WHEN flag = 1 THEN 'n/a' END AS gone,
+ CASE WHEN o_orderkey % 9 = 0 THEN 'soon' ELSE concat('2024-01-', 1 + o_orderkey % 28) END AS day FROM ord)"""
+_WHOLE_TYPE = """'{x}' AS "column", CASE WHEN count({x}) = 0 THEN 'empty' WHEN count({x}) = count(*) FILTER ({x} IN (0, 1)) THEN 'boolean' ELSE 'number' END AS semantic_type"""
+_TEXT_TYPE = """'{x}' AS "column", CASE WHEN count(*) = 0 THEN 'empty'
+ WHEN count(*) = count(*) FILTER (lower(trim({x})) IN ('true', 'false', 'yes', 'no', '0', '1')) AND count(DISTINCT {x}) <= 10 THEN 'boolean'
+ WHEN count(TRY_CAST(trim({x}) AS DOUBLE)) > 0.95 * count(*) THEN 'number' WHEN count(TRY_CAST(trim({x}) AS DOUBLE)) > 0.8 * count(*) THEN 'mixed'
+ WHEN count(try_strptime({x}, '%Y-%m-%d')) > 0.7 * count(*) THEN 'date' ELSE 'text' END AS semantic_type"""
+
+
+@query("detect_types", sql(_parts(_WHOLE_TYPE, ["o_orderkey", "o_custkey", "flag"], "t") + "\nUNION ALL\n" + "\nUNION ALL\n".join(
+    f"SELECT {_TEXT_TYPE.format(x=x)} FROM t WHERE NOT {sq_missing(x)}" for x in ("o_orderstatus", "amount_text", "yes_no", "half", "mostly", "gone", "day")), DO, _TYPED))
 def detect_types(spark, sf):
     from pyspark.sql import functions as F
 
@@ -222,7 +231,12 @@ def full_profile(spark, sf):
 
 # ---------------------------------------------------------------- text and column checks
 
-@query("constant_columns", "SELECT 'unit' AS \"column\" UNION ALL SELECT 'half'")
+_CU = "cu AS (SELECT *, 'EUR' AS unit, CASE WHEN c_custkey % 2 = 0 THEN 7 END AS half, c_name AS copy, CASE WHEN c_custkey = 7 THEN 'x' ELSE c_name END AS near, 1000 + c_custkey % 3 AS flat FROM customer)"
+_CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+@query("constant_columns", sql("\nUNION ALL\n".join(
+    f"""SELECT '{x}' AS "column" FROM cu HAVING count({x}) > 0 AND min({x}) = max({x})""" for x in [*_CUSTOMER_COLUMNS, "unit", "half"]), _CU))
 def constant_columns(spark, sf):
     from pyspark.sql import functions as F
 
@@ -232,7 +246,13 @@ def constant_columns(spark, sf):
     return spark.createDataFrame([(n,) for n in constant_column_names(d)], "column string")
 
 
-@query("empty_columns", "SELECT 'mostly_na' AS \"column\" UNION ALL SELECT 'mostly_null'")
+_SPARSE = """sp AS (SELECT *, CASE WHEN c_custkey % 7 = 0 THEN name ELSE 'n/a' END AS mostly_na, CASE WHEN c_custkey % 10 = 0 THEN 1 END AS mostly_null FROM dc)"""
+
+
+@query("empty_columns", sql("\nUNION ALL\n".join(
+    f"""SELECT '{x}' AS "column" FROM sp HAVING count(*) FILTER ({cond}) >= 0.8 * count(*)"""
+    for x, cond in [*((x, f"{x} IS NULL") for x in ("c_custkey", "balance", "age", "mostly_null")),
+                    *((x, sq_missing(x)) for x in ("name", "segment", "email", "phone", "mostly_na"))]), DC, _SPARSE))
 def empty_columns(spark, sf):
     from ..operators.columns import empty_column_names
     from .columns import _sparse
@@ -276,7 +296,9 @@ def category_variants(spark, sf):
     return quality.category_variants(dirty_customer(spark, sf))
 
 
-@query("dup_column_pairs", "SELECT 'c_name' AS col1, 'copy' AS col2")
+@query("dup_column_pairs", sql("\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col1, '{b}' AS col2 FROM cu HAVING bool_and({a} IS NOT DISTINCT FROM {b})"
+    for same in (["c_custkey", "c_nationkey"], ["c_name", "c_mktsegment", "copy", "near"]) for i, a in enumerate(same) for b in same[i + 1:]), _CU))
 def dup_column_pairs(spark, sf):
     from pyspark.sql import functions as F
 
@@ -285,7 +307,11 @@ def dup_column_pairs(spark, sf):
     return quality.dup_column_report(d)
 
 
-@query("id_lowvar_columns", "SELECT * FROM (VALUES ('c_name', 'id'), ('unit', 'constant'), ('flat', 'low_variance')) t(\"column\", kind)")
+@query("id_lowvar_columns", sql("\nUNION ALL\n".join(
+    f"""SELECT '{x}' AS "column", CASE WHEN min({x}) = max({x}) THEN 'constant' WHEN {rule} END AS kind FROM cu HAVING min({x}) = max({x}) OR ({cond})"""
+    for x, rule, cond in [*((x, f"count(DISTINCT {x}) = count(*) THEN 'id'", f"count(DISTINCT {x}) = count(*)") for x in ("c_name", "c_mktsegment", "unit")),
+                          *((x, f"stddev_samp({x}) < 0.01 * abs(avg({x})) THEN 'low_variance'", f"avg({x}) <> 0 AND stddev_samp({x}) < 0.01 * abs(avg({x}))")
+                            for x in ("c_custkey", "c_nationkey", "c_acctbal", "flat"))]), _CU))
 def id_lowvar_columns(spark, sf):
     from pyspark.sql import functions as F
 

@@ -30,10 +30,16 @@ def window_quality(df: DataFrame, ts: str, checks: dict[str, Column], window: st
 
 
 def stream_dedup(df: DataFrame, keys: Sequence[str], ts: str, delay: str = "10 minutes") -> DataFrame:
-    """First row per key; on a stream, state is dropped once the watermark has passed."""
+    """First row per key: on a batch the earliest by time, rows without a time last (of equal times the smallest row); on a
+    stream the first to arrive, whose state is dropped once the watermark has passed."""
     src = as_event_time(df, ts)
     if not df.isStreaming:
-        return src.dropDuplicates(list(keys))
+        rest = [n for n in df.columns if n not in keys]
+        if not rest:
+            return src.distinct()
+        row = F.struct(*[c(n) for n in rest])
+        first = src.groupBy(*[c(k) for k in keys]).agg(F.min_by(row, F.struct(c(ts).isNull(), c(ts), F.to_json(row))).alias("_r"))
+        return first.select(*[c(n) if n in keys else F.col("_r")[n].alias(n) for n in df.columns])
     return src.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
