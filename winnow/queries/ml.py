@@ -160,6 +160,12 @@ def tune_model(spark, sf):
     return md.tune(_docs(spark, sf), "doc_id", "label_quality", "Decision Tree", "classification")
 
 
+@query("tune_logistic")
+def tune_logistic(spark, sf):
+    """The penalty of a logistic model, fifty trials."""
+    return md.tune(_docs(spark, sf), "doc_id", "label_quality", "Logistic Regression", "classification")
+
+
 @query("feature_importance")
 def feature_importance(spark, sf):
     return md.feature_importance(_parts(spark, sf), "p_partkey", "p_retailprice", "Decision Tree", "regression")
