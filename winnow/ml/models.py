@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import c
 from ..functions.stats import plan_bytes, rows_to_df
-from ..session import cut_lineage
+from ..session import TASK_ROWS, cut_lineage, spread
 from . import metrics as M
 from .extra import NearestNeighbours, RidgeClassifier
 from .features import Prepared, detect_target, labelled, prepare, split, task_of, test_share
@@ -113,10 +113,11 @@ def fit_input(df: DataFrame, key: str, target: str, task: str | None = None, fra
     with held(df) as src:
         p = prepare(src, target, task, skip=[key])
         feed = cut_lineage(_feed(p, src, key))
-    frac = test_share(feed.count()) if frac is None else frac
+    n = feed.count()
+    frac = test_share(n) if frac is None else frac
     _, test = split(feed.select("key", "label"), "key", frac, by="label" if p.task == "classification" else None)
     keys = test.select("key").withColumn("_test", F.lit(True))
-    feed = cut_lineage(feed.join(keys, "key", "left"))
+    feed = cut_lineage(spread(feed.join(keys, "key", "left"), "key", n))
     return p, feed.where("_test is null").drop("_test"), feed.where("_test").drop("_test")
 
 
@@ -124,7 +125,9 @@ def whole_input(df: DataFrame, key: str, target: str, task: str | None = None):
     """(preparation, all rows): prepared and materialised without a split."""
     with held(df) as src:
         p = prepare(src, target, task, skip=[key])
-        return p, cut_lineage(_feed(p, src, key))
+        feed = cut_lineage(_feed(p, src, key))
+    n = feed.count()
+    return p, cut_lineage(spread(feed, "key", n)) if n > TASK_ROWS else feed
 
 
 def train(df: DataFrame, key: str, target: str, name: str, task: str | None = None, frac: float | None = None):
@@ -162,15 +165,16 @@ def at_once(jobs: Sequence[Callable]) -> list:
         return pool.map(lambda job: job(), jobs, chunksize=1)
 
 
-def fold_jobs(make: Callable, data: DataFrame, task: str, folds: int = 5) -> list[Callable]:
-    """A job for every fold that gives its (training, test) score; folds follow from the key's hash."""
+def fold_jobs(make: Callable, data: DataFrame, task: str, folds: int = 5, training: bool = False) -> list[Callable]:
+    """A job for every fold that gives its (training, test) score; folds follow from the key's hash.  The training score, most of
+    the work of nearest neighbours, is None unless asked for."""
     d = data.withColumn("_fold", fold_of("key", folds))
 
     def job(i: int):
-        def run() -> tuple[float, float]:
+        def run() -> tuple[float | None, float]:
             a, b, ev = d.where(F.col("_fold") != i).drop("_fold"), d.where(F.col("_fold") == i).drop("_fold"), score_of(task)
             model = make().fit(a)
-            return ev.evaluate(model.transform(a)), ev.evaluate(model.transform(b))
+            return ev.evaluate(model.transform(a)) if training else None, ev.evaluate(model.transform(b))
         return run
 
     return [job(i) for i in range(folds)]
@@ -291,7 +295,7 @@ def learning_curve(df: DataFrame, key: str, target: str, name: str, task: str |
         if p.task == "classification" and part.select("label").distinct().count() < len(p.labels):
             rows.append((s, n, *[None] * 4, "a class is missing"))
             continue
-        scores = at_once(fold_jobs(lambda: build(name, p.task, p), part, p.task, folds))
+        scores = at_once(fold_jobs(lambda: build(name, p.task, p), part, p.task, folds, training=True))
         got = [x for x in scores if all(map(math.isfinite, x))]
         lost = f"{len(scores) - len(got)} of {len(scores)} folds without a score" if len(got) < len(scores) else None
         if not got:
