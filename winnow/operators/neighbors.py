@@ -163,8 +163,8 @@ def _visits(nodes: list[tuple], boxes: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _search(k: int):
-    """Nearest locations of ``queries`` among ``base`` by blocks of a distance matrix; ties go to the
-    location with the smallest key.  Self-contained, so that it travels to executors by value."""
+    """Distances and keys nearest to ``queries`` among ``base``, no farther than ``far``, by blocks of a distance matrix; ties go to
+    the location with the smallest key.  Self-contained, so that it travels to executors by value."""
     def run(queries, base):
         import numpy as np
 
@@ -172,28 +172,41 @@ def _search(k: int):
         b = np.vstack(base["loc"].to_numpy())
         keys = base["keys"].to_numpy()
         q = np.vstack(queries["loc"].to_numpy())
-        out = []
-        step = max(1, 4_000_000 // max(len(b), 1))
-        for s in range(0, len(q), step):
-            part = q[s:s + step]
-            d = np.zeros((len(part), len(b)))
+        far = queries["far"].to_numpy(dtype=float)
+        ds, ks = [None] * len(q), [None] * len(q)
+        order = np.argsort(q[:, int((q.max(axis=0) - q.min(axis=0)).argmax())], kind="stable")
+        step = max(1, min(256, 1_000_000 // max(len(b), 1)))
+        for s in range(0, len(q), step):  # queries side by side, a bounded block of distances
+            rows = order[s:s + step]
+            part, reach = q[rows], far[rows] * (1 + 1e-9)
+            at = np.arange(len(b))
+            if np.isfinite(reach).all():  # what lies beyond the distance already found changes no list
+                at = np.flatnonzero(((b >= (part - reach[:, None]).min(axis=0)) & (b <= (part + reach[:, None]).max(axis=0))).all(axis=1))
+            d = np.zeros((len(part), len(at)))
             for j in range(b.shape[1]):
-                diff = part[:, j, None] - b[None, :, j]
-                d += diff * diff
-            d = np.sqrt(d)  # ties are ties of the distance itself, here and when lists are merged
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for i in range(len(part)):
-                got = [(float(d[i, at]), key) for at in near[i] for key in keys[at]]
+                diff = part[:, j, None] - b[None, at, j]
+                diff *= diff
+                d += diff
+            np.sqrt(d, out=d)  # ties are ties of the distance itself, here and when lists are merged
+            most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(at) > k else np.full(len(part), np.inf)
+            i, j = np.nonzero(~((d > most[:, None]) | (d > reach[:, None])))  # with all ties of the last
+            dist = d[i, j]
+            place = np.lexsort((j, dist, i))
+            i, j, dist = i[place], at[j[place]], dist[place]
+            ends = np.searchsorted(i, np.arange(len(part) + 1)).tolist()
+            dist, j = dist.tolist(), j.tolist()
+            for n, row in enumerate(rows.tolist()):
+                got = [(dist[x], key) for x in range(ends[n], min(ends[n + 1], ends[n] + k)) for key in keys[j[x]]]
                 got.sort()
-                out.append([{"d": x, "key": y} for x, y in got[:k]])
-        return out
+                ds[row], ks[row] = [x for x, _ in got[:k]], [y for _, y in got[:k]]
+        return ds, ks
 
     return run
 
 
 def _neighbour_lists(queries: DataFrame, base: DataFrame, k: int, p: int) -> DataFrame:
     """(loc, cands): the k nearest (distance, key) of every query location, nearest first."""
-    cand = f"array<struct<d:double,key:{base.schema['keys'].dataType.elementType.simpleString()}>>"
+    key_type = base.schema["keys"].dataType.elementType.simpleString()
     base = base.withColumn("first", F.col("keys")[0]).select("loc", "keys", "first")
     n = base.count()
     leaves = max(1, math.ceil(n / LEAF_ROWS))
@@ -214,8 +227,9 @@ def _neighbour_lists(queries: DataFrame, base: DataFrame, k: int, p: int) -> Dat
         import pandas as pd
 
         if not len(qs) or not len(bs):
-            return pd.DataFrame({"loc": [], "cands": []})
-        return pd.DataFrame({"loc": qs["loc"].to_numpy(), "cands": search(qs, bs)})
+            return pd.DataFrame({"loc": [], "d": [], "key": []})
+        d, keys = search(qs, bs)
+        return pd.DataFrame({"loc": qs["loc"].to_numpy(), "d": d, "key": keys})
 
     def cogroup(qs: DataFrame, sizes: DataFrame) -> DataFrame:
         """Search queries in the leaf they are sent to, in portions of at most about VISITORS."""
@@ -223,20 +237,21 @@ def _neighbour_lists(queries: DataFrame, base: DataFrame, k: int, p: int) -> Dat
         q = qs.join(F.broadcast(parts), "leaf")  # one row per leaf
         q = q.withColumn("part", F.pmod(F.xxhash64("loc"), F.col("parts")).cast("int"))
         bb = b.join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return (q.select("leaf", "part", "loc").groupBy("leaf", "part")
+        return (q.select("leaf", "part", "loc", "far").groupBy("leaf", "part")
                 .cogroup(bb.select("leaf", "part", "loc", "keys", "first").groupBy("leaf", "part"))
-                .applyInPandas(nearest, f"loc array<double>, cands {cand}"))
+                .applyInPandas(nearest, f"loc array<double>, d array<double>, key array<{key_type}>")
+                .select("loc", F.arrays_zip("d", "key").alias("cands")))
 
     # a leaf of the tree without any base location sends its queries to the next leaf that has some
     used = [(d, float(ids[min(bisect_left(ids, v), len(ids) - 1)]), a, z) if d < 0 else (d, v, a, z) for d, v, a, z in nodes]
-    own = queries.select("loc").withColumn("leaf", _leaf_udf(used)("loc"))
+    own = queries.select("loc").withColumns({"leaf": _leaf_udf(used)("loc"), "far": F.lit(float("inf"))})
     first = cut_lineage(cogroup(own, own.groupBy("leaf").agg(F.count(F.lit(1)).alias("visits"))))
     if len(ids) == 1:
         return first
     visit = F.pandas_udf(_visits(nodes, boxes, k), "array<int>")
     radius = F.when(F.size("cands") >= k, F.element_at("cands", k)["d"]).otherwise(F.lit(float("inf")))
     home = own.select("loc", F.col("leaf").alias("home"))
-    trips = first.join(home, "loc").select("loc", F.explode(visit("loc", radius, "home")).alias("leaf"))
+    trips = first.join(home, "loc").select("loc", radius.alias("far"), F.explode(visit("loc", radius, "home")).alias("leaf"))
     trips = cut_lineage(trips)
     more = cogroup(trips, trips.groupBy("leaf").agg(F.count(F.lit(1)).alias("visits")))
     best = F.slice(F.array_sort(F.flatten(F.collect_list("cands"))), 1, k)  # k per visited leaf
