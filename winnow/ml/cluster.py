@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from ..functions.keys import attach
 from ..functions.stats import exact_quantiles, rows_to_df, stats_row
 from ..operators.encode import sorted_index
 from ..operators.neighbors import LeafIndex, _locations
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 SEED = 42
 
@@ -107,13 +108,17 @@ def silhouette(df: DataFrame, label: str = "cluster") -> float:
 
 def elbow_curve(df: DataFrame, key: str, cols: Sequence[str], top: int = 8) -> DataFrame:
     """(k, inertia, silhouette) for k = 2..top."""
-    s = standardised(df, key, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+    n = df.count()
+    s = spread(standardised(df, key, cols), key, n).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(k: int) -> tuple[int, float, float]:
+        model = KMeans(k=k, seed=SEED, maxIter=50).fit(s)
+        return k, model.summary.trainingCost, silhouette(model.transform(s).withColumnRenamed("prediction", "cluster"))
+
     try:
-        for k in range(2, max(2, min(top, s.count() - 1)) + 1):
-            model = KMeans(k=k, seed=SEED, maxIter=50).fit(s)
-            rows.append((k, model.summary.trainingCost,
-                         silhouette(model.transform(s).withColumnRenamed("prediction", "cluster"))))
+        s.count()  # kept before the fits, which run side by side
+        with ThreadPool(4) as pool:
+            rows = pool.map(fit, range(2, max(2, min(top, n - 1)) + 1), chunksize=1)
     finally:
         s.unpersist()
     return rows_to_df(df.sparkSession, rows, "k int, inertia double, silhouette double")
@@ -359,6 +364,33 @@ def _toucher(eps2: float):
     return run
 
 
+def _linker(eps2: float):
+    """Groups of a leaf that each visiting group touches.  A pair is settled by its first two locations within reach, so the
+    distances formed do not grow with how full the groups are."""
+    def run(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(qs) and len(bs):
+            x, mine = np.vstack(qs["loc"].to_numpy()), qs["who"].to_numpy()
+            y, theirs = np.vstack(bs["loc"].to_numpy()), bs["local"].to_numpy()
+            middle = (y.min(axis=0) + y.max(axis=0)) / 2
+            order = np.lexsort((np.abs(x - middle).sum(axis=1), mine))  # those that lie nearest first
+            x, mine = x[order], mine[order]
+            starts = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])).tolist()
+            for a, z in zip(starts, [*starts[1:], len(mine)], strict=True):
+                left, at, size = np.ones(len(y), dtype=bool), a, 16
+                while at < z and left.any():
+                    hit = np.zeros(int(left.sum()), dtype=bool)
+                    for _, near in _near(x[at:min(at + size, z)], y[left], eps2):
+                        hit |= near.any(axis=0)
+                    new = np.unique(theirs[left][hit])
+                    found += [(int(mine[a]), int(g)) for g in new]
+                    left &= ~np.isin(theirs, new)
+                    at, size = at + size, size * 2
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def _leaf_groups(eps2: float):
     """The connected core locations of one leaf, named by their smallest id."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -384,24 +416,29 @@ def leaf_dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float, min_po
     """(key, cluster): density clusters in any number of columns; a border row takes the smallest number it can have.
 
     Distinct locations are dealt to the leaves of a kd-tree; a location visits the leaves whose box lies within eps.  The first visit counts
-    its neighbours; the core locations of a leaf are joined into groups there, and a second visit links groups of
-    different leaves, each pair once, so no pairs of rows are formed.  The third gives border rows the groups they touch."""
+    its neighbours, at home and, where these are too few, around; the core locations of a leaf are joined into groups there, and a second
+    visit links groups of different leaves, each pair once, so no pairs of rows are formed.  The third gives border rows the groups they touch."""
     eps2 = eps * eps * (1 + 1e-12)
     locs = _locations(df, key, cols, 1).select("loc", "n", F.element_at("keys", 1).alias("first")).withColumn("i", F.monotonically_increasing_id())
     index = LeafIndex(cut_lineage(locs), len(cols))
-    trips = cut_lineage(index.visits(index.base.select("i", "loc", "leaf"), eps))
-    near = index.meet(trips.select("i", "loc", "to"), index.base.select("loc", "n", "leaf"), _counter(eps2), "i bigint, near bigint")
-    core = near.groupBy("i").agg(F.sum("near").alias("near")).where(F.col("near") >= min_points).select("i")
+    hosts = index.base.select("loc", "n", "leaf")
+    # most are core by the rows of their own leaf; only the others count those of the leaves around
+    near = cut_lineage(index.meet(index.base.select("i", "loc", F.col("leaf").alias("to")), hosts, _counter(eps2), "i bigint, near bigint"))
+    few = near.where(F.col("near") < min_points)
+    away = cut_lineage(index.visits(index.base.join(few, "i").select("i", "loc", "leaf"), eps).where("to <> leaf"))
+    more = index.meet(away.select("i", "loc", "to"), hosts, _counter(eps2), "i bigint, near bigint")
+    core = near.where(F.col("near") >= min_points).select("i").union(
+        few.union(more).groupBy("i").agg(F.sum("near").alias("near")).where(F.col("near") >= min_points).select("i"))
     core = cut_lineage(core)
     groups = cut_lineage(index.base.join(core, "i").select("i", "loc", "leaf").groupBy("leaf").applyInPandas(
         _leaf_groups(eps2), "i bigint, loc array<double>, leaf int, local bigint"))
     homes = groups.select("loc", "local", "leaf")
-    abroad = trips.where("to <> leaf").join(groups.select("i", F.col("local").alias("who")), "i").select("who", "loc", "to")
-    links = index.meet(abroad, homes, _toucher(eps2), "a bigint, b bigint").distinct()
+    abroad = index.visits(groups.select(F.col("local").alias("who"), "loc", "leaf"), eps).where("to <> leaf").select("who", "loc", "to")
+    links = index.meet(cut_lineage(abroad), homes, _linker(eps2), "a bigint, b bigint").distinct()
     loops = groups.select(F.col("local").alias("a"), F.col("local").alias("b")).distinct()
     comp = cut_lineage(components(links.union(loops)))
-    edge = trips.join(core, "i", "left_anti").select(F.col("i").alias("who"), "loc", "to")
-    border = index.meet(edge, homes, _toucher(eps2), "a bigint, b bigint").select(F.col("a").alias("i"), F.col("b").alias("local"))
+    edge = index.visits(index.base.join(core, "i", "left_anti").select(F.col("i").alias("who"), "loc", "leaf"), eps).select("who", "loc", "to")
+    border = index.meet(cut_lineage(edge), homes, _toucher(eps2), "a bigint, b bigint").select(F.col("a").alias("i"), F.col("b").alias("local"))
     of = comp.select(F.col("node").alias("local"), "component")
     named = groups.join(of, "local").join(index.base.select("i", "first"), "i").groupBy("component").agg(F.min("first").alias("first"))
     ids = sorted_index(named, "first", "cluster").select("component", "cluster")
