@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import c, num, require
 from ..functions.stats import exact_quantiles, stats_row
+from ..session import cut_lineage, spread
 from .sample import random_sample
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double"
@@ -119,7 +120,8 @@ def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], contamination
     """(key, cols, score, is_outlier): the highest-scoring share of rows, clamped to 1..40 %."""
     share = max(0.01, min(0.4, contamination))
     model = fit_forest(df, key, cols, trees, seed=seed)
-    s = score_forest(df.select(c(key), *[c(n) for n in cols]), model)
+    rows = df.select(c(key), *[c(n) for n in cols])
+    s = cut_lineage(score_forest(spread(rows, key, df.count()), model))  # scored once, read by every pass of the quantile
     cut = exact_quantiles(s, ["score"], [1.0 - share])["score"][0]
     return s.withColumn("is_outlier", F.col("score") > F.lit(cut))
 
