@@ -16,6 +16,7 @@ from ..functions.gather import together
 from ..functions.keys import attach
 from ..functions.stats import column_modes, exact_quantiles, stats_row, value_stats
 from ..functions.text import TEXT_OPS, apply_case, collapse_spaces
+from ..session import text_batches
 
 
 # ---------------------------------------------------------------- duplicates
@@ -294,6 +295,7 @@ def standardize_text(df: DataFrame, column: str | None = None) -> DataFrame:
 def clean_text(df: DataFrame, column: str, operations: Sequence[str]) -> DataFrame:
     """Apply text operations in the given order."""
     require(df, column)
+    text_batches(df.sparkSession)
     x = c(column).cast("string")
     for op in operations:
         x = TEXT_OPS[op.lower().strip()](x)
