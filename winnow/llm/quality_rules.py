@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_of
+from .common import materialise, small_batches, text_of
 from .textstats import STATS, text_stats
 
 BASE = STATS[:5]
 MIN_WORDS, MAX_REPEAT_PCT = 10, 20
-FIT_ROWS = 20_000      # most labelled rows the forest and its threshold are fitted on
+FEATURES = 8
+RANGES = 1 << 14       # ranges of scores whose counts reach the driver
 TREES, POINTS, DEPTH = 200, 256, 12
 GOOD_COST = 5          # a good row rejected counts as much as five bad ones kept
 
@@ -102,24 +103,63 @@ def stats_table(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array(got["s"].tolist(), dtype=np.int64).reshape(-1, len(STATS)), got["y"].to_numpy(dtype=np.int64)
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, key: str = "doc_id",
-              text: str = "text") -> tuple[Forest | None, float]:
-    """A forest and the score above which a text is rejected.
+def labelled_stats(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, y, ok, x) of every labelled document: its label, whether it passes the base rules, and its features."""
+    def run(text: pd.Series) -> pd.DataFrame:
+        s = np.array([text_stats(t) for t in text], dtype=np.int64).reshape(-1, len(STATS))
+        return pd.DataFrame({"ok": ~base_failed(s), "x": list(rule_features(s))})
 
-    The threshold is calibrated on the labelled rows that pass the base rules: of the scores that cost least, good rows
-    rejected counting five times, the middle one.  Without good rows there is no forest, and only the base rules decide."""
-    s, y = stats_table(labelled_sample(docs, labels, label, rows, None, key, text))
-    ok = ~base_failed(s)
-    x, good = rule_features(s), (y == 1) & ok
-    if good.sum() < 2:
+    small_batches(docs.sparkSession)
+    y = labels.select(labels[key].alias("id"), labels[label].cast("int").alias("y")).where("id is not null and y is not null")
+    y = y.groupBy("id").agg(F.max("y").alias("y"))
+    found = docs.select(docs[key].alias("id"), F.pandas_udf(run, "ok boolean, x array<double>")(text_of(docs, text)).alias("s"))
+    return found.join(y, "id").select("id", "y", "s.ok", "s.x")  # the texts stay where they are, only their features are joined
+
+
+def cheapest_cut(scores: DataFrame) -> float:
+    """The middle of the cheapest thresholds over (score, y): rows above are rejected, a good one costs GOOD_COST, a bad one kept 1.
+
+    Equal scores are counted first; the running counts go range by range of the scores, so no task orders all of them."""
+    spark = scores.sparkSession
+    per = scores.groupBy("score").agg(F.count(F.when(F.col("y") == 1, 1)).alias("good"), F.count(F.when(F.col("y") == 0, 1)).alias("bad"))
+    per = per.unionByName(spark.range(1).select(F.lit(1.0).alias("score"), F.lit(0).cast("bigint").alias("good"), F.lit(0).cast("bigint").alias("bad")))
+    per = materialise(per.groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn(
+        "part", F.floor(F.col("score") * RANGES).cast("int")), "scores")
+    ends = per.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("part").collect()  # at most RANGES + 1
+    all_good, below, rows = sum(r["good"] for r in ends), 0, []
+    for r in ends:
+        rows.append((r["part"], GOOD_COST * all_good + below))
+        below += r["bad"] - GOOD_COST * r["good"]
+    upto = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cost = per.join(F.broadcast(spark.createDataFrame(rows, "part int, before bigint")), "part").select(
+        "score", (F.col("before") + F.sum(F.col("bad") - GOOD_COST * F.col("good")).over(upto)).alias("cost"))
+    best = cost.groupBy("cost").agg(F.min("score").alias("first"), F.max("score").alias("last")).orderBy("cost").first()
+    high = per.where(F.col("score") > best["last"]).agg(F.min("score").alias("s")).first()["s"]
+    return (best["first"] + (best["last"] if high is None else high)) / 2  # up to the next score all thresholds are alike
+
+
+def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> tuple[Forest | None, float]:
+    """A forest and the score above which a text is rejected, from all labelled rows.
+
+    The box of the forest spans every labelled row and the threshold is calibrated on every one that passes the base rules: of the scores
+    that cost least, good rows rejected counting five times, the middle one.  Each tree grows, as isolation trees do, on POINTS good rows of its
+    own draw; they are drawn from all good rows, or from as many as all trees take, those with the smallest key hashes.
+    Without good rows there is no forest, and only the base rules decide."""
+    rows = materialise(labelled_stats(docs, labels, label, key, text), "rules")
+    good = rows.where("ok and y = 1")
+    size = rows.agg(F.count(F.when(F.expr("ok and y = 1"), 1)).alias("n"), *[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(FEATURES)
+                                                                          for n, f in (("l", F.min), ("h", F.max))]).first()
+    if size["n"] < 2:
         return None, 1.0
-    forest = Forest(x[good], np.stack([x.min(axis=0), np.maximum(x.max(axis=0), x.min(axis=0) + 0.05)]))
-    kept, lost = np.sort(forest.score(x[good])), np.sort(forest.score(x[(y == 0) & ok]))
-    at = np.unique(np.concatenate([kept, lost, [1.0]]))
-    cost = GOOD_COST * (len(kept) - np.searchsorted(kept, at, side="right")) + np.searchsorted(lost, at, side="right")
-    best = np.nonzero(cost == cost.min())[0]
-    high = at[min(best[-1] + 1, len(at) - 1)]  # up to the next score all thresholds are alike
-    return forest, float((at[best[0]] + high) / 2)
+    pool = good if size["n"] <= TREES * POINTS else good.orderBy(F.xxhash64("id"), "id").limit(TREES * POINTS)
+    x = np.array(pool.select("id", "x").toPandas().sort_values("id")["x"].tolist())
+    low, high = (np.array([size[f"{n}{i}"] for i in range(FEATURES)]) for n in "lh")
+    forest = Forest(x, np.stack([low, np.maximum(high, low + 0.05)]))
+
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(forest.score(np.vstack(x.to_numpy())) if len(x) else [], dtype="float64")
+
+    return forest, cheapest_cut(rows.where("ok").select(F.pandas_udf(score, "double")("x").alias("score"), "y"))
 
 
 def judge(forest: Forest | None, threshold: float) -> Callable[[Column], Column]:
