@@ -7,7 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.neighbors import knn_predict
+from ..operators.neighbors import LeafIndex, knn_index, knn_predict
 
 
 class NearestNeighbours:
@@ -16,6 +16,7 @@ class NearestNeighbours:
     def __init__(self, features: int, classify: bool, k: int = 5) -> None:
         self.columns, self.classify, self.k = [f"_x{i}" for i in range(features)], classify, k
         self.known: DataFrame | None = None
+        self.index: LeafIndex | None = None
 
     def _flat(self, df: DataFrame, *more: str) -> DataFrame:
         x = vector_to_array("features")
@@ -27,7 +28,9 @@ class NearestNeighbours:
         return model
 
     def transform(self, df: DataFrame) -> DataFrame:
-        got = knn_predict(self.known, self._flat(df), "key", "key", self.columns, "label", self.k, self.classify)
+        if self.index is None:  # one for all tables that are scored
+            self.index = knn_index(self.known, "key", self.columns, self.k)
+        got = knn_predict(self.known, self._flat(df), "key", "key", self.columns, "label", self.k, self.classify, self.index)
         return df.join(got, "key")
 
 

@@ -21,6 +21,7 @@ from ..functions.core import c
 from ..functions.stats import plan_bytes, rows_to_df
 from ..session import TASK_ROWS, cut_lineage, spread
 from . import metrics as M
+from .cells import LEARNERS, fit_on_cells
 from .extra import NearestNeighbours, RidgeClassifier
 from .features import Prepared, detect_target, labelled, prepare, split, task_of, test_share
 
@@ -165,15 +166,16 @@ def at_once(jobs: Sequence[Callable]) -> list:
         return pool.map(lambda job: job(), jobs, chunksize=1)
 
 
-def fold_jobs(make: Callable, data: DataFrame, task: str, folds: int = 5, training: bool = False) -> list[Callable]:
+def fold_jobs(make: Callable, data: DataFrame, task: str, folds: int = 5, training: bool = False,
+              fitted: Sequence | None = None) -> list[Callable]:
     """A job for every fold that gives its (training, test) score; folds follow from the key's hash.  The training score, most of
-    the work of nearest neighbours, is None unless asked for."""
+    the work of nearest neighbours, is None unless asked for.  ``fitted`` has the models of the folds, where they are known."""
     d = data.withColumn("_fold", fold_of("key", folds))
 
     def job(i: int):
         def run() -> tuple[float | None, float]:
             a, b, ev = d.where(F.col("_fold") != i).drop("_fold"), d.where(F.col("_fold") == i).drop("_fold"), score_of(task)
-            model = make().fit(a)
+            model = make().fit(a) if fitted is None else fitted[i]
             return ev.evaluate(model.transform(a)) if training else None, ev.evaluate(model.transform(b))
         return run
 
@@ -199,6 +201,17 @@ def cross_validate(df: DataFrame, key: str, target: str, name: str, task: str |
                       "fold int, score double, mean double, std double, stable boolean")
 
 
+def on_cells(p: Prepared, data: DataFrame, names: Sequence[str], folds: int) -> dict[str, list]:
+    """{name: [model of all rows, of all but each fold]} of the regression trees among ``names``, fitted together on cells; empty
+    for tables of one task's rows, or with too many cells, whose trees MLlib grows from the rows."""
+    names = [n for n in names if n in LEARNERS]
+    if p.task != "regression" or not names or data.count() <= TASK_ROWS:
+        return {}
+    got = fit_on_cells(data, len(p.features), folds, names, fold_of("key", folds) if folds else None, SEED)
+    fits = range(folds + 1)
+    return {n: [got[(n, i)] for i in fits] for n in names if all((n, i) in got for i in fits)}
+
+
 LEADER_SCHEMA = ("rank int, model string, score double, cv_mean double, cv_std double, train_score double, "
                  "fit string, level string, metrics string")
 
@@ -216,18 +229,19 @@ def ranked(df: DataFrame, key: str, target: str, task: str | None, algorithms: S
     """(rows of the leaderboard without their rank, fitted models by name, preparation)."""
     p, a, b = fit_input(df, key, target, task)
     names = choose(p.task, algorithms)
+    folds = folds if folds >= 2 else 0
+    ready = on_cells(p, a, names, folds)
 
     def whole(name: str):
         def run():
-            model = build(name, p.task, p).fit(a)
+            model = ready[name][0] if name in ready else build(name, p.task, p).fit(a)
             return model, test_metrics(cut_lineage(model.transform(b)), p), score_of(p.task).evaluate(model.transform(a))
         return run
 
     def maker(name: str):
         return lambda: build(name, p.task, p)
 
-    folds = folds if folds >= 2 else 0
-    jobs = [j for n in names for j in [whole(n), *(fold_jobs(maker(n), a, p.task, folds) if folds else [])]]
+    jobs = [j for n in names for j in [whole(n), *(fold_jobs(maker(n), a, p.task, folds, fitted=ready[n][1:] if n in ready else None) if folds else [])]]
     got, rows, models = at_once(jobs), [], {}
     for i, name in enumerate(names):
         (model, m, tr), *scores = got[i * (folds + 1):(i + 1) * (folds + 1)]

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import c, num
@@ -33,19 +33,30 @@ def _key_type(df: DataFrame, key: str) -> str:
     return "bigint" if t in ("tinyint", "smallint", "int", "bigint") else t
 
 
-def _locations(df: DataFrame, key: str, cols: Sequence[str], copies: int) -> DataFrame:
-    """(loc, n, keys): distinct coordinates, how many rows share them, and their smallest keys.
+def _complete(df: DataFrame, cols: Sequence[str], *more) -> DataFrame:
+    """The rows with complete coordinates, with ``loc`` and its hash, which is quicker to sort by."""
+    loc = F.array(*[num(df, n) for n in cols])
+    return df.select(*more, loc.alias("loc")).where(~F.exists("loc", lambda v: v.isNull())).withColumn("_h", F.xxhash64("loc"))
+
+
+def _sizes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(loc, n): distinct coordinates and how many rows share them."""
+    return _complete(df, cols).groupBy("_h", "loc").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _smallest_keys(df: DataFrame, key: str, cols: Sequence[str], copies: int) -> DataFrame:
+    """(loc, keys): distinct coordinates and the smallest keys of their rows.
 
     The rank filter is applied per partition before the shuffle, so a location that holds a
     large part of the table sends only ``copies`` rows from each."""
-    loc = F.array(*[num(df, n) for n in cols])
-    rows = df.select(c(key).cast(_key_type(df, key)).alias("k"), loc.alias("loc")).where(
-        ~F.exists("loc", lambda v: v.isNull()))
-    w = Window.partitionBy("loc").orderBy("k")
-    few = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= copies)
-    keys = few.groupBy("loc").agg(F.sort_array(F.collect_list("k")).alias("keys"))  # at most `copies` per location
-    sizes = rows.groupBy("loc").agg(F.count(F.lit(1)).alias("n"))
-    return keys.join(sizes, "loc")
+    rows = _complete(df, cols, c(key).cast(_key_type(df, key)).alias("k"))
+    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("_h", "loc").orderBy("k"))).where(F.col("r") <= copies)
+    return few.groupBy("_h", "loc").agg(F.sort_array(F.collect_list("k")).alias("keys"))  # at most `copies` per location
+
+
+def _locations(df: DataFrame, key: str, cols: Sequence[str], copies: int) -> DataFrame:
+    """(loc, keys, n): distinct coordinates, the smallest keys of their rows, and how many rows share them."""
+    return _smallest_keys(df, key, cols, copies).join(_sizes(df, cols), ["_h", "loc"]).drop("_h")
 
 
 def _tree(points: np.ndarray, leaves: int) -> list[tuple]:
@@ -76,19 +87,24 @@ def _tree(points: np.ndarray, leaves: int) -> list[tuple]:
     return nodes
 
 
-def _leaf_udf(nodes: list[tuple]):
+def _coordinates(p: int) -> list[Column]:
+    """The numbers of ``loc`` one by one, which reach Python without a list for every row."""
+    return [F.get("loc", F.lit(i)) for i in range(p)]
+
+
+def _leaf_of(nodes: list[tuple], p: int) -> Column:
     dims = [t[0] for t in nodes]
     vals = [t[1] for t in nodes]
     lefts = [t[2] for t in nodes]
     rights = [t[3] for t in nodes]
 
-    def leaf(loc: pd.Series) -> pd.Series:
+    def leaf(*xs: pd.Series) -> pd.Series:
         import numpy as np
         import pandas as pd
 
-        if not len(loc):
+        if not len(xs[0]):
             return pd.Series([], dtype="int32")
-        x = np.vstack(loc.to_numpy())
+        x = np.column_stack([v.to_numpy(dtype=float) for v in xs])
         dim, val, lt, rt = (np.asarray(v) for v in (dims, vals, lefts, rights))
         at = np.zeros(len(x), dtype=np.int64)
         while True:
@@ -99,7 +115,7 @@ def _leaf_udf(nodes: list[tuple]):
             go_left = x[idx, dim[at[idx]]] <= val[at[idx]]
             at[idx] = np.where(go_left, lt[at[idx]], rt[at[idx]])
 
-    return F.pandas_udf(leaf, "int")
+    return F.pandas_udf(leaf, "int")(*_coordinates(p))
 
 
 def _boxes(nodes: list[tuple], ends: list, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,13 +143,13 @@ def _visits(nodes: list[tuple], boxes: tuple[np.ndarray, np.ndarray, np.ndarray]
     inner = [(t[2], t[3]) if t[0] >= 0 else None for t in nodes]
     leaf_id = [int(t[1]) for t in nodes]
 
-    def others(loc: pd.Series, radius: pd.Series, home: pd.Series) -> pd.Series:
+    def others(radius: pd.Series, home: pd.Series, *xs: pd.Series) -> pd.Series:
         import numpy as np
         import pandas as pd
 
-        if not len(loc):
+        if not len(home):
             return pd.Series([], dtype="object")
-        x, far, own = np.vstack(loc.to_numpy()), radius.to_numpy(dtype=float).copy(), home.to_numpy()
+        x, far, own = np.column_stack([v.to_numpy(dtype=float) for v in xs]), radius.to_numpy(dtype=float).copy(), home.to_numpy()
         for leaf in np.unique(own[np.isinf(far)]):
             at = leaf_at[int(leaf)]
             while n[at] < k and at in up:
@@ -163,40 +179,71 @@ def _visits(nodes: list[tuple], boxes: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _search(k: int):
-    """Distances and keys nearest to ``queries`` among ``base``, no farther than ``far``, by blocks of a distance matrix; ties go to
-    the location with the smallest key.  Self-contained, so that it travels to executors by value."""
+    """Distances and keys nearest to ``queries`` among ``base``, no farther than ``far``, a group of close queries at a time; ties go
+    to the location with the smallest key.  Self-contained, so that it travels to executors by value.
+
+    The base locations nearest to the middle of a group bound how far its queries have to look.  What may lie within is found from
+    products of matrices, with a margin for their rounding; distances are then taken of those pairs alone."""
     def run(queries, base):
         import numpy as np
 
         base = base.sort_values("first", kind="stable")
         b = np.vstack(base["loc"].to_numpy())
         keys = base["keys"].to_numpy()
+        lone = [x[0] for x in keys] if all(len(x) == 1 for x in keys) else None
         q = np.vstack(queries["loc"].to_numpy())
         far = queries["far"].to_numpy(dtype=float)
         ds, ks = [None] * len(q), [None] * len(q)
-        order = np.argsort(q[:, int((q.max(axis=0) - q.min(axis=0)).argmax())], kind="stable")
-        step = max(1, min(256, 1_000_000 // max(len(b), 1)))
-        for s in range(0, len(q), step):  # queries side by side, a bounded block of distances
-            rows = order[s:s + step]
-            part, reach = q[rows], far[rows] * (1 + 1e-9)
-            at = np.arange(len(b))
-            if np.isfinite(reach).all():  # what lies beyond the distance already found changes no list
-                at = np.flatnonzero(((b >= (part - reach[:, None]).min(axis=0)) & (b <= (part + reach[:, None]).max(axis=0))).all(axis=1))
-            d = np.zeros((len(part), len(at)))
-            for j in range(b.shape[1]):
-                diff = part[:, j, None] - b[None, at, j]
-                diff *= diff
-                d += diff
-            np.sqrt(d, out=d)  # ties are ties of the distance itself, here and when lists are merged
-            most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(at) > k else np.full(len(part), np.inf)
-            i, j = np.nonzero(~((d > most[:, None]) | (d > reach[:, None])))  # with all ties of the last
-            dist = d[i, j]
+        plain = np.isfinite(b).all() and np.isfinite(q).all()
+        most = max(1, min(64, 1_000_000 // max(len(b), 1)))
+        some = min(len(b), max(256, 4 * k))
+        todo = [np.arange(len(q))]
+
+        def squares(x, y):
+            """Squared distances up to rounding, and a bound of the rounding."""
+            xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            return xx[:, None] + yy[None] - 2 * (x @ y.T), 1e-12 * (xx.max() + yy.max())
+
+        while todo:
+            rows = todo.pop()
+            part = q[rows]
+            if len(rows) > most:  # halves along the widest side
+                place = np.argpartition(part[:, int((part.max(axis=0) - part.min(axis=0)).argmax())], len(rows) // 2)
+                todo += [rows[place[:len(rows) // 2]], rows[place[len(rows) // 2:]]]
+                continue
+            reach, at = far[rows] * (1 + 1e-9), np.arange(len(b))
+            if plain:
+                middle = part.mean(axis=0)
+                x, y = part - middle, b - middle
+                if len(b) > k and not np.isfinite(reach).all():
+                    near = np.argpartition((y * y).sum(axis=1), some - 1)[:some]
+                    d, off = squares(x, y[near])
+                    reach = np.minimum(reach, np.sqrt(np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1] + off, 0.0)) * (1 + 1e-9))
+                if np.isfinite(reach).all():  # what lies beyond the distance already found changes no list
+                    at = np.flatnonzero(((b >= (part - reach[:, None]).min(axis=0)) & (b <= (part + reach[:, None]).max(axis=0))).all(axis=1))
+            if plain and len(at) and np.isfinite(reach).all():
+                d, off = squares(x, y[at])
+                i, j = np.nonzero(d <= (reach * reach * (1 + 1e-9) + off)[:, None])
+            else:
+                i, j = np.repeat(np.arange(len(rows)), len(at)), np.tile(np.arange(len(at)), len(rows))
+            j = at[j]
+            dist = np.zeros(len(i))
+            for c in range(b.shape[1]):
+                diff = part[i, c] - b[j, c]
+                dist += diff * diff
+            dist = np.sqrt(dist)  # ties are ties of the distance itself, here and when lists are merged
+            within = ~(dist > reach[i])
+            i, j, dist = i[within], j[within], dist[within]
             place = np.lexsort((j, dist, i))
-            i, j, dist = i[place], at[j[place]], dist[place]
-            ends = np.searchsorted(i, np.arange(len(part) + 1)).tolist()
+            i, j, dist = i[place], j[place], dist[place]
+            ends = np.searchsorted(i, np.arange(len(rows) + 1)).tolist()
             dist, j = dist.tolist(), j.tolist()
             for n, row in enumerate(rows.tolist()):
-                got = [(dist[x], key) for x in range(ends[n], min(ends[n + 1], ends[n] + k)) for key in keys[j[x]]]
+                first, last = ends[n], min(ends[n + 1], ends[n] + k)
+                if lone is not None:
+                    ds[row], ks[row] = dist[first:last], [lone[x] for x in j[first:last]]
+                    continue
+                got = [(dist[x], key) for x in range(first, last) for key in keys[j[x]]]
                 got.sort()
                 ds[row], ks[row] = [x for x, _ in got[:k]], [y for _, y in got[:k]]
         return ds, ks
@@ -204,32 +251,22 @@ def _search(k: int):
     return run
 
 
-def _neighbour_lists(queries: DataFrame, base: DataFrame, k: int, p: int) -> DataFrame:
+def _neighbour_lists(queries: DataFrame, index: LeafIndex, k: int, p: int) -> DataFrame:
     """(loc, cands): the k nearest (distance, key) of every query location, nearest first."""
-    key_type = base.schema["keys"].dataType.elementType.simpleString()
-    base = base.withColumn("first", F.col("keys")[0]).select("loc", "keys", "first")
-    n = base.count()
-    leaves = max(1, math.ceil(n / LEAF_ROWS))
-    if leaves == 1:
-        nodes = [(-1, 0.0, 0, 0)]
-    else:
-        rows = base.select("loc").orderBy(F.xxhash64("loc")).limit(SAMPLE_ROWS).collect()  # bounded, splits only
-        nodes = _tree(np.array([r["loc"] for r in rows], dtype=float), min(leaves, len(rows)))
-    leaf = _leaf_udf(nodes)
-    b = cut_lineage(base.withColumn("leaf", leaf("loc")))
-    ends = b.select("leaf", F.posexplode("loc").alias("dim", "v")).groupBy("leaf", "dim").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()  # leaves times dimensions
-    ids = sorted({r["leaf"] for r in ends})
-    boxes = _boxes(nodes, ends, p)
+    b, nodes, ids = index.base, index.nodes, index.ids
+    key_type = b.schema["keys"].dataType.elementType.simpleString()
+    axes = [f"x{i}" for i in range(p)]
+    flat = [x.alias(n) for n, x in zip(axes, _coordinates(p), strict=True)]
     search = _search(k)
 
     def nearest(key, qs, bs):
         import pandas as pd
 
         if not len(qs) or not len(bs):
-            return pd.DataFrame({"loc": [], "d": [], "key": []})
-        d, keys = search(qs, bs)
-        return pd.DataFrame({"loc": qs["loc"].to_numpy(), "d": d, "key": keys})
+            return pd.DataFrame({n: [] for n in ["leaf", *axes, "d", "key"]})
+        qs, bs = qs.reset_index(drop=True), bs.reset_index(drop=True)
+        d, keys = search(qs.assign(loc=list(qs[axes].to_numpy(dtype=float))), bs.assign(loc=list(bs[axes].to_numpy(dtype=float))))
+        return qs[axes].assign(leaf=key[0], d=d, key=keys)
 
     def cogroup(qs: DataFrame, sizes: DataFrame) -> DataFrame:
         """Search queries in the leaf they are sent to, in portions of at most about VISITORS."""
@@ -237,25 +274,24 @@ def _neighbour_lists(queries: DataFrame, base: DataFrame, k: int, p: int) -> Dat
         q = qs.join(F.broadcast(parts), "leaf")  # one row per leaf
         q = q.withColumn("part", F.pmod(F.xxhash64("loc"), F.col("parts")).cast("int"))
         bb = b.join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return (q.select("leaf", "part", "loc", "far").groupBy("leaf", "part")
-                .cogroup(bb.select("leaf", "part", "loc", "keys", "first").groupBy("leaf", "part"))
-                .applyInPandas(nearest, f"loc array<double>, d array<double>, key array<{key_type}>")
-                .select("loc", F.arrays_zip("d", "key").alias("cands")))
+        return (q.select("leaf", "part", *flat, "far").groupBy("leaf", "part")
+                .cogroup(bb.select("leaf", "part", *flat, "keys", "first").groupBy("leaf", "part"))
+                .applyInPandas(nearest, ", ".join(["leaf int", *[f"{n} double" for n in axes], f"d array<double>, key array<{key_type}>"]))
+                .select("leaf", F.array(*axes).alias("loc"), F.arrays_zip("d", "key").alias("cands")))
 
     # a leaf of the tree without any base location sends its queries to the next leaf that has some
     used = [(d, float(ids[min(bisect_left(ids, v), len(ids) - 1)]), a, z) if d < 0 else (d, v, a, z) for d, v, a, z in nodes]
-    own = queries.select("loc").withColumns({"leaf": _leaf_udf(used)("loc"), "far": F.lit(float("inf"))})
+    own = cut_lineage(queries.select("loc").withColumns({"leaf": _leaf_of(used, p), "far": F.lit(float("inf"))}))
     first = cut_lineage(cogroup(own, own.groupBy("leaf").agg(F.count(F.lit(1)).alias("visits"))))
     if len(ids) == 1:
-        return first
-    visit = F.pandas_udf(_visits(nodes, boxes, k), "array<int>")
+        return first.select("loc", "cands")
+    visit = F.pandas_udf(_visits(nodes, index.boxes, k), "array<int>")
     radius = F.when(F.size("cands") >= k, F.element_at("cands", k)["d"]).otherwise(F.lit(float("inf")))
-    home = own.select("loc", F.col("leaf").alias("home"))
-    trips = first.join(home, "loc").select("loc", radius.alias("far"), F.explode(visit("loc", radius, "home")).alias("leaf"))
-    trips = cut_lineage(trips)
+    trips = first.select("loc", radius.alias("far"), F.explode(visit(radius, "leaf", *_coordinates(p))).alias("to"))
+    trips = cut_lineage(trips.withColumnRenamed("to", "leaf"))
     more = cogroup(trips, trips.groupBy("leaf").agg(F.count(F.lit(1)).alias("visits")))
     best = F.slice(F.array_sort(F.flatten(F.collect_list("cands"))), 1, k)  # k per visited leaf
-    return first.unionByName(more).groupBy("loc").agg(best.alias("cands"))
+    return first.unionByName(more).groupBy(F.xxhash64("loc").alias("_h"), "loc").agg(best.alias("cands")).drop("_h")
 
 
 class LeafIndex:
@@ -269,15 +305,18 @@ class LeafIndex:
             rows = base.select("loc").orderBy(F.xxhash64("loc")).limit(SAMPLE_ROWS).collect()  # bounded, splits only
             self.nodes = _tree(np.array([r["loc"] for r in rows], dtype=float), min(leaves, len(rows)))
         #: the locations with their ``leaf``
-        self.base = cut_lineage(base.withColumn("leaf", _leaf_udf(self.nodes)("loc")))
+        self.base = cut_lineage(base.withColumn("leaf", _leaf_of(self.nodes, p)))
         ends = self.base.select("leaf", F.posexplode("loc").alias("dim", "v")).groupBy("leaf", "dim").agg(
             F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()  # leaves times dimensions
         self.boxes = _boxes(self.nodes, ends, p)
+        self.p = p
+        #: the leaves that hold locations
+        self.ids = sorted({r["leaf"] for r in ends})
 
     def visits(self, rows: DataFrame, radius: float) -> DataFrame:
         """``rows`` once for each leaf ``to`` whose box lies within ``radius`` of their ``loc``, their own leaf included."""
         visit = F.pandas_udf(_visits(self.nodes, self.boxes, 1), "array<int>")
-        return rows.withColumn("to", F.explode(visit("loc", F.lit(float(radius)), F.lit(-1))))
+        return rows.withColumn("to", F.explode(visit(F.lit(float(radius)), F.lit(-1), *_coordinates(self.p))))
 
     def meet(self, visitors: DataFrame, hosts: DataFrame, run, schema: str) -> DataFrame:
         """``run`` on the visitors (with ``to``) and the hosts (with ``leaf``) of each leaf, at most about VISITORS at a time."""
@@ -290,18 +329,24 @@ class LeafIndex:
         return q.groupBy("leaf", "part").cogroup(b.groupBy("leaf", "part")).applyInPandas(run, schema)
 
 
+def knn_index(base: DataFrame, base_key: str, cols: Sequence[str], need: int) -> LeafIndex:
+    """The locations of ``base`` with their ``need`` smallest keys, for searches of up to ``need`` neighbours."""
+    locs = cut_lineage(_smallest_keys(base.where(c(base_key).isNotNull()), base_key, cols, need))
+    return LeafIndex(locs.select("loc", "keys", F.col("keys")[0].alias("first")), len(cols))
+
+
 def knn(queries: DataFrame, base: DataFrame, query_key: str, base_key: str, cols: Sequence[str], k: int,
-        exclude_self: bool = False) -> DataFrame:
+        exclude_self: bool = False, index: LeafIndex | None = None) -> DataFrame:
     """(query_key, neighbour, distance, rank) over rows with complete coordinates.
 
-    Keys may be of any type that can be ordered; base rows without one are no neighbours.  Ties go to the smaller key.  ``exclude_self`` drops the row whose key equals the query's."""
+    Keys may be of any type that can be ordered; base rows without one are no neighbours.  Ties go to the smaller key.  ``exclude_self`` drops the row whose key equals the query's.
+    ``index`` is that of ``knn_index`` over ``base``, where several searches share it."""
     need = k + 1 if exclude_self else k
-    b = cut_lineage(_locations(base.where(c(base_key).isNotNull()), base_key, cols, need))
-    q = _locations(queries, query_key, cols, 1).select("loc", "n")
-    lists = _neighbour_lists(cut_lineage(q), b, need, len(cols))
-    loc = F.array(*[num(queries, n) for n in cols])
-    rows = queries.select(c(query_key).alias("_q"), loc.alias("loc")).where(~F.exists("loc", lambda v: v.isNull()))
-    j = attach(rows, lists.join(q, "loc").select("loc", "cands", "n"), ["loc"], "n")
+    index = knn_index(base, base_key, cols, need) if index is None else index
+    q = cut_lineage(_sizes(queries, cols))
+    lists = _neighbour_lists(q, index, need, len(cols)).withColumn("_h", F.xxhash64("loc"))
+    rows = _complete(queries, cols, c(query_key).alias("_q"))
+    j = attach(rows, lists.join(q, ["_h", "loc"]).select("_h", "loc", "cands", "n"), ["_h", "loc"], "n")
     cands = F.col("cands")
     if exclude_self:
         cands = F.filter(cands, lambda x: x["key"] != F.col("_q").cast(_key_type(base, base_key)))
@@ -326,10 +371,10 @@ def local_outlier_factor(df: DataFrame, key: str, cols: Sequence[str], k: int |
 
 
 def knn_predict(train: DataFrame, rows: DataFrame, train_key: str, key: str, cols: Sequence[str], target: str,
-                k: int = 5, classify: bool = False) -> DataFrame:
+                k: int = 5, classify: bool = False, index: LeafIndex | None = None) -> DataFrame:
     """(key, prediction): mean target of the k nearest training rows, or their most frequent class
     (the smallest one on ties)."""
-    nn = knn(rows, train, key, train_key, cols, k)
+    nn = knn(rows, train, key, train_key, cols, k, index=index)
     t = train.select(c(train_key).alias("neighbour"), c(target).alias("_y"))
     j = nn.join(t, "neighbour")
     best = F.mode("_y", True) if classify else F.avg("_y")  # k values per row
